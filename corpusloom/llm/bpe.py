@@ -15,42 +15,87 @@ Null and empty texts give no ids. Rows are kept as they are, repeated ones too.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
-import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A word of more code points than this is not cached; a pre-token of more is encoded as a tree.
+#: A text between white space of more code points than this goes pre-token by pre-token, each a tree if it is over LEAF.
 LONG = 512
 LEAF = 4096
 _LOADED: dict[str, WordBpe] = {}
 
 
-class _Words(dict):
-    def __init__(self, make, limit: int) -> None:
-        super().__init__()
-        self.make, self.limit = make, limit
-
-    def __missing__(self, word: bytes) -> bytes:
-        value = self.make(word)
-        if len(self) < self.limit and len(word) < LONG:
-            self[word] = value
-        return value
+class Merges:
+    """Merges many short words at once: each step joins, in every word, its lowest-ranked pair, the leftmost of equals."""
+
+    NONE = np.iinfo(np.int32).max
+
+    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str) -> None:
+        n = len(suffix)
+        self.size = len(vocab)
+        left, right = (np.asarray([vocab[m[k]] for m in merges], np.int64) for k in (0, 1))
+        made = [vocab[a + b] if not n or not a.endswith(suffix) else -1 for a, b in merges]
+        key = left * self.size + right
+        order = np.argsort(key, kind="stable")
+        self.key, self.rank, self.made = key[order], order.astype(np.int32), np.asarray(made, np.int32)
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left.astype(np.int64) * self.size + right
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where((self.key[at] == key) & (left >= 0) & (right >= 0), self.rank[at], self.NONE)
+
+    def merge(self, symbols: np.ndarray) -> np.ndarray:
+        """symbols: a row for each word, -1 after its end. The rows after all merges."""
+        out, rows = symbols.copy(), np.arange(len(symbols))
+        s = symbols
+        r = self.ranks(s[:, :-1], s[:, 1:])
+        column = np.arange(s.shape[1])[None, :]
+        while len(rows):
+            at = np.argmin(r, axis=1)
+            best = r[np.arange(len(r)), at]
+            done = best == self.NONE
+            if done.any():
+                out[rows[done]] = s[done]
+                go = ~done
+                rows, s, r, at, best = rows[go], s[go], r[go], at[go], best[go]
+                if not len(rows):
+                    break
+            every = np.arange(len(s))
+            shifted = np.concatenate([s[:, 1:], np.full((len(s), 1), -1, s.dtype)], axis=1)
+            s = np.where(column > at[:, None], shifted, s)
+            s[every, at] = self.made[best]
+            late = np.concatenate([r[:, 1:], np.full((len(r), 1), self.NONE, r.dtype)], axis=1)
+            r = np.where(column[:, :-1] > at[:, None], late, r)
+            last = np.minimum(at, r.shape[1] - 1)
+            r[every, last] = np.where(at < r.shape[1], self.ranks(s[every, last], s[every, last + 1]), r[every, last])
+            before = at > 0
+            r[every[before], at[before] - 1] = self.ranks(s[every[before], at[before] - 1], s[every[before], at[before]])
+        return out
+
+
+#: Bytes of a word that Merges takes; longer ones go to the library.
+SHORT = 24
+#: What may follow a word of letters for the fast way.
+_STOPS = b".,;:!?$%&*#|"
 
 
 class WordBpe:
-    """The tokenizer of a tokenizers file (BPE, white space dropped by the pre-tokenizer), one per Python worker."""
+    """The tokenizer of a tokenizers file (BPE, white space dropped by the pre-tokenizer), one per Python worker.
+
+    Keeps the ids of the first `words` words that it meets; the others are encoded anew.
+    """
 
-    def __init__(self, path: str, words: int = 700_000, cores: int = 500_000) -> None:
+    def __init__(self, path: str, words: int = 400_000) -> None:
         from tokenizers import Tokenizer
-        from tokenizers.models import BPE
 
+        self.path, self.limit = path, words
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
@@ -64,40 +109,77 @@ class WordBpe:
         self.tokens = [(self.tok.id_to_token(i) or "").encode() for i in range(self.n_ids)]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
-        merges = [tuple(m.split(" ", 1)) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.whole = self.tok.model
-        #: Encodes a part of a word that is not its end.
-        self.inner = BPE(vocab=model["vocab"], merges=merges) if model.get("end_of_word_suffix") else self.whole
         self.suffix = model.get("end_of_word_suffix") or ""
-        self.fast = self._fast_is_exact()
-        self.cores: _Words = _Words(self._core, cores)
-        self.words: _Words = _Words(self._word, words)
+        vocab = model["vocab"]
+        self.symbols = self._fast_symbols(vocab)
+        self.merges = Merges(vocab, self._pairs(model), self.suffix) if self.symbols is not None else None
+        self.words: dict[bytes, bytes] = {}
+
+    @staticmethod
+    def _pairs(model: dict) -> list[tuple[str, str]]:
+        return [tuple(m.split(" ", 1)) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+
+    @functools.cached_property
+    def inner(self):
+        """Encodes a part of a word that is not its end."""
+        from tokenizers.models import BPE
+
+        model = json.loads(self.tok.to_str())["model"]
+        return BPE(vocab=model["vocab"], merges=self._pairs(model)) if self.suffix else self.whole
 
-    def _fast_is_exact(self) -> bool:
-        """Whether lower-casing letters below U+0250 and the model alone do what the whole pipeline does."""
+    def _fast_symbols(self, vocab: dict[str, int]) -> np.ndarray | None:
+        """For each byte its id inside a word and at its end, if lower-casing letters below U+0250 and merging is all that the pipeline does to a word of them."""
+        if not (self.tok.normalizer and self.tok.pre_tokenizer):
+            return None
         probe = "".join(chr(c) for c in range(0x61, 0x250) if chr(c).isalpha() and chr(c) == chr(c).lower())
-        word = [x for x, _ in self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(probe))] if self.tok.normalizer and self.tok.pre_tokenizer else []
-        self.bytes = {}
-        if len(word) != 1 or len(word[0]) != len(probe.encode()):
-            return False
-        self.bytes = dict(zip(probe.encode().decode("latin-1"), word[0], strict=True))
-        return self.tok.normalizer.normalize_str("AZÀÖØÞĀĐ") == "azàöøþāđ"
-
-    def _core(self, core: bytes) -> bytes:
-        """Ids of a lower-case word of letters below U+0250."""
-        text = "".join(map(self.bytes.__getitem__, core.decode("latin-1")))
-        ids = [t.id for t in self.whole.tokenize(text)]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _word(self, word: bytes) -> bytes:
-        """Ids of what stands between white space."""
-        text = word.decode()
-        if self.fast and len(text) < LONG:
-            core = text.rstrip(".,;:!?$%&*#|").lower()
-            if core.isalpha() and max(core) < "ɐ":
-                tail = word[len(text.rstrip(".,;:!?$%&*#|").encode()) :]
-                return self.cores[core.encode()] + (self._pack(self._any(tail.decode())) if tail else b"")
-        return self._pack(self._any(text))
+        word = [x for x, _ in self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(probe))]
+        if len(word) != 1 or len(word[0]) != len(probe.encode()) or self.tok.normalizer.normalize_str("AZÀÖØÞĀĐ") != "azàöøþāđ":
+            return None
+        out = np.full((2, 256), -1, np.int32)
+        for byte, char in zip(probe.encode(), word[0], strict=True):
+            out[:, byte] = vocab.get(char, -1), vocab.get(char + self.suffix, -1)
+        return out if (out[0][list(set(probe.encode()))] >= 0).all() and (out[1][list(set(probe.encode()))] >= 0).all() else None
+
+    def _cores(self, cores: list[bytes]) -> list[bytes]:
+        """Ids of lower-case words of letters below U+0250, of at most SHORT bytes."""
+        if not cores:
+            return []
+        size = np.fromiter(map(len, cores), np.int64, len(cores))
+        raw = np.frombuffer(b"".join(cores), np.uint8)
+        row = np.repeat(np.arange(len(cores)), size)
+        place = np.arange(len(raw)) - np.repeat(np.cumsum(size) - size, size)
+        symbols = np.full((len(cores), max(2, int(size.max()))), -1, np.int32)
+        symbols[row, place] = self.symbols[(place == size[row] - 1).astype(np.int64), raw]
+        ids = self.merges.merge(symbols)
+        held = ids >= 0
+        data = ids[held].astype("<u4").tobytes()
+        ends = 4 * np.cumsum(held.sum(axis=1))
+        return [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+    def learn(self, words: set[bytes]) -> None:
+        """Put the ids of words into self.words."""
+        cores, known, fast = [], self.words, self.symbols is not None
+        forms: list[bytes] = []
+        tails: list[bytes] = []
+        for word in words:
+            core = word.rstrip(_STOPS).lower()
+            if not core.isalpha():  # of bytes: not ASCII letters alone
+                low = core.decode().lower() if fast and not core.isascii() else ""
+                core = low.encode() if low.isalpha() and max(low) < "ɐ" else b""
+            if not (fast and core and len(core) <= SHORT):
+                known[word] = self._pack(self._any(word.decode()))
+                continue
+            tail = word[len(word.rstrip(_STOPS)) :]
+            if tail and tail not in known:
+                known[tail] = self._pack(self._any(tail.decode()))
+            cores.append(core)
+            forms.append(word)
+            tails.append(tail)
+        distinct = list(set(cores))
+        ids = dict(zip(distinct, self._cores(distinct), strict=True))
+        for word, core, tail in zip(forms, cores, tails, strict=True):
+            known[word] = ids[core] + known[tail] if tail else ids[core]
 
     @staticmethod
     def _pack(ids: list[int]) -> bytes:
@@ -145,9 +227,20 @@ class WordBpe:
                 return left[:i] + again + right[j:]
             width *= 2
 
-    def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.words.__getitem__, text.encode().split())) if text else b""
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        split = [t.encode().split() if t else [] for t in texts]
+        found = [list(map(self.words.get, words)) for words in split]
+        gaps = [[i for i, x in enumerate(ids) if x is None] for ids in found]
+        missing = {words[i] for words, gap in zip(split, gaps, strict=True) for i in gap}
+        self.learn(missing)
+        for words, ids, gap in zip(split, found, gaps, strict=True):
+            for i in gap:
+                ids[i] = self.words[words[i]]
+        if len(self.words) > self.limit:
+            for word in missing:
+                del self.words[word]
+        return [b"".join(ids) for ids in found]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """As the library's decode() without a decoder: the tokens, joined by one space."""
@@ -189,17 +282,28 @@ def _pieces(text: str, bpe: WordBpe, size: int) -> Iterator[tuple[int, bool, str
 _LONG_SCHEMA = "_row long, doc_id long, seq int, pre int, last boolean, part string"
 
 
-def encode_documents(docs: DataFrame, path: str, split_chars: int = 1 << 20) -> DataFrame:
+#: Rows encoded together.
+SLICE = 400
+IDS = "doc_id long, ids binary"
+
+
+def encode_documents(docs: DataFrame, path: str, split_chars: int = 1 << 20, then: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, schema: str = IDS) -> DataFrame:
     """One row for each row of docs: doc_id, ids binary (little-endian unsigned 32-bit).
 
     path: a tokenizers file that every executor can open. Columns other than doc_id and text are left out.
+    then: applied to each batch of such rows, in the worker that made it; `schema` is that of its result.
     """
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
-            ids = [bpe.encode(t) for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                ids = pa.RecordBatch.from_arrays([part["doc_id"], pa.array(bpe.encode(part["text"].to_pylist()), pa.binary())], ["doc_id", "ids"])
+                yield then(ids) if then else ids
+
+    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from map(then, batches)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
@@ -212,7 +316,7 @@ def encode_documents(docs: DataFrame, path: str, split_chars: int = 1 << 20) ->
         bpe = load(path)
         for batch in batches:
             ids = [
-                bpe.encode(part) if pre == 0 else bpe._pack([bpe.added[part]]) if pre < 0 else bpe._pack(bpe.tree(part, last))
+                bpe.encode([part])[0] if pre == 0 else bpe._pack([bpe.added[part]]) if pre < 0 else bpe._pack(bpe.tree(part, last))
                 for pre, last, part in zip(*(batch[c].to_pylist() for c in ("pre", "last", "part")), strict=True)
             ]
             yield pa.RecordBatch.from_arrays([batch[c] for c in ("_row", "doc_id", "seq", "pre", "last")] + [pa.array(ids, pa.binary())], ["_row", "doc_id", "seq", "pre", "last", "ids"])
@@ -236,10 +340,11 @@ def encode_documents(docs: DataFrame, path: str, split_chars: int = 1 << 20) ->
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     is_long = F.length("text") > split_chars
-    few = docs.where(is_long.isNull() | ~is_long).mapInArrow(short, "doc_id long, ids binary")
+    few = docs.where(is_long.isNull() | ~is_long).mapInArrow(short, schema)
     parts = docs.where(is_long).select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text").mapInArrow(cut, _LONG_SCHEMA)
     many = parts.repartition(F.col("_row"), F.col("seq")).mapInArrow(encode_parts, "_row long, doc_id long, seq int, pre int, last boolean, ids binary")
-    return few.unionByName(many.groupBy("_row").applyInPandas(joined, "doc_id long, ids binary"))
+    whole = many.groupBy("_row").applyInPandas(joined, IDS)
+    return few.unionByName(whole.mapInArrow(finished, schema) if then else whole)
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
@@ -254,21 +359,20 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(decode, "doc_id long, text string")
 
 
-def digests(encoded: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of encoded documents, without moving the decoded texts."""
+DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
-        for batch in batches:
-            rows = batch["ids"].to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch["doc_id"],
-                    pa.array([len(x) // 4 for x in rows], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in rows]),
-                    pa.array([hashlib.sha256(bpe.decode(np.frombuffer(x, "<u4"))).hexdigest() for x in rows]),
-                ],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return encoded.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+def digest(path: str) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    """For encode_documents(then=...): DIGESTS of the ids and of what they decode to."""
+
+    def of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        bpe, rows = load(path), batch["ids"].to_pylist()
+        columns = [
+            batch["doc_id"],
+            pa.array([len(x) // 4 for x in rows], pa.int64()),
+            pa.array([hashlib.sha256(x).hexdigest() for x in rows], pa.string()),
+            pa.array([hashlib.sha256(bpe.decode(np.frombuffer(x, "<u4"))).hexdigest() for x in rows], pa.string()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return of

@@ -27,23 +27,29 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 def _number(end_id: int):
+    """Ends each document and numbers the tokens of a task: at is the place of a document's first one."""
     end = np.asarray([end_id], "<u4").tobytes()
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            ids = [x + end for x in batch["ids"].to_pylist()]
-            n = np.asarray([len(x) // 4 for x in ids], np.int64)
-            starts = at + np.cumsum(n) - n
-            at += int(n.sum())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.full(len(n), part, np.int32)), pa.array(starts), pa.array(n), pa.array(ids, pa.binary())], ["doc_id", "part", "at", "n", "ids"])
+    held = {"task": None, "at": 0}
+
+    def number(batch: pa.RecordBatch) -> pa.RecordBatch:
+        task = TaskContext.get()
+        if held["task"] != task.taskAttemptId():
+            held.update(task=task.taskAttemptId(), at=0)
+        ids = [x + end for x in batch["ids"].to_pylist()]
+        n = np.asarray([len(x) // 4 for x in ids], np.int64)
+        starts = held["at"] + np.cumsum(n) - n
+        held["at"] += int(n.sum())
+        part = np.full(len(n), task.partitionId(), np.int32)
+        return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(part), pa.array(starts), pa.array(n), pa.array(ids, pa.binary())], ["doc_id", "part", "at", "n", "ids"])
 
     return number
 
 
-def place(encoded: DataFrame, end_id: int) -> DataFrame:
-    """doc_id, at (place of its first token on the common axis), n, ids with the end token; encoded: doc_id, ids."""
-    held = write_table(encoded.mapInArrow(_number(end_id), "doc_id long, part int, at long, n long, ids binary"), "packing-ids")
+PLACED = "doc_id long, part int, at long, n long, ids binary"
+
+
+def place(held: DataFrame) -> DataFrame:
+    """doc_id, at (place of its first token on the common axis), n, ids; held: a written table of PLACED."""
     totals = held.groupBy("part").agg(F.sum("n").alias("total"))
     # One row for each task of the first pass, so the window and the broadcast stay small at any input size.
     before = F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
@@ -51,8 +57,8 @@ def place(encoded: DataFrame, end_id: int) -> DataFrame:
     return held.join(F.broadcast(offsets), "part").select("doc_id", (F.col("at") + F.col("base")).alias("at"), "n", "ids")
 
 
-def pack(encoded: DataFrame, length: int, end_id: int) -> DataFrame:
-    """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def pack(held: DataFrame, length: int) -> DataFrame:
+    """held: a written table of PLACED. One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,9 +76,10 @@ def pack(encoded: DataFrame, length: int, end_id: int) -> DataFrame:
                 ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
             )
 
-    return place(encoded, end_id).mapInArrow(cut, PIECES)
+    return place(held).mapInArrow(cut, PIECES)
 
 
 def pack_documents(docs: DataFrame, path: str, length: int = 2048, end_id: int = 1) -> DataFrame:
     """Tokenize docs (doc_id, text) with the tokenizers file at `path` and pack them."""
-    return pack(encode_documents(docs, path), length, end_id)
+    held = write_table(encode_documents(docs, path, then=_number(end_id), schema=PLACED), "packing-ids")
+    return pack(held, length)

@@ -57,7 +57,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
-    return bpe.digests(bpe.encode_documents(table(spark, sf_dir, "documents"), path), path)
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), path, then=bpe.digest(path), schema=bpe.DIGESTS)
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
