@@ -1,10 +1,380 @@
-"""Queries over the shared tables, by name, and the same in SQL."""
+"""Queries over the shared tables, by name, and the same in SQL.
+
+The names begin with the operator of the inventory that they apply: s scans, t and p trees and
+parsing, c chunks, l links, g graph, a aggregates, r retrieval, k sinks, f functions, w windows,
+u embedding, d the hybrid search.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from corpusloom.functions import text as T
+from corpusloom.operators import chunking, embedding, graph, links, parsing, retrieval, sinks, stats
+from corpusloom.sources import xml
+from corpusloom.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- functions
+
+_PLAIN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<[^>]+>', ' ', 'g'), '[\x{200b}\x{200c}\x{200d}\x{feff}\x{ad}]', '', 'g'), '[ \t\x{a0}\x{202f}\x{2000}-\x{200a}\x{205f}\x{3000}]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')"
+_STRIPPED = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+@query(f"SELECT page_id, regexp_replace(array_to_string(list_transform(string_split({_PLAIN}, chr(10)), lambda x: regexp_replace(x, '^{_STRIPPED}|{_STRIPPED}$', '', 'g')), chr(10)), '^{_STRIPPED}|{_STRIPPED}$', '', 'g') AS text FROM pages")
+def f1_normalize_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", T.normalize_text(F.col("html")).alias("text"))
+
+
+@query("SELECT doc_id, ('0x' || substr(sha256('DOC_' || doc_id), 49, 16))::UBIGINT % 9223372036854775808::UBIGINT AS point_id FROM documents")
+def f8_point_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.point_id(F.concat(F.lit("DOC_"), F.col("doc_id").cast("string"))).alias("point_id"))
+
+
+@query(r"SELECT doc_id, CASE WHEN length(text) > 10 THEN 10 + length(regexp_replace(substr(text, 1, 10), '[^\x{10000}-\x{10FFFF}]', '', 'g')) END::INT AS range_start, CASE WHEN length(text) > 10 THEN length(text) + length(regexp_replace(text, '[^\x{10000}-\x{10FFFF}]', '', 'g')) END::INT AS range_end FROM documents")
+def r7_utf16_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = T.utf16_range(F.col("text"), F.lit(10), F.char_length("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", r.start.alias("range_start"), r.end.alias("range_end"))
+
+
+@query("SELECT p_partkey, CASE WHEN regexp_full_match(lower(trim(p_type)), '[a-z][a-z0-9_]*') THEN lower(trim(p_type)) END AS verb, regexp_full_match('LEGIARTI' || lpad(p_partkey::VARCHAR, 12, '0'), '[A-Z]{8}[0-9]{12}') AS valid FROM part")
+def f3_verbs_and_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    identifier = F.format_string("LEGIARTI%012d", "p_partkey")
+    return table(spark, sf_dir, "part").select("p_partkey", T.verb_of(F.col("p_type")).alias("verb"), T.is_identifier(identifier).alias("valid"))
+
+
+# ---- chunking
+
+CHUNKS = chunking.ChunkConfig(384, 64)
+
+
+@query("""
+WITH d AS (SELECT 'DOC_' || doc_id AS identifier, text, length(text) AS n FROM documents WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''),
+w AS (SELECT identifier, text, n, unnest(range(0, greatest(n, 1), 320)) AS s FROM d)
+SELECT identifier || '_' || lpad((s / 320)::BIGINT::VARCHAR, greatest(4, length((s / 320)::BIGINT::VARCHAR)), '0') AS chunk_id, identifier AS parent_identifier, (s // 320)::INT AS ordinal,
+       substr(text, s + 1, least(s + 384, n) - s) AS text, s::INT AS char_start, least(s + 384, n)::INT AS char_end FROM w WHERE s = 0 OR s - 320 + 384 < n
+""")
+def c1_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chunk(_as_documents(spark, sf_dir), CHUNKS).select("chunk_id", "parent_identifier", "ordinal", "text", "char_start", "char_end")
+
+
+def _as_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.array().cast("array<struct<path:array<string>,text:string>>")
+    empty = F.create_map().cast("map<string,struct<is_list:boolean,vals:array<string>>>")
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.concat(F.lit("DOC_"), F.col("doc_id").cast("string")).alias("identifier"), F.lit("texte").alias("document_type"), F.col("lang").alias("nature"), F.col("text").alias("content"), none.alias("sections"), empty.alias("metadata"))
+
+
+@query("""
+WITH RECURSIVE p AS (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13)) <> '') AS parts FROM documents),
+f(doc_id, i, cursor, at) AS (
+  SELECT doc_id, 0, 1::BIGINT, 0::BIGINT FROM p WHERE len(parts) > 0
+  UNION ALL
+  SELECT f.doc_id, i + 1, cursor + strpos(substr(text, cursor), parts[i + 1]) - 1 + length(parts[i + 1]), cursor + strpos(substr(text, cursor), parts[i + 1]) - 1
+  FROM f JOIN p ON f.doc_id = p.doc_id WHERE i < len(parts))
+SELECT doc_id, i::INT AS block, (at - 1)::INT AS block_start FROM f WHERE i > 0
+""")
+def c2_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = F.transform(F.split("text", "\n"), lambda x: F.struct(F.array(F.lit("LINE")).alias("path"), x.alias("text")))
+    docs = table(spark, sf_dir, "documents").where(T.strip(F.col("text")) != "").select("doc_id", F.posexplode(chunking.blocks(F.col("text"), lines)).alias("i", "b"))
+    return docs.select("doc_id", (F.col("i") + 1).alias("block"), F.col("b.at").alias("block_start"))
+
+
+# ---- trees, parsing, links: parts as XML articles
+
+_CDATA = "concat('<![CDATA[', {}, ']]>')"
+
+
+def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part as an XML file: path, content."""
+    xml_text = """concat('<ARTICLE><META><META_COMMUN><ID>LEGIARTI', lpad(p_partkey, 12, '0'), '</ID><URL>x</URL><NATURE>Loi</NATURE></META_COMMUN>',
+      '<META_SPEC><META_ARTICLE><NUM> ', p_name, ' </NUM><ETAT>', p_brand, '</ETAT><DATE_DEBUT>', p_size, '</DATE_DEBUT><ZORG ref="LEGITEXT000000000007" note="n', p_size, '">', p_type, '</ZORG></META_ARTICLE></META_SPEC></META>',
+      '<CONTEXTE><TEXTE><TITRE_TXT id_txt="LEGITEXT', lpad(p_size, 12, '0'), '">t</TITRE_TXT></TEXTE></CONTEXTE>',
+      '<BLOC_TEXTUEL><CONTENU><p>', p_name, '  <b>hidden</b> tail</p>end<br/>', p_brand, '</CONTENU></BLOC_TEXTUEL>',
+      '<LIENS><LIEN id="LEGIARTI', lpad(p_partkey + 1, 12, '0'), '" typelien="CITATION" sens="source">next</LIEN><LIEN id="" typelien="CREE" sens="cible">', p_type, '</LIEN>',
+      '<LIEN id="LEGIARTI', lpad(p_partkey + 2, 12, '0'), '" typelien="', p_type, '" sens="cible">y</LIEN></LIENS></ARTICLE>')"""
+    return table(spark, sf_dir, "part").select(F.format_string("legi/%012d.xml", "p_partkey").alias("path"), F.expr(xml_text).cast("binary").alias("content"))
+
+
+def parsed_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing.parse(xml.raw_documents(xml.decode_facets(articles(spark, sf_dir), "legi")), "legi")
+
+
+@query("""
+SELECT 'LEGIARTI' || lpad(p_partkey::VARCHAR, 12, '0') AS identifier, 'article' AS document_type, 'LOI' AS nature, trim(p_name) AS title,
+  p_name || chr(10) || chr(10) || 'end' || chr(10) || p_brand AS content, trim(p_name) AS num, p_brand AS statut, p_type AS stray, 'n' || p_size AS stray_note, 'article_meta_meta_spec_meta_article_zorg,article_meta_meta_spec_meta_article_zorg_note' AS unconfigured FROM part
+""".replace("p_name || chr(10) || chr(10) || 'end'", "p_name || ' tail' || chr(10) || chr(10) || 'end'"))
+def p1_parse_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def value(key: str):
+        return F.col("metadata")[key].vals[0]
+
+    stray = "article_meta_meta_spec_meta_article_zorg"
+    return parsed_articles(spark, sf_dir).select(
+        "identifier", "document_type", "nature", "title", "content", value("num").alias("num"), value("statut").alias("statut"), value(stray).alias("stray"), value(stray + "_note").alias("stray_note"),
+        F.array_join(F.array_sort(F.filter(F.map_keys("unconfigured_tags"), lambda k: k.contains("zorg"))), ",").alias("unconfigured"),
+    )
+
+
+@query("""
+WITH p AS (SELECT 'LEGIARTI' || lpad(p_partkey::VARCHAR, 12, '0') AS me, 'LEGIARTI' || lpad((p_partkey + 1)::VARCHAR, 12, '0') AS n1, 'LEGIARTI' || lpad((p_partkey + 2)::VARCHAR, 12, '0') AS n2, 'LEGITEXT' || lpad(p_size::VARCHAR, 12, '0') AS t, lower(trim(p_type)) AS verb FROM part)
+SELECT me AS src, n1 AS dst, 'cite' AS type, 'CITATION' AS origin FROM p
+UNION ALL SELECT n2, me, verb, upper(verb) FROM p WHERE regexp_full_match(verb, '[a-z][a-z0-9_]*')
+UNION ALL SELECT t, me, 'contient', 'TITRE_TXT' FROM p
+UNION ALL SELECT me, 'LEGITEXT000000000007', 'zorg', 'ZORG' FROM p
+""")
+def l1_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = links.with_links(parsed_articles(spark, sf_dir), "legi")
+    return links.edges(linked).select("src", "dst", "type", F.coalesce(F.col("props")["typelien"], F.col("props")["kind"]).alias("origin"))
+
+
+@query("SELECT 'LEGIARTI' || lpad(p_partkey::VARCHAR, 12, '0') AS source_identifier, p_type AS target_text, 'cree' AS relation_type, 'cible' AS sens FROM part")
+def l11_unformatted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links.unformatted(links.with_links(parsed_articles(spark, sf_dir), "legi")).drop("source")
+
+
+@query("""
+WITH o AS (SELECT o_custkey, 'LEGIARTI' || lpad(o_orderkey::VARCHAR, 12, '0') AS id, strftime(o_orderdate, '%Y-%m-%d') AS debut, o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT'),
+w AS (SELECT id, lead(id) OVER c AS nxt, lag(id) OVER c AS prv, debut, lead(debut) OVER c AS nxt_debut FROM o WINDOW c AS (PARTITION BY o_custkey ORDER BY debut, o_orderkey))
+SELECT prv AS src, id AS dst, debut FROM w WHERE prv IS NOT NULL UNION ALL SELECT id, nxt, nxt_debut FROM w WHERE nxt IS NOT NULL
+""")
+def l7_version_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The urgent orders of a customer as versions of one another, each listing them all."""
+    orders = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select("o_custkey", "o_orderkey", F.format_string("LEGIARTI%012d", "o_orderkey").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("debut"))
+    entry = parsing._reference(F.lit(parsing.VERSION_KIND), F.col("id"), dating=F.create_map(F.lit("debut"), F.col("debut")))
+    listed = orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", entry.alias("r")))).alias("all"))
+    docs = listed.select(F.transform("all", lambda x: x.r).alias("references")).select(F.explode("references").alias("mine"), "references")
+    found = docs.select(F.explode(links.version_edges(F.col("mine.id"), F.col("references"))).alias("e"))
+    return found.select("e.src", "e.dst", F.col("e.props")["debut"].alias("debut"))
+
+
+@query("""
+WITH o AS (SELECT user_id::VARCHAR AS key, event_type AS value, event_id FROM events), f AS (SELECT key, value, min(event_id) AS k FROM o GROUP BY ALL)
+SELECT key, string_agg(value, ',' ORDER BY k) AS vals, count(*) > 1 AS is_list FROM f GROUP BY key
+""")
+def p15_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as occurrences of a key for each user."""
+    seen = F.array_sort(F.collect_list(F.struct("event_id", F.struct(F.col("user_id").cast("string").alias("key"), F.col("event_type").alias("value"), F.lit("").alias("file")).alias("o"))))
+    docs = table(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(seen, lambda x: x.o).alias("occurrences"))
+    out = docs.select(F.explode(parsing.resolve(F.col("occurrences"), frozenset())).alias("r"))
+    return out.select("r.key", F.array_join("r.vals", ",").alias("vals"), "r.is_list")
+
+
+@query("SELECT 'unreadable' AS skip, count(*) AS n FROM part WHERE p_size % 7 = 0 UNION ALL SELECT 'export_artifact', count(*) FROM part WHERE p_size % 7 = 1")
+def s2_unreadable_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part")
+    content = F.expr("CASE p_size % 7 WHEN 0 THEN '<ARTICLE><ID>' WHEN 1 THEN '<VERSIONS/>' ELSE '<ARTICLE><ID>LEGIARTI000000000001</ID></ARTICLE>' END")
+    files = parts.select(F.when(F.expr("p_size % 7 = 1"), F.concat(F.col("p_partkey").cast("string"), F.lit("/versions.xml"))).otherwise(F.format_string("%d/a.xml", "p_partkey")).alias("path"), content.cast("binary").alias("content"))
+    return xml.skipped(xml.decode_facets(files, "legi")).select("skip", F.col("count").alias("n"))
+
+
+# ---- graph
+
+
+def _shop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containment: region > nation > customer > order, and region > customer and nation > order besides."""
+    nation, customer, orders = (table(spark, sf_dir, t) for t in ("nation", "customer", "orders"))
+    pairs = (
+        nation.selectExpr("concat('R', n_regionkey) AS src", "concat('N', n_nationkey) AS dst")
+        .unionByName(customer.selectExpr("concat('N', c_nationkey) AS src", "concat('C', c_custkey) AS dst"))
+        .unionByName(customer.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).selectExpr("concat('R', n_regionkey) AS src", "concat('C', c_custkey) AS dst"))
+        .unionByName(orders.selectExpr("concat('C', o_custkey) AS src", "concat('O', o_orderkey) AS dst"))
+        .unionByName(orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).selectExpr("concat('N', c_nationkey) AS src", "concat('O', o_orderkey) AS dst"))
+    )
+    return pairs.select("src", "dst", F.lit("contient").alias("type"), F.lit("").alias("doc"), F.lit(0).alias("seq"))
+
+
+@query("""
+SELECT 'R' || n_regionkey AS src, 'N' || n_nationkey AS dst FROM nation UNION ALL SELECT 'N' || c_nationkey, 'C' || c_custkey FROM customer UNION ALL SELECT DISTINCT 'C' || o_custkey, 'O' || o_orderkey FROM orders
+UNION ALL SELECT 'N' || c_nationkey, 'O' || o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE false
+""")
+def g1_transitive_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.reduce_transitively(_shop(spark, sf_dir), "doc", "seq").select("src", "dst")
+
+
+@query("SELECT o_orderkey, CASE WHEN c_custkey IS NOT NULL AND o_orderkey % 3 <> 0 THEN 'written' ELSE 'pending' END AS fate FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) c ON o_custkey = c_custkey")
+def g3_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as edges from a customer; a node is a customer with money or an order whose key is no multiple of three."""
+    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    nodes = customer.where("c_acctbal > 0").selectExpr("concat('C', c_custkey) AS identifier").unionByName(orders.where("o_orderkey % 3 <> 0").selectExpr("concat('O', o_orderkey) AS identifier"))
+    edges = orders.selectExpr("concat('C', o_custkey) AS src", "concat('O', o_orderkey) AS dst", "o_orderkey")
+    written, pending = graph.split_by_endpoints(edges, nodes)
+    return written.select("o_orderkey", F.lit("written").alias("fate")).unionByName(pending.select("o_orderkey", F.lit("pending").alias("fate")))
+
+
+@query("""
+SELECT src, dst, CASE WHEN min(run) = 1 THEN 'run-1' ELSE 'run-2' END AS first_seen_run, CASE WHEN max(run) = 2 THEN 'run-2' ELSE 'run-1' END AS last_seen_run FROM (
+  SELECT DISTINCT 'P' || l_partkey AS src, 'S' || l_suppkey AS dst, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 2 END AS run FROM lineitem WHERE l_returnflag IN ('R', 'A')) GROUP BY src, dst
+""")
+def g4_pending_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part-supplier edges of returned lines are seen in a first run, those of accepted lines in a second."""
+    lines = table(spark, sf_dir, "lineitem").selectExpr("concat('P', l_partkey) AS src", "concat('S', l_suppkey) AS dst", "'supplied' AS type", "'shop' AS source", "map('flag', l_returnflag) AS props", "cast(l_orderkey AS string) AS doc", "l_linenumber AS seq", "l_returnflag")
+    none = spark.createDataFrame([], incremental.PENDING)
+    first = graph.upsert_pending(none, lines.where("l_returnflag = 'R'"), "run-1")
+    return graph.upsert_pending(first, lines.where("l_returnflag = 'A'"), "run-2").select("src", "dst", "first_seen_run", "last_seen_run")
+
+
+@query("SELECT 'C' || o_custkey AS src, 'O' || o_orderkey AS dst FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 5 = 0 AND c_acctbal > 0")
+def g6_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders wait; this run writes those whose key is a multiple of five, and customers with money are nodes."""
+    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    pending = orders.selectExpr("concat('C', o_custkey) AS src", "concat('O', o_orderkey) AS dst", "'placed' AS type")
+    written = orders.where("o_orderkey % 5 = 0").selectExpr("concat('O', o_orderkey) AS identifier")
+    nodes = written.unionByName(customer.where("c_acctbal > 0").selectExpr("concat('C', c_custkey) AS identifier"))
+    return graph.promote(pending, written, nodes)[0].select("src", "dst")
+
+
+@query("SELECT o_custkey::VARCHAR AS src, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS priority, arg_max(o_totalprice, (o_orderdate, o_orderkey)) FILTER (WHERE o_orderstatus = 'F') AS final_price FROM orders GROUP BY o_custkey")
+def g3_merged_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One edge for each customer; the properties of later orders win, and only final ones have a price."""
+    orders = table(spark, sf_dir, "orders")
+    props = F.map_filter(F.create_map(F.lit("priority"), F.col("o_orderpriority"), F.lit("price"), F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice").cast("string"))), lambda k, v: v.isNotNull())
+    edges = orders.select(F.col("o_custkey").cast("string").alias("src"), F.lit("shop").alias("dst"), F.lit("buys").alias("type"), props.alias("props"), "o_orderdate", "o_orderkey")
+    return graph.merged_props(edges, "o_orderdate", "o_orderkey").select("src", F.col("props")["priority"].alias("priority"), F.col("props")["price"].cast("double").alias("final_price"))
+
+
+# ---- aggregates
+
+
+@query("SELECT event_type, sum(CASE WHEN event_type IN ('click', 'view') THEN (props->>'$.k')::BIGINT ELSE 1 END)::BIGINT AS n FROM events GROUP BY event_type")
+def a2_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("event_type", F.get_json_object("props", "$.k").alias("count"))
+    return stats.event_counts(events, counted=("click", "view"))
+
+
+@query("SELECT lang AS category, source AS value, count(*) AS n, min(doc_id::VARCHAR) AS example FROM documents GROUP BY lang, source")
+def a3_unknown_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    signals = table(spark, sf_dir, "documents").select(F.col("lang").alias("category"), F.col("source").alias("value"), F.col("doc_id").cast("string").alias("identifier"), F.lit("f").alias("source_file"))
+    return stats.unknown_tally(signals).select("category", "value", "n", F.col("example.identifier").alias("example"))
+
+
+@query("SELECT event_type AS source, user_id::VARCHAR AS key, count(*) AS n, min(lpad(event_id::VARCHAR, 12, '0')) AS example FROM events GROUP BY event_type, user_id")
+def a4_collision_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = table(spark, sf_dir, "events").select(F.col("event_type").alias("source"), F.lit("").alias("identifier"), F.col("user_id").cast("string").alias("key"), F.array(F.format_string("%012d", "event_id")).alias("files"))
+    return stats.collision_tally(seen).select("source", "key", "n", F.col("example")[0].alias("example"))
+
+
+@query("""
+WITH c AS (SELECT user_id, count(*) FILTER (WHERE event_type <> 'signup') AS fetched, count(*) FILTER (WHERE event_type IN ('view', 'click')) AS persisted, count(*) FILTER (WHERE event_type = 'purchase') AS invalidated, count(*) FILTER (WHERE event_type = 'error') AS failed FROM events GROUP BY user_id)
+SELECT user_id, CASE WHEN fetched > 0 AND (failed > 0 OR persisted + invalidated + failed <> fetched) THEN 'degraded' ELSE 'ok' END AS status FROM c
+""")
+def a6_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def n(*kinds: str):
+        return F.count(F.when(F.col("event_type").isin(*kinds), 1))
+
+    counted = table(spark, sf_dir, "events").groupBy("user_id").agg(n("view", "click", "purchase", "error").alias("fetched"), n("view", "click").alias("persisted"), n("purchase").alias("invalidated"), n("error").alias("failed"))
+    return counted.select("user_id", stats.status(F.lit("ok"), *(F.col(c) for c in ("fetched", "persisted", "invalidated", "failed"))).alias("status"))
+
+
+# ---- retrieval
+
+
+@query("""
+WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 100 = 0),
+s AS (SELECT query_id, vec_id, list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]) AS score FROM embeddings, q)
+SELECT query_id, vec_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s WHERE score >= 0.1) WHERE rank <= 5
+""")
+def r3_cosine_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    found = retrieval.top_k(rows, asked, k=5, min_score=0.1, key="vec_id")
+    return found.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query("SELECT conv_id, arg_max(text, turn) AS question FROM conversations WHERE role = 'user' GROUP BY conv_id HAVING trim(arg_max(text, turn)) <> ''")
+def r1_last_question(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.last_question(table(spark, sf_dir, "conversations"))
+
+
+def _found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Spans of the documents named by labels, in the order of doc_id, and the documents."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("identifier"), F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("title"), F.col("text").alias("content"))
+    spans = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("int").alias("rank"), F.col("doc_id").cast("string").alias("identifier"), F.lit(1).alias("char_start"), F.lit(4).alias("char_end"))
+    return spans, docs
+
+
+@query("SELECT l.doc_id::INT AS rank, 'Doc ' || l.doc_id AS title, substr(d.text, 2, 3) AS text, 1 AS highlight_start, 4 AS highlight_end FROM labels l JOIN documents d ON l.doc_id = d.doc_id")
+def r8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans, docs = _found(spark, sf_dir)
+    return retrieval.passages(spans, docs).select("rank", "title", "text", F.col("highlight.start").alias("highlight_start"), F.col("highlight.end").alias("highlight_end"))
+
+
+@query("SELECT 'parentDocument' AS kind, min(event_id)::INT AS rank, user_id::VARCHAR AS identifier FROM events GROUP BY user_id UNION ALL SELECT 'document', event_id::INT, user_id::VARCHAR FROM events")
+def r9_source_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = table(spark, sf_dir, "events").select(F.col("event_id").cast("int").alias("rank"), F.col("user_id").cast("string").alias("identifier"))
+    return retrieval.source_parts(cut)
+
+
+@query("SELECT string_agg('[' || item_id || '] Item' || chr(10) || text, chr(10) || chr(10) ORDER BY item_id) AS context FROM benchmark")
+def r10_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.context_text(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("rank"), F.lit("Item").alias("title"), "text"))
+
+
+@query("SELECT DISTINCT o.* FROM orders o JOIN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity >= 49) l ON o_orderkey = l_orderkey")
+def s12_fetch_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = table(spark, sf_dir, "lineitem").where("l_quantity >= 49").select(F.col("l_orderkey").alias("o_orderkey"))
+    return table(spark, sf_dir, "orders").join(ids, "o_orderkey", "left_semi").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+
+
+@query("""
+WITH a AS (SELECT vec_id, row_number() OVER (ORDER BY embedding[1] DESC, vec_id) AS rank FROM embeddings), b AS (SELECT vec_id, row_number() OVER (ORDER BY embedding[2] DESC, vec_id) AS rank FROM embeddings)
+SELECT vec_id::VARCHAR AS chunk_id, round(sum(1 / (60 + rank)), 9) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY vec_id
+""")
+def d1_fused_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), "vec_id", F.col("embedding")[0].alias("x"), F.col("embedding")[1].alias("y"))
+    lexical, vector = (rows.select("chunk_id", F.row_number().over(Window.orderBy(F.desc(c), "vec_id")).alias("rank")) for c in ("x", "y"))
+    return retrieval.fuse_ranks(lexical, vector).select("chunk_id", F.round("score", 9).alias("score"))
+
+
+@query("""
+WITH o AS (SELECT user_id::VARCHAR AS identifier, event_type AS chunk_id, max(value) AS score FROM events GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY identifier ORDER BY score DESC, chunk_id) AS place FROM o), best AS (SELECT identifier FROM r WHERE place = 1 ORDER BY score DESC, identifier LIMIT 100)
+SELECT identifier, chunk_id, score, place::INT AS place FROM r WHERE place <= 3 AND identifier IN (SELECT identifier FROM best)
+""")
+def d2_passages_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("identifier"), F.col("event_type").alias("chunk_id"), F.col("value").alias("score"))
+    return retrieval.passages_per_document(ranked).select("identifier", "chunk_id", "score", "place")
+
+
+# ---- sinks and windows
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'new' ELSE c_mktsegment END AS c_mktsegment FROM customer")
+def k1_replace_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    return sinks.replaced(old, old.where("c_custkey % 10 = 0").withColumn("c_mktsegment", F.lit("new")), "c_custkey")
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def k10_duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.duplicates(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber").withColumnRenamed("count", "n")
+
+
+@query("SELECT user_id, time_bucket(INTERVAL 3600 SECONDS, ts) AS window_start, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 1")
+def w4_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return incremental.over_limit(table(spark, sf_dir, "events"), 3600, 1)
+
+
+@query()
+def u2_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = chunking.chunk(_as_documents(spark, sf_dir), CHUNKS).select("chunk_id", "text")
+    return embedding.embed(chunks, embedding.hashing_client(32, limit=300), 32, "hashing").select("chunk_id", "embedding", "truncated", "model")

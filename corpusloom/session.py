@@ -19,6 +19,10 @@ def ship(spark: SparkSession) -> SparkSession:
     paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(":") if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = ":".join([ROOT, *paths])
+    # Batches for Python workers are bounded by bytes, not by rows alone: documents differ in size by orders of magnitude.
+    for key, default, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", None, "8m")):
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, value)
     return spark
 
 
