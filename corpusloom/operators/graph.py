@@ -56,7 +56,12 @@ def reduce_transitively(edges: DataFrame, *order: str) -> DataFrame:
 
 def merged_props(edges: DataFrame, *order: str) -> DataFrame:
     """One row for each (src, dst, type); of a property given twice the later one holds."""
-    parts = F.array_sort(F.collect_list(F.struct(*order, "props")))
+
+    def compare(a: Column, b: Column) -> Column:
+        x, y = (F.struct(*(e.getField(c) for c in order)) for e in (a, b))
+        return F.when(x < y, -1).when(x > y, 1).otherwise(0)
+
+    parts = F.array_sort(F.collect_list(F.struct(*order, "props")), compare)
     out = edges.groupBy(*KEY).agg(parts.alias("parts"))
     entries = F.flatten(F.transform("parts", lambda p: F.map_entries(p.props)))
     keys = F.array_distinct(F.transform(entries, lambda e: e.key))

@@ -63,9 +63,12 @@ def text_blocks(facets: Column, table: RoleTable) -> Column:
             out = F.when(F.size(found) > 0, found).otherwise(out)
         return out
 
+    def of_tag(f: Column, tag: str) -> Column:
+        path = F.array(f.root, F.lit(tag)).alias("path")
+        return F.flatten(F.transform(X.all_of(f.nodes, tag), lambda b: F.transform(holders(f.nodes, b), lambda h: F.struct(path, F.coalesce(h.flat, F.lit("")).alias("text")))))
+
     def of_facet(f: Column) -> Column:
-        per_tag = [F.flatten(F.transform(X.all_of(f.nodes, tag), lambda b, tag=tag: F.transform(holders(f.nodes, b), lambda h: F.struct(F.array(f.root, F.lit(tag)).alias("path"), F.coalesce(h.flat, F.lit("")).alias("text"))))) for tag in table.content_blocks]
-        return F.concat(*per_tag)
+        return F.concat(*(of_tag(f, tag) for tag in table.content_blocks))
 
     return F.filter(F.flatten(F.transform(facets, of_facet)), lambda b: T.strip(b.text) != "")
 

@@ -51,10 +51,10 @@ def f8_point_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.point_id(F.concat(F.lit("DOC_"), F.col("doc_id").cast("string"))).alias("point_id"))
 
 
-@query(r"SELECT doc_id, CASE WHEN length(text) > 10 THEN 10 + length(regexp_replace(substr(text, 1, 10), '[^\x{10000}-\x{10FFFF}]', '', 'g')) END::INT AS range_start, CASE WHEN length(text) > 10 THEN length(text) + length(regexp_replace(text, '[^\x{10000}-\x{10FFFF}]', '', 'g')) END::INT AS range_end FROM documents")
+@query(r"SELECT doc_id, CASE WHEN length(text) > 10 THEN 10 + length(regexp_replace(substr(text, 1, 10), '[^\x{10000}-\x{10FFFF}]', '', 'g')) ELSE -1 END::INT AS range_start, CASE WHEN length(text) > 10 THEN length(text) + length(regexp_replace(text, '[^\x{10000}-\x{10FFFF}]', '', 'g')) ELSE -1 END::INT AS range_end FROM documents")
 def r7_utf16_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = T.utf16_range(F.col("text"), F.lit(10), F.char_length("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", r.start.alias("range_start"), r.end.alias("range_end"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(r.start, F.lit(-1)).alias("range_start"), F.coalesce(r.end, F.lit(-1)).alias("range_end"))
 
 
 @query("SELECT p_partkey, CASE WHEN regexp_full_match(lower(trim(p_type)), '[a-z][a-z0-9_]*') THEN lower(trim(p_type)) END AS verb, regexp_full_match('LEGIARTI' || lpad(p_partkey::VARCHAR, 12, '0'), '[A-Z]{8}[0-9]{12}') AS valid FROM part")
@@ -71,7 +71,7 @@ CHUNKS = chunking.ChunkConfig(384, 64)
 @query("""
 WITH d AS (SELECT 'DOC_' || doc_id AS identifier, text, length(text) AS n FROM documents WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''),
 w AS (SELECT identifier, text, n, unnest(range(0, greatest(n, 1), 320)) AS s FROM d)
-SELECT identifier || '_' || lpad((s / 320)::BIGINT::VARCHAR, greatest(4, length((s / 320)::BIGINT::VARCHAR)), '0') AS chunk_id, identifier AS parent_identifier, (s // 320)::INT AS ordinal,
+SELECT identifier || '_' || lpad((s // 320)::VARCHAR, greatest(4, length((s // 320)::VARCHAR))::INT, '0') AS chunk_id, identifier AS parent_identifier, (s // 320)::INT AS ordinal,
        substr(text, s + 1, least(s + 384, n) - s) AS text, s::INT AS char_start, least(s + 384, n)::INT AS char_end FROM w WHERE s = 0 OR s - 320 + 384 < n
 """)
 def c1_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,12 +87,12 @@ def _as_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH RECURSIVE p AS (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13)) <> '') AS parts FROM documents),
-f(doc_id, i, cursor, at) AS (
+f(doc_id, i, cur, pos) AS (
   SELECT doc_id, 0, 1::BIGINT, 0::BIGINT FROM p WHERE len(parts) > 0
   UNION ALL
-  SELECT f.doc_id, i + 1, cursor + strpos(substr(text, cursor), parts[i + 1]) - 1 + length(parts[i + 1]), cursor + strpos(substr(text, cursor), parts[i + 1]) - 1
+  SELECT f.doc_id, i + 1, cur + strpos(substr(text, cur), parts[i + 1]) - 1 + length(parts[i + 1]), cur + strpos(substr(text, cur), parts[i + 1]) - 1
   FROM f JOIN p ON f.doc_id = p.doc_id WHERE i < len(parts))
-SELECT doc_id, i::INT AS block, (at - 1)::INT AS block_start FROM f WHERE i > 0
+SELECT doc_id, i::INT AS block, (pos - 1)::INT AS block_start FROM f WHERE i > 0
 """)
 def c2_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.transform(F.split("text", "\n"), lambda x: F.struct(F.array(F.lit("LINE")).alias("path"), x.alias("text")))
@@ -161,7 +161,7 @@ def l7_version_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The urgent orders of a customer as versions of one another, each listing them all."""
     orders = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select("o_custkey", "o_orderkey", F.format_string("LEGIARTI%012d", "o_orderkey").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("debut"))
     entry = parsing._reference(F.lit(parsing.VERSION_KIND), F.col("id"), dating=F.create_map(F.lit("debut"), F.col("debut")))
-    listed = orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", entry.alias("r")))).alias("all"))
+    listed = orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", entry.alias("r"))), lambda a, b: (a.o_orderkey - b.o_orderkey).cast("int")).alias("all"))
     docs = listed.select(F.transform("all", lambda x: x.r).alias("references")).select(F.explode("references").alias("mine"), "references")
     found = docs.select(F.explode(links.version_edges(F.col("mine.id"), F.col("references"))).alias("e"))
     return found.select("e.src", "e.dst", F.col("e.props")["debut"].alias("debut"))
