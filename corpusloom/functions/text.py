@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 IDENTIFIER = "^[A-Z]{8}[0-9]{12}$"
 VERB = "^[a-z][a-z0-9_]*$"
@@ -16,7 +17,7 @@ HORIZONTAL = "[ \\t\\u00a0\\u202f\\u2000-\\u200a\\u205f\\u3000]+"
 ZERO_WIDTH = "[\\u200b\\u200c\\u200d\\ufeff\\u00ad]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Unicode's canonical composition, for which Spark has no function."""
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
