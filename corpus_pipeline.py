@@ -30,7 +30,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_ruled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the repetition limits keep."""
     ship(spark)
-    return _only(docs, quality_rules.quality_rules(docs).where("kept"))
+    return quality_rules.keep_documents(docs)
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

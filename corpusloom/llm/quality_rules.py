@@ -14,6 +14,7 @@ rules. Rows are judged one by one, so repeated rows, ties and extra columns have
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,17 @@ WINDOW = 8
 #: Words sorted together; a single longer text is sorted alone.
 BATCH_WORDS = 400_000
 
-STATS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, covered_words long, longest_repeat long"
+STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "longest_repeat")
+
+
+@dataclass(frozen=True)
+class Limits:
+    """Repeats of min_repeat words or more may cover max_covered of the words; the longest may have max_longest words or max_longest_share of them."""
+
+    min_repeat: int = 10
+    max_covered: float = 0.25
+    max_longest: int = 64
+    max_longest_share: float = 0.1
 
 
 def suffix_ranks(words: np.ndarray, doc: np.ndarray, size: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -107,37 +118,53 @@ def _repetition(hashes: list[np.ndarray], min_repeat: int) -> tuple[np.ndarray,
     return np.bincount(doc, in_window, texts).astype(np.int64), np.bincount(doc, in_span, texts).astype(np.int64), top
 
 
-def _judge(min_repeat: int):
-    def flush(ids, hashes, base) -> pa.RecordBatch:
-        repeat, cover, top = _repetition(hashes, min_repeat)
-        columns = np.asarray(base, np.int64).reshape(-1, 4).T
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *map(pa.array, (*columns, repeat, cover, top))], [x.split()[0] for x in STATS.split(", ")])
+def judge(texts: list[str | None], limits: Limits) -> dict[str, np.ndarray]:
+    """STATS of each text, base_failed and kept."""
+    out: list[np.ndarray] = []
+    base, hashes, held = [], [], 0
+    for k, text in enumerate(texts):
+        raw = (text or "").encode()
+        words = raw.split()
+        lines = [x for x in raw.split(b"\n") if x.strip(SPACE)]
+        dense = raw.translate(None, SPACE)
+        chars = len(dense) if dense.isascii() else len(dense.decode())
+        hashes.append(HASHES.of(words))
+        base.append((len(words), chars, len(raw) - len(raw.translate(None, SYMBOLS)), len(lines) - len(set(lines))))
+        held += len(words)
+        if held > BATCH_WORDS or k == len(texts) - 1:
+            out.append(np.vstack([np.asarray(base, np.int64).T, *_repetition(hashes, limits.min_repeat)]))
+            base, hashes, held = [], [], 0
+    columns = np.concatenate(out, axis=1) if out else np.empty((len(STATS), 0), np.int64)
+    got = dict(zip(STATS, columns, strict=True))
+    n = got["n_words"]
+    got["base_failed"] = (n < 20) | (100 * got["n_repeat_words"] > 30 * n)
+    fine = (got["covered_words"] <= limits.max_covered * n) & (got["longest_repeat"] <= np.maximum(limits.max_longest, limits.max_longest_share * n))
+    got["kept"] = ~got["base_failed"] & fine
+    return got
+
+
+SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, covered_words long, longest_repeat long"
+
+
+def quality_rules(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
+    """One row for each row of docs: doc_id, the base statistics, base_failed, kept, covered_words, longest_repeat."""
+    limits = limits or Limits()
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = judge(batch["text"].to_pylist(), limits)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(got[x]) for x in names[1:])], names)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(judged, SCHEMA)
+
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def keep_documents(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
+    """The rows of docs that the rules keep, with all their columns and without a shuffle."""
+    limits = limits or Limits()
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hashes, base, held = [], [], [], 0
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                raw = (text or "").encode()
-                words = raw.split()
-                lines = [x for x in raw.split(b"\n") if x.strip(SPACE)]
-                dense = raw.translate(None, SPACE)
-                chars = len(dense) if dense.isascii() else len(dense.decode())
-                ids.append(doc_id)
-                hashes.append(HASHES.of(words))
-                base.append((len(words), chars, len(raw) - len(raw.translate(None, SYMBOLS)), len(lines) - len(set(lines))))
-                held += len(words)
-                if held > BATCH_WORDS:
-                    yield flush(ids, hashes, base)
-                    ids, hashes, base, held = [], [], [], 0
-            if ids:
-                yield flush(ids, hashes, base)
-
-    return judge
-
-
-def quality_rules(docs: DataFrame, min_repeat: int = 10, max_covered: float = 0.25, max_longest: int = 64, max_longest_share: float = 0.1) -> DataFrame:
-    """One row for each row of docs: doc_id, the base statistics, base_failed, covered_words, longest_repeat, kept."""
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_judge(min_repeat), STATS)
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    fine = (F.col("covered_words") <= max_covered * F.col("n_words")) & (F.col("longest_repeat") <= F.greatest(F.lit(max_longest), max_longest_share * F.col("n_words")))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & fine).alias("kept"), "covered_words", "longest_repeat")
+            yield batch.filter(pa.array(judge(batch["text"].to_pylist(), limits)["kept"]))
+
+    return docs.mapInArrow(kept, docs.schema)
