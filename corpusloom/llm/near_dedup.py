@@ -10,8 +10,12 @@ reach a recall of over 0.99 at the threshold, more above it.
 
 Candidates are confirmed on the full shingle sets. What confirmed links already connect is not
 compared again: a node whose documents are all in one component is done, so a large group of near
-copies costs a star of links and not all its pairs. Nodes that are still large after `LEVELS`
-levels are compared in full.
+copies costs a star of links and not all its pairs.
+
+Nodes that are still large after `DENSE` levels hold documents that share several minwise tokens
+without being linked, and such stay together for long. Nodes that share documents make up a region.
+A region of at most `REGION` documents is compared in full, block by block, on the full sets, and
+only links leave a task; larger ones branch on, up to `LEVELS` levels, after which all are compared.
 
 Null, empty and all-space texts have no shingles and are linked with nothing. Repeated rows of a
 doc_id with the same text share its class. An empty table gives no rows.
@@ -30,7 +34,8 @@ from corpusloom.llm.components import connected_components
 from corpusloom.llm.words import LOWER, mixed, shingle_hashes
 from corpusloom.session import drop_table, write_table
 
-WIDTH, TREES, SMALL, LEVELS = 64, 10, 32, 24
+WIDTH, TREES, SMALL, LEVELS = 64, 10, 32, 12
+DENSE, REGION, BLOCK = 2, 20_000, 512
 #: Of WIDTH sketch bytes, so many fewer than the threshold's share must agree: 3.5 standard deviations.
 SLACK = 3.5
 #: Bits of the filter that thins the texts read again for confirmation; its size does not grow.
@@ -200,11 +205,9 @@ def _filter_of(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def _confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b: doc_ids) whose full sets are similar enough."""
-    spark = docs.sparkSession
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    shared = spark.sparkContext.broadcast(_filter_of(ids))
+def _sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """A written table of id and shingles for the wanted ids. A bitmap thins the texts before they are cut into shingles."""
+    shared = docs.sparkSession.sparkContext.broadcast(_filter_of(ids))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
@@ -215,22 +218,85 @@ def _confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Data
                 part = batch.slice(start, 500)
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([_shingles(t, size).tobytes() for t in part["text"].to_pylist()], pa.binary())], ["id", "shingles"])
 
+    # A doc_id may have rows of different texts; one set then stands for it.
+    full = docs.mapInArrow(sets, "id long, shingles binary").join(ids, "id").dropDuplicates(["id"])
+    full = write_table(full, "near-sets")
+    shared.unpersist()
+    return full
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two full sets are similar enough."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those of pairs (a, b: doc_ids) whose full sets are similar enough."""
+
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(batch["x"], batch["y"], strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
+            sets = zip(batch["x"], batch["y"], strict=True)
+            good = [_linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in sets]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    # A doc_id may have rows of different texts; one set then stands for it.
-    full = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sets, "id long, shingles binary").join(ids, "id").dropDuplicates(["id"])
-    full = write_table(full, "near-sets")
+    full = _sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), size)
     joined = pairs.join(full.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(full.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     found = write_table(joined.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long"), "near-links")
     drop_table(full)
-    shared.unpersist()
+    return found
+
+
+def _regions(large: DataFrame) -> DataFrame:
+    """rep, region, size: documents of large nodes that share documents. large: rep, other (the node's first)."""
+    joined = connected_components(large.select(F.col("rep").alias("a"), F.col("other").alias("b")))
+    sizes = joined.groupBy("component").agg(F.count("*").alias("size"))
+    return write_table(joined.join(sizes, "component").select(F.col("node").alias("rep"), F.col("component").alias("region"), "size"), "near-regions")
+
+
+def _in_full(docs: DataFrame, regions: DataFrame, reps: DataFrame, components: DataFrame | None, size: int, percent: int, agree: int) -> DataFrame:
+    """Links between the documents of each region that are not in one component yet."""
+    import pandas as pd
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        one, two = int(pdf["one"].iloc[0]), int(pdf["two"].iloc[0])
+        rep, comp, block = pdf["rep"].to_numpy(), pdf["component"].to_numpy(), pdf["block"].to_numpy()
+        sketch = _sketch(np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(-1, WIDTH))
+        sets = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
+        left, right = np.flatnonzero(block == one), np.flatnonzero(block == two)
+        root = {c: c for c in comp.tolist()}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        a, b = [], []
+        for i in left.tolist():
+            near = right[((sketch[right] == sketch[i]).sum(axis=1) >= agree) & (comp[right] != comp[i])]
+            for j in near[near > i].tolist() if one == two else near.tolist():
+                x, y = find(int(comp[i])), find(int(comp[j]))
+                if x != y and _linked(sets[i], sets[j], percent):
+                    root[max(x, y)] = min(x, y)
+                    a.append(rep[i])
+                    b.append(rep[j])
+        return pd.DataFrame({"a": np.asarray(a, np.int64), "b": np.asarray(b, np.int64)})
+
+    full = _sets_of(docs, regions.select(F.col("rep").alias("id")).distinct(), size)
+    rows = regions.join(reps, "rep").join(full.withColumnRenamed("id", "rep"), "rep")
+    if components is not None:
+        rows = rows.join(components.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    else:
+        rows = rows.withColumn("component", F.col("rep"))
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.withColumn("one", F.least("block", "to")).withColumn("two", F.greatest("block", "to"))
+    found = rows.groupBy("region", "one", "two").applyInPandas(compare, "a long, b long")
+    found = write_table(found, "near-links")
+    drop_table(full)
     return found
 
 
@@ -249,10 +315,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, trees:
     reps = write_table(members.where("sig is not null").select("rep", "sig").dropDuplicates(["rep"]), "near-reps")
 
     active = write_table(reps.mapInArrow(_plant(trees, extra), _NODES), "near-nodes")
-    links = components = None
-    waiting: list[DataFrame] = []
-    level = 0
-    while True:
+    links = components = waiting = None
+
+    def together(x: DataFrame | None, y: DataFrame) -> DataFrame:
+        return y if x is None else x.unionByName(y)
+
+    for level in range(LEVELS + 1):
         known = active.withColumn("component", F.col("rep"))
         if components is not None:
             known = active.join(components.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -260,31 +328,30 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, trees:
         live = write_table(known.join(sizes.where("n > 1 and low < high"), "node").select("node", "rep", "component", "sketch", "n", "other"), "near-live")
         drop_table(active)
         large = live.where(F.col("n") > SMALL)
-        small = live.where(F.col("n") <= SMALL).select("node", "rep", "component", "sketch").repartition("node").sortWithinPartitions("node", "rep").mapInArrow(_exhaustive(agree), "a long, b long")
-        heads = large.where("rep = other").select("node", F.col("sketch").alias("other_sketch"), F.col("component").alias("other_component")).dropDuplicates(["node"])
-        star = large.join(heads, "node").where("component <> other_component").select("rep", "other", "sketch", "other_sketch").mapInArrow(_star(agree), "a long, b long")
-        found = small.unionByName(star)
-        if level == LEVELS:
-            one, two = large.select("node", "rep", "component", "sketch"), large.select("node", F.col("rep").alias("other"), F.col("component").alias("other_component"), F.col("sketch").alias("other_sketch"))
-            rest = one.join(two, "node").where("rep < other and component <> other_component")
-            found = found.unionByName(rest.select("rep", "other", "sketch", "other_sketch").mapInArrow(_star(agree), "a long, b long"))
-        waiting.append(write_table(found.distinct(), "near-candidates"))
-        last = level == LEVELS or large.isEmpty()
-        if last or level % 3 == 0:
-            pairs = waiting[0]
-            for more in waiting[1:]:
-                pairs = pairs.unionByName(more)
-            pairs = pairs.distinct()
+        small = live.where(F.col("n") <= SMALL).select("node", "rep", "component", "sketch").repartition("node").sortWithinPartitions("node", "rep")
+        found = small.mapInArrow(_exhaustive(agree), "a long, b long")
+        rest = not large.isEmpty()
+        if rest and level >= DENSE:
+            regions = _regions(large)
+            dense = regions if level == LEVELS else regions.where(F.col("size") <= REGION)
+            links = together(links, _in_full(base, dense, reps, components, shingle, percent, agree))
+            large = large.join(regions.where(F.col("size") > REGION).select("rep"), "rep", "left_semi")
+            rest = level < LEVELS and not large.isEmpty()
+        if rest:
+            heads = large.where("rep = other").select("node", F.col("sketch").alias("other_sketch"), F.col("component").alias("other_component")).dropDuplicates(["node"])
+            star = large.join(heads, "node").where("component <> other_component").select("rep", "other", "sketch", "other_sketch")
+            found = found.unionByName(star.mapInArrow(_star(agree), "a long, b long"))
+        waiting = together(waiting, write_table(found.distinct(), "near-candidates"))
+        if level == 0 or not rest:
+            pairs = write_table(waiting.distinct(), "near-pairs")
             if not pairs.isEmpty():
-                sure = _confirm(base, write_table(pairs, "near-pairs"), shingle, percent)
-                links = sure if links is None else links.unionByName(sure)
+                links = together(links, _confirm(base, pairs, shingle, percent))
+            if links is not None:
                 components = connected_components(links)
-            waiting = []
-        if last:
+            waiting = None
+        if not rest:
             break
         active = write_table(large.select("node", "rep").join(reps, "rep").mapInArrow(_branch(extra), _NODES), "near-nodes")
-        drop_table(live)
-        level += 1
 
     out = members.select("doc_id", "rep", "n_shingles")
     if components is not None:
