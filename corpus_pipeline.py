@@ -17,7 +17,7 @@ from corpusloom.session import ship, write_table
 
 def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is in kept, with the columns that docs has."""
-    return docs.join(kept.select(F.col("doc_id").alias("_kept")).distinct(), F.col("doc_id") == F.col("_kept"), "left_semi")
+    return docs.join(kept.select(F.col("doc_id").alias("_kept")).distinct(), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

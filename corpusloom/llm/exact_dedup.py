@@ -10,7 +10,8 @@ Equal texts are met in one shard. Before they are sent there, each task sums up
 of a batch, so a text that a third of all rows share comes as a few rows from each task.
 
 Null counts as the empty text, so null, empty and all-space texts are one group. Repeated rows are
-members of their group like any other; ties go to the smallest doc_id. Empty tables give no rows.
+members of their group like any other; ties go to the smallest doc_id, and a null doc_id comes last
+(it stays where a group has no other). Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -138,6 +139,11 @@ def digests(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_digest, "doc_id long, digest binary, chars long")
 
 
+def _better(chars: int, doc_id: int | None) -> tuple:
+    """Sorts rows of one group: more code points, then the smaller doc_id, then null."""
+    return chars, doc_id is not None, -(doc_id or 0)
+
+
 _PARTIAL = "digest binary, chars long, keep_id long, n long"
 
 
@@ -151,7 +157,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held[digest] = [chars, doc_id, 1]
             else:
                 x[2] += 1
-                if (chars, -doc_id) > (x[0], -x[1]):
+                if _better(chars, doc_id) > _better(x[0], x[1]):
                     x[:2] = chars, doc_id
         chars, keep, n = (pa.array([x[k] for x in held.values()], pa.int64()) for k in range(3))
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), chars, keep, n], ["digest", "chars", "keep_id", "n"])
@@ -167,8 +173,8 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 index.insert(digest, (chars, keep, n))
                 continue
             was = entry[1]
-            best = max((chars, -keep), (was[0], -was[1]))
-            entry[1] = (best[0], -best[1], was[2] + n)
+            best = max((chars, keep), was[:2], key=lambda x: _better(*x))
+            entry[1] = (*best, was[2] + n)
     rows = list(index.items())
     for at in range(0, len(rows), 10_000):
         part = rows[at : at + 10_000]
@@ -187,7 +193,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
     held = write_table(digests(docs), "exact-digests")
     joined = held.join(groups(held), "digest")
-    return joined.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def live_index(digested: DataFrame, shards: int) -> DataFrame:

@@ -17,8 +17,9 @@ without being linked, and such stay together for long. Nodes that share document
 A region of at most `REGION` documents is compared in full, block by block, on the full sets, and
 only links leave a task; larger ones branch on, up to `LEVELS` levels, after which all are compared.
 
-Null, empty and all-space texts have no shingles and are linked with nothing. Repeated rows of a
-doc_id with the same text share its class. An empty table gives no rows.
+Null, empty and all-space texts have no shingles and are linked with nothing; nor are rows whose
+doc_id is null, which are kept, with a null component_id. Repeated rows of a doc_id with the same text
+share its class. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -308,10 +309,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, trees:
     share = percent / 100
     extra = 1 / share - 1
     agree = max(1, int(WIDTH * share - SLACK * (WIDTH * share * (1 - share)) ** 0.5))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    profiles = write_table(base.mapInArrow(_profile(shingle), "doc_id long, n_shingles long, set_key binary, sig binary"), "near-profiles")
-    classes = profiles.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    members = write_table(profiles.where("n_shingles > 0").join(classes, "set_key").select("doc_id", "rep", "n_shingles", F.when(F.col("doc_id") == F.col("rep"), F.col("sig")).alias("sig")), "near-members")
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    base = every.where("doc_id IS NOT NULL")
+    profiles = write_table(every.mapInArrow(_profile(shingle), "doc_id long, n_shingles long, set_key binary, sig binary"), "near-profiles")
+    named = profiles.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    classes = named.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
+    members = write_table(named.join(classes, "set_key").select("doc_id", "rep", "n_shingles", F.when(F.col("doc_id") == F.col("rep"), F.col("sig")).alias("sig")), "near-members")
     reps = write_table(members.where("sig is not null").select("rep", "sig").dropDuplicates(["rep"]), "near-reps")
 
     active = write_table(reps.mapInArrow(_plant(trees, extra), _NODES), "near-nodes")
@@ -358,6 +361,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, trees:
         out = out.join(components, F.col("rep") == F.col("node"), "left").withColumn("component_id", F.coalesce("component", "rep"))
     else:
         out = out.withColumn("component_id", F.col("rep"))
-    alone = profiles.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    alone = profiles.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = out.select("doc_id", "n_shingles", "component_id").unionByName(alone)
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -30,7 +30,7 @@ def fold():
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"), fold() % 3 != 1)
-    return quality_classifier.score(docs, model).select("doc_id", (fold() % 3 == 1).alias("held_out"), "score", "predicted")
+    return quality_classifier.score(docs, model).select("doc_id", F.coalesce(fold() % 3 == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold() % 5 != 0)
-    return toxicity.score(docs, model).select("doc_id", (fold() % 5 == 0).alias("held_out"), "score", "predicted")
+    return toxicity.score(docs, model).select("doc_id", F.coalesce(fold() % 5 == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,3 +105,11 @@ def test_near(spark):
             assert (got[i].n_shingles, got[i].component_id, got[i].kept) == (n, root, i == root)
     assert near_dedup.near_duplicates(frame(spark, [])).count() == 0
     assert near_dedup.near_duplicates(frame(spark, [None, ""])).count() == 2
+
+
+def test_rows_without_doc_id(spark):
+    rows = spark.createDataFrame([(None, "a b c d"), (None, None), (3, "a b c d"), (4, "a  b c d"), (None, "only here")], "doc_id long, text string")
+    exact = exact_dedup.exact_dedup(rows).collect()
+    assert sorted((r.keep_id or -1, r.group_size, r.kept) for r in exact) == [(-1, 1, True), (-1, 1, True), (4, 3, False), (4, 3, False), (4, 3, True)]
+    near = near_dedup.near_duplicates(rows, shingle=2).collect()
+    assert sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1, r.kept) for r in near) == [(-1, 0, -1, True), (-1, 1, -1, True), (-1, 3, -1, True), (3, 3, 3, True), (4, 3, 3, False)]
