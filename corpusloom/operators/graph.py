@@ -55,18 +55,14 @@ def reduce_transitively(edges: DataFrame, *order: str) -> DataFrame:
 
 
 def merged_props(edges: DataFrame, *order: str) -> DataFrame:
-    """One row for each (src, dst, type); of a property given twice the later one holds."""
-
-    def compare(a: Column, b: Column) -> Column:
-        x, y = (F.struct(*(e.getField(c) for c in order)) for e in (a, b))
-        return F.when(x < y, -1).when(x > y, 1).otherwise(0)
-
-    parts = F.array_sort(F.collect_list(F.struct(*order, "props")), compare)
-    out = edges.groupBy(*KEY).agg(parts.alias("parts"))
-    entries = F.flatten(F.transform("parts", lambda p: F.map_entries(p.props)))
-    keys = F.array_distinct(F.transform(entries, lambda e: e.key))
-    last = F.transform(keys, lambda k: F.struct(k.alias("key"), F.element_at(F.filter(entries, lambda e: e.key == k), -1).value.alias("value")))
-    return out.select(*KEY, F.map_from_entries(last).alias("props"))
+    """One row for each (src, dst, type); of a property given twice the later one by `order` holds.
+
+    Properties are picked one by one, so an edge that is given often is summed up before it moves.
+    """
+    given = edges.select(*KEY, *order, F.explode_outer("props").alias("k", "v"))
+    last = given.groupBy(*KEY, "k").agg(F.max_by("v", F.struct(*order)).alias("v"))
+    entries = F.filter(F.collect_list(F.struct("k", "v")), lambda e: e.k.isNotNull())
+    return last.groupBy(*KEY).agg(F.map_from_entries(entries).alias("props"))
 
 
 def split_by_endpoints(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:

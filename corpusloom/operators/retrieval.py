@@ -119,6 +119,12 @@ def health(up: int, probes: int = 3) -> str:
     return "ok" if down == 0 else "degraded" if down == 1 else "down"
 
 
+def ranking(scored: DataFrame, score: str, depth: int = 100, key: str = "chunk_id") -> DataFrame:
+    """The best `depth` rows with their rank, ties by key; the limit comes first, so only depth rows meet in one task."""
+    best = scored.orderBy(F.desc(score), key).limit(depth)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), key)))
+
+
 def fuse_ranks(lexical: DataFrame, vector: DataFrame, constant: int = 60) -> DataFrame:
     """chunk_id, score: reciprocal rank fusion of two rankings (chunk_id, rank)."""
     both = lexical.select("chunk_id", "rank").unionAll(vector.select("chunk_id", "rank"))

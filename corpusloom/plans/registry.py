@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
@@ -172,9 +172,10 @@ WITH o AS (SELECT user_id::VARCHAR AS key, event_type AS value, event_id FROM ev
 SELECT key, string_agg(value, ',' ORDER BY k) AS vals, count(*) > 1 AS is_list FROM f GROUP BY key
 """)
 def p15_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as occurrences of a key for each user."""
+    """Events as occurrences of a key for each user; each kind of event once, so a user's list stays short."""
+    first = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
     seen = F.array_sort(F.collect_list(F.struct("event_id", F.struct(F.col("user_id").cast("string").alias("key"), F.col("event_type").alias("value"), F.lit("").alias("file")).alias("o"))))
-    docs = table(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(seen, lambda x: x.o).alias("occurrences"))
+    docs = first.groupBy("user_id").agg(F.transform(seen, lambda x: x.o).alias("occurrences"))
     out = docs.select(F.explode(parsing.resolve(F.col("occurrences"), frozenset())).alias("r"))
     return out.select("r.key", F.array_join("r.vals", ",").alias("vals"), "r.is_list")
 
@@ -336,12 +337,12 @@ def s12_fetch_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH a AS (SELECT vec_id, row_number() OVER (ORDER BY embedding[1] DESC, vec_id) AS rank FROM embeddings), b AS (SELECT vec_id, row_number() OVER (ORDER BY embedding[2] DESC, vec_id) AS rank FROM embeddings)
+WITH a AS (SELECT vec_id, row_number() OVER (ORDER BY embedding[1] DESC, vec_id) AS rank FROM embeddings QUALIFY rank <= 100), b AS (SELECT vec_id, row_number() OVER (ORDER BY embedding[2] DESC, vec_id) AS rank FROM embeddings QUALIFY rank <= 100)
 SELECT vec_id::VARCHAR AS chunk_id, round(sum(1 / (60 + rank)), 9) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY vec_id
 """)
 def d1_fused_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), "vec_id", F.col("embedding")[0].alias("x"), F.col("embedding")[1].alias("y"))
-    lexical, vector = (rows.select("chunk_id", F.row_number().over(Window.orderBy(F.desc(c), "vec_id")).alias("rank")) for c in ("x", "y"))
+    lexical, vector = (retrieval.ranking(rows, c, 100, "vec_id") for c in ("x", "y"))
     return retrieval.fuse_ranks(lexical, vector).select("chunk_id", F.round("score", 9).alias("score"))
 
 
