@@ -153,13 +153,13 @@ def l11_unformatted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH o AS (SELECT o_custkey, 'LEGIARTI' || lpad(o_orderkey::VARCHAR, 12, '0') AS id, strftime(o_orderdate, '%Y-%m-%d') AS debut, o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT'),
+WITH o AS (SELECT o_custkey, 'LEGIARTI' || lpad(o_orderkey::VARCHAR, 12, '0') AS id, strftime(o_orderdate, '%Y-%m-%d') AS debut, o_orderkey FROM orders),
 w AS (SELECT id, lead(id) OVER c AS nxt, lag(id) OVER c AS prv, debut, lead(debut) OVER c AS nxt_debut FROM o WINDOW c AS (PARTITION BY o_custkey ORDER BY debut, o_orderkey))
 SELECT prv AS src, id AS dst, debut FROM w WHERE prv IS NOT NULL UNION ALL SELECT id, nxt, nxt_debut FROM w WHERE nxt IS NOT NULL
 """)
 def l7_version_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The urgent orders of a customer as versions of one another, each listing them all."""
-    orders = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select("o_custkey", "o_orderkey", F.format_string("LEGIARTI%012d", "o_orderkey").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("debut"))
+    """The orders of a customer as versions of one another, each listing them all."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.format_string("LEGIARTI%012d", "o_orderkey").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("debut"))
     entry = parsing._reference(F.lit(parsing.VERSION_KIND), F.col("id"), dating=F.create_map(F.lit("debut"), F.col("debut")))
     listed = orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", entry.alias("r"))), lambda a, b: (a.o_orderkey - b.o_orderkey).cast("int")).alias("all"))
     docs = listed.select(F.transform("all", lambda x: x.r).alias("references")).select(F.explode("references").alias("mine"), "references")
