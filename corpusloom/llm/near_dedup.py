@@ -327,6 +327,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, trees:
         known = active.withColumn("component", F.col("rep"))
         if components is not None:
             known = active.join(components.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+            known = write_table(known, "near-known")  # read twice below
+            drop_table(active)
+            active = known
         sizes = known.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("other"), F.min("component").alias("low"), F.max("component").alias("high"))
         live = write_table(known.join(sizes.where("n > 1 and low < high"), "node").select("node", "rep", "component", "sketch", "n", "other"), "near-live")
         drop_table(active)
