@@ -378,4 +378,4 @@ def w4_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def u2_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = chunking.chunk(_as_documents(spark, sf_dir), CHUNKS).select("chunk_id", "text")
-    return embedding.embed(chunks, embedding.hashing_client(32, limit=300), 32, "hashing").select("chunk_id", "embedding", "truncated", "model")
+    return embedding.embed(chunks, embedding.hashing_client(32), 32, "hashing").select("chunk_id", "embedding", "truncated", "model")
