@@ -7,9 +7,12 @@ inverted index (hash, template, place), which is small and goes to every task. A
 that the index has fall on diagonals (place in the text less place in the template); near ones of a
 template are one candidate. A candidate's stretch of text is aligned with the template by edit
 distance in a band around the diagonal, and the template words that find an equal partner are its
-matched coverage.
+matched coverage. The places of the template that have an equal word anywhere in the band bound the coverage
+from above, so most stretches need no alignment. Phrases that tell a template from others (`KEYS`) must be
+there word for word. Templates of at most `SHORT` words count only if the text has all their words in a row,
+and only where no longer one of them has the same stretch.
 
-All matches of at least `min_coverage` are reported, as many as a text has. Null and empty texts have
+All other matches of at least `min_coverage` are reported, as many as a text has. Null and empty texts have
 none. Rows are scanned one by one; repeated rows report their matches each.
 """
 
@@ -24,9 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm import license_texts
 from corpusloom.llm.words import HASHES, mixed
 
-K, WINDOW, BAND = 3, 2, 8
+K, WINDOW, BAND, SHORT = 3, 2, 8, 20
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 _UPPER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -99,15 +103,26 @@ def align(template: list[bytes], text: list[bytes], shift: int, band: int = BAND
     return same[best], begin[best], stop[best]
 
 
+def _place(words: list[bytes], phrase: list[bytes], low: int = 0, high: int | None = None) -> int:
+    """First place from low on, before high, where words have the phrase; -1 if there is none."""
+    for at in range(max(low, 0), min(len(words) - len(phrase) + 1, len(words) if high is None else high)):
+        if words[at : at + len(phrase)] == phrase:
+            return at
+    return -1
+
+
 class Scanner:
-    def __init__(self, templates: dict[str, str]) -> None:
-        self.names = sorted(templates)
-        self.words = [tokens(templates[n].encode()) for n in self.names]
+    def __init__(self, templates: list[tuple[str, str]]) -> None:
+        unique = {tuple(tokens(text.encode())): name for name, text in reversed(templates)}
+        self.names = list(unique.values())
+        self.words = [list(w) for w in unique]
+        self.hashes = [HASHES.of(w) if w else np.empty(0, np.uint64) for w in self.words]
+        self.keys_of = [[(_place(w, k.encode().split()), k.encode().split()) for k in license_texts.KEYS.get(n, ()) if _place(w, k.encode().split()) >= 0] for n, w in zip(self.names, self.words, strict=True)]
         index: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for t, words in enumerate(self.words):
             h = grams(words)
             # All of a short notice's hashes are kept: it may be too short to have one in a window of the text.
-            for at in range(len(h)) if len(h) <= K + WINDOW else winnow(h).tolist():
+            for at in range(len(h)) if len(words) <= SHORT else winnow(h).tolist():
                 index[int(h[at])].append((t, at))
         self.index = dict(index)
         self.keys = np.sort(np.fromiter(self.index, np.uint64, len(self.index)))
@@ -122,7 +137,7 @@ class Scanner:
         known = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] == h)
         if not len(known):
             return []
-        short = {t for t, w in enumerate(self.words) if len(w) - K + 1 <= K + WINDOW}
+        short = {t for t, w in enumerate(self.words) if len(w) <= SHORT}
         picked = set(winnow(h).tolist())
         seeds: dict[int, list[int]] = defaultdict(list)
         for j in known.tolist():
@@ -130,30 +145,53 @@ class Scanner:
                 if j in picked or t in short:
                     seeds[t].append(j - i)
         spans = [m.span() for m in _WORD.finditer(raw.translate(_UPPER))]
-        out = []
+        hashes = HASHES.of(words)
+        out, exact = [], {}
         for t, shifts in seeds.items():
             template, last, seen = self.words[t], None, set()
+            if t in short:
+                exact |= {(shift, shift + len(template)): t for shift in set(shifts) if shift >= 0 and words[shift : shift + len(template)] == template}
+                continue
             for shift in sorted(set(shifts)):
                 if last is not None and shift - last <= BAND:
                     continue
                 last = shift
                 a, b = max(0, shift - BAND), min(len(words), shift + len(template) + BAND)
+                if b - a < min_coverage * len(template) or self._most(t, hashes, shift) < min_coverage * len(template):
+                    continue
+                if any(_place(words, key, shift + i - BAND, shift + i + BAND + 1) < 0 for i, key in self.keys_of[t]):
+                    continue
                 n, begin, stop = align(template, words[a:b], shift - a)
                 if begin >= 0 and n >= min_coverage * len(template) and (begin + a, stop + a) not in seen:
                     seen.add((begin + a, stop + a))
                     out.append((self.names[t], n / len(template), n, stop - begin, spans[begin + a][0], spans[stop + a - 1][1]))
+        end = -1
+        for begin, stop in sorted(exact, key=lambda x: (x[0], -x[1])):
+            if stop > end:  # else an earlier or longer one has the stretch
+                end, n = stop, stop - begin
+                out.append((self.names[exact[begin, stop]], 1.0, n, n, spans[begin][0], spans[stop - 1][1]))
         return sorted(out, key=lambda x: (x[4], x[0]))
 
+    def _most(self, t: int, hashes: np.ndarray, shift: int) -> int:
+        """Places of a template that have an equal word within BAND of the diagonal: no alignment there matches more."""
+        template = self.hashes[t]
+        near = np.zeros(len(template), bool)
+        for d in range(shift - BAND, shift + BAND + 1):
+            a, b = max(0, -d), min(len(template), len(hashes) - d)
+            if a < b:
+                near[a:b] |= template[a:b] == hashes[a + d : b + d]
+        return int(near.sum())
+
 
 MATCHES = "doc_id long, license string, coverage double, matched_words int, span_words int, span_start long, span_end long"
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, min_coverage: float = 0.8) -> DataFrame:
-    """One row for each match of a row of docs; span_start and span_end count code points of the text, the end not included."""
-    templates = TEMPLATES if templates is None else templates
+    """One row for each match of a row of docs: of the given templates, or of all that license_texts has. span_start and span_end count code points of the text, the end not included."""
+    pairs = license_texts.every(TEMPLATES) if templates is None else list(templates.items())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(templates)
+        scanner = Scanner(pairs)
         names = [x.split()[0] for x in MATCHES.split(", ")]
         for batch in batches:
             rows = []

@@ -5,7 +5,7 @@ import random
 import public_tokenizers
 from tokenizers import Tokenizer, models
 
-from corpusloom.llm import queries, token_counts
+from corpusloom.llm import license_scan, license_texts, queries, token_counts
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 VOCAB = token_counts.sentencepiece_vocabulary(PATH)
@@ -43,3 +43,21 @@ def test_float_scores_against_the_library():
     for t in texts()[1:]:
         t = token_counts.marked(t)
         assert counter.count_text(t)[0] == len(want.encode(t, add_special_tokens=False).ids), t
+
+
+def test_licences_by_name_and_in_full(spark):
+    full = {n: t for n, t in license_texts.every({}) if n.endswith("-text") or n in license_texts.SHORT_TEXTS}
+    lines = {
+        "Released under the BSD License.": "bsd-notice", "Licensed under CC BY 4.0": "cc-by-4.0-notice", "Licensed under CC BY-SA 4.0.": "cc-by-sa-4.0-notice", "Licensed under CC BY-NC-SA 4.0.": "cc-by-nc-sa-4.0-notice",
+        "This work is licensed under the GNU General Public License, version 2.": "gpl-2.0-notice", "licensed under the GNU Lesser General Public License, version 3": "lgpl-3.0-notice", "Distributed under the Mozilla Public License, v. 2.0": "mpl-2.0-notice",
+        "SPDX-License-Identifier: AGPL-3.0": "agpl-3.0-notice", "Released under the Foo License.": None, "Licensed under the Apache License, Version 3.0.": None,
+    }
+    texts = [f"x {t} y" for t in (*full.values(), *lines)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {i: set() for i in range(len(texts))}
+    for r in license_scan.scan_licenses(rows).collect():
+        got[r.doc_id].add(r.license)
+    for i, name in enumerate(full):
+        assert name in got[i] and not [x for x in got[i] if x in full and x != name and not (x in ("gpl-2.0", "lgpl-2.1", "mpl-2.0") and name.startswith(("GPL", "LGPL", "MPL")))], (name, got[i])
+    for i, (line, name) in enumerate(lines.items(), len(full)):
+        assert got[i] == ({name} if name else set()), line
