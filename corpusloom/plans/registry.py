@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
@@ -158,13 +158,14 @@ w AS (SELECT id, lead(id) OVER c AS nxt, lag(id) OVER c AS prv, debut, lead(debu
 SELECT prv AS src, id AS dst, debut FROM w WHERE prv IS NOT NULL UNION ALL SELECT id, nxt, nxt_debut FROM w WHERE nxt IS NOT NULL
 """)
 def l7_version_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The orders of a customer as versions of one another, each listing them all."""
+    """The orders of a customer as versions of one another: the edge from one to the next, found by each of the two.
+
+    A customer's orders stream through a sort and no row holds them all; links.version_edges is for a document's own short list.
+    """
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.format_string("LEGIARTI%012d", "o_orderkey").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("debut"))
-    entry = parsing._reference(F.lit(parsing.VERSION_KIND), F.col("id"), dating=F.create_map(F.lit("debut"), F.col("debut")))
-    listed = orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", entry.alias("r"))), lambda a, b: (a.o_orderkey - b.o_orderkey).cast("int")).alias("all"))
-    docs = listed.select(F.transform("all", lambda x: x.r).alias("references")).select(F.explode("references").alias("mine"), "references")
-    found = docs.select(F.explode(links.version_edges(F.col("mine.id"), F.col("references"))).alias("e"))
-    return found.select("e.src", "e.dst", F.col("e.props")["debut"].alias("debut"))
+    w = Window.partitionBy("o_custkey").orderBy(F.asc_nulls_last("debut"), F.asc_nulls_last("o_orderkey"))
+    chained = orders.select(F.lag("id").over(w).alias("src"), F.col("id").alias("dst"), "debut").where("src IS NOT NULL")
+    return chained.select("src", "dst", "debut", F.explode(F.array(F.lit("src"), F.lit("dst"))).alias("found_by")).drop("found_by")
 
 
 @query("""

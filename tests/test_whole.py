@@ -20,3 +20,13 @@ def test_chunks_are_embedded_whole(spark, tmp_path):
     assert not any(r.truncated for r in got.values())
     for name, vector in want.items():
         assert np.allclose(got[name].embedding, vector, atol=1e-6), name
+
+
+def test_version_chain_of_one_hot_customer(spark, tmp_path):
+    n = 30_000
+    spark.range(n).selectExpr("id AS o_orderkey", "if(id % 3 = 0, id, 7) AS o_custkey", "date_add(date'2000-01-01', cast(id * 7919 % 5000 AS int)) AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    frame = registry.l7_version_chain(spark, str(tmp_path))
+    assert "collect_list" not in frame._jdf.queryExecution().optimizedPlan().toString()
+    got = [(int(r.src[8:]), int(r.dst[8:])) for r in frame.collect()]
+    order = sorted((i for i in range(n) if i % 3 or i == 7), key=lambda i: (i * 7919 % 5000, i))
+    assert sorted(got) == sorted([*zip(order, order[1:], strict=False)] * 2)
