@@ -3,8 +3,8 @@
 The words of a text are sorted as suffixes, by rank doubling. Between neighbours of that order the
 longest common prefixes (LCP) bound the intervals of maximal repeated substrings; those of at least
 `min_repeat` words have their spans united. A text is kept if the united spans cover at most
-`max_covered` of its words and the longest repeat has at most `max_longest` words or, in long texts,
-`max_longest_share` of them.
+`max_covered` of its words and the longest repeat has at most `max_longest` words,
+however long the text is.
 
 Many texts are sorted at once: the document number is part of the first rank, so no suffix is ever
 equal to one of another text. Null, empty and all-space texts have zero words and fail the base
@@ -33,12 +33,11 @@ STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 @dataclass(frozen=True)
 class Limits:
-    """Repeats of min_repeat words or more may cover max_covered of the words; the longest may have max_longest words or max_longest_share of them."""
+    """Repeats of min_repeat words or more may cover max_covered of the words; the longest may have max_longest words."""
 
     min_repeat: int = 10
     max_covered: float = 0.25
     max_longest: int = 64
-    max_longest_share: float = 0.1
 
 
 def suffix_ranks(words: np.ndarray, doc: np.ndarray, size: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -138,7 +137,7 @@ def judge(texts: list[str | None], limits: Limits) -> dict[str, np.ndarray]:
     got = dict(zip(STATS, columns, strict=True))
     n = got["n_words"]
     got["base_failed"] = (n < 20) | (100 * got["n_repeat_words"] > 30 * n)
-    fine = (got["covered_words"] <= limits.max_covered * n) & (got["longest_repeat"] <= np.maximum(limits.max_longest, limits.max_longest_share * n))
+    fine = (got["covered_words"] <= limits.max_covered * n) & (got["longest_repeat"] <= limits.max_longest)
     got["kept"] = ~got["base_failed"] & fine
     return got
 

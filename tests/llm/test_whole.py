@@ -5,7 +5,7 @@ import random
 import public_tokenizers
 from tokenizers import Tokenizer, models
 
-from corpusloom.llm import license_scan, license_texts, queries, token_counts
+from corpusloom.llm import license_scan, license_texts, quality_rules, queries, token_counts
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 VOCAB = token_counts.sentencepiece_vocabulary(PATH)
@@ -61,3 +61,11 @@ def test_licences_by_name_and_in_full(spark):
         assert name in got[i] and not [x for x in got[i] if x in full and x != name and not (x in ("gpl-2.0", "lgpl-2.1", "mpl-2.0") and name.startswith(("GPL", "LGPL", "MPL")))], (name, got[i])
     for i, (line, name) in enumerate(lines.items(), len(full)):
         assert got[i] == ({name} if name else set()), line
+
+
+def test_the_longest_repeat_has_one_limit():
+    def kept(n, k):
+        words = [f"w{i}" for i in range(n - k)]
+        return quality_rules.judge([" ".join(words + words[:k])], quality_rules.Limits())["kept"].tolist()
+
+    assert kept(20_000, 64) == [True] and kept(20_000, 65) == [False] and kept(20_000, 2_000) == [False] and kept(700, 65) == [False]
