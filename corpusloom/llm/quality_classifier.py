@@ -5,7 +5,7 @@ Statistics of a text are Spark columns. On a bounded sample of labelled rows sha
 thresholds. An L1-penalised logistic regression keeps few of them. The rules that keep a weight are
 compiled back into one Spark column expression, which scores all documents.
 
-Learning takes at most `max_rows` labelled rows, those of smallest hash of doc_id. Null and empty
+Learning takes at most `max_rows` labelled rows, those of smallest hash of doc_id, each doc_id once. Null and empty
 texts have zero statistics and get a score like any other. Labels that are null are left out; without
 both classes every text gets the share of label 1. Rows are scored one by one, so ties, repeated rows
 and extra columns have no effect.
@@ -19,6 +19,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.labelled import chosen_labels, with_texts
+
 SYMBOLS = "#*$%&|<>"
 
 
@@ -149,9 +151,7 @@ def learn_rules(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 40,
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = 8000) -> RuleModel:
     """learn: a condition on doc_id that says which labels may be learnt from."""
-    chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where(F.col("y").isNotNull() & learn)
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", F.inline(F.array(statistics())))
+    rows = with_texts(chosen_labels(labels, "quality", learn, max_rows), docs).select("doc_id", "y", F.inline(F.array(statistics())))
     names = list(STATISTICS)
     rows = rows.toPandas().sort_values(["doc_id", *names], ignore_index=True)
     return learn_rules(rows[names].to_numpy(float), rows["y"].to_numpy(), names)
