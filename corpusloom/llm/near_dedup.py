@@ -1,29 +1,34 @@
 """Near-duplicates by a chosen-path set similarity join.
 
-Texts with the same shingle set are one class, stood for by its smallest doc_id. Each class has
-`WIDTH` minwise tokens. A tree's node is a path of chosen tokens: at a node, one coordinate (and,
-with probability 1 / similarity - 1, a second) is picked by the node's own hash, and every document
-goes on to the child of its minwise token there, so a pair at the threshold shares one child on
-average. Nodes of at most `SMALL` documents are compared exhaustively on 8-bit sketches; larger ones
-compare every document with the node's first, and branch on. Trees are independent; `TREES` of them
-reach a recall of over 0.99 at the threshold, more above it.
-
-Candidates are confirmed on the full shingle sets. What confirmed links already connect is not
-compared again: a node whose documents are all in one component is done, so a large group of near
-copies costs a star of links and not all its pairs.
-
-Nodes that are still large after `DENSE` levels hold documents that share several minwise tokens
-without being linked, and such stay together for long. Nodes that share documents make up a region.
-A region of at most `REGION` documents is compared in full, block by block, on the full sets, and
-only links leave a task; larger ones branch on, up to `LEVELS` levels, after which all are compared.
-
-Null, empty and all-space texts have no shingles and are linked with nothing; nor are rows whose
-doc_id is null, which are kept, with a null component_id. Repeated rows of a doc_id with the same text
-share its class. An empty table gives no rows.
+Texts with the same shingle set are one class. Each class has minwise tokens: one for each of `BINS` bins
+in each of some rounds of hashing, where an empty bin borrows from another by a fixed order. `SKETCH` of
+them make a sketch of bytes; the others are dealt to the levels of the trees, so that no level sees a
+token that one above it has seen.
+
+A tree's node is a path of chosen tokens: at a node, one coordinate of its level (and a second one for a
+share of the nodes) is picked by the node's own hash, by the tree's number at the root, and every class
+goes on to the child of its token there. At the threshold a pair shares `GROWTH` children on average, so
+that it stays together for ever in 0.41 of the trees, however deep they get, and in one of `TREES` trees at
+least with probability 0.998; more above the threshold.
+
+A node is compared exhaustively, on sketches, once that takes at most SMALL / 2 comparisons for each of its
+classes. In larger ones every class is compared with the node's first, and all branch on. What has used
+up the tokens of `POOLS` is a leaf: its classes are dealt to blocks of about `BLOCK`, and pairs of blocks
+are compared on the full sets, so that no node is one task and only links leave it.
+
+Candidates are confirmed on the full sets. What links already connect is not compared again, and a node
+whose classes are all connected is done, so a large group of near copies costs a star of links and not
+all its pairs. These two rules hold at every size of the input.
+
+Null, empty and all-space texts have no shingles and are linked with nothing. Rows whose doc_id is null are
+linked with nothing by near_duplicates(), which keeps them with a null component_id; keep_documents() tells
+rows apart by their place and takes them last. Rows of one doc_id may have different texts, each of which counts.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,19 +37,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.components import connected_components
+from corpusloom.llm.rows import AT, FILE, numbered, only
 from corpusloom.llm.words import LOWER, mixed, shingle_hashes
 from corpusloom.session import drop_table, write_table
 
-WIDTH, TREES, SMALL, LEVELS = 64, 10, 32, 12
-DENSE, REGION, BLOCK = 2, 20_000, 512
-#: Of WIDTH sketch bytes, so many fewer than the threshold's share must agree: 3.5 standard deviations.
+TREES, GROWTH, SMALL, BLOCK = 12, 1.1, 64, 256
+SKETCH, BINS = 64, 64
+#: Tokens of each level of a tree. The root's are dealt to the trees, one as first and one as second coordinate.
+POOLS = (24,) * 4 + (8,) * 12
+#: Of SKETCH bytes, so many fewer than the threshold's share must agree: 3.5 standard deviations.
 SLACK = 3.5
-#: Bits of the filter that thins the texts read again for confirmation; its size does not grow.
-FILTER_BITS = 1 << 24
+#: Bits for each wanted row in the filter that thins the texts read again for confirmation, and its largest size: 32 MB.
+FILTER_SHARE, FILTER_BITS = 16, 1 << 28
 
+_ROUNDS = -(-(SKETCH + sum(POOLS)) // BINS)
 _rng = np.random.RandomState(20240229)
-_MUL = (_rng.randint(0, 1 << 31, WIDTH).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
-_ADD = _rng.randint(0, 1 << 32, WIDTH, np.uint64).astype(np.uint32)
+_SEEDS = _rng.randint(0, 1 << 62, _ROUNDS).astype(np.uint64)
+#: For each bin the bins that it borrows from, itself first.
+_BORROW = np.stack([np.r_[b, _rng.permutation(np.delete(np.arange(BINS), b))] for b in range(BINS)])
 
 
 def _shingles(text: str | None, size: int) -> np.ndarray:
@@ -52,39 +62,78 @@ def _shingles(text: str | None, size: int) -> np.ndarray:
     return np.unique(shingle_hashes(text.encode().translate(LOWER).split(), size)) if text else np.empty(0, np.uint64)
 
 
-def _minwise(sets: np.ndarray) -> np.ndarray:
-    """The minwise tokens of one non-empty set."""
-    x = (sets >> np.uint64(32)).astype(np.uint32)
-    out = np.full(WIDTH, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(x), 4096):
-        part = x[at : at + 4096]
-        v = part[None, :] * _MUL[:, None] + _ADD[:, None]
-        v ^= v >> np.uint32(15)
-        v *= np.uint32(0x2C1B3C6D)
-        np.minimum(out, v.min(axis=1), out=out)
+def _filled(low: np.ndarray) -> np.ndarray:
+    """Rows of bins with the empty ones (the largest value) filled from the first of their order that is not."""
+    empty = np.uint32(0xFFFFFFFF)
+    out, rows = low.copy(), np.flatnonzero((low == empty).any(axis=1))
+    for k in range(1, BINS):
+        if not len(rows):
+            break
+        part = out[rows]
+        part = np.where(part == empty, low[rows][:, _BORROW[:, k]], part)
+        out[rows] = part
+        rows = rows[(part == empty).any(axis=1)]
     return out
 
 
-def _sketch(sig: np.ndarray) -> np.ndarray:
-    return (mixed(sig.astype(np.uint64)) & np.uint64(255)).astype(np.uint8)
+def _minwise(sets: list[np.ndarray]) -> np.ndarray:
+    """The minwise tokens of non-empty sets: a row for each."""
+    hashes, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int64) * BINS, [len(s) for s in sets])
+    out = []
+    for seed in _SEEDS:
+        h = mixed(hashes ^ seed)
+        low = np.full(len(sets) * BINS, 0xFFFFFFFF, np.uint32)
+        np.minimum.at(low, owner + (h >> np.uint64(58)).astype(np.int64), h.astype(np.uint32))
+        out.append(_filled(low.reshape(len(sets), BINS)))
+    return mixed(np.hstack(out).astype(np.uint64))
+
+
+def _level(k: int) -> str:
+    return f"tokens_{k}"
+
+
+_LEVELS = [_level(k) for k in range(len(POOLS))]
+#: Shingles whose tokens are found together.
+TOGETHER = 1 << 20
 
 
 def _profile(size: int):
-    import hashlib
+    """n_shingles, set_key, sketch and tokens of each row; what else it has passes."""
+
+    pools, names = POOLS, ["doc_id", FILE, AT, "n_shingles", "set_key", "sketch", *_LEVELS]
+
+    def coordinates(sets: list[np.ndarray]) -> list[list[bytes | None]]:
+        full = [k for k, s in enumerate(sets) if len(s)]
+        out: list[list[bytes | None]] = [[None] * len(sets) for _ in range(1 + len(pools))]
+        held, n = [], 0
+        for last, k in enumerate(full, 1):
+            held.append(k)
+            n += len(sets[k])
+            if n > TOGETHER or last == len(full):
+                tokens = _minwise([sets[j] for j in held])
+                cut = np.cumsum([0, SKETCH, *pools])
+                for column, (a, b, kind) in enumerate(zip(cut, cut[1:], [np.uint8] + [np.uint16] * len(pools), strict=False)):
+                    rows = np.ascontiguousarray(tokens[:, a:b].astype(kind))
+                    for j, row in zip(held, rows, strict=True):
+                        out[column][j] = row.tobytes()
+                held, n = [], 0
+        return out
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, keys, sigs = [], [], []
-            for text in batch["text"].to_pylist():
-                s = _shingles(text, size)
-                n.append(len(s))
-                keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                sigs.append(_minwise(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "set_key", "sig"])
+            sets = [_shingles(t, size) for t in batch["text"].to_pylist()]
+            keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+            made = [pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), *(pa.array(c, pa.binary()) for c in coordinates(sets))]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch[FILE], batch[AT], *made], names)
 
     return profile
 
 
+def _profiles(docs: DataFrame, shingle: int) -> DataFrame:
+    schema = f"doc_id long, {FILE} long, {AT} long, n_shingles long, set_key binary, sketch binary, " + ", ".join(f"{c} binary" for c in _LEVELS)
+    return docs.mapInArrow(_profile(shingle), schema)
+
+
 def _matrix(column: pa.Array, dtype, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(-1, width)
 
@@ -92,50 +141,58 @@ def _matrix(column: pa.Array, dtype, width: int) -> np.ndarray:
 _NODES = "node long, rep long, sketch binary"
 
 
-def _rows(nodes: list[np.ndarray], reps: list[np.ndarray], sketches: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    node, rep, sketch = np.concatenate(nodes), np.concatenate(reps), np.concatenate(sketches)
+def _rows(got: list[tuple[np.ndarray, np.ndarray]], rep: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Batches of node, rep and sketch of (row numbers, nodes)."""
+    who, node = (np.concatenate(x) for x in zip(*got, strict=True))
     for at in range(0, len(node), 20_000):
-        s = np.ascontiguousarray(sketch[at : at + 20_000])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(node[at : at + 20_000].view(np.int64)), pa.array(rep[at : at + 20_000]), pa.FixedSizeBinaryArray.from_buffers(pa.binary(WIDTH), len(s), [None, pa.py_buffer(s)]).cast(pa.binary())],
-            ["node", "rep", "sketch"],
-        )
-
+        w = who[at : at + 20_000]
+        s = np.ascontiguousarray(sketch[w])
+        held = pa.FixedSizeBinaryArray.from_buffers(pa.binary(SKETCH), len(s), [None, pa.py_buffer(s)]).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(node[at : at + 20_000].view(np.int64)), pa.array(rep[w]), held], ["node", "rep", "sketch"])
+
+
+def _children(node: np.ndarray, tokens: np.ndarray, first: np.ndarray, second: np.ndarray, share: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers and their child nodes: by the first coordinate, and for a share of the nodes by the second one."""
+    more = np.flatnonzero((mixed(node + np.uint64(0x5851F42D4C957F2D)) >> np.uint64(32)) < np.uint64(share * 2**32))
+    out = []
+    for at, who in ((first, np.arange(len(node))), (second, more)):
+        at = at[who].astype(np.uint64)
+        token = tokens[who, at.astype(np.int64)].astype(np.uint64)
+        out.append((who, mixed(mixed(node[who] + at + np.uint64(1)) ^ token)))
+    return out
 
-def _children(node: np.ndarray, sig: np.ndarray, extra: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers and their child nodes, once for the first coordinate and once for the second, where there is one."""
-    row = np.arange(len(node))
-    u = mixed(node + np.uint64(0x9E3779B97F4A7C15))
-    first = u % np.uint64(WIDTH)
-    second = (first + np.uint64(1) + (u >> np.uint64(8)) % np.uint64(WIDTH - 1)) % np.uint64(WIDTH)
-    for at, who in ((first, row), (second, row[(u >> np.uint64(32)) < np.uint64(extra * 2**32)])):
-        token = sig[who, at[who].astype(np.int64)].astype(np.uint64)
-        yield who, mixed(mixed(node[who] + at[who]) ^ token)
 
+def _plant(trees: int, share: float):
+    pool = POOLS[0]
 
-def _plant(trees: int, extra: float):
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig, rep = _matrix(batch["sig"], np.uint32, WIDTH), batch["rep"].to_numpy()
-            sketch = _sketch(sig)
+            tokens, rep, sketch = _matrix(batch[_level(0)], np.uint16, pool), batch["rep"].to_numpy(), _matrix(batch["sketch"], np.uint8, SKETCH)
             for tree in range(trees):
-                got = list(_children(np.full(len(rep), mixed(np.asarray([tree + 1]))[0]), sig, extra))
-                yield from _rows([x for _, x in got], [rep[w] for w, _ in got], [sketch[w] for w, _ in got])
+                root = np.full(len(rep), mixed(np.asarray([tree + 1]))[0])
+                first, second = np.full(len(rep), 2 * tree % pool), np.full(len(rep), (2 * tree + 1) % pool)
+                # A tree has one root, so the share with a second coordinate is one of the trees.
+                more = int((tree + 1) * share) > int(tree * share)
+                yield from _rows(_children(root, tokens, first, second, 1.0)[: 1 + more], rep, sketch)
 
     return plant
 
 
-def _branch(extra: float):
+def _branch(level: int, share: float):
+    pool = POOLS[level]
+
     def branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig, rep = _matrix(batch["sig"], np.uint32, WIDTH), batch["rep"].to_numpy()
-            sketch = _sketch(sig)
-            got = list(_children(batch["node"].to_numpy().view(np.uint64), sig, extra))
-            yield from _rows([x for _, x in got], [rep[w] for w, _ in got], [sketch[w] for w, _ in got])
+            node = batch["node"].to_numpy().view(np.uint64)
+            u = mixed(node + np.uint64(0x9E3779B97F4A7C15))
+            first = u % np.uint64(pool)
+            second = (first + np.uint64(1) + (u >> np.uint64(8)) % np.uint64(pool - 1)) % np.uint64(pool)
+            got = _children(node, _matrix(batch[_level(level)], np.uint16, pool), first, second, share)
+            yield from _rows(got, batch["rep"].to_numpy(), _matrix(batch["sketch"], np.uint8, SKETCH))
 
     return branch
 
@@ -147,49 +204,65 @@ def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def _exhaustive(agree: int):
-    """Rows sorted by node: each with those of its node that come up to SMALL - 1 rows later."""
+    """Rows sorted by node: each with all later ones of its node that are not connected with it."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = (batch["node"].to_numpy(), batch["rep"].to_numpy(), batch["component"].to_numpy(), _matrix(batch["sketch"], np.uint8, WIDTH))
-            old = 0 if held is None else len(held[0])
-            node, rep, comp, sketch = now if held is None else tuple(np.concatenate(x) for x in zip(held, now, strict=True))
-            left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for d in range(1, min(SMALL, len(node))):
-                i = np.flatnonzero((node[:-d] == node[d:]) & (comp[:-d] != comp[d:]))
-                i = i[i + d >= old]
-                i = i[(sketch[i] == sketch[i + d]).sum(axis=1) >= agree]
-                left.append(rep[i])
-                right.append(rep[i + d])
-            yield _pairs(left, right)
-            held = tuple(x[-SMALL:] for x in (node, rep, comp, sketch))
+        for batch in [*batches_of(batches), None]:
+            if batch is None:
+                if held is not None:
+                    yield _within(*held, agree)
+                return
+            now = (batch["node"].to_numpy(), batch["rep"].to_numpy(), batch["component"].to_numpy(), _matrix(batch["sketch"], np.uint8, SKETCH))
+            every = now if held is None else tuple(np.concatenate(x) for x in zip(held, now, strict=True))
+            begin = np.searchsorted(every[0], every[0][-1])  # the last node may go on in the next batch
+            if begin:
+                yield _within(*(x[:begin] for x in every), agree)
+            held = tuple(x[begin:] for x in every)
+
+    def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return (b for b in batches if b.num_rows)
 
     return compare
 
 
+def _within(node: np.ndarray, rep: np.ndarray, component: np.ndarray, sketch: np.ndarray, agree: int) -> pa.RecordBatch:
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    d = 1
+    same = np.arange(len(node) - 1)
+    while len(same):
+        same = same[node[same] == node[np.minimum(same + d, len(node) - 1)]]
+        i = same[component[same] != component[same + d]]
+        for at in range(0, len(i), 50_000):
+            k = i[at : at + 50_000]
+            k = k[(sketch[k] == sketch[k + d]).sum(axis=1) >= agree]
+            left.append(rep[k])
+            right.append(rep[k + d])
+        d += 1
+        same = same[same + d < len(node)]
+    return _pairs(left, right)
+
+
 def _star(agree: int):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                near = (_matrix(batch["sketch"], np.uint8, WIDTH) == _matrix(batch["other_sketch"], np.uint8, WIDTH)).sum(axis=1) >= agree
-                yield _pairs([batch["rep"].to_numpy()[near]], [batch["other"].to_numpy()[near]])
+                near = (_matrix(batch["sketch"], np.uint8, SKETCH) == _matrix(batch["head_sketch"], np.uint8, SKETCH)).sum(axis=1) >= agree
+                yield _pairs([batch["rep"].to_numpy()[near]], [batch["head"].to_numpy()[near]])
 
     return compare
 
 
-def _bits(ids: np.ndarray) -> np.ndarray:
-    return (mixed(ids.astype(np.int64).view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
+def _bits(file: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    return (mixed(mixed(file.view(np.uint64)) ^ at.view(np.uint64)) % np.uint64(size)).astype(np.int64)
 
 
-def _filter_of(ids: DataFrame) -> np.ndarray:
-    """A bitmap of FILTER_BITS bits with a bit for each id. The driver gets its set bytes, at most 2 MB of them."""
+def _filter_of(wanted: DataFrame, size: int) -> np.ndarray:
+    """A bitmap of `size` bits (a multiple of 32,768) with a bit for each wanted row (FILE, AT); the driver gets its bytes, FILTER_BITS / 8 at most."""
 
     def bit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = _bits(batch["id"].to_numpy())
+            at = _bits(batch[FILE].to_numpy(), batch[AT].to_numpy(), size)
             yield pa.RecordBatch.from_arrays([pa.array(at >> 15), pa.array(at & 32767)], ["block", "bit"])
 
     def block(pdf):
@@ -199,28 +272,28 @@ def _filter_of(ids: DataFrame) -> np.ndarray:
         held[pdf["bit"].to_numpy()] = 1
         return pd.DataFrame({"block": [pdf["block"].iloc[0]], "bits": [np.packbits(held).tobytes()]})
 
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    marked = ids.mapInArrow(bit, "block long, bit long").distinct()
+    out = np.zeros(size // 8, np.uint8)
+    marked = wanted.select(FILE, AT).mapInArrow(bit, "block long, bit long").distinct()
     for row in marked.groupBy("block").applyInPandas(block, "block long, bits binary").collect():
         out[row["block"] * 4096 : (row["block"] + 1) * 4096] = np.frombuffer(row["bits"], np.uint8)
     return out
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """A written table of id and shingles for the wanted ids. A bitmap thins the texts before they are cut into shingles."""
-    shared = docs.sparkSession.sparkContext.broadcast(_filter_of(ids))
+def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """A written table of rep and shingles for the wanted classes (rep, FILE, AT: a row that has the set). A bitmap thins the texts before they are cut into shingles."""
+    size = min(FILTER_BITS, 1 << max(15, int(FILTER_SHARE * wanted.count()).bit_length()))
+    shared = docs.sparkSession.sparkContext.broadcast(_filter_of(wanted, size))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
         for batch in batches:
-            at = _bits(batch["doc_id"].to_numpy())
+            at = _bits(batch[FILE].to_numpy(), batch[AT].to_numpy(), size)
             batch = batch.filter(pa.array((held[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([_shingles(t, size).tobytes() for t in part["text"].to_pylist()], pa.binary())], ["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([part[FILE], part[AT], pa.array([_shingles(t, shingle).tobytes() for t in part["text"].to_pylist()], pa.binary())], [FILE, AT, "shingles"])
 
-    # A doc_id may have rows of different texts; one set then stands for it.
-    full = docs.mapInArrow(sets, "id long, shingles binary").join(ids, "id").dropDuplicates(["id"])
+    full = docs.select("text", FILE, AT).mapInArrow(sets, f"{FILE} long, {AT} long, shingles binary").join(wanted.select("rep", FILE, AT), [FILE, AT]).select("rep", "shingles")
     full = write_table(full, "near-sets")
     shared.unpersist()
     return full
@@ -234,37 +307,71 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b: doc_ids) whose full sets are similar enough."""
-
-    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = zip(batch["x"], batch["y"], strict=True)
-            good = [_linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in sets]
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    full = _sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), size)
-    joined = pairs.join(full.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(full.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    found = write_table(joined.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long"), "near-links")
-    drop_table(full)
-    return found
-
-
-def _regions(large: DataFrame) -> DataFrame:
-    """rep, region, size: documents of large nodes that share documents. large: rep, other (the node's first)."""
-    joined = connected_components(large.select(F.col("rep").alias("a"), F.col("other").alias("b")))
-    sizes = joined.groupBy("component").agg(F.count("*").alias("size"))
-    return write_table(joined.join(sizes, "component").select(F.col("node").alias("rep"), F.col("component").alias("region"), "size"), "near-regions")
-
-
-def _in_full(docs: DataFrame, regions: DataFrame, reps: DataFrame, components: DataFrame | None, size: int, percent: int, agree: int) -> DataFrame:
-    """Links between the documents of each region that are not in one component yet."""
+class _Links:
+    """Confirmed links between classes, what they connect, and the sets that were read for that."""
+
+    def __init__(self, docs: DataFrame, reps: DataFrame, shingle: int, percent: int) -> None:
+        self.docs, self.reps, self.shingle, self.percent = docs, reps, shingle, percent
+        self.sets: DataFrame | None = None
+        #: node, component: every class that has a link, with the smallest class that its links lead to.
+        self.components: DataFrame | None = None
+
+    def sets_of(self, ids: DataFrame) -> DataFrame:
+        """rep, shingles of the classes (rep) and maybe of others; texts are read only for those not read yet."""
+        missing = ids if self.sets is None else ids.join(self.sets.select("rep"), "rep", "left_anti")
+        missing = write_table(missing.join(self.reps.select("rep", FILE, AT), "rep"), "near-missing")
+        if not missing.isEmpty():
+            more = _sets_of(self.docs, missing, self.shingle)
+            self.sets = more if self.sets is None else self.sets.unionByName(more)
+        return self.sets
+
+    def confirm(self, pairs: DataFrame) -> None:
+        """Link those of pairs (a, b) whose full sets are similar enough."""
+        percent = self.percent
+
+        def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sets = zip(batch["x"], batch["y"], strict=True)
+                good = [_linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in sets]
+                yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+        pairs = write_table(pairs.distinct(), "near-pairs")
+        if pairs.isEmpty():
+            return
+        full = self.sets_of(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
+        joined = pairs.join(full.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a").join(full.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
+        self.add(write_table(joined.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long"), "near-links"))
+        drop_table(pairs)
+
+    def add(self, links: DataFrame) -> None:
+        """Connect what new links (a, b) connect: they join components that are there already."""
+        if self.components is None:
+            self.components = connected_components(links)
+            return
+        was = self.components
+        for end in ("a", "b"):
+            links = links.join(was.select(F.col("node").alias(end), F.col("component").alias("_to")), end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
+        links = write_table(links.where("a <> b"), "near-links")
+        if links.isEmpty():
+            return
+        joined = connected_components(links)
+        moved = was.join(joined.select(F.col("node").alias("component"), F.col("component").alias("_to")), "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
+        self.components = write_table(moved.unionByName(joined.join(was.select("node"), "node", "left_anti").select("node", "component")), "near-components")
+
+    def with_component(self, rows: DataFrame) -> DataFrame:
+        if self.components is None:
+            return rows.withColumn("component", F.col("rep"))
+        return rows.join(self.components.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+
+
+def _leaves(rows: DataFrame, percent: int, agree: int) -> DataFrame:
+    """Links between the classes of each node that are not connected yet. rows: node, n, rep, component, sketch, shingles."""
     import pandas as pd
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         one, two = int(pdf["one"].iloc[0]), int(pdf["two"].iloc[0])
         rep, comp, block = pdf["rep"].to_numpy(), pdf["component"].to_numpy(), pdf["block"].to_numpy()
-        sketch = _sketch(np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(-1, WIDTH))
+        sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(-1, SKETCH)
         sets = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
         left, right = np.flatnonzero(block == one), np.flatnonzero(block == two)
         root = {c: c for c in comp.tolist()}
@@ -282,88 +389,109 @@ def _in_full(docs: DataFrame, regions: DataFrame, reps: DataFrame, components: D
                 x, y = find(int(comp[i])), find(int(comp[j]))
                 if x != y and _linked(sets[i], sets[j], percent):
                     root[max(x, y)] = min(x, y)
-                    a.append(rep[i])
-                    b.append(rep[j])
+                    a.append(min(rep[i], rep[j]))
+                    b.append(max(rep[i], rep[j]))
         return pd.DataFrame({"a": np.asarray(a, np.int64), "b": np.asarray(b, np.int64)})
 
-    full = _sets_of(docs, regions.select(F.col("rep").alias("id")).distinct(), size)
-    rows = regions.join(reps, "rep").join(full.withColumnRenamed("id", "rep"), "rep")
-    if components is not None:
-        rows = rows.join(components.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    else:
-        rows = rows.withColumn("component", F.col("rep"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.withColumn("one", F.least("block", "to")).withColumn("two", F.greatest("block", "to"))
-    found = rows.groupBy("region", "one", "two").applyInPandas(compare, "a long, b long")
-    found = write_table(found, "near-links")
-    drop_table(full)
-    return found
+    return rows.groupBy("node", "one", "two").applyInPandas(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, trees: int = TREES) -> DataFrame:
-    """One row for each row of docs: doc_id, n_shingles, component_id, kept.
+def _joined(docs: DataFrame, shingle: int, percent: int, trees: int) -> tuple[DataFrame, DataFrame | None]:
+    """docs: doc_id, text, FILE, AT.
 
-    Texts are linked at 100 * |intersection| >= percent * |union| of their `shingle`-word sets.
+    (members: doc_id, FILE, AT, rep or null, n_shingles, first; components: node, component, first, or None if
+    there is no link). first is the row of a class or component that comes first: struct of whether its doc_id is null, doc_id, FILE, AT.
     """
-    share = percent / 100
-    extra = 1 / share - 1
-    agree = max(1, int(WIDTH * share - SLACK * (WIDTH * share * (1 - share)) ** 0.5))
-    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    base = every.where("doc_id IS NOT NULL")
-    profiles = write_table(every.mapInArrow(_profile(shingle), "doc_id long, n_shingles long, set_key binary, sig binary"), "near-profiles")
-    named = profiles.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = named.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    members = write_table(named.join(classes, "set_key").select("doc_id", "rep", "n_shingles", F.when(F.col("doc_id") == F.col("rep"), F.col("sig")).alias("sig")), "near-members")
-    reps = write_table(members.where("sig is not null").select("rep", "sig").dropDuplicates(["rep"]), "near-reps")
-
-    active = write_table(reps.mapInArrow(_plant(trees, extra), _NODES), "near-nodes")
-    links = components = waiting = None
-
-    def together(x: DataFrame | None, y: DataFrame) -> DataFrame:
-        return y if x is None else x.unionByName(y)
-
-    for level in range(LEVELS + 1):
-        known = active.withColumn("component", F.col("rep"))
-        if components is not None:
-            known = active.join(components.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-            known = write_table(known, "near-known")  # read twice below
-            drop_table(active)
-            active = known
-        sizes = known.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("other"), F.min("component").alias("low"), F.max("component").alias("high"))
-        live = write_table(known.join(sizes.where("n > 1 and low < high"), "node").select("node", "rep", "component", "sketch", "n", "other"), "near-live")
+    share = GROWTH * 100 / percent - 1
+    agree = max(1, int(SKETCH * percent / 100 - SLACK * (SKETCH * percent / 100 * (1 - percent / 100)) ** 0.5))
+    profiles = write_table(_profiles(docs, shingle).withColumn("row", F.monotonically_increasing_id()), "near-profiles")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", FILE, AT)
+    # A class is named after one of its rows.
+    classes = profiles.where("n_shingles > 0").groupBy("set_key").agg(F.min("row").alias("rep"), F.min(order).alias("first"))
+    tokens = [F.when(F.col("row") == F.col("rep"), F.col(c)).alias(c) for c in ("sketch", *_LEVELS)]
+    members = write_table(profiles.where("n_shingles > 0").join(classes, "set_key").select("doc_id", FILE, AT, "rep", "row", "n_shingles", "first", *tokens), "near-members")
+    reps = members.where("row = rep")
+    found = _Links(docs, reps, shingle, percent)
+
+    active = write_table(reps.select("rep", "sketch", _level(0)).mapInArrow(_plant(trees, share), _NODES), "near-nodes")
+    waiting: DataFrame | None = None
+    for level in range(1, len(POOLS) + 1):
+        known = write_table(found.with_component(active), "near-known")
         drop_table(active)
-        large = live.where(F.col("n") > SMALL)
-        small = live.where(F.col("n") <= SMALL).select("node", "rep", "component", "sketch").repartition("node").sortWithinPartitions("node", "rep")
-        found = small.mapInArrow(_exhaustive(agree), "a long, b long")
+        parts = known.groupBy("node", "component").agg(F.count("*").alias("c"), F.min("rep").alias("head"))
+        sizes = parts.groupBy("node").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("square"), F.min("head").alias("head"), F.min_by("component", "head").alias("head_component"), F.count("*").alias("parts"))
+        open_nodes = sizes.where("parts > 1").withColumn("large", (F.col("n") * F.col("n") - F.col("square")) > SMALL * F.col("n"))
+        sketches = reps.select(F.col("rep").alias("head"), F.col("sketch").alias("head_sketch"))
+        open_nodes = open_nodes.where("NOT large").withColumn("head_sketch", F.lit(None).cast("binary")).unionByName(open_nodes.where("large").join(sketches, "head"), allowMissingColumns=True)
+        live = write_table(known.join(open_nodes, "node").select("node", "rep", "component", "sketch", "n", "large", "head", "head_component", "head_sketch"), "near-live")
+        drop_table(known)
+        large = live.where("large")
+        small = live.where("NOT large").select("node", "rep", "component", "sketch").repartition("node").sortWithinPartitions("node", "rep")
+        candidates = small.mapInArrow(_exhaustive(agree), "a long, b long")
         rest = not large.isEmpty()
-        if rest and level >= DENSE:
-            regions = _regions(large)
-            dense = regions if level == LEVELS else regions.where(F.col("size") <= REGION)
-            links = together(links, _in_full(base, dense, reps, components, shingle, percent, agree))
-            large = large.join(regions.where(F.col("size") > REGION).select("rep"), "rep", "left_semi")
-            rest = level < LEVELS and not large.isEmpty()
         if rest:
-            heads = large.where("rep = other").select("node", F.col("sketch").alias("other_sketch"), F.col("component").alias("other_component")).dropDuplicates(["node"])
-            star = large.join(heads, "node").where("component <> other_component").select("rep", "other", "sketch", "other_sketch")
-            found = found.unionByName(star.mapInArrow(_star(agree), "a long, b long"))
-        waiting = together(waiting, write_table(found.distinct(), "near-candidates"))
-        if level == 0 or not rest:
-            pairs = write_table(waiting.distinct(), "near-pairs")
-            if not pairs.isEmpty():
-                links = together(links, _confirm(base, pairs, shingle, percent))
-            if links is not None:
-                components = connected_components(links)
+            candidates = candidates.unionByName(large.where("component <> head_component").select("rep", "head", "sketch", "head_sketch").mapInArrow(_star(agree), "a long, b long"))
+        candidates = write_table(candidates.distinct(), "near-candidates")
+        waiting = candidates if waiting is None else waiting.unionByName(candidates)
+        # Texts are read again after the first level and then ever more seldom.
+        if not rest or level & (level - 1) == 0 or level == len(POOLS):
+            found.confirm(waiting)
             waiting = None
         if not rest:
             break
-        active = write_table(large.select("node", "rep").join(reps, "rep").mapInArrow(_branch(extra), _NODES), "near-nodes")
-
-    out = members.select("doc_id", "rep", "n_shingles")
-    if components is not None:
-        out = out.join(components, F.col("rep") == F.col("node"), "left").withColumn("component_id", F.coalesce("component", "rep"))
-    else:
-        out = out.withColumn("component_id", F.col("rep"))
-    alone = profiles.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = out.select("doc_id", "n_shingles", "component_id").unionByName(alone)
+        if level == len(POOLS):
+            leaf = found.with_component(large.select("node", "rep", "sketch", "n"))
+            ids = leaf.select("rep").distinct()
+            found.add(write_table(_leaves(leaf.join(found.sets_of(ids), "rep"), percent, agree), "near-links"))
+            break
+        active = write_table(large.select("node", "rep").join(reps.select("rep", "sketch", _level(level)), "rep").mapInArrow(_branch(level, share), _NODES), "near-nodes")
+        drop_table(live)
+
+    every = members.select("doc_id", FILE, AT, "rep", "n_shingles", "first")
+    bare = profiles.where("n_shingles = 0").select("doc_id", FILE, AT, F.lit(None).cast("long").alias("rep"), "n_shingles", order.alias("first"))
+    every = every.unionByName(bare)
+    if found.components is None:
+        return every, None
+    named = found.components.join(reps.select(F.col("rep").alias("node"), "first"), "node")
+    firsts = named.groupBy("component").agg(F.min("first").alias("first"))
+    return every, found.components.join(firsts, "component").select("node", F.col("first").alias("component_first"))
+
+
+def _rows_with_first(docs: DataFrame, shingle: int, percent: int, trees: int) -> DataFrame:
+    """doc_id, FILE, AT, n_shingles, first: the first row of each row's component."""
+    members, components = _joined(docs, shingle, percent, trees)
+    if components is None:
+        return members
+    joined = members.join(components, F.col("rep") == F.col("node"), "left")
+    return joined.select("doc_id", FILE, AT, "n_shingles", F.coalesce("component_first", "first").alias("first"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, trees: int = TREES) -> DataFrame:
+    """One row for each row of docs: doc_id, n_shingles, component_id, kept.
+
+    Texts are linked at 100 * |intersection| >= percent * |union| of their `shingle`-word sets. percent: 60 to 100.
+    """
+    every = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))[1]
+    found = _rows_with_first(every.where("doc_id IS NOT NULL"), shingle, percent, trees)
+    out = found.select("doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(_shingles(t, shingle)) for t in batch["text"].to_pylist()], pa.int64())], ["n_shingles"])
+
+    unnamed = every.where("doc_id IS NULL").select("text").mapInArrow(counted, "n_shingles long")
+    null = F.lit(None).cast("long")
+    out = out.unionByName(unnamed.select(null.alias("doc_id"), "n_shingles", null.alias("component_id")))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def keep_documents(docs: DataFrame, shingle: int = 5, percent: int = 80, trees: int = TREES) -> DataFrame:
+    """The first row of each component of docs, by doc_id, rows without one last, then by place; with all columns of docs."""
+    docs, every = numbered(docs)
+    found = _rows_with_first(every.select(F.col("doc_id").cast("long").alias("doc_id"), "text", FILE, AT), shingle, percent, trees)
+    # A text without shingles is linked with nothing and is the first of its own.
+    kept = found.where((F.col(FILE) == F.col(f"first.{FILE}")) & (F.col(AT) == F.col(f"first.{AT}")))
+    return only(every, kept)

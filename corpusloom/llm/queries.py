@@ -96,4 +96,18 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM (
          count(*) OVER (PARTITION BY text_sha256) AS group_size FROM d)
 """
 
-ORACLE_SQL = {"op3_url_filter": _URL_SQL, "op9_exact_dedup": EXACT_SQL}
+NEAR_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS words FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, shingle FROM (SELECT doc_id, unnest(CASE len(words) WHEN 0 THEN [] WHEN 1 THEN words ELSE list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) END) AS shingle FROM w)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (SELECT a, b FROM shared JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * k >= 80 * (x.n + y.n - k)
+), sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reached.a, sides.b FROM reached JOIN sides ON reached.b = sides.a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, r.component_id, d.doc_id = r.component_id AS kept
+FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id JOIN (SELECT a, min(b) AS component_id FROM reached GROUP BY a) r ON d.doc_id = r.a
+"""
+
+ORACLE_SQL = {"op3_url_filter": _URL_SQL, "op8_near_dedup": NEAR_SQL, "op9_exact_dedup": EXACT_SQL}

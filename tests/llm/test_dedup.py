@@ -113,3 +113,88 @@ def test_rows_without_doc_id(spark):
     assert sorted((r.keep_id or -1, r.group_size, r.kept) for r in exact) == [(-1, 1, True), (-1, 1, True), (4, 3, False), (4, 3, False), (4, 3, True)]
     near = near_dedup.near_duplicates(rows, shingle=2).collect()
     assert sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1, r.kept) for r in near) == [(-1, 0, -1, True), (-1, 1, -1, True), (-1, 3, -1, True), (3, 3, 3, True), (4, 3, 3, False)]
+
+
+def dense(r):
+    """Groups whose texts share most of their shingles, linked in part, in chains and not at all; and very common words."""
+    texts = []
+    for rate in (3, 6, 9, 12):
+        base = [f"v{rate}x{i}" for i in range(60)]
+        for _ in range(45):
+            copy = list(base)
+            for _ in range(r.randint(0, rate)):
+                copy[r.randrange(60)] = f"n{r.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    texts += [f"of the of the law {i} and the law of {i}" for i in range(60)]
+    return texts
+
+
+def test_near_branches_deep_and_compares_leaves_by_blocks(spark, monkeypatch):
+    """Small nodes, few levels and small blocks: what is right must not depend on them."""
+    texts = dense(random.Random(11))
+    want = brute(texts, 2)
+    seen = []
+    whole = near_dedup._leaves
+    monkeypatch.setattr(near_dedup, "_leaves", lambda rows, *a: seen.append(rows.count()) or whole(rows, *a))
+    for pools, small, block in (((24, 8, 8, 8, 8, 8), 4, 256), ((24, 8), 4, 16), ((24,), 2, 16)):
+        monkeypatch.setattr(near_dedup, "POOLS", pools)
+        monkeypatch.setattr(near_dedup, "_LEVELS", [near_dedup._level(k) for k in range(len(pools))])
+        monkeypatch.setattr(near_dedup, "SMALL", small)
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(frame(spark, texts), shingle=2).collect()}
+        # Two in a thousand links at the threshold may be lost; no text may be linked that must not be.
+        assert sum(got[i] != w for i, w in enumerate(want)) <= 1, pools
+        assert all(want[i][1] == want[root][1] for i, (_, root) in got.items())
+    assert len(seen) >= 2 and all(n > 16 for n in seen)
+
+
+def test_near_one_level_loses_no_more_than_it_says():
+    """Trees alone, without a star or connections: the share of pairs that meet in a last node."""
+    import numpy as np
+
+    from corpusloom.llm.near_dedup import GROWTH, POOLS, TREES, _branch, _level, _minwise, _plant
+
+    import pyarrow as pa
+
+    r = np.random.RandomState(5)
+    pairs, share = 400, GROWTH / 0.8 - 1
+    sets = []
+    for _ in range(pairs):
+        common = r.randint(0, 1 << 62, 800).astype(np.uint64)
+        sets += [np.unique(np.r_[common, r.randint(0, 1 << 62, 100).astype(np.uint64)]) for _ in range(2)]
+    tokens = _minwise(sets)
+    assert abs((tokens[::2] == tokens[1::2]).mean() - 0.8) < 0.01
+    short = _minwise([np.arange(k, k + 9, dtype=np.uint64) * np.uint64(977) for k in range(2)] * 300)  # 8 of 10 are shared
+    assert abs((short[0] == short[1]).mean() - 0.8) < 0.12
+    cut = np.cumsum([64, *POOLS])
+    columns = {_level(k): [np.ascontiguousarray(x[a:b].astype(np.uint16)).tobytes() for x in tokens] for k, (a, b) in enumerate(zip(cut, cut[1:]))}
+    rep = np.arange(2 * pairs)
+    sketch = [bytes(64)] * (2 * pairs)
+    batch = pa.RecordBatch.from_pydict({"rep": rep, "sketch": pa.array(sketch, pa.binary()), _level(0): pa.array(columns[_level(0)], pa.binary())})
+    got = [b for b in _plant(TREES, share)(iter([batch]))]
+    for level in range(1, len(POOLS)):
+        node, who = (np.concatenate([b[c].to_numpy() for b in got]) for c in ("node", "rep"))
+        # Only pairs go on, as all else is alone in its node.
+        key = np.stack([node, who // 2])
+        _, at, n = np.unique(key, axis=1, return_inverse=True, return_counts=True)
+        keep = n[at.ravel()] > 1
+        met = np.unique(who[keep] // 2)
+        assert len(met) >= 0.99 * pairs, level
+        node, who = node[keep], who[keep]
+        batch = pa.RecordBatch.from_pydict({"node": node, "rep": who, "sketch": pa.array([sketch[0]] * len(who), pa.binary()), _level(level): pa.array([columns[_level(level)][k] for k in who], pa.binary())})
+        got = list(_branch(level, share)(iter([batch])))
+
+
+def test_near_odd_rows(spark):
+    """Repeated rows, a doc_id with several texts, clashing columns, a very long text, null doc_ids."""
+    long = " ".join(f"w{i % 5000}" for i in range(300_000))
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "x y z u v w"), (2, "X y z u v w"), (3, "a b c d e  f"), (4, long), (5, long + " end"), (6, None), (6, None), (None, "a b c d e f"), (None, "p q r"), (None, "p q r")]
+    docs = spark.createDataFrame([(*x, 1, "s", b"t") for x in rows], "doc_id long, text string, rep long, first string, sketch binary")
+    got = near_dedup.near_duplicates(docs, shingle=2).collect()
+    key = sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1, r.kept) for r in got)
+    n = len({tuple(x) for x in zip(long.split(), long.split()[1:])})
+    assert key == sorted([(1, 5, 1, True)] * 3 + [(2, 5, 1, False), (3, 5, 1, False), (4, n, 4, True), (5, n + 1, 4, False), (6, 0, 6, True), (6, 0, 6, True), (-1, 5, -1, True), (-1, 2, -1, True), (-1, 2, -1, True)])
+    kept = near_dedup.keep_documents(docs, shingle=2)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or -1, (r.text or "")[:11]) for r in kept.collect()) == [(-1, "p q r"), (1, "a b c d e f"), (1, "x y z u v w"), (4, "w0 w1 w2 w3"), (6, ""), (6, "")]
+    assert near_dedup.keep_documents(docs.where("false")).count() == 0
