@@ -7,23 +7,26 @@ after `KICKS` moves doubles the filter, which is filled again from the stored di
 removes one fingerprint and its stored digest.
 
 Equal texts are met in one shard. Before they are sent there, each task sums up the equal digests
-of a batch, so a text that a third of all rows share comes as a few rows from each task.
+of a batch, so a text that a third of all rows share comes as a few rows from each task. A task has the
+index of one shard at a time, and the number of shards grows with the input.
 
-Null counts as the empty text, so null, empty and all-space texts are one group. Repeated rows are
-members of their group like any other; ties go to the smallest doc_id, and a null doc_id comes last
-(it stays where a group has no other). Empty tables give no rows.
+Null counts as the empty text, so null, empty and all-space texts are one group. Ties go to the smallest
+doc_id, and a null doc_id comes last (it stays where a group has no other); repeated rows are members of
+their group like any other, and of rows that are equal in all this the first by place stays, so that
+exactly one row of a group is kept. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.rows import AT, FILE, numbered, only
 from corpusloom.llm.words import SPACE
 from corpusloom.session import write_table
 
@@ -131,95 +134,166 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [t or "" for t in batch["text"].to_pylist()]
         sums = [hashlib.sha256(t.encode().translate(None, SPACE)).digest() for t in texts]
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sums, pa.binary()), pa.array([len(t) for t in texts], pa.int64())], ["doc_id", "digest", "chars"])
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sums, pa.binary()), pa.array([len(t) for t in texts], pa.int64()), batch[FILE], batch[AT]], ["doc_id", "digest", "chars", FILE, AT])
+
+
+def _digested(every: DataFrame) -> DataFrame:
+    """doc_id, digest, chars, FILE, AT of numbered documents."""
+    return every.select(F.col("doc_id").cast("long").alias("doc_id"), "text", FILE, AT).mapInArrow(_digest, f"doc_id long, digest binary, chars long, {FILE} long, {AT} long")
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, digest binary (SHA-256 of the text without white space), chars (code points of the text as it is)."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_digest, "doc_id long, digest binary, chars long")
+    nowhere = F.lit(0).cast("long")
+    return _digested(docs.select("doc_id", "text", nowhere.alias(FILE), nowhere.alias(AT))).drop(FILE, AT)
+
+
+#: chars, doc_id, FILE, AT of a row.
+Row = tuple[int, int | None, int, int]
+
+
+def _order(row: Row) -> tuple:
+    """Sorts rows of one group, best last: more code points, then the smaller doc_id, then null, then the first place."""
+    chars, doc_id, file, at = row
+    return chars, doc_id is not None, -(doc_id or 0), -file, -at
 
 
-def _better(chars: int, doc_id: int | None) -> tuple:
-    """Sorts rows of one group: more code points, then the smaller doc_id, then null."""
-    return chars, doc_id is not None, -(doc_id or 0)
+_BEST = ("chars", "keep_id", FILE, AT)
+_GROUPS = f"digest binary, chars long, keep_id long, {FILE} long, {AT} long, group_size long"
 
 
-_PARTIAL = "digest binary, chars long, keep_id long, n long"
+def _as_batch(held: list[tuple[bytes, Row, int]]) -> pa.RecordBatch:
+    columns = [pa.array([r[k] for _, r, _ in held], pa.int64()) for k in range(4)]
+    return pa.RecordBatch.from_arrays([pa.array([d for d, _, _ in held], pa.binary()), *columns, pa.array([n for _, _, n in held], pa.int64())], ["digest", *_BEST, "group_size"])
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Equal digests of one batch as one row: its best row and their number."""
     for batch in batches:
-        held: dict[bytes, list[int]] = {}
-        columns = (batch[c].to_pylist() for c in ("digest", "chars", "doc_id"))
-        for digest, chars, doc_id in zip(*columns, strict=True):
+        held: dict[bytes, list] = {}
+        columns = (batch[c].to_pylist() for c in ("digest", "chars", "doc_id", FILE, AT))
+        for digest, *row in zip(*columns, strict=True):
             if (x := held.get(digest)) is None:
-                held[digest] = [chars, doc_id, 1]
+                held[digest] = [row, 1]
             else:
-                x[2] += 1
-                if _better(chars, doc_id) > _better(x[0], x[1]):
-                    x[:2] = chars, doc_id
-        chars, keep, n = (pa.array([x[k] for x in held.values()], pa.int64()) for k in range(3))
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), chars, keep, n], ["digest", "chars", "keep_id", "n"])
+                x[1] += 1
+                if _order(row) > _order(x[0]):
+                    x[0] = row
+        yield _as_batch([(d, row, n) for d, (row, n) in held.items()])
+
+
+def _flushed(index: CuckooIndex) -> Iterator[pa.RecordBatch]:
+    held = []
+    for digest, (row, n) in index.items():
+        held.append((digest, row, n))
+        if len(held) == 10_000:
+            yield _as_batch(held)
+            held = []
+    yield _as_batch(held)
 
 
 def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The live digests of the shards of one task, each with the row that stays and the size of its group."""
+    """The live digests of a task's shard, each with the row that stays and the size of its group."""
     index = CuckooIndex()
     for batch in batches:
-        for digest, chars, keep, n in zip(*(batch[c].to_pylist() for c in ("digest", "chars", "keep_id", "n")), strict=True):
+        for digest, *row, n in zip(*(batch[c].to_pylist() for c in ("digest", *_BEST, "group_size")), strict=True):
             entry = index.find(digest)
             if entry is None:
-                index.insert(digest, (chars, keep, n))
-                continue
-            was = entry[1]
-            best = max((chars, keep), was[:2], key=lambda x: _better(*x))
-            entry[1] = (*best, was[2] + n)
-    rows = list(index.items())
-    for at in range(0, len(rows), 10_000):
-        part = rows[at : at + 10_000]
-        yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in part], pa.binary()), pa.array([v[1] for _, v in part], pa.int64()), pa.array([v[2] for _, v in part], pa.int64())], ["digest", "keep_id", "group_size"])
+                index.insert(digest, (row, n))
+            else:
+                was, m = entry[1]
+                entry[1] = (max(row, was, key=_order), m + n)
+    yield from _flushed(index)
+
+
+def _shards(rows: DataFrame, per_shard: int) -> int:
+    """So many tasks that none meets more than about per_shard rows, and no fewer than Spark's shuffles have."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // per_shard))
 
 
 def groups(digested: DataFrame, per_shard: int = 200_000) -> DataFrame:
-    """digest, keep_id, group_size. per_shard: about how many rows one task's index may meet."""
-    spark = digested.sparkSession
-    n = digested.count()
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // per_shard))
-    return digested.mapInArrow(_summed, _PARTIAL).repartition(shards, "digest").mapInArrow(_indexed, "digest binary, keep_id long, group_size long")
+    """digest, the row that stays (chars, keep_id, FILE, AT), group_size. digested: doc_id, digest, chars, FILE, AT."""
+    return digested.mapInArrow(_summed, _GROUPS).repartition(_shards(digested, per_shard), "digest").mapInArrow(_indexed, _GROUPS)
+
+
+def _same_row(*sides: str) -> Column:
+    a, b = sides
+    return (F.col(f"{a}{FILE}") == F.col(f"{b}{FILE}")) & (F.col(f"{a}{AT}") == F.col(f"{b}{AT}"))
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
-    held = write_table(digests(docs), "exact-digests")
-    joined = held.join(groups(held), "digest")
-    return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    held = write_table(_digested(numbered(docs.select("doc_id", "text"))[1]), "exact-digests")
+    best = groups(held).select("digest", "keep_id", "group_size", F.col(FILE).alias(f"_best{FILE}"), F.col(AT).alias(f"_best{AT}"))
+    return held.join(best, "digest").select("doc_id", "keep_id", "group_size", _same_row("", "_best").alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def live_index(digested: DataFrame, shards: int) -> DataFrame:
-    """A stored index: shard, digest, keep_id, group_size, for apply_changes()."""
-    return groups(digested).withColumn("shard", F.pmod(F.xxhash64("digest"), F.lit(shards)).cast("int"))
+def keep_documents(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay, one of each group, with all columns of docs."""
+    docs, every = numbered(docs)
+    return only(every, groups(write_table(_digested(every), "exact-digests")))
 
 
-def apply_changes(index: DataFrame, inserted: DataFrame, deleted: DataFrame, shards: int) -> DataFrame:
-    """The live digests after insertions and deletions (each: digest). Columns: shard, digest.
+@dataclass
+class LiveIndex:
+    """digests: digest, keep_id, group_size. rows: digest, doc_id, chars, n, the live rows with their number; no task ever has all of one digest's."""
 
-    Deleting what is not live changes nothing; a digest that is deleted and inserted stays.
-    """
-    import pandas as pd
+    digests: DataFrame
+    rows: DataFrame
+
+
+_CHANGED = "digest binary, keep_id long, group_size long"
+
+
+def _counted(digested: DataFrame, name: str) -> DataFrame:
+    return digested.groupBy("digest", "doc_id", "chars").agg(F.count("*").alias(name))
 
-    marked = index.select("digest", F.lit(0).alias("what")).unionByName(deleted.select("digest", F.lit(1).alias("what")).distinct()).unionByName(inserted.select("digest", F.lit(2).alias("what")).distinct())
-    marked = marked.withColumn("shard", F.pmod(F.xxhash64("digest"), F.lit(shards)).cast("int"))
 
-    def change(pdf: pd.DataFrame) -> pd.DataFrame:
+def _best_of(rows: DataFrame) -> DataFrame:
+    """digest, keep_id, group_size of live rows."""
+    first = F.max(F.struct("chars", F.col("doc_id").isNotNull().alias("named"), (-F.col("doc_id")).alias("low")))
+    return rows.groupBy("digest").agg(first.alias("best"), F.sum("n").alias("group_size")).select("digest", (-F.col("best.low")).alias("keep_id"), "group_size")
+
+
+def live_index(digested: DataFrame) -> LiveIndex:
+    """A stored index of the rows of digests()."""
+    rows = write_table(_counted(digested, "n"), "exact-live-rows")
+    return LiveIndex(write_table(_best_of(rows), "exact-live"), rows)
+
+
+def apply_changes(index: LiveIndex, inserted: DataFrame, deleted: DataFrame, per_shard: int = 200_000) -> LiveIndex:
+    """The index after deletions and then insertions of rows (each: digests()).
+
+    A deletion takes away one live row of its digest, doc_id and chars; what is not live is not deleted. A digest
+    whose last row goes leaves the filter; where the row that stayed goes, the next best takes its place.
+    """
+    key = ["digest", "doc_id", "chars"]
+    parts = [index.rows.select(*key, F.col("n").alias("live"), F.lit(0).alias("gone"), F.lit(0).alias("came"))]
+    parts.append(_counted(deleted, "gone").select(*key, F.lit(0).alias("live"), "gone", F.lit(0).alias("came")))
+    parts.append(_counted(inserted, "came").select(*key, F.lit(0).alias("live"), F.lit(0).alias("gone"), "came"))
+    summed = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy(*key).agg(*(F.sum(c).alias(c) for c in ("live", "gone", "came")))
+    n = F.greatest(F.col("live") - F.col("gone"), F.lit(0)) + F.col("came")
+    rows = write_table(summed.select(*key, n.alias("n"), (n != F.col("live")).alias("changed")), "exact-live-rows")
+    touched = rows.where("changed").select("digest").distinct()
+    left = rows.where("n > 0").drop("changed")
+    now = _best_of(left.join(touched, "digest", "left_semi"))
+    changes = touched.join(now, "digest", "left").select("digest", "keep_id", F.coalesce("group_size", F.lit(0)).alias("group_size"), F.lit(True).alias("change"))
+    marked = write_table(index.digests.select("digest", "keep_id", "group_size", F.lit(False).alias("change")).unionByName(changes), "exact-changes")
+
+    def change(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         live = CuckooIndex()
-        for digest, what in pdf.sort_values("what")[["digest", "what"]].itertuples(index=False):
-            digest = bytes(digest)
-            if what == 1:
-                live.delete(digest)
-            elif live.find(digest) is None:
-                live.insert(digest, None)
-        kept = [d for d, _ in live.items()]
-        return pd.DataFrame({"shard": np.full(len(kept), pdf["shard"].iloc[0], np.int32), "digest": kept})
-
-    return marked.groupBy("shard").applyInPandas(change, "shard int, digest binary")
+        for batch in batches:  # a task's stored digests come before the changes
+            for digest, keep, size, new in zip(*(batch[c].to_pylist() for c in ("digest", "keep_id", "group_size", "change")), strict=True):
+                if new and not size:
+                    live.delete(digest)
+                elif (entry := live.find(digest)) is None:
+                    live.insert(digest, (keep, size))
+                else:
+                    entry[1] = (keep, size)
+        held = list(live.items())
+        for at in range(0, len(held), 10_000):
+            part = held[at : at + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in part], pa.binary()), *(pa.array([v[k] for _, v in part], pa.int64()) for k in range(2))], ["digest", "keep_id", "group_size"])
+
+    dealt = marked.repartition(_shards(marked, per_shard), "digest").sortWithinPartitions("change")
+    return LiveIndex(write_table(dealt.mapInArrow(change, _CHANGED), "exact-live"), left)

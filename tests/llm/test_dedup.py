@@ -43,11 +43,54 @@ def test_exact(spark):
 
 
 def test_live_index_changes(spark):
+    """Rows are deleted one by one: a digest is live as long as one row of it is."""
     d = exact_dedup.digests(frame(spark, ["a", "b", "c", "a"]))
-    index = exact_dedup.live_index(d, 2)
+    index = exact_dedup.live_index(d)
     gone, new = exact_dedup.digests(frame(spark, ["a", "zz"])), exact_dedup.digests(frame(spark, ["d", "b"]))
-    left = {bytes(r.digest) for r in exact_dedup.apply_changes(index, new, gone, 2).collect()}
-    assert left == {hashlib.sha256(x).digest() for x in (b"b", b"c", b"d")}
+
+    def content(index):
+        return {bytes(r.digest): (r.keep_id, r.group_size) for r in index.digests.collect()}
+
+    sha = {x: hashlib.sha256(x.encode()).digest() for x in "abcd"}
+    assert content(index) == {sha["a"]: (0, 2), sha["b"]: (1, 1), sha["c"]: (2, 1)}
+    index = exact_dedup.apply_changes(index, new, gone)
+    assert content(index) == {sha["a"]: (3, 1), sha["b"]: (1, 2), sha["c"]: (2, 1), sha["d"]: (0, 1)}
+    # Once more: row 0 of "a" is not live, so nothing goes; row 1 of "b" is there twice.
+    index = exact_dedup.apply_changes(index, exact_dedup.digests(frame(spark, [])), gone)
+    assert content(index)[sha["a"]] == (3, 1)
+    index = exact_dedup.apply_changes(index, exact_dedup.digests(frame(spark, [])), d)
+    assert content(index) == {sha["b"]: (1, 1), sha["d"]: (0, 1)}
+    assert content(exact_dedup.apply_changes(index, exact_dedup.digests(frame(spark, [])), new.unionByName(d))) == {}
+
+
+def test_live_index_against_brute_force(spark):
+    r = random.Random(5)
+    live = []
+    index = exact_dedup.live_index(exact_dedup.digests(frame(spark, [])))
+    for _ in range(3):
+        new = [(r.choice([None, 1, 2, 3, 4]), r.choice("xyz") + r.choice(["", " ", "  "])) for _ in range(30)]
+        old = [r.choice(live) for _ in range(12)] + [(9, "x")] if live else []
+        for x in old:
+            if x in live:
+                live.remove(x)
+        live += new
+        a, b = (exact_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string")) for rows in (new, old))
+        index = exact_dedup.apply_changes(index, a, b, per_shard=5)
+        want = {}
+        for i, t in live:
+            want.setdefault(hashlib.sha256(t.strip().encode()).digest(), []).append((len(t), i is not None, -(i or 0)))
+        got = {bytes(x.digest): (x.keep_id, x.group_size) for x in index.digests.collect()}
+        assert got == {k: (-max(v)[2] if max(v)[1] else None, len(v)) for k, v in want.items()}
+
+
+def test_exactly_one_row_of_a_group_stays(spark):
+    rows = [(1, "a b c"), (1, "a b c"), (1, "ab c"), (None, "zz"), (None, "zz"), (2, None), (2, ""), (3, "x" * 1_000_000), (4, "x" * 1_000_000)]
+    docs = spark.createDataFrame([(*x, True, 7, "k") for x in rows], "doc_id long, text string, kept boolean, keep_id int, digest string")
+    got = exact_dedup.exact_dedup(docs).collect()
+    assert len(got) == len(rows) and sorted((r.keep_id or -1, r.group_size) for r in got if r.kept) == [(-1, 2), (1, 3), (2, 2), (3, 2)]
+    kept = exact_dedup.keep_documents(docs)
+    assert kept.columns == docs.columns and sorted((r.doc_id or -1, (r.text or "")[:5]) for r in kept.collect()) == [(-1, "zz"), (1, "a b c"), (2, ""), (3, "xxxxx")]
+    assert exact_dedup.keep_documents(docs.where("false")).count() == 0
 
 
 def test_components(spark):
