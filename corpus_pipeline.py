@@ -1,25 +1,23 @@
 """A training-data pipeline over `documents`: each stage works on all that the one before it kept.
 
 Stages take (spark, docs, sf_dir) and return a DataFrame; run() writes each result as Parquet and
-hands the reread table on.
+hands the reread table on. Stages decide on rows and not on doc_ids, so of repeated rows each is judged,
+and the two dedup stages keep one row of a group, whatever doc_ids it has. Null texts count as empty; the
+quality rules drop these and all texts of under 20 words. Rows without a doc_id pass like others and come
+last where one of a group is chosen. Columns that documents may have besides pass all stages but the last,
+whatever their names. Texts are read whole, however long. An empty table gives no pieces.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from corpusloom.llm import exact_dedup, near_dedup, packing, quality_classifier, quality_rules
 from corpusloom.llm.queries import fold, table
 from corpusloom.session import ship, write_table
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in kept, with the columns that docs has."""
-    return docs.join(kept.select(F.col("doc_id").alias("_kept")).distinct(), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-
-
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, learnt from the labels outside its held-out third, does not reject."""
     ship(spark)
@@ -36,13 +34,13 @@ def keep_ruled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
     ship(spark)
-    return _only(docs, exact_dedup.exact_dedup(docs).where("kept"))
+    return exact_dedup.keep_documents(docs)
 
 
 def keep_unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, at five words and a similarity of 0.8."""
     ship(spark)
-    return _only(docs, near_dedup.near_duplicates(docs).where("kept"))
+    return near_dedup.keep_documents(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
