@@ -38,3 +38,29 @@ def test_stages(spark, tmp_path):
     rows = d.sort_values("doc_id").reset_index(drop=True)
     assert set(e.doc_id) == {rows.doc_id[root] for _, root in brute(list(rows.text), 5)}
     assert set(f.doc_id) == set(e.doc_id) and f.groupby("doc_id").length.sum().equals(f.groupby("doc_id").doc_tokens.first())
+
+
+def test_odd_documents(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, clashing names, an empty table."""
+    good = spark.read.parquet(f"{DATA}/documents.parquet").where("length(text) BETWEEN 500 AND 900").orderBy("doc_id").limit(12).toPandas()
+    fine = [r for r in good.itertuples(index=False) if base(r.text)[4] == 0]
+    a, b, c = fine[0].text, fine[1].text, fine[2].text
+    longest = " ".join(f"w{i}" for i in range(150_000))
+    rows = [(1, a), (1, a), (1, b), (2, " ".join(a.split())), (None, b), (None, c), (None, c + " "), (7, None), (8, ""), (9, longest), (10, longest + " more"), (None, None)]
+    docs = spark.createDataFrame([(*x, True, 1, "n", b"s", 0.1) for x in rows], "doc_id long, text string, kept boolean, _kept int, component_id string, sketch binary, score double")
+    stages = dict(P.STAGES)
+    assert stages["quality classifier"](spark, docs, DATA).columns == docs.columns
+    ruled = stages["quality rules"](spark, docs, DATA)
+    assert sorted((r.doc_id or 0, len(r.text)) for r in ruled.collect()) == sorted((i or 0, len(t)) for i, t in rows if t)
+    exact = stages["exact dedup"](spark, ruled, DATA)
+    assert exact.columns == docs.columns
+    got = sorted((r.doc_id or 0, len(r.text)) for r in exact.collect())
+    assert got == sorted([(1, len(a)), (1, len(b)), (0, len(c) + 1), (9, len(longest)), (10, len(longest) + 5)])
+    near = stages["minhash near-dedup"](spark, exact, DATA)
+    assert near.columns == docs.columns
+    assert sorted((r.doc_id or 0, len(r.text)) for r in near.collect()) == sorted([(1, len(a)), (1, len(b)), (0, len(c) + 1), (9, len(longest))])
+    pieces = stages["packing"](spark, near, DATA).toPandas()
+    assert pieces.length.sum() == pieces[pieces.start == 0].doc_tokens.sum() and (pieces.start == 0).sum() == 4
+    empty = docs.where("false")
+    for name, stage in P.STAGES:
+        assert stage(spark, empty, DATA).count() == 0, name
