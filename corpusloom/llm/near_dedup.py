@@ -1,9 +1,8 @@
 """Near-duplicates by a chosen-path set similarity join.
 
-Texts with the same shingle set are one class. Each class has minwise tokens: one for each of `BINS` bins
-in each of some rounds of hashing, where an empty bin borrows from another by a fixed order. `SKETCH` of
-them make a sketch of bytes; the others are dealt to the levels of the trees, so that no level sees a
-token that one above it has seen.
+Texts with the same shingle set are one class. Each class has minwise tokens, one for each of `BINS` bins
+of its hashes; an empty bin borrows from another by a fixed order. One bit of each makes a sketch, and the
+tokens are dealt to the levels of the trees, so that no level sees a token that one above it has seen.
 
 A tree's node is a path of chosen tokens: at a node, one coordinate of its level (and a second one for a
 share of the nodes) is picked by the node's own hash, by the tree's number at the root, and every class
@@ -12,7 +11,7 @@ that it stays together for ever in 0.41 of the trees, however deep they get, and
 least with probability 0.998; more above the threshold.
 
 A node is compared exhaustively, on sketches, once that takes at most SMALL / 2 comparisons for each of its
-classes. In larger ones every class is compared with the node's first, and all branch on. What has used
+classes, which is less work than to branch it. In larger ones every class is compared with one that the node's hash picks, and all branch on. What has used
 up the tokens of `POOLS` is a leaf: its classes are dealt to blocks of about `BLOCK`, and pairs of blocks
 are compared on the full sets, so that no node is one task and only links leave it.
 
@@ -41,20 +40,19 @@ from corpusloom.llm.rows import AT, FILE, numbered, only
 from corpusloom.llm.words import LOWER, mixed, shingle_hashes
 from corpusloom.session import drop_table, write_table
 
-TREES, GROWTH, SMALL, BLOCK = 12, 1.1, 64, 256
-SKETCH, BINS = 64, 64
+TREES, GROWTH, SMALL, BLOCK = 12, 1.1, 1024, 256
+BINS = 192
+#: 64-bit words of a sketch.
+WORDS = BINS // 64
 #: Tokens of each level of a tree. The root's are dealt to the trees, one as first and one as second coordinate.
 POOLS = (24,) * 4 + (8,) * 12
-#: Of SKETCH bytes, so many fewer than the threshold's share must agree: 3.5 standard deviations.
+#: So many standard deviations fewer bits than the threshold's share must agree.
 SLACK = 3.5
 #: Bits for each wanted row in the filter that thins the texts read again for confirmation, and its largest size: 32 MB.
 FILTER_SHARE, FILTER_BITS = 16, 1 << 28
 
-_ROUNDS = -(-(SKETCH + sum(POOLS)) // BINS)
-_rng = np.random.RandomState(20240229)
-_SEEDS = _rng.randint(0, 1 << 62, _ROUNDS).astype(np.uint64)
-#: For each bin the bins that it borrows from, itself first.
-_BORROW = np.stack([np.r_[b, _rng.permutation(np.delete(np.arange(BINS), b))] for b in range(BINS)])
+#: For each bin the bins that it borrows from at first; then its neighbours' turn comes.
+_BORROW = np.random.RandomState(20240229).randint(0, BINS, (BINS, 12))
 
 
 def _shingles(text: str | None, size: int) -> np.ndarray:
@@ -63,29 +61,41 @@ def _shingles(text: str | None, size: int) -> np.ndarray:
 
 
 def _filled(low: np.ndarray) -> np.ndarray:
-    """Rows of bins with the empty ones (the largest value) filled from the first of their order that is not."""
+    """Rows of bins with the empty ones (the largest value) filled from the first of their order that is not; none is empty as a whole."""
     empty = np.uint32(0xFFFFFFFF)
     out, rows = low.copy(), np.flatnonzero((low == empty).any(axis=1))
-    for k in range(1, BINS):
+    for k in range(_BORROW.shape[1]):
         if not len(rows):
-            break
+            return out
         part = out[rows]
         part = np.where(part == empty, low[rows][:, _BORROW[:, k]], part)
         out[rows] = part
         rows = rows[(part == empty).any(axis=1)]
+    # The nearest full bin before, round the end.
+    part = np.hstack([out[rows]] * 2)
+    at = np.maximum.accumulate(np.where(part != empty, np.arange(2 * BINS), 0), axis=1)[:, BINS:]
+    out[rows] = np.take_along_axis(part, at, axis=1)
     return out
 
 
 def _minwise(sets: list[np.ndarray]) -> np.ndarray:
-    """The minwise tokens of non-empty sets: a row for each."""
+    """The minwise tokens of non-empty sets of sorted hashes: a row for each. A hash's first bits say its bin."""
     hashes, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int64) * BINS, [len(s) for s in sets])
-    out = []
-    for seed in _SEEDS:
-        h = mixed(hashes ^ seed)
-        low = np.full(len(sets) * BINS, 0xFFFFFFFF, np.uint32)
-        np.minimum.at(low, owner + (h >> np.uint64(58)).astype(np.int64), h.astype(np.uint32))
-        out.append(_filled(low.reshape(len(sets), BINS)))
-    return mixed(np.hstack(out).astype(np.uint64))
+    place = owner + ((hashes >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
+    starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+    value = (hashes * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)).astype(np.uint32)
+    low = np.full(len(sets) * BINS, 0xFFFFFFFF, np.uint32)
+    low[place[starts]] = np.minimum.reduceat(value, starts)
+    return mixed(_filled(low.reshape(len(sets), BINS)).astype(np.uint64))
+
+
+def _sketch(tokens: np.ndarray) -> np.ndarray:
+    return np.packbits((tokens >> np.uint64(40) & np.uint64(1)).astype(np.uint8), axis=1)
+
+
+def _agreeing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bits in which sketches (rows of words) agree."""
+    return BINS - np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
 
 
 def _level(k: int) -> str:
@@ -111,9 +121,8 @@ def _profile(size: int):
             n += len(sets[k])
             if n > TOGETHER or last == len(full):
                 tokens = _minwise([sets[j] for j in held])
-                cut = np.cumsum([0, SKETCH, *pools])
-                for column, (a, b, kind) in enumerate(zip(cut, cut[1:], [np.uint8] + [np.uint16] * len(pools), strict=False)):
-                    rows = np.ascontiguousarray(tokens[:, a:b].astype(kind))
+                cut = np.cumsum([0, *pools])
+                for column, rows in enumerate([_sketch(tokens), *(np.ascontiguousarray(tokens[:, a:b].astype(np.uint16)) for a, b in zip(cut, cut[1:], strict=False))]):
                     for j, row in zip(held, rows, strict=True):
                         out[column][j] = row.tobytes()
                 held, n = [], 0
@@ -147,7 +156,7 @@ def _rows(got: list[tuple[np.ndarray, np.ndarray]], rep: np.ndarray, sketch: np.
     for at in range(0, len(node), 20_000):
         w = who[at : at + 20_000]
         s = np.ascontiguousarray(sketch[w])
-        held = pa.FixedSizeBinaryArray.from_buffers(pa.binary(SKETCH), len(s), [None, pa.py_buffer(s)]).cast(pa.binary())
+        held = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * WORDS), len(s), [None, pa.py_buffer(s)]).cast(pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(node[at : at + 20_000].view(np.int64)), pa.array(rep[w]), held], ["node", "rep", "sketch"])
 
 
@@ -169,7 +178,7 @@ def _plant(trees: int, share: float):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            tokens, rep, sketch = _matrix(batch[_level(0)], np.uint16, pool), batch["rep"].to_numpy(), _matrix(batch["sketch"], np.uint8, SKETCH)
+            tokens, rep, sketch = _matrix(batch[_level(0)], np.uint16, pool), batch["rep"].to_numpy(), _matrix(batch["sketch"], np.uint64, WORDS)
             for tree in range(trees):
                 root = np.full(len(rep), mixed(np.asarray([tree + 1]))[0])
                 first, second = np.full(len(rep), 2 * tree % pool), np.full(len(rep), (2 * tree + 1) % pool)
@@ -192,7 +201,7 @@ def _branch(level: int, share: float):
             first = u % np.uint64(pool)
             second = (first + np.uint64(1) + (u >> np.uint64(8)) % np.uint64(pool - 1)) % np.uint64(pool)
             got = _children(node, _matrix(batch[_level(level)], np.uint16, pool), first, second, share)
-            yield from _rows(got, batch["rep"].to_numpy(), _matrix(batch["sketch"], np.uint8, SKETCH))
+            yield from _rows(got, batch["rep"].to_numpy(), _matrix(batch["sketch"], np.uint64, WORDS))
 
     return branch
 
@@ -213,7 +222,7 @@ def _exhaustive(agree: int):
                 if held is not None:
                     yield _within(*held, agree)
                 return
-            now = (batch["node"].to_numpy(), batch["rep"].to_numpy(), batch["component"].to_numpy(), _matrix(batch["sketch"], np.uint8, SKETCH))
+            now = (batch["node"].to_numpy(), batch["rep"].to_numpy(), batch["component"].to_numpy(), _matrix(batch["sketch"], np.uint64, WORDS))
             every = now if held is None else tuple(np.concatenate(x) for x in zip(held, now, strict=True))
             begin = np.searchsorted(every[0], every[0][-1])  # the last node may go on in the next batch
             if begin:
@@ -226,18 +235,37 @@ def _exhaustive(agree: int):
     return compare
 
 
+#: Nodes of more classes are compared one by one.
+ALONE = 48
+
+
 def _within(node: np.ndarray, rep: np.ndarray, component: np.ndarray, sketch: np.ndarray, agree: int) -> pa.RecordBatch:
+    """Pairs of one node and different components whose sketches are alike enough."""
     left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    d = 1
-    same = np.arange(len(node) - 1)
+    starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+    sizes = np.diff(np.r_[starts, len(node)])
+    for at, n in zip(starts[sizes > ALONE].tolist(), sizes[sizes > ALONE].tolist(), strict=True):
+        order = at + np.argsort(component[at : at + n], kind="stable")
+        r, c, s = rep[order], component[order], np.ascontiguousarray(sketch[order].T)
+        ends = np.searchsorted(c, c, side="right")  # a class meets those of later components
+        for i in np.flatnonzero(ends < n).tolist():
+            e = ends[i]
+            apart = np.bitwise_count(s[0, e:] ^ s[0, i])
+            for word in s[1:]:
+                apart = apart + np.bitwise_count(word[e:] ^ word[i])
+            near = np.flatnonzero(apart <= BINS - agree)
+            if len(near):
+                right.append(r[e + near])
+                left.append(np.full(len(near), r[i]))
+    few = np.repeat(sizes <= ALONE, sizes)
+    node, rep, component, sketch = node[few], rep[few], component[few], sketch[few]
+    same, d = np.arange(max(0, len(node) - 1)), 1
     while len(same):
-        same = same[node[same] == node[np.minimum(same + d, len(node) - 1)]]
+        same = same[node[same] == node[same + d]]
         i = same[component[same] != component[same + d]]
-        for at in range(0, len(i), 50_000):
-            k = i[at : at + 50_000]
-            k = k[(sketch[k] == sketch[k + d]).sum(axis=1) >= agree]
-            left.append(rep[k])
-            right.append(rep[k + d])
+        i = i[_agreeing(sketch[i], sketch[i + d]) >= agree]
+        left.append(rep[i])
+        right.append(rep[i + d])
         d += 1
         same = same[same + d < len(node)]
     return _pairs(left, right)
@@ -247,7 +275,7 @@ def _star(agree: int):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                near = (_matrix(batch["sketch"], np.uint8, SKETCH) == _matrix(batch["head_sketch"], np.uint8, SKETCH)).sum(axis=1) >= agree
+                near = _agreeing(_matrix(batch["sketch"], np.uint64, WORDS), _matrix(batch["head_sketch"], np.uint64, WORDS)) >= agree
                 yield _pairs([batch["rep"].to_numpy()[near]], [batch["head"].to_numpy()[near]])
 
     return compare
@@ -371,7 +399,7 @@ def _leaves(rows: DataFrame, percent: int, agree: int) -> DataFrame:
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         one, two = int(pdf["one"].iloc[0]), int(pdf["two"].iloc[0])
         rep, comp, block = pdf["rep"].to_numpy(), pdf["component"].to_numpy(), pdf["block"].to_numpy()
-        sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(-1, SKETCH)
+        sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint64).reshape(-1, WORDS)
         sets = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
         left, right = np.flatnonzero(block == one), np.flatnonzero(block == two)
         root = {c: c for c in comp.tolist()}
@@ -384,7 +412,7 @@ def _leaves(rows: DataFrame, percent: int, agree: int) -> DataFrame:
 
         a, b = [], []
         for i in left.tolist():
-            near = right[((sketch[right] == sketch[i]).sum(axis=1) >= agree) & (comp[right] != comp[i])]
+            near = right[(_agreeing(sketch[right], sketch[i]) >= agree) & (comp[right] != comp[i])]
             for j in near[near > i].tolist() if one == two else near.tolist():
                 x, y = find(int(comp[i])), find(int(comp[j]))
                 if x != y and _linked(sets[i], sets[j], percent):
@@ -399,47 +427,42 @@ def _leaves(rows: DataFrame, percent: int, agree: int) -> DataFrame:
     return rows.groupBy("node", "one", "two").applyInPandas(compare, "a long, b long")
 
 
-def _joined(docs: DataFrame, shingle: int, percent: int, trees: int) -> tuple[DataFrame, DataFrame | None]:
-    """docs: doc_id, text, FILE, AT.
-
-    (members: doc_id, FILE, AT, rep or null, n_shingles, first; components: node, component, first, or None if
-    there is no link). first is the row of a class or component that comes first: struct of whether its doc_id is null, doc_id, FILE, AT.
-    """
-    share = GROWTH * 100 / percent - 1
-    agree = max(1, int(SKETCH * percent / 100 - SLACK * (SKETCH * percent / 100 * (1 - percent / 100)) ** 0.5))
+def _joined(docs: DataFrame, shingle: int, percent: int, trees: int) -> DataFrame:
+    """docs: doc_id, text, FILE, AT. doc_id, FILE, AT, n_shingles, first_id (the smallest doc_id of the row's component), component (null without shingles)."""
+    share, alike = GROWTH * 100 / percent - 1, (1 + percent / 100) / 2  # equal tokens agree in their bit, others in half of the cases
+    agree = max(1, int(BINS * alike - SLACK * (BINS * alike * (1 - alike)) ** 0.5))
     profiles = write_table(_profiles(docs, shingle).withColumn("row", F.monotonically_increasing_id()), "near-profiles")
-    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", FILE, AT)
     # A class is named after one of its rows.
-    classes = profiles.where("n_shingles > 0").groupBy("set_key").agg(F.min("row").alias("rep"), F.min(order).alias("first"))
+    classes = write_table(profiles.where("n_shingles > 0").groupBy("set_key").agg(F.min("row").alias("rep"), F.min("doc_id").alias("first_id")), "near-classes")
     tokens = [F.when(F.col("row") == F.col("rep"), F.col(c)).alias(c) for c in ("sketch", *_LEVELS)]
-    members = write_table(profiles.where("n_shingles > 0").join(classes, "set_key").select("doc_id", FILE, AT, "rep", "row", "n_shingles", "first", *tokens), "near-members")
+    members = write_table(profiles.where("n_shingles > 0").join(classes, "set_key").select("doc_id", FILE, AT, "rep", "row", "n_shingles", "first_id", *tokens), "near-members")
     reps = members.where("row = rep")
     found = _Links(docs, reps, shingle, percent)
 
     active = write_table(reps.select("rep", "sketch", _level(0)).mapInArrow(_plant(trees, share), _NODES), "near-nodes")
-    waiting: DataFrame | None = None
+    picked = F.min_by("rep", F.xxhash64("node", "rep"))
     for level in range(1, len(POOLS) + 1):
-        known = write_table(found.with_component(active), "near-known")
+        known = found.with_component(active)
+        if found.components is None:
+            sizes = known.groupBy("node").agg(F.count("*").alias("n"), picked.alias("head")).withColumns({"square": F.col("n"), "head_component": F.col("head"), "parts": F.col("n")})
+        else:
+            known = write_table(known, "near-known")
+            drop_table(active)
+            active = known
+            parts = known.groupBy("node", "component").agg(F.count("*").alias("c"), picked.alias("head"))
+            sizes = parts.groupBy("node").agg(F.sum("c").alias("n"), F.min_by("head", F.xxhash64("node", "head")).alias("head"), F.sum(F.col("c") * F.col("c")).alias("square"), F.min_by("component", F.xxhash64("node", "head")).alias("head_component"), F.count("*").alias("parts"))
+        open_nodes = sizes.where("parts > 1").select("node", "head", "head_component", ((F.col("n") * F.col("n") - F.col("square")) > SMALL * F.col("n")).alias("large"), "n")
+        live = write_table(known.join(open_nodes, "node").select("node", "rep", "component", "sketch", "n", "large", "head", "head_component"), "near-live")
         drop_table(active)
-        parts = known.groupBy("node", "component").agg(F.count("*").alias("c"), F.min("rep").alias("head"))
-        sizes = parts.groupBy("node").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("square"), F.min("head").alias("head"), F.min_by("component", "head").alias("head_component"), F.count("*").alias("parts"))
-        open_nodes = sizes.where("parts > 1").withColumn("large", (F.col("n") * F.col("n") - F.col("square")) > SMALL * F.col("n"))
-        sketches = reps.select(F.col("rep").alias("head"), F.col("sketch").alias("head_sketch"))
-        open_nodes = open_nodes.where("NOT large").withColumn("head_sketch", F.lit(None).cast("binary")).unionByName(open_nodes.where("large").join(sketches, "head"), allowMissingColumns=True)
-        live = write_table(known.join(open_nodes, "node").select("node", "rep", "component", "sketch", "n", "large", "head", "head_component", "head_sketch"), "near-live")
-        drop_table(known)
         large = live.where("large")
         small = live.where("NOT large").select("node", "rep", "component", "sketch").repartition("node").sortWithinPartitions("node", "rep")
         candidates = small.mapInArrow(_exhaustive(agree), "a long, b long")
         rest = not large.isEmpty()
         if rest:
-            candidates = candidates.unionByName(large.where("component <> head_component").select("rep", "head", "sketch", "head_sketch").mapInArrow(_star(agree), "a long, b long"))
-        candidates = write_table(candidates.distinct(), "near-candidates")
-        waiting = candidates if waiting is None else waiting.unionByName(candidates)
-        # Texts are read again after the first level and then ever more seldom.
-        if not rest or level & (level - 1) == 0 or level == len(POOLS):
-            found.confirm(waiting)
-            waiting = None
+            heads = large.where("rep = head").select("head", F.col("sketch").alias("head_sketch")).dropDuplicates(["head"])
+            star = large.where("component <> head_component").select("rep", "head", "sketch").join(heads, "head")
+            candidates = candidates.unionByName(star.mapInArrow(_star(agree), "a long, b long"))
+        found.confirm(candidates)
         if not rest:
             break
         if level == len(POOLS):
@@ -450,23 +473,16 @@ def _joined(docs: DataFrame, shingle: int, percent: int, trees: int) -> tuple[Da
         active = write_table(large.select("node", "rep").join(reps.select("rep", "sketch", _level(level)), "rep").mapInArrow(_branch(level, share), _NODES), "near-nodes")
         drop_table(live)
 
-    every = members.select("doc_id", FILE, AT, "rep", "n_shingles", "first")
-    bare = profiles.where("n_shingles = 0").select("doc_id", FILE, AT, F.lit(None).cast("long").alias("rep"), "n_shingles", order.alias("first"))
-    every = every.unionByName(bare)
+    every = members.select("doc_id", FILE, AT, "rep", "n_shingles", "first_id")
+    bare = profiles.where("n_shingles = 0").select("doc_id", FILE, AT, F.lit(None).cast("long").alias("rep"), "n_shingles", F.col("doc_id").alias("first_id"))
     if found.components is None:
-        return every, None
-    named = found.components.join(reps.select(F.col("rep").alias("node"), "first"), "node")
-    firsts = named.groupBy("component").agg(F.min("first").alias("first"))
-    return every, found.components.join(firsts, "component").select("node", F.col("first").alias("component_first"))
-
-
-def _rows_with_first(docs: DataFrame, shingle: int, percent: int, trees: int) -> DataFrame:
-    """doc_id, FILE, AT, n_shingles, first: the first row of each row's component."""
-    members, components = _joined(docs, shingle, percent, trees)
-    if components is None:
-        return members
-    joined = members.join(components, F.col("rep") == F.col("node"), "left")
-    return joined.select("doc_id", FILE, AT, "n_shingles", F.coalesce("component_first", "first").alias("first"))
+        return every.withColumn("component", F.col("rep")).unionByName(bare.withColumn("component", F.lit(None).cast("long"))).drop("rep")
+    named = found.components.join(reps.select(F.col("rep").alias("node"), "first_id"), "node")
+    firsts = named.groupBy("component").agg(F.min("first_id").alias("component_first"))
+    linked = write_table(found.components.join(firsts, "component"), "near-components")
+    out = every.unionByName(bare).join(linked, F.col("rep") == F.col("node"), "left")
+    named = F.when(F.col("node").isNotNull(), F.col("component_first")).otherwise(F.col("first_id"))
+    return out.select("doc_id", FILE, AT, "n_shingles", named.alias("first_id"), F.coalesce("component", "rep").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, trees: int = TREES) -> DataFrame:
@@ -475,8 +491,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, trees:
     Texts are linked at 100 * |intersection| >= percent * |union| of their `shingle`-word sets. percent: 60 to 100.
     """
     every = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))[1]
-    found = _rows_with_first(every.where("doc_id IS NOT NULL"), shingle, percent, trees)
-    out = found.select("doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"))
+    found = _joined(every.where("doc_id IS NOT NULL"), shingle, percent, trees)
+    out = found.select("doc_id", "n_shingles", F.col("first_id").alias("component_id"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -491,7 +507,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, trees:
 def keep_documents(docs: DataFrame, shingle: int = 5, percent: int = 80, trees: int = TREES) -> DataFrame:
     """The first row of each component of docs, by doc_id, rows without one last, then by place; with all columns of docs."""
     docs, every = numbered(docs)
-    found = _rows_with_first(every.select(F.col("doc_id").cast("long").alias("doc_id"), "text", FILE, AT), shingle, percent, trees)
-    # A text without shingles is linked with nothing and is the first of its own.
-    kept = found.where((F.col(FILE) == F.col(f"first.{FILE}")) & (F.col(AT) == F.col(f"first.{AT}")))
+    found = _joined(every.select(F.col("doc_id").cast("long").alias("doc_id"), "text", FILE, AT), shingle, percent, trees)
+    # A text without shingles is linked with nothing; of several rows of a first doc_id the first by place stays.
+    first = found.where(F.col("component").isNotNull() & F.col("doc_id").eqNullSafe(F.col("first_id")))
+    place = F.min(F.struct(FILE, AT)).alias("place")
+    kept = first.groupBy("component").agg(place).select("place.*").unionByName(found.where("component IS NULL").select(FILE, AT))
     return only(every, kept)
