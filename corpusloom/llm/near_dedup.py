@@ -10,14 +10,16 @@ goes on to the child of its token there. At the threshold a pair shares `GROWTH`
 that it stays together for ever in 0.41 of the trees, however deep they get, and in one of `TREES` trees at
 least with probability 0.998; more above the threshold.
 
-A node is compared exhaustively, on sketches, once that takes at most SMALL / 2 comparisons for each of its
-classes, which is less work than to branch it. In larger ones every class is compared with one that the node's hash picks, and all branch on. What has used
-up the tokens of `POOLS` is a leaf: its classes are dealt to blocks of about `BLOCK`, and pairs of blocks
-are compared on the full sets, so that no node is one task and only links leave it.
+Classes of a node are compared unless they are connected already. Where that takes at most FEW / 2 comparisons
+for each class, all are compared on sketches. Below the first level, where nodes share several tokens, nodes of
+up to MANY / 2 comparisons for each class are compared on the full sets: classes are dealt to blocks, pairs of
+blocks are compared, so that no node is one task, and only links leave a task, a forest of them. In other nodes every class is
+compared with one that the node's hash picks, and all branch on. What has used up the tokens of `POOLS` is a
+leaf and is compared by blocks, too, however large it is.
 
 Candidates are confirmed on the full sets. What links already connect is not compared again, and a node
 whose classes are all connected is done, so a large group of near copies costs a star of links and not
-all its pairs. These two rules hold at every size of the input.
+all its pairs. All these rules hold at every size of the input.
 
 Null, empty and all-space texts have no shingles and are linked with nothing. Rows whose doc_id is null are
 linked with nothing by near_duplicates(), which keeps them with a null component_id; keep_documents() tells
@@ -40,7 +42,9 @@ from corpusloom.llm.rows import AT, FILE, numbered, only
 from corpusloom.llm.words import LOWER, mixed, shingle_hashes
 from corpusloom.session import drop_table, write_table
 
-TREES, GROWTH, SMALL, BLOCK = 12, 1.1, 1024, 256
+TREES, GROWTH, FEW, MANY = 12, 1.1, 64, 1024
+#: Classes of a block, and shingles of all of them.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 BINS = 192
 #: 64-bit words of a sketch.
 WORDS = BINS // 64
@@ -392,15 +396,30 @@ class _Links:
         return rows.join(self.components.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
 
-def _leaves(rows: DataFrame, percent: int, agree: int) -> DataFrame:
-    """Links between the classes of each node that are not connected yet. rows: node, n, rep, component, sketch, shingles."""
+def _in_blocks(found: _Links, nodes: DataFrame, percent: int, agree: int) -> DataFrame:
+    """Links between the classes of each node that are not connected yet, by blocks and on full sets. nodes: node, rep, sketch.
+
+    Two classes that meet in several of the nodes are compared in the first of these.
+    """
     import pandas as pd
 
+    held = write_table(found.with_component(nodes).join(found.reps.select("rep", "n_shingles"), "rep"), "near-blocks")
+    sizes = held.groupBy("node").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"), F.min("component").alias("low"), F.max("component").alias("high"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    rows = write_table(held.join(sizes.where("low < high").select("node", blocks.alias("blocks")), "node"), "near-blocks")
+    drop_table(held)
+    # A class is in as many nodes as trees and branches lead to, however large these are.
+    shared = rows.groupBy("rep").agg(F.sort_array(F.collect_set("node")).alias("nodes"))
+    full = found.sets_of(rows.select("rep").distinct())
+
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        one, two = int(pdf["one"].iloc[0]), int(pdf["two"].iloc[0])
+        here, one, two = int(pdf["node"].iloc[0]), int(pdf["one"].iloc[0]), int(pdf["two"].iloc[0])
         rep, comp, block = pdf["rep"].to_numpy(), pdf["component"].to_numpy(), pdf["block"].to_numpy()
         sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint64).reshape(-1, WORDS)
         sets = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
+        nodes = np.full((len(pdf), max(map(len, pdf["nodes"]))), np.iinfo(np.int64).max)
+        for k, x in enumerate(pdf["nodes"]):
+            nodes[k, : len(x)] = x
         left, right = np.flatnonzero(block == one), np.flatnonzero(block == two)
         root = {c: c for c in comp.tolist()}
 
@@ -412,8 +431,13 @@ def _leaves(rows: DataFrame, percent: int, agree: int) -> DataFrame:
 
         a, b = [], []
         for i in left.tolist():
-            near = right[(_agreeing(sketch[right], sketch[i]) >= agree) & (comp[right] != comp[i])]
-            for j in near[near > i].tolist() if one == two else near.tolist():
+            near = right[(right > i) & (comp[right] != comp[i])] if one == two else right[comp[right] != comp[i]]
+            near = near[_agreeing(sketch[near], sketch[i]) >= agree]
+            if not len(near):
+                continue
+            before = nodes[i][nodes[i] < here]
+            near = near[~np.isin(nodes[near], before).any(axis=1)]
+            for j in near.tolist():
                 x, y = find(int(comp[i])), find(int(comp[j]))
                 if x != y and _linked(sets[i], sets[j], percent):
                     root[max(x, y)] = min(x, y)
@@ -421,10 +445,9 @@ def _leaves(rows: DataFrame, percent: int, agree: int) -> DataFrame:
                     b.append(max(rep[i], rep[j]))
         return pd.DataFrame({"a": np.asarray(a, np.int64), "b": np.asarray(b, np.int64)})
 
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.withColumn("one", F.least("block", "to")).withColumn("two", F.greatest("block", "to"))
-    return rows.groupBy("node", "one", "two").applyInPandas(compare, "a long, b long")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("one", F.least("block", "to")).withColumn("two", F.greatest("block", "to")).drop("to", "blocks", "n_shingles")
+    return rows.join(shared, "rep").join(full, "rep").groupBy("node", "one", "two").applyInPandas(compare, "a long, b long")
 
 
 def _joined(docs: DataFrame, shingle: int, percent: int, trees: int) -> DataFrame:
@@ -451,24 +474,24 @@ def _joined(docs: DataFrame, shingle: int, percent: int, trees: int) -> DataFram
             active = known
             parts = known.groupBy("node", "component").agg(F.count("*").alias("c"), picked.alias("head"))
             sizes = parts.groupBy("node").agg(F.sum("c").alias("n"), F.min_by("head", F.xxhash64("node", "head")).alias("head"), F.sum(F.col("c") * F.col("c")).alias("square"), F.min_by("component", F.xxhash64("node", "head")).alias("head_component"), F.count("*").alias("parts"))
-        open_nodes = sizes.where("parts > 1").select("node", "head", "head_component", ((F.col("n") * F.col("n") - F.col("square")) > SMALL * F.col("n")).alias("large"), "n")
-        live = write_table(known.join(open_nodes, "node").select("node", "rep", "component", "sketch", "n", "large", "head", "head_component"), "near-live")
+        work = F.col("n") * F.col("n") - F.col("square")
+        kind = F.when(work <= FEW * F.col("n"), "small").when((work <= MANY * F.col("n")) & (level > 1), "dense").otherwise("large")
+        open_nodes = sizes.where("parts > 1").select("node", "head", "head_component", kind.alias("kind"))
+        live = write_table(known.join(open_nodes, "node").select("node", "rep", "component", "sketch", "kind", "head", "head_component"), "near-live")
         drop_table(active)
-        large = live.where("large")
-        small = live.where("NOT large").select("node", "rep", "component", "sketch").repartition("node").sortWithinPartitions("node", "rep")
+        large, kinds = live.where("kind = 'large'"), {r.kind for r in live.select("kind").distinct().collect()}
+        small = live.where("kind = 'small'").select("node", "rep", "component", "sketch").repartition("node").sortWithinPartitions("node", "rep")
         candidates = small.mapInArrow(_exhaustive(agree), "a long, b long")
-        rest = not large.isEmpty()
-        if rest:
+        if "large" in kinds:
             heads = large.where("rep = head").select("head", F.col("sketch").alias("head_sketch")).dropDuplicates(["head"])
             star = large.where("component <> head_component").select("rep", "head", "sketch").join(heads, "head")
             candidates = candidates.unionByName(star.mapInArrow(_star(agree), "a long, b long"))
         found.confirm(candidates)
-        if not rest:
-            break
-        if level == len(POOLS):
-            leaf = found.with_component(large.select("node", "rep", "sketch", "n"))
-            ids = leaf.select("rep").distinct()
-            found.add(write_table(_leaves(leaf.join(found.sets_of(ids), "rep"), percent, agree), "near-links"))
+        last = level == len(POOLS)
+        if "dense" in kinds or ("large" in kinds and last):
+            dense = live.where("kind = 'dense' OR kind = 'large'") if last else live.where("kind = 'dense'")
+            found.add(write_table(_in_blocks(found, dense.select("node", "rep", "sketch"), percent, agree), "near-links"))
+        if "large" not in kinds or last:
             break
         active = write_table(large.select("node", "rep").join(reps.select("rep", "sketch", _level(level)), "rep").mapInArrow(_branch(level, share), _NODES), "near-nodes")
         drop_table(live)

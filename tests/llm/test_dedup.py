@@ -177,12 +177,13 @@ def test_near_branches_deep_and_compares_leaves_by_blocks(spark, monkeypatch):
     texts = dense(random.Random(11))
     want = brute(texts, 2)
     seen = []
-    whole = near_dedup._leaves
-    monkeypatch.setattr(near_dedup, "_leaves", lambda rows, *a: seen.append(rows.count()) or whole(rows, *a))
-    for pools, small, block in (((24, 8, 8, 8, 8, 8), 4, 256), ((24, 8), 4, 16), ((24,), 2, 16)):
+    whole = near_dedup._in_blocks
+    monkeypatch.setattr(near_dedup, "_in_blocks", lambda found, rows, *a: seen.append(rows.count()) or whole(found, rows, *a))
+    for pools, few, many, block in (((24, 8, 8, 8, 8, 8), 4, 4, 256), ((24, 8), 4, 4, 16), ((24,), 2, 2, 16), ((24, 8, 8, 8), 4, 16, 7)):
         monkeypatch.setattr(near_dedup, "POOLS", pools)
         monkeypatch.setattr(near_dedup, "_LEVELS", [near_dedup._level(k) for k in range(len(pools))])
-        monkeypatch.setattr(near_dedup, "SMALL", small)
+        monkeypatch.setattr(near_dedup, "FEW", few)
+        monkeypatch.setattr(near_dedup, "MANY", many)
         monkeypatch.setattr(near_dedup, "BLOCK", block)
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(frame(spark, texts), shingle=2).collect()}
         # Two in a thousand links at the threshold may be lost; no text may be linked that must not be.
