@@ -23,11 +23,37 @@ class ChunkConfig:
             raise ValueError("max_chars must be positive and overlap_chars from 0 to less than it")
 
 
+def _bound(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def windows(length: Column, config: ChunkConfig) -> Column:
     """array<struct<start, end>>: windows of max_chars that overlap, up to the first that reaches the end."""
     size, step = config.max_chars, config.max_chars - config.overlap_chars
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(length - 1, F.lit(0)), F.lit(step)), lambda s: (s == 0) | (s - step + size < length))
-    return F.transform(starts, lambda s: F.struct(s.cast("int").alias("start"), F.least(s + size, length).cast("int").alias("end")))
+    last = F.greatest(F.ceil((length - size) / step), F.lit(0)).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.struct((i * step).alias("start"), F.least(i * step + size, length).cast("int").alias("end")))
+
+
+def text_windows(text: Column, config: ChunkConfig) -> Column:
+    """array<struct<start, end, text>>: the windows of a text.
+
+    One pass cuts the text into pieces of a step; a window is some of these and the front of the next, so work grows with the text.
+    """
+    size, step = config.max_chars, config.max_chars - config.overlap_chars
+    whole, rest = divmod(size, step)
+
+    def of(held: Column) -> Column:
+        def window(w: Column) -> Column:
+            i = (w.start / step).cast("int")
+            front = F.array_join(F.slice(held.pieces, i + 1, whole), "")
+            more = F.substring(F.coalesce(F.try_element_at(held.pieces, i + 1 + whole), F.lit("")), F.lit(1), F.lit(rest))
+            return F.struct(w.start.alias("start"), w.end.alias("end"), F.concat(front, more).alias("text"))
+
+        return F.transform(windows(held.n, config), window)
+
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    return _bound(F.struct(F.char_length(text).alias("n"), pieces.alias("pieces")), of)
 
 
 def blocks(content: Column, sections: Column) -> Column:
@@ -43,12 +69,12 @@ def blocks(content: Column, sections: Column) -> Column:
 
     found = F.aggregate(sections, start, step, lambda held: held.found)
     whole = F.array(F.struct(F.array().cast("array<string>").alias("path"), content.alias("text"), F.lit(0).alias("at")))
-    return F.when(F.size(found) > 0, found).otherwise(whole)
+    return _bound(found, lambda held: F.when(F.size(held) > 0, held).otherwise(whole))
 
 
 def chunk(docs: DataFrame, config: ChunkConfig) -> DataFrame:
     """Columns of docs: identifier, document_type, nature, content, sections, metadata. Blank contents give no chunk."""
-    spans = F.flatten(F.transform(F.col("blocks"), lambda b: F.transform(windows(F.char_length(b.text), config), lambda w: F.struct(b.path.alias("tag_path"), F.substring(b.text, w.start + 1, w.end - w.start).alias("text"), (b.at + w.start).alias("char_start"), (b.at + w.end).alias("char_end")))))
+    spans = F.flatten(F.transform(F.col("blocks"), lambda b: F.transform(text_windows(b.text, config), lambda w: F.struct(b.path.alias("tag_path"), w.text.alias("text"), (b.at + w.start).alias("char_start"), (b.at + w.end).alias("char_end")))))
     kept = docs.where(T.strip(F.col("content")) != "").withColumn("blocks", blocks(F.col("content"), F.col("sections")))
     out = kept.select("identifier", "document_type", "nature", "metadata", F.posexplode(spans).alias("ordinal", "span"))
     return out.select(T.chunk_id(F.col("identifier"), F.col("ordinal")).alias("chunk_id"), F.col("identifier").alias("parent_identifier"), "document_type", "nature", "ordinal", "span.text", "span.tag_path", "span.char_start", "span.char_end", "metadata")

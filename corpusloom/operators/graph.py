@@ -138,7 +138,11 @@ def overlaid(low: Column, high: Column) -> Column:
 
 
 def merge_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Nodes by identifier; new properties are laid over old ones and none is cleared."""
+    """Nodes by identifier; new properties are laid over old ones and none is cleared. Of repeated new nodes the later one by label and properties wins, key by key."""
+    given = new.select("identifier", "label", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("props")))).alias("_order"), F.explode_outer("props").alias("k", "v"))
+    last = given.groupBy("identifier", "k").agg(F.max_by("v", F.struct("label", "_order")).alias("v"), F.max("label").alias("label"))
+    entries = F.filter(F.collect_list(F.struct("k", "v")), lambda e: e.k.isNotNull())
+    new = last.groupBy("identifier").agg(F.max("label").alias("label"), F.map_from_entries(entries).alias("props"))
     both = old.withColumnRenamed("props", "_old").withColumnRenamed("label", "_label").join(new, "identifier", "full_outer")
     empty = F.create_map().cast("map<string,string>")
     return both.select("identifier", F.coalesce("label", "_label").alias("label"), overlaid(F.coalesce("_old", empty), F.coalesce("props", empty)).alias("props"))

@@ -65,7 +65,7 @@ def checked(points: DataFrame) -> DataFrame:
 
 def parents(documents: DataFrame, found: DataFrame) -> DataFrame:
     """identifier, title, content of the found passages' documents."""
-    return documents.join(F.broadcast(found.select("identifier").distinct()), "identifier", "left_semi").select("identifier", "title", "content")
+    return documents.join(found.select("identifier").distinct(), "identifier", "left_semi").select("identifier", "title", "content")
 
 
 def passages(found: DataFrame, documents: DataFrame) -> DataFrame:
@@ -84,10 +84,10 @@ def source_parts(cut: DataFrame) -> DataFrame:
     return both.orderBy("rank", "step").drop("step")
 
 
-def context_text(cut: DataFrame) -> DataFrame:
-    """One row, context: '[n] title' and text of each passage in rank order, or a fixed sentence."""
+def context_text(cut: DataFrame, *by: str) -> DataFrame:
+    """context: '[n] title' and text of each passage in rank order; one row for each question (`by`), else one for the few passages of a single answer, or a fixed sentence."""
     lines = F.transform(F.array_sort(F.collect_list(F.struct("rank", "title", "text"))), lambda p: F.concat(F.lit("["), p.rank.cast("string"), F.lit("] "), p.title, F.lit("\n"), p.text))
-    return cut.agg(F.when(F.count("*") > 0, F.array_join(lines, "\n\n")).otherwise(F.lit(NO_CONTEXT)).alias("context"))
+    return cut.groupBy(*by).agg(F.when(F.count("*") > 0, F.array_join(lines, "\n\n")).otherwise(F.lit(NO_CONTEXT)).alias("context"))
 
 
 def prompt(system: str, context: Column, question: Column) -> Column:

@@ -17,7 +17,7 @@ META_TABLES = ("run_summaries",)
 
 
 class Store:
-    """Named tables below one root. `publish` moves all staged tables in by replacing one small manifest, so a run is seen whole or not at all."""
+    """Named tables below one root. `publish` writes one small manifest under the next number, by a rename, and readers take the highest, so a run is seen whole or not at all, wherever it stops. Older manifests stay."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
@@ -28,11 +28,27 @@ class Store:
         path = jvm.org.apache.hadoop.fs.Path(self.root)
         return jvm, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def manifest(self) -> dict[str, str]:
+    def _number(self) -> int:
+        """Of the newest manifest; 0 if there is none."""
         jvm, fs = self._fs()
-        if not fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest.json")):
+        found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest-*.json"))
+        return max((int(f.getPath().getName()[9:-5]) for f in found or []), default=0)
+
+    def manifest(self) -> dict[str, str]:
+        newest = self._number()
+        if not newest:
             return {}
-        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.root}/manifest.json").collect()))
+        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.root}/manifest-{newest}.json").collect()))
+
+    def _replace(self, tables: dict[str, str]) -> None:
+        jvm, fs = self._fs()
+        number = self._number() + 1
+        temporary = jvm.org.apache.hadoop.fs.Path(f"{self.root}/.manifest-{uuid.uuid4().hex}")
+        out = fs.create(temporary, True)
+        out.write(bytearray(json.dumps(tables).encode()))
+        out.close()
+        if not fs.rename(temporary, jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest-{number}.json")):
+            raise RuntimeError(f"another run has published manifest {number}")
 
     def exists(self, name: str) -> bool:
         return name in self.manifest()
@@ -49,14 +65,7 @@ class Store:
         return self.spark.read.schema(df.schema).parquet(at)
 
     def publish(self) -> None:
-        jvm, fs = self._fs()
-        made = jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest.json")
-        temporary = jvm.org.apache.hadoop.fs.Path(f"{self.root}/.manifest-{uuid.uuid4().hex}")
-        out = fs.create(temporary, True)
-        out.write(bytearray(json.dumps(self.manifest() | self.staged).encode()))
-        out.close()
-        fs.delete(made, False)
-        fs.rename(temporary, made)
+        self._replace(self.manifest() | self.staged)
         self.staged = {}
 
     def discard(self) -> None:
@@ -67,25 +76,29 @@ class Store:
         self.staged = {}
 
     def wipe(self) -> None:
-        """Drop the data tables; the run summaries stay."""
-        held = {k: v for k, v in self.manifest().items() if k in META_TABLES}
+        """Drop the data tables; the run summaries stay. The manifest goes first, so that it never names what is not there."""
+        self._replace({k: v for k, v in self.manifest().items() if k in META_TABLES})
         jvm, fs = self._fs()
         for name in DATA_TABLES:
             fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}"), True)
-        out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest.json"), True)
-        out.write(bytearray(json.dumps(held).encode()))
-        out.close()
 
 
-def replaced(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """old with the rows of new in place of those of the same key."""
+def last_by(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """Of each key the row that comes last by `order`, a total order of its rows; picked before rows are moved."""
+    best = F.max_by(F.struct(*rows.columns), F.struct(*order))
+    return rows.groupBy(F.col(key).alias("_key")).agg(best.alias("_row")).select("_row.*")
+
+
+def replaced(old: DataFrame, new: DataFrame, key: str, *order: str) -> DataFrame:
+    """old with the rows of new in place of those of the same key. Where new has a key more than once, the last by `order` holds; without an order new must have each key once."""
+    new = last_by(new, key, *order) if order else new
     return old.join(new.select(key).distinct(), key, "left_anti").select(*new.columns).unionByName(new)
 
 
 def replaced_chunks(old: DataFrame, new: DataFrame, written: DataFrame) -> DataFrame:
-    """All chunks of the written documents (identifier) give way to the new ones, also where a document has none now."""
+    """All chunks of the written documents (identifier) give way to the new ones, each chunk_id once, also where a document has none now."""
     gone = written.select(F.col("identifier").alias("parent_identifier")).distinct()
-    return old.join(gone, "parent_identifier", "left_anti").select(*new.columns).unionByName(new)
+    return old.join(gone, "parent_identifier", "left_anti").select(*new.columns).unionByName(last_by(new, "chunk_id", "char_start", "char_end", "text"))
 
 
 def payload(chunks: DataFrame) -> DataFrame:

@@ -77,7 +77,8 @@ def _run(spark: SparkSession, plan: RunPlan, store: sinks.Store, make_client: Ca
     written = linked.select("identifier").distinct()
 
     documents = linked.select("identifier", "source", "document_type", "nature", "title", "content", "metadata", *(["source_files"] if plan.hydrate_nodes else []))
-    store.stage("documents", sinks.replaced(store.read("documents", documents.schema), documents, "identifier"))
+    # A document that one run brings twice is written once: the last by source, title and content.
+    store.stage("documents", sinks.replaced(store.read("documents", documents.schema), documents, "identifier", "source", "title", "content"))
     chunks = chunking.chunk(linked, plan.chunks)
     embedded = embedding.embed(chunks, make_client if plan.embed else embedding.null_client(dim), dim, model)
     embedded = write_table(embedded, "embedded")

@@ -326,9 +326,10 @@ def r9_source_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.source_parts(cut)
 
 
-@query("SELECT string_agg('[' || item_id || '] Item' || chr(10) || text, chr(10) || chr(10) ORDER BY item_id) AS context FROM benchmark")
+@query("SELECT conv_id, string_agg('[' || turn || '] ' || role || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS context FROM conversations GROUP BY conv_id")
 def r10_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.context_text(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("rank"), F.lit("Item").alias("title"), "text"))
+    """The turns of each conversation as the passages of one question."""
+    return retrieval.context_text(table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("rank"), F.col("role").alias("title"), "text"), "conv_id")
 
 
 @query("SELECT DISTINCT o.* FROM orders o JOIN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity >= 49) l ON o_orderkey = l_orderkey")
@@ -366,6 +367,16 @@ def k1_replace_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.replaced(old, old.where("c_custkey % 10 = 0").withColumn("c_mktsegment", F.lit("new")), "c_custkey")
 
 
+@query("""
+SELECT c_custkey, coalesce(status, c_mktsegment) AS c_mktsegment FROM customer LEFT JOIN (SELECT o_custkey, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS status FROM orders GROUP BY o_custkey) ON c_custkey = o_custkey
+""")
+def k1_last_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers are written once for each of their orders; the last order holds."""
+    old = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", F.lit(None).cast("date").alias("day"), F.lit(None).cast("long").alias("order"))
+    new = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderpriority").alias("c_mktsegment"), F.col("o_orderdate").cast("date").alias("day"), F.col("o_orderkey").alias("order"))
+    return sinks.replaced(old, new.join(old.select("c_custkey"), "c_custkey", "left_semi"), "c_custkey", "day", "order").select("c_custkey", "c_mktsegment")
+
+
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
 def k10_duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.duplicates(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber").withColumnRenamed("count", "n")

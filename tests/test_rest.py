@@ -134,3 +134,49 @@ def test_rate_limit_stream(spark, tmp_path):
     q = incremental.rate_limited_stream(stream, 60, 10).writeStream.format("memory").queryName("limited").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r.user_id, r.n) for r in spark.table("limited").collect()} == {(0, 20), (1, 20)}
+
+
+def test_last_writer_wins_and_publish_survives_a_stop(spark, tmp_path):
+    old = spark.createDataFrame([("a", "old"), ("b", "old")], "identifier string, v string")
+    new = spark.createDataFrame([("a", "1"), ("a", "3"), ("a", "2"), ("c", "1"), ("c", "1")], "identifier string, v string")
+    assert sorted(map(tuple, sinks.replaced(old, new, "identifier", "v").collect())) == [("a", "3"), ("b", "old"), ("c", "1")]
+    chunks = spark.createDataFrame([("a_0", "a", 0, 2, "xy"), ("a_0", "a", 0, 3, "xyz"), ("a_1", "a", 2, 3, "z")], "chunk_id string, parent_identifier string, char_start int, char_end int, text string")
+    kept = sinks.replaced_chunks(chunks, chunks, new).select("chunk_id", "text").collect()
+    assert sorted(map(tuple, kept)) == [("a_0", "xyz"), ("a_1", "z")]
+    store = sinks.Store(spark, f"file://{tmp_path}/store")
+    store.stage("documents", old)
+    store.publish()
+    store.stage("documents", new)
+
+    class Stopped(Exception):
+        pass
+
+    whole = store._fs
+    jvm, fs = whole()
+
+    class NoRename:
+        def __getattr__(self, name):
+            if name == "rename":
+                raise Stopped
+            return getattr(fs, name)
+
+    store._fs = lambda: (jvm, NoRename())
+    try:
+        store.publish()
+        raise AssertionError("not stopped")
+    except Stopped:
+        pass
+    again = sinks.Store(spark, f"file://{tmp_path}/store")
+    assert again.read("documents", old.schema).count() == 2
+    store._fs = whole
+    store.publish()
+    assert again.read("documents", old.schema).count() == 5
+
+
+def test_repeated_new_nodes_are_one(spark):
+    from corpusloom.operators import graph
+
+    old = spark.createDataFrame([("n", "Texte", {"a": "0", "z": "9"})], "identifier string, label string, props map<string,string>")
+    new = spark.createDataFrame([("n", "Texte", {"a": "1"}), ("n", "Texte", {"a": "2", "b": "1"}), ("m", "Article", {}), ("m", "Article", {})], old.schema)
+    assert {r.identifier: r.props for r in graph.merge_nodes(old, new).collect()} == {"n": {"a": "2", "b": "1", "z": "9"}, "m": {}}
+    assert graph.merge_nodes(old, new).count() == 2
