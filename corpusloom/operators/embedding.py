@@ -44,8 +44,8 @@ def null_client(dim: int) -> Callable[[], Client]:
     return lambda: lambda texts: [(i, [0.0] * dim) for i in range(len(texts))]
 
 
-def _embed(client: Client, texts: list[str], dim: int) -> list[tuple[list[float], bool]]:
-    """(vector, truncated) of each text: a refused batch is halved, a refused single text cut in half until it is accepted."""
+def _embed(client: Client, texts: list[str], dim: int) -> list[tuple[list[float] | None, bool]]:
+    """(vector, truncated) of each text: a refused batch is halved, a refused single text cut in half until it is accepted. A text that is refused however short has no vector."""
     try:
         got = [v for _, v in sorted(client(texts), key=lambda x: x[0])]
     except TooLarge:
@@ -53,7 +53,7 @@ def _embed(client: Client, texts: list[str], dim: int) -> list[tuple[list[float]
             half = len(texts) // 2
             return _embed(client, texts[:half], dim) + _embed(client, texts[half:], dim)
         if not texts[0]:
-            raise ValueError("the client refuses an empty text") from None
+            return [(None, False)]  # refused even when empty: this text fails, the others do not
         return [(_embed(client, [texts[0][: len(texts[0]) // 2]], dim)[0][0], True)]
     if len(got) != len(texts) or any(len(v) != dim for v in got):
         raise ValueError(f"{len(texts)} vectors of {dim} were expected")

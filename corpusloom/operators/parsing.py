@@ -201,6 +201,9 @@ def parse(raw: DataFrame, source: str) -> DataFrame:
 
 
 def parse_all(raw: DataFrame, sources: list[str]) -> DataFrame:
+    """parse() of each source. A row of another source is an error when the query runs."""
+    wrong = F.raise_error(F.concat(F.lit("no parser for the source "), F.coalesce("source", F.lit("null")))).cast("string")
+    raw = raw.withColumn("source", F.when(F.col("source").isin(*sources), F.col("source")).otherwise(wrong))
     return reduce(DataFrame.unionByName, (parse(raw, s) for s in sources))
 
 

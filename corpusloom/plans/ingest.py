@@ -74,14 +74,19 @@ def _run(spark: SparkSession, plan: RunPlan, store: sinks.Store, make_client: Ca
     parsed = write_table(parsing.parse_all(xml.raw_documents(facets), plan.sources), "parsed")
     docs = parsing.accepted(parsed, plan.skip_unconfigured)
     linked = write_table(links.extract(docs, plan.sources), "linked")
+    embedded = embedding.embed(chunking.chunk(linked, plan.chunks), make_client if plan.embed else embedding.null_client(dim), dim, model)
+    embedded = write_table(embedded, "embedded")
+    # A document of which a passage cannot be embedded fails as a whole and is counted; the run goes on without it.
+    broken = embedded.where("embedding IS NULL").select(F.col("parent_identifier").alias("identifier")).distinct()
+    failed = linked.join(broken, "identifier", "left_semi").count()
+    if failed:
+        linked = write_table(linked.join(broken, "identifier", "left_anti"), "linked")
+        embedded = embedded.join(broken.withColumnRenamed("identifier", "parent_identifier"), "parent_identifier", "left_anti").select(*embedded.columns)
     written = linked.select("identifier").distinct()
 
     documents = linked.select("identifier", "source", "document_type", "nature", "title", "content", "metadata", *(["source_files"] if plan.hydrate_nodes else []))
     # A document that one run brings twice is written once: the last by source, title and content.
     store.stage("documents", sinks.replaced(store.read("documents", documents.schema), documents, "identifier", "source", "title", "content"))
-    chunks = chunking.chunk(linked, plan.chunks)
-    embedded = embedding.embed(chunks, make_client if plan.embed else embedding.null_client(dim), dim, model)
-    embedded = write_table(embedded, "embedded")
     store.stage("chunks", sinks.replaced_chunks(store.read("chunks", embedded.schema), embedded, written))
     node_rows = graph.node_table(linked, plan.hydrate_nodes)
     nodes = store.stage("nodes", graph.merge_nodes(store.read("nodes", node_rows.schema), node_rows))
@@ -112,10 +117,10 @@ def _run(spark: SparkSession, plan: RunPlan, store: sinks.Store, make_client: Ca
     refused = {r["reject"]: r["count"] for r in parsed.where("reject is not null").groupBy("reject").count().collect()}
     n_docs, n_edges, n_reduced, n_waiting = linked.count(), edges.count(), reduced.count(), waiting.count()
     counts = {
-        "document.fetched": n_docs + sum(refused.values()),
+        "document.fetched": xml.fetched(facets).count(),
         "document.persisted": n_docs,
         "document.invalidated": sum(refused.values()),
-        "document.failed": 0,
+        "document.failed": failed,
         "document.version_skipped": sum(n for (_, why), n in skipped.items() if why == "export_artifact"),
         "document.unreadable": sum(n for (_, why), n in skipped.items() if why == "unreadable"),
         "relation.upserted": n_reduced - n_waiting,
@@ -124,15 +129,17 @@ def _run(spark: SparkSession, plan: RunPlan, store: sinks.Store, make_client: Ca
         "relation.unknown": linked.agg(F.coalesce(F.sum("links.lost"), F.lit(0))).first()[0],
         "chunk.truncated": stats.truncated_chunks(embedded).first()[0],
     }
-    lost = counts["document.persisted"] + counts["document.invalidated"] != counts["document.fetched"]
-    summary = sinks.run_summary(spark, plan.run_id, plan.sources, "degraded" if lost else "ok", counts, started)
+    seen = (F.lit(counts[f"document.{x}"]) for x in ("fetched", "persisted", "invalidated", "failed"))
+    status = spark.range(1).select(stats.status(F.lit("ok"), *seen)).first()[0]
+    summary = sinks.run_summary(spark, plan.run_id, plan.sources, status, counts, started)
     store.stage("run_summaries", sinks.replaced(store.read("run_summaries", _summary_schema(spark)), summary, "run_id"))
     store.publish()
     unknown = signals(parsed, linked)
     return {
         "written": n_docs,
         "skipped": skipped,
-        "failed": 0,
+        "failed": failed,
+        "status": status,
         "refused": refused,
         "extracted": n_edges,
         "relations_written": counts["relation.upserted"],

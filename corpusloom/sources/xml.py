@@ -113,13 +113,21 @@ def skipped(facets: DataFrame) -> DataFrame:
     return facets.where("skip is not null").groupBy("source", "skip").count()
 
 
+def _doc_key() -> Column:
+    return F.when(F.col("source").isin(*FACETED), F.coalesce("raw_id", "path")).otherwise(F.col("path"))
+
+
+def fetched(facets: DataFrame) -> DataFrame:
+    """source, doc_key of each document that the files hold, counted at the scan and not from what came of it."""
+    return facets.where("skip is null").select("source", _doc_key().alias("doc_key")).distinct()
+
+
 def raw_documents(facets: DataFrame) -> DataFrame:
     """source, doc_key, facets array<struct<file, root, nodes>> in the order of their paths' parts.
 
     Facets of one located id are one document where the source has facets; without an id, a file stands alone.
     """
-    kept = facets.where("skip is null")
-    key = F.when(F.col("source").isin(*FACETED), F.coalesce("raw_id", "path")).otherwise(F.col("path"))
+    kept, key = facets.where("skip is null"), _doc_key()
     parts = F.split("path", "/")
     grouped = kept.groupBy("source", key.alias("doc_key")).agg(F.array_sort(F.collect_list(F.struct(parts.alias("parts"), F.col("path").alias("file"), "root", "nodes")), _by_parts).alias("facets"))
     return grouped.withColumn("facets", F.transform("facets", lambda f: F.struct(f.file.alias("file"), f.root.alias("root"), f.nodes.alias("nodes"))))

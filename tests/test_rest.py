@@ -180,3 +180,39 @@ def test_repeated_new_nodes_are_one(spark):
     new = spark.createDataFrame([("n", "Texte", {"a": "1"}), ("n", "Texte", {"a": "2", "b": "1"}), ("m", "Article", {}), ("m", "Article", {})], old.schema)
     assert {r.identifier: r.props for r in graph.merge_nodes(old, new).collect()} == {"n": {"a": "2", "b": "1", "z": "9"}, "m": {}}
     assert graph.merge_nodes(old, new).count() == 2
+
+
+def test_a_failing_document_is_counted_and_the_run_goes_on(spark, tmp_path):
+    (tmp_path / "legi").mkdir()
+    for name, me, text in (("a", A, "fine words"), ("b", B, "poison words")):
+        (tmp_path / f"legi/{name}.xml").write_text(f"<ARTICLE><META><ID>{me}</ID></META><BLOC_TEXTUEL><CONTENU>{text}</CONTENU></BLOC_TEXTUEL></ARTICLE>", encoding="utf-8")
+
+    def refusing():
+        inner = embedding.hashing_client(8)()
+
+        def embed(texts):
+            # Takes what has a "fine" in it only, so a text without it is refused however short.
+            if not all("fine" in t for t in texts):
+                raise embedding.TooLarge
+            return inner(texts)
+
+        return embed
+
+    store = sinks.Store(spark, f"file://{tmp_path}/store")
+    report = ingest.run(spark, plan(f"file://{tmp_path}"), store, refusing, 8, "m")
+    assert (report["written"], report["failed"], report["status"]) == (1, 1, "degraded")
+    assert report["counts"]["document.fetched"] == 2 and report["counts"]["document.failed"] == 1
+    assert [r.identifier for r in store.read("documents", "identifier string").collect()] == [A]
+    assert [r.parent_identifier for r in store.read("chunks", "parent_identifier string").distinct().collect()] == [A]
+    assert store.read("run_summaries", "status string").first().status == "degraded"
+
+
+def test_rows_of_an_unknown_source_are_an_error(spark):
+    from corpusloom.operators import parsing
+    from corpusloom.sources import xml
+
+    files = spark.createDataFrame([("x/a.xml", ARTICLE.encode())], "path string, content binary")
+    raw = xml.raw_documents(xml.decode_facets(files, "legi"))
+    assert parsing.parse_all(raw, ["legi"]).count() == 1
+    with pytest.raises(Exception, match="no parser for the source"):
+        parsing.parse_all(raw, ["jade"]).collect()
