@@ -445,9 +445,11 @@ def _in_blocks(found: _Links, nodes: DataFrame, percent: int, agree: int) -> Dat
                     b.append(max(rep[i], rep[j]))
         return pd.DataFrame({"a": np.asarray(a, np.int64), "b": np.asarray(b, np.int64)})
 
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # A class meets its set once for each node, and is copied to pairs of blocks only then.
+    rows = rows.join(shared, "rep").join(full, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("one", F.least("block", "to")).withColumn("two", F.greatest("block", "to")).drop("to", "blocks", "n_shingles")
-    return rows.join(shared, "rep").join(full, "rep").groupBy("node", "one", "two").applyInPandas(compare, "a long, b long")
+    return rows.groupBy("node", "one", "two").applyInPandas(compare, "a long, b long")
 
 
 def _joined(docs: DataFrame, shingle: int, percent: int, trees: int) -> DataFrame:
