@@ -13,7 +13,8 @@ least with probability 0.998; more above the threshold.
 Classes of a node are compared unless they are connected already. Where that takes at most FEW / 2 comparisons
 for each class, all are compared on sketches. Below the first level, where nodes share several tokens, nodes of
 up to MANY / 2 comparisons for each class are compared on the full sets: classes are dealt to blocks, pairs of
-blocks are compared, so that no node is one task, and only links leave a task, a forest of them. In other nodes every class is
+blocks are compared, so that no node is one task, and only links leave a task, a forest of them; sketches tell
+which classes need their sets at all. In other nodes every class is
 compared with one that the node's hash picks, and all branch on. What has used up the tokens of `POOLS` is a
 leaf and is compared by blocks, too, however large it is.
 
@@ -34,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.components import connected_components
@@ -396,6 +397,19 @@ class _Links:
         return rows.join(self.components.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
 
+def _blocked(rows: DataFrame, blocks: Column) -> DataFrame:
+    """rows (node, component, n_shingles, ...) of nodes that are not connected yet, with their node's number of blocks, from its n and shingles."""
+    sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"), F.min("component").alias("low"), F.max("component").alias("high"))
+    return rows.join(sizes.where("low < high").select("node", blocks.cast("int").alias("blocks")), "node")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows with their block, copied to each pair of blocks (one, two) of their node that it is in."""
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumn("one", F.least("block", "to")).withColumn("two", F.greatest("block", "to")).drop("to", "blocks")
+
+
 def _in_blocks(found: _Links, nodes: DataFrame, percent: int, agree: int) -> DataFrame:
     """Links between the classes of each node that are not connected yet, by blocks and on full sets. nodes: node, rep, sketch.
 
@@ -404,10 +418,28 @@ def _in_blocks(found: _Links, nodes: DataFrame, percent: int, agree: int) -> Dat
     import pandas as pd
 
     held = write_table(found.with_component(nodes).join(found.reps.select("rep", "n_shingles"), "rep"), "near-blocks")
-    sizes = held.groupBy("node").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"), F.min("component").alias("low"), F.max("component").alias("high"))
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    rows = write_table(held.join(sizes.where("low < high").select("node", blocks.alias("blocks")), "node"), "near-blocks")
+    every = write_table(_blocked(held, F.ceil(F.col("n") / BLOCK)), "near-blocks")
     drop_table(held)
+
+    def alike(pdf: pd.DataFrame) -> pd.DataFrame:
+        one, two, comp, block = int(pdf["one"].iloc[0]), int(pdf["two"].iloc[0]), pdf["component"].to_numpy(), pdf["block"].to_numpy()
+        sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint64).reshape(-1, WORDS)
+        right, hit = np.flatnonzero(block == two), np.zeros(len(pdf), bool)
+        for i in np.flatnonzero(block == one).tolist():
+            near = right[(right > i) & (comp[right] != comp[i])] if one == two else right[comp[right] != comp[i]]
+            near = near[_agreeing(sketch[near], sketch[i]) >= agree]
+            hit[near] = True
+            hit[i] |= len(near) > 0
+        return pdf.loc[hit, ["node", "rep"]]
+
+    # Sets are large and sketches small: only classes whose sketch is like one of another component need their sets.
+    hits = _dealt(every.drop("n_shingles")).groupBy("node", "one", "two").applyInPandas(alike, "node long, rep long").distinct()
+    near = write_table(every.drop("blocks").join(hits, ["node", "rep"], "left_semi"), "near-blocks")
+    drop_table(every)
+    if near.isEmpty():
+        return near.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
+    rows = write_table(_blocked(near, F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES))), "near-blocks")
+    drop_table(near)
     # A class is in as many nodes as trees and branches lead to, however large these are.
     shared = rows.groupBy("rep").agg(F.sort_array(F.collect_set("node")).alias("nodes"))
     full = found.sets_of(rows.select("rep").distinct())
@@ -446,9 +478,7 @@ def _in_blocks(found: _Links, nodes: DataFrame, percent: int, agree: int) -> Dat
         return pd.DataFrame({"a": np.asarray(a, np.int64), "b": np.asarray(b, np.int64)})
 
     # A class meets its set once for each node, and is copied to pairs of blocks only then.
-    rows = rows.join(shared, "rep").join(full, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("one", F.least("block", "to")).withColumn("two", F.greatest("block", "to")).drop("to", "blocks", "n_shingles")
+    rows = _dealt(rows.drop("n_shingles").join(shared, "rep").join(full, "rep"))
     return rows.groupBy("node", "one", "two").applyInPandas(compare, "a long, b long")
 
 
