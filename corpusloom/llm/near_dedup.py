@@ -18,7 +18,8 @@ which classes need their sets at all. In other nodes every class is
 compared with one that the node's hash picks, and all branch on. What has used up the tokens of `POOLS` is a
 leaf and is compared by blocks, too, however large it is.
 
-Candidates are confirmed on the full sets. What links already connect is not compared again, and a node
+Candidates are confirmed on the full sets, each pair once. The upper halves of the hashes settle most pairs, as
+what these share bounds what the sets share; only pairs within reach of a chance agreement need all bits. What links already connect is not compared again, and a node
 whose classes are all connected is done, so a large group of near copies costs a star of links and not
 all its pairs. All these rules hold at every size of the input.
 
@@ -35,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -312,9 +314,32 @@ def _filter_of(wanted: DataFrame, size: int) -> np.ndarray:
     return out
 
 
+def _filter_size(wanted: DataFrame) -> int:
+    return min(FILTER_BITS, 1 << max(15, int(FILTER_SHARE * wanted.count()).bit_length()))
+
+
+def _thinned(sets: DataFrame, wanted: DataFrame, upper: bool) -> DataFrame:
+    """Those of sets (rep, shingles) that are wanted (rep), and few others: what a bitmap lets through. With only the upper half of each hash, or whole. wanted may name a class more than once."""
+    size = _filter_size(wanted)
+    shared = sets.sparkSession.sparkContext.broadcast(_filter_of(wanted.select(F.col("rep").alias(FILE), F.lit(0).cast("long").alias(AT)), size))
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
+        for batch in batches:
+            rep = batch["rep"].to_numpy()
+            at = _bits(rep, np.zeros(len(rep), np.int64), size)
+            batch = batch.filter(pa.array((held[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
+            if upper:
+                half = [(np.frombuffer(x.as_buffer(), np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes() for x in batch["shingles"]]
+                batch = pa.RecordBatch.from_arrays([batch["rep"], pa.array(half, pa.binary())], ["rep", "shingles"])
+            yield batch
+
+    return sets.select("rep", "shingles").mapInArrow(thin, "rep long, shingles binary")
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """A written table of rep and shingles for the wanted classes (rep, FILE, AT: a row that has the set). A bitmap thins the texts before they are cut into shingles."""
-    size = min(FILTER_BITS, 1 << max(15, int(FILTER_SHARE * wanted.count()).bit_length()))
+    size = _filter_size(wanted)
     shared = docs.sparkSession.sparkContext.broadcast(_filter_of(wanted, size))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,12 +365,42 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    """How many values two sorted arrays share, each as often as both have it."""
+    values, at = np.unique(x, return_index=True)
+    times = np.diff(np.r_[at, len(x)])
+    return int(np.minimum(times, np.searchsorted(y, values, "right") - np.searchsorted(y, values, "left")).sum())
+
+
+def _chance(n: int, m: int) -> int:
+    """More halves than this agree by chance in sets of n and m hashes with a probability under 2**-60."""
+    rate, k = n * m / 2.0**32, 0
+    if rate > 1:
+        return int(2 * rate) + 64
+    tail = rate
+    while tail > 2.0**-60:
+        k += 1
+        tail *= rate / (k + 1)
+    return k
+
+
+def _verdict(x: np.ndarray, y: np.ndarray, percent: int) -> int:
+    """From the upper halves of two sets' hashes: 0 not similar enough, 2 similar enough, 1 only the full hashes can tell."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return 0
+    most = _shared(x, y)
+    least = most - _chance(len(x), len(y))
+    return int(100 * most >= percent * (len(x) + len(y) - most)) + int(100 * least >= percent * (len(x) + len(y) - least))
+
+
 class _Links:
     """Confirmed links between classes, what they connect, and the sets that were read for that."""
 
     def __init__(self, docs: DataFrame, reps: DataFrame, shingle: int, percent: int) -> None:
         self.docs, self.reps, self.shingle, self.percent = docs, reps, shingle, percent
         self.sets: DataFrame | None = None
+        #: a, b: what has been tried.
+        self.tried: DataFrame | None = None
         #: node, component: every class that has a link, with the smallest class that its links lead to.
         self.components: DataFrame | None = None
 
@@ -359,22 +414,38 @@ class _Links:
         return self.sets
 
     def confirm(self, pairs: DataFrame) -> None:
-        """Link those of pairs (a, b) whose full sets are similar enough."""
+        """Link those of pairs (a, b) whose full sets are similar enough and that were not tried before: by the upper halves of the hashes, by all of them where these leave a doubt."""
+        pairs = pairs.distinct()
+        pairs = write_table(pairs if self.tried is None else pairs.join(self.tried, ["a", "b"], "left_anti"), "near-pairs")
+        if pairs.isEmpty():
+            return
+        self.tried = pairs if self.tried is None else self.tried.unionByName(pairs)
         percent = self.percent
 
-        def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                sets = zip(batch["x"], batch["y"], strict=True)
-                good = [_linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in sets]
-                yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+        def judged(dtype, verdict):
+            def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    sets = zip(batch["x"], batch["y"], strict=True)
+                    good = pa.array([int(verdict(np.frombuffer(x.as_buffer(), dtype), np.frombuffer(y.as_buffer(), dtype), percent)) for x, y in sets], pa.int32())
+                    out = pa.RecordBatch.from_arrays([batch["a"], batch["b"], good], ["a", "b", "good"])
+                    yield out.filter(pa.compute.greater(good, 0))
 
-        pairs = write_table(pairs.distinct(), "near-pairs")
-        if pairs.isEmpty():
-            return
-        full = self.sets_of(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
-        joined = pairs.join(full.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a").join(full.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
-        self.add(write_table(joined.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long"), "near-links"))
-        drop_table(pairs)
+            return judge
+
+        def both(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+            x, y = (sets.select(F.col("rep").alias(end), F.col("shingles").alias(name)) for end, name in (("a", "x"), ("b", "y")))
+            return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
+
+        def ends(pairs: DataFrame) -> DataFrame:
+            return pairs.select(F.explode(F.array("a", "b")).alias("rep"))
+
+        full = self.sets_of(ends(pairs).distinct())
+        seen = write_table(both(pairs, _thinned(full, ends(pairs), True)).mapInArrow(judged(np.uint32, _verdict), "a long, b long, good int"), "near-judged")
+        links, doubtful = seen.where("good = 2").select("a", "b"), seen.where("good = 1").select("a", "b")
+        if not doubtful.isEmpty():
+            links = links.unionByName(both(doubtful, _thinned(full, ends(doubtful), False)).mapInArrow(judged(np.uint64, _linked), "a long, b long, good int").select("a", "b"))
+        self.add(write_table(links, "near-links"))
+        drop_table(seen)
 
     def add(self, links: DataFrame) -> None:
         """Connect what new links (a, b) connect: they join components that are there already."""
@@ -442,7 +513,7 @@ def _in_blocks(found: _Links, nodes: DataFrame, percent: int, agree: int) -> Dat
     drop_table(near)
     # A class is in as many nodes as trees and branches lead to, however large these are.
     shared = rows.groupBy("rep").agg(F.sort_array(F.collect_set("node")).alias("nodes"))
-    full = found.sets_of(rows.select("rep").distinct())
+    full = _thinned(found.sets_of(rows.select("rep").distinct()), rows.select("rep"), False)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         here, one, two = int(pdf["node"].iloc[0]), int(pdf["one"].iloc[0]), int(pdf["two"].iloc[0])

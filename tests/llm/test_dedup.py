@@ -244,3 +244,25 @@ def test_near_odd_rows(spark):
     assert kept.columns == docs.columns
     assert sorted((r.doc_id or -1, (r.text or "")[:11]) for r in kept.collect()) == [(-1, "p q r"), (1, "a b c d e f"), (1, "x y z u v w"), (4, "w0 w1 w2 w3"), (6, ""), (6, "")]
     assert near_dedup.keep_documents(docs.where("false")).count() == 0
+
+
+def test_upper_halves_never_contradict_full_sets():
+    import numpy as np
+
+    r, seen = np.random.RandomState(1), [0, 0, 0]
+    for _ in range(1500):
+        n = r.randint(1, 2000)
+        same = int(n * r.uniform(0.85, 0.95))
+        hashes = r.randint(0, 1 << 63, 3 * n).astype(np.uint64) * np.uint64(2)
+        x, y = np.unique(hashes[:n]), np.unique(np.r_[hashes[:same], hashes[n : 2 * n - same]])
+        upper = [(s >> np.uint64(32)).astype(np.uint32) for s in (x, y)]
+        verdict = near_dedup._verdict(*upper, 80)
+        seen[verdict] += 1
+        assert verdict == 1 or (verdict == 2) == near_dedup._linked(x, y, 80)
+    assert min(seen) > 0
+    # Upper halves that agree by chance leave a doubt, they do not make a link.
+    x = np.arange(1, 101, dtype=np.uint64) << np.uint64(32)
+    y = np.r_[x[:88], x[88:89] + np.uint64(1), np.arange(300, 311, dtype=np.uint64) << np.uint64(32)]
+    assert near_dedup._verdict(*[(s >> np.uint64(32)).astype(np.uint32) for s in (x, y)], 80) == 1 and not near_dedup._linked(x, y, 80)
+    assert near_dedup._shared(np.array([1, 1, 2, 3], np.uint32), np.array([1, 2, 2, 2], np.uint32)) == 2
+    assert 64 < near_dedup._chance(10**7, 10**7) < 10**5
