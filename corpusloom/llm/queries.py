@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, exact_dedup, license_scan, near_dedup, packing, quality_classifier, quality_rules, token_counts, toxicity, url_filter
+from corpusloom.llm import bpe, exact_dedup, fill_in_middle, license_scan, near_dedup, packing, prefix_trie, quality_classifier, quality_rules, sentencepiece_bpe, token_counts, toxicity, url_filter
 
 #: The rules of the url query (host, path, allow).
 URL_RULES = [
@@ -72,7 +72,24 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_token_counts, op3_url_filter, op4_quality_rules, op5_toxicity, op6_packing, op7_bpe, op8_near_dedup, op9_exact_dedup, op10_license_scan)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.with_digests(fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return sentencepiece_bpe.encode_documents(table(spark, sf_dir, "documents"), path, then=sentencepiece_bpe.digest(path), schema=sentencepiece_bpe.DIGESTS)
+
+
+_ALL = (
+    op1_quality_classifier, op2_token_counts, op3_url_filter, op4_quality_rules, op5_toxicity, op6_packing, op7_bpe, op8_near_dedup, op9_exact_dedup, op10_license_scan,
+    op11_prefix_trie, op12_fill_in_middle, op13_sentencepiece,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 _URL_SQL = """
 WITH split AS (
@@ -110,4 +127,30 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, r.component_id, d.doc_i
 FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id JOIN (SELECT a, min(b) AS component_id FROM reached GROUP BY a) r ON d.doc_id = r.a
 """
 
-ORACLE_SQL = {"op3_url_filter": _URL_SQL, "op8_near_dedup": NEAR_SQL, "op9_exact_dedup": EXACT_SQL}
+#: crc32 of a decimal number in text, as a fold over its bytes and their bits.
+_CRC = """xor(4294967295::UBIGINT, list_reduce(list_concat([4294967295::UBIGINT], list_transform(range(1, length({0}) + 1), lambda i: ascii(substr({0}, i, 1))::UBIGINT)), lambda c, b:
+  list_reduce(list_concat([xor(c, b)], range(8)::UBIGINT[]), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::UBIGINT) ELSE x // 2 END)))"""
+
+TRIE_SQL = rf"""
+WITH o AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {_CRC.format("conv_id::VARCHAR")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)
+), r AS (
+  SELECT c.conv_id, o.pos, role, text FROM c JOIN o ON o.conv_id = base AND o.pos <= h UNION ALL SELECT c.conv_id, o.pos, role, text FROM c JOIN o ON o.conv_id = c.conv_id AND o.pos > h
+), t AS (
+  SELECT conv_id, row_number() OVER w AS depth, text, sha256(string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER w) AS path FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY pos)
+), p AS (SELECT conv_id, depth, text, path FROM t UNION ALL SELECT conv_id, 0, '', '' FROM c
+), len AS (SELECT conv_id, max(depth) AS depth FROM p GROUP BY conv_id
+), n AS (SELECT p.depth, path, min(p.conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * len(list_filter(string_split_regex(any_value(text), '[ 	-
+]+'), lambda x: x <> '')) AS saved,
+    sha256(coalesce(string_agg(p.conv_id::VARCHAR, ',' ORDER BY p.conv_id) FILTER (WHERE p.depth = len.depth), '')) AS ends_sha256
+  FROM p JOIN len ON p.conv_id = len.conv_id GROUP BY p.depth, path
+), up AS (SELECT n.*, q.path AS parent, m.conv_id AS parent_conv_id FROM n LEFT JOIN p q ON q.conv_id = n.conv_id AND q.depth = n.depth - 1 LEFT JOIN n m ON m.depth = q.depth AND m.path = q.path
+), k AS (SELECT depth - 1 AS depth, parent AS path, count(*) AS n_children FROM up WHERE depth > 0 GROUP BY ALL
+), full_ AS (SELECT up.*, coalesce(n_children, 0) AS n_children FROM up LEFT JOIN k ON k.depth = up.depth AND k.path = up.path
+), sums AS (SELECT p.depth, p.path, sum(f.saved)::BIGINT AS saved_tokens, count(*) FILTER (WHERE f.n_children = 0) AS n_leaves FROM full_ f JOIN p ON p.conv_id = f.conv_id AND p.depth <= f.depth GROUP BY ALL)
+SELECT conv_id, f.depth::BIGINT AS depth, parent_conv_id, n_convs, n_children::BIGINT AS n_children, n_leaves, saved_tokens, ends_sha256 FROM full_ f JOIN sums ON sums.depth = f.depth AND sums.path = f.path
+"""
+
+ORACLE_SQL = {"op11_prefix_trie": TRIE_SQL, "op3_url_filter": _URL_SQL, "op8_near_dedup": NEAR_SQL, "op9_exact_dedup": EXACT_SQL}
