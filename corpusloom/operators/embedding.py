@@ -44,25 +44,33 @@ def null_client(dim: int) -> Callable[[], Client]:
     return lambda: lambda texts: [(i, [0.0] * dim) for i in range(len(texts))]
 
 
-def _embed(client: Client, texts: list[str], dim: int) -> list[tuple[list[float] | None, bool]]:
-    """(vector, truncated) of each text: a refused batch is halved, a refused single text cut in half until it is accepted. A text that is refused however short has no vector."""
+#: Vector, whether the text was cut, and (type, message) of what the client raised for it.
+Embedded = tuple[list[float] | None, bool, tuple[str, str] | None]
+
+
+def _embed(client: Client, texts: list[str], dim: int) -> list[Embedded]:
+    """A batch for which the client raises anything is halved, so that a text that fails fails alone; a text that is too large is cut in half until it is accepted. A text that is refused however short, or that raises anything else, has no vector."""
     try:
         got = [v for _, v in sorted(client(texts), key=lambda x: x[0])]
-    except TooLarge:
+        if len(got) != len(texts) or any(len(v) != dim for v in got):
+            raise ValueError(f"{len(texts)} vectors of {dim} were expected")
+    except Exception as broken:  # noqa: BLE001  whatever it is, it is this batch's, and the run goes on
         if len(texts) > 1:
             half = len(texts) // 2
             return _embed(client, texts[:half], dim) + _embed(client, texts[half:], dim)
-        if not texts[0]:
-            return [(None, False)]  # refused even when empty: this text fails, the others do not
-        return [(_embed(client, [texts[0][: len(texts[0]) // 2]], dim)[0][0], True)]
-    if len(got) != len(texts) or any(len(v) != dim for v in got):
-        raise ValueError(f"{len(texts)} vectors of {dim} were expected")
-    return [(v, False) for v in got]
+        if not isinstance(broken, TooLarge) or not texts[0]:
+            return [(None, False, (type(broken).__name__, str(broken)[:200]))]
+        vector, _, error = _embed(client, [texts[0][: len(texts[0]) // 2]], dim)[0]
+        return [(vector, error is None, error)]
+    return [(v, False, None) for v in got]
+
+
+_ERROR = pa.struct([("type", pa.string()), ("message", pa.string())])
 
 
 def embed(chunks: DataFrame, make_client: Callable[[], Client], dim: int, model: str, batch: int = 32) -> DataFrame:
-    """chunks with embedding array<float>, truncated and model. One client for each task."""
-    schema = f"chunk_id string, embedding array<float>, truncated boolean, {', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in chunks.schema if f.name != 'chunk_id')}"
+    """chunks with embedding array<float> (null if it failed), truncated, error struct<type, message> (null if it did not) and model. One client for each task."""
+    schema = f"chunk_id string, embedding array<float>, truncated boolean, error struct<type:string,message:string>, {', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in chunks.schema if f.name != 'chunk_id')}"
     rest = [c for c in chunks.columns if c != "chunk_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,11 +78,28 @@ def embed(chunks: DataFrame, make_client: Callable[[], Client], dim: int, model:
         for b in batches:
             texts = [t or "" for t in b["text"].to_pylist()]
             got = [x for at in range(0, len(texts), batch) for x in _embed(client, texts[at : at + batch], dim)]
-            yield pa.RecordBatch.from_arrays([b["chunk_id"], pa.array([v for v, _ in got], pa.list_(pa.float32())), pa.array([t for _, t in got], pa.bool_()), *(b[c] for c in rest)], ["chunk_id", "embedding", "truncated", *rest])
+            errors = pa.array([e and {"type": e[0], "message": e[1]} for *_, e in got], _ERROR)
+            yield pa.RecordBatch.from_arrays([b["chunk_id"], pa.array([v for v, *_ in got], pa.list_(pa.float32())), pa.array([t for _, t, _ in got], pa.bool_()), errors, *(b[c] for c in rest)], ["chunk_id", "embedding", "truncated", "error", *rest])
 
     return chunks.mapInArrow(run, schema).withColumn("model", F.lit(model))
 
 
+def check_served(make_client: Callable[[], Client], model: str, dim: int) -> None:
+    """Before anything is read or written: what the client serves is what is configured.
+
+    A client may say so by an attribute `served` (model, dimension); else one short text shows the dimension. A client that fails even
+    for that is left to fail document by document.
+    """
+    client = make_client()
+    served = getattr(client, "served", None)
+    if served is None:
+        try:
+            served = model, len(client(["."])[0][1])
+        except Exception:  # noqa: BLE001
+            return
+    check_model(served[0], model, served[1], dim)
+
+
 def check_model(served: str, configured: str, dim: int, expected: int) -> None:
     """Before anything is written: the served model and its dimension are those of the configuration."""
     if served != configured or dim != expected:

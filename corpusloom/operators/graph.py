@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,40 +19,131 @@ def first_edges(edges: DataFrame, *order: str) -> DataFrame:
     return edges.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
+def _jumped(steps: DataFrame) -> DataFrame | None:
+    """x, nxt of a written table of single steps, each led on to where no step begins; None if some never get there, as they run in a circle."""
+    rounds = steps.count().bit_length() // 2 + 1
+    for _ in range(rounds):
+        more = steps.select(F.col("x").alias("nxt"), F.col("nxt").alias("_nxt"))
+        far = steps.select("x", "nxt")
+        for _ in range(3):  # four steps of the table a round
+            far = far.join(more, "nxt", "left").select("x", F.coalesce("_nxt", "nxt").alias("nxt"), F.col("_nxt").isNotNull().alias("moved"))
+        far = write_table(far, "graph-jumps")
+        drop_table(steps)
+        steps = far
+        if steps.where("moved").isEmpty():
+            return steps
+    drop_table(steps)
+    return None
+
+
+def _contracted(edges: DataFrame, all_ends: bool) -> tuple[DataFrame, list[DataFrame], bool]:
+    """(core, tables of all rounds, whether a cycle was met) of a written table src, dst, long.
+
+    Nodes with one edge in and one out give way to a longer edge, whole chains at once; nodes with but one edge go with it,
+    and under all_ends all that have edges on one side only. What is left has forks and joins throughout, whatever the depth of the rest. An edge
+    beside a longer one of the same ends is `beaten`. Cycles stay, as loops at last.
+    """
+    rounds = [edges]
+    while True:
+        n, loops = edges.agg(F.count(F.lit(1)), F.count_if(F.col("src") == F.col("dst"))).first()
+        if loops or not n:
+            return edges, rounds, bool(loops)
+        sides = edges.select(F.col("src").alias("x"), F.lit(0).alias("i"), F.lit(1).alias("o")).unionByName(edges.select(F.col("dst").alias("x"), F.lit(1).alias("i"), F.lit(0).alias("o")))
+        nodes = sides.groupBy("x").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
+        gone = write_table(nodes.where("i <= 1 AND o <= 1" + (" OR i = 0 OR o = 0" if all_ends else "")), "graph-gone")
+        if gone.isEmpty():
+            drop_table(gone)
+            return edges, rounds, False
+        passed = gone.where("i = 1 AND o = 1").select(F.col("x").alias("src"))
+        steps = write_table(edges.join(passed, "src").select(F.col("src").alias("x"), F.col("dst").alias("nxt")), "graph-steps")
+        steps = _jumped(steps)
+        if steps is None:
+            drop_table(gone)
+            return edges, rounds, True
+        kept = edges.select("src", "dst", "long").join(gone.select(F.col("x").alias("src")), "src", "left_anti")
+        kept = kept.join(steps.select(F.col("x").alias("dst"), "nxt"), "dst", "left").select("src", F.coalesce("nxt", "dst").alias("dst"), (F.col("long") | F.col("nxt").isNotNull()).alias("long"))
+        kept = kept.join(gone.where("NOT (i = 1 AND o = 1)").select(F.col("x").alias("dst")), "dst", "left_anti")
+        edges = write_table(kept.groupBy("src", "dst").agg(F.max("long").alias("long"), (F.min("long") != F.max("long")).alias("beaten")), "graph-core")
+        rounds.append(edges)
+        drop_table(gone)
+        drop_table(steps)
+
+
+def _pairs(pairs: DataFrame) -> DataFrame:
+    return write_table(pairs.select("src", "dst").distinct().withColumns({"long": F.lit(False), "beaten": F.lit(False)}), "graph-edges")
+
+
+def _cyclic(edges: DataFrame) -> bool:
+    """Whether a written table src, dst, long has a cycle: with all ends gone, nothing is left of an acyclic graph."""
+    core, rounds, loop = _contracted(edges, True)
+    found = loop or not core.isEmpty()
+    for t in rounds[1:]:
+        drop_table(t)
+    return found
+
+
 def has_cycle(pairs: DataFrame) -> bool:
-    """Whether the edges (src, dst) have a cycle: peel off those whose end begins no other, until none goes. A self-loop is one."""
-    left = write_table(pairs.select("src", "dst").distinct(), "graph-peel")
-    n = left.count()
-    while n:
-        kept = write_table(left.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "graph-peel")
-        drop_table(left)
-        left, was, n = kept, n, kept.count()
-        if n == was:
-            break
-    drop_table(left)
-    return n > 0
-
-
-def redundant(pairs: DataFrame) -> DataFrame:
-    """Edges of an acyclic graph that a longer path replaces: (src, dst)."""
-    one = write_table(pairs.select("src", "dst").distinct(), "graph-edges")
-    step = one.select(F.col("src").alias("mid"), F.col("dst").alias("end"))
-    # Semi-naive closure of paths of two edges or more; a round goes one edge further, so rounds are the graph's depth.
-    fresh = write_table(one.join(step, one.dst == step.mid).select("src", F.col("end").alias("dst")).distinct(), "graph-paths")
-    paths = fresh
-    while not fresh.isEmpty():
-        further = fresh.join(step, F.col("dst") == F.col("mid")).select("src", F.col("end").alias("dst")).distinct()
-        fresh = write_table(further.join(paths, ["src", "dst"], "left_anti"), "graph-paths")
-        paths = paths.unionByName(fresh)
-    return one.join(paths.distinct(), ["src", "dst"], "left_semi")
+    """Whether the edges (src, dst) have a cycle. A self-loop is one."""
+    edges = _pairs(pairs)
+    found = _cyclic(edges)
+    drop_table(edges)
+    return found
+
+
+def _replaced_in_core(core: DataFrame) -> list[DataFrame]:
+    """Written tables (dst, src) that hold all edges of an acyclic core which a longer path replaces.
+
+    Only edges whose source has another one out and whose target another one in come into question. From their targets the search goes
+    backwards, and stops for a target whose edges are all found to be replaced; its rounds are the core's depth at most.
+    """
+    forks, joins = (core.groupBy(c).count().where("count > 1").select(c) for c in ("src", "dst"))
+    asked = write_table(core.where("NOT long").join(forks, "src", "left_semi").join(joins, "dst", "left_semi").select("src", "dst"), "graph-asked")
+    first = write_table(core.join(asked.select("dst").distinct(), "dst", "left_semi").select("dst", "src"), "graph-above")
+    back = core.select(F.col("dst").alias("src"), F.col("src").alias("_up"))
+    found, seen, above, still = [], [first], first, asked
+    while not above.isEmpty():
+        # All that is met by two steps or more; a source that is met has a longer path, though it is one step above, too.
+        up = write_table(above.join(back, "src").select("dst", F.col("_up").alias("src")).distinct(), "graph-up")
+        found.append(write_table(up.join(still, ["dst", "src"], "left_semi"), "graph-found"))
+        open_ = write_table(still.join(up, ["dst", "src"], "left_anti"), "graph-asked")
+        fresh = write_table(up.join(reduce(DataFrame.unionByName, seen), ["dst", "src"], "left_anti"), "graph-above")
+        drop_table(up)
+        drop_table(still)
+        still = open_
+        seen.append(fresh)
+        if len(seen) > 8:
+            whole = write_table(reduce(DataFrame.unionByName, seen), "graph-above")
+            for t in seen[:-1]:
+                drop_table(t)
+            seen = [whole]
+        above = fresh.join(still.select("dst").distinct(), "dst", "left_semi")
+    for t in (*seen, still):
+        drop_table(t)
+    return found
+
+
+def redundant(pairs: DataFrame) -> DataFrame | None:
+    """Edges (src, dst) that a longer path replaces, a written table; None if there is a cycle anywhere."""
+    edges = _pairs(pairs)
+    core, rounds, loop = _contracted(edges, False)
+    found = None
+    if not loop and not _cyclic(core):
+        deep = _replaced_in_core(core)
+        beaten = [t.where("beaten").select("dst", "src") for t in rounds]
+        found = write_table(reduce(DataFrame.unionByName, beaten + deep).select("src", "dst"), "graph-redundant")
+        rounds += deep
+    for t in rounds:
+        drop_table(t)
+    return found
 
 
 def reduce_transitively(edges: DataFrame, *order: str) -> DataFrame:
     """Containment edges without those that a longer path replaces, and without repeats; with a cycle anywhere only without repeats. Other verbs pass as they are."""
     contained = first_edges(edges.where(F.col("type") == CONTIENT), *order)
     others = edges.where(F.col("type") != CONTIENT)
-    if not has_cycle(contained):
-        contained = contained.join(redundant(contained), ["src", "dst"], "left_anti")
+    replaced = redundant(contained)
+    if replaced is not None:
+        contained = contained.join(replaced, ["src", "dst"], "left_anti")
     return others.unionByName(contained.select(*others.columns))
 
 

@@ -125,10 +125,10 @@ def ranking(scored: DataFrame, score: str, depth: int = 100, key: str = "chunk_i
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), key)))
 
 
-def fuse_ranks(lexical: DataFrame, vector: DataFrame, constant: int = 60) -> DataFrame:
-    """chunk_id, score: reciprocal rank fusion of two rankings (chunk_id, rank)."""
-    both = lexical.select("chunk_id", "rank").unionAll(vector.select("chunk_id", "rank"))
-    return both.groupBy("chunk_id").agg(F.sum(1 / (constant + F.col("rank"))).alias("score"))
+def fuse_ranks(lexical: DataFrame, vector: DataFrame, constant: int = 60, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, chunk_id, score: reciprocal rank fusion of two rankings (by, chunk_id, rank)."""
+    both = lexical.select(*by, "chunk_id", "rank").unionAll(vector.select(*by, "chunk_id", "rank"))
+    return both.groupBy(*by, "chunk_id").agg(F.sum(1 / (constant + F.col("rank"))).alias("score"))
 
 
 def passages_per_document(ranked: DataFrame, documents: int = 100, passages: int = 3) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from corpusloom.functions import text as T
 DATA_TABLES = ("documents", "chunks", "nodes", "edges", "pending", "unformatted")
 #: Never wiped with the data.
 META_TABLES = ("run_summaries",)
+#: What may be in a table once.
+UNIQUE = {"documents": ("identifier",), "chunks": ("chunk_id",), "nodes": ("identifier",), "edges": ("src", "dst", "type"), "pending": ("src", "dst", "type"), "unformatted": ("source_identifier", "target_text", "relation_type", "sens")}
 
 
 class Store:
@@ -22,6 +25,7 @@ class Store:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
         self.staged: dict[str, str] = {}
+        self.promised: dict[str, dict] = {}
 
     def _fs(self):
         jvm = self.spark.sparkContext._jvm
@@ -34,18 +38,29 @@ class Store:
         found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest-*.json"))
         return max((int(f.getPath().getName()[9:-5]) for f in found or []), default=0)
 
-    def manifest(self) -> dict[str, str]:
+    def _newest(self) -> dict[str, dict]:
         newest = self._number()
         if not newest:
-            return {}
+            return {"tables": {}, "contracts": {}}
         return json.loads("".join(r.value for r in self.spark.read.text(f"{self.root}/manifest-{newest}.json").collect()))
 
-    def _replace(self, tables: dict[str, str]) -> None:
+    def manifest(self) -> dict[str, str]:
+        """Name -> folder of the published tables."""
+        return self._newest()["tables"]
+
+    def ensure(self, name: str, **contract) -> None:
+        """A collection with its contract, as a model and a dimension: made with the next publish if it is absent; another contract than the one that it has is an error, before anything is written."""
+        held = self._newest()["contracts"].get(name, contract)
+        if held != contract:
+            raise ValueError(f"{name} was made with {held}, not with {contract}")
+        self.promised[name] = contract
+
+    def _replace(self, tables: dict[str, str], contracts: dict[str, dict]) -> None:
         jvm, fs = self._fs()
         number = self._number() + 1
         temporary = jvm.org.apache.hadoop.fs.Path(f"{self.root}/.manifest-{uuid.uuid4().hex}")
         out = fs.create(temporary, True)
-        out.write(bytearray(json.dumps(tables).encode()))
+        out.write(bytearray(json.dumps({"tables": tables, "contracts": contracts}).encode()))
         out.close()
         if not fs.rename(temporary, jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest-{number}.json")):
             raise RuntimeError(f"another run has published manifest {number}")
@@ -65,19 +80,27 @@ class Store:
         return self.spark.read.schema(df.schema).parquet(at)
 
     def publish(self) -> None:
-        self._replace(self.manifest() | self.staged)
-        self.staged = {}
+        newest = self._newest()
+        self._replace(newest["tables"] | self.staged, newest["contracts"] | self.promised)
+        self.staged, self.promised = {}, {}
 
     def discard(self) -> None:
         """Undo what a failed run has staged."""
         jvm, fs = self._fs()
         for at in self.staged.values():
             fs.delete(jvm.org.apache.hadoop.fs.Path(at), True)
-        self.staged = {}
+        self.staged, self.promised = {}, {}
+
+    def check_unique(self) -> None:
+        """An error if a staged table has a key more than once: then nothing is published."""
+        wrong = [duplicates(self.spark.read.parquet(at), *UNIQUE[name]).select(F.lit(name).alias("name"), F.concat_ws(" ", *UNIQUE[name]).alias("key")) for name, at in self.staged.items() if name in UNIQUE]
+        found = reduce(DataFrame.unionByName, wrong).take(3) if wrong else []
+        if found:
+            raise ValueError("more than once: " + ", ".join(f"{r.name} {r.key}" for r in found))
 
     def wipe(self) -> None:
-        """Drop the data tables; the run summaries stay. The manifest goes first, so that it never names what is not there."""
-        self._replace({k: v for k, v in self.manifest().items() if k in META_TABLES})
+        """Drop the data tables and contracts; the run summaries stay. The manifest goes first, so that it never names what is not there."""
+        self._replace({k: v for k, v in self.manifest().items() if k in META_TABLES}, {})
         jvm, fs = self._fs()
         for name in DATA_TABLES:
             fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}"), True)

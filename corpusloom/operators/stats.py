@@ -60,3 +60,9 @@ def merge_counts(*parts: DataFrame) -> DataFrame:
 
 def truncated_chunks(embedded: DataFrame) -> DataFrame:
     return embedded.where("truncated").agg(F.countDistinct("chunk_id").alias("n"))
+
+
+def failure_tally(failures: DataFrame) -> DataFrame:
+    """phase, type, n, example: documents that failed by a kind of error, and the smallest (identifier, message). failures: identifier, phase, type, message."""
+    once = failures.groupBy("phase", "type", "identifier").agg(F.min("message").alias("message"))
+    return once.groupBy("phase", "type").agg(F.count("*").alias("n"), F.min(F.struct("identifier", "message")).alias("example"))

@@ -50,13 +50,19 @@ class RunPlan:
         return RunPlan(sources=tables.resolve_sources(parameters.get("sources")), chunks=chunking.ChunkConfig(parameters["max_chars"], parameters["overlap_chars"]), **rest)
 
 
-def run(spark: SparkSession, plan: RunPlan, store: sinks.Store, make_client: Callable, dim: int, model: str) -> dict:
-    """Ingest and return the report."""
+def run(spark: SparkSession, plan: RunPlan, store: sinks.Store, make_client: Callable, dim: int, model: str, facets: DataFrame | None = None) -> dict:
+    """Ingest and return the report. facets: what xml.decode_facets() gives, from another source than the files below the plan's root.
+
+    The model that is served, and that of the collection, are checked before anything is wiped, read or written.
+    """
     started = datetime.now(UTC)
+    if plan.embed:
+        embedding.check_served(make_client, model, dim)
     if plan.wipe:
         store.wipe()
+    store.ensure("chunks", model=model, dim=dim)
     try:
-        return _run(spark, plan, store, make_client, dim, model, started)
+        return _run(spark, plan, store, make_client, dim, model, started, xml.scan(spark, plan.root, plan.sources) if facets is None else facets)
     except Exception as broken:
         store.discard()
         store.stage("run_summaries", sinks.replaced(store.read("run_summaries", _summary_schema(spark)), sinks.run_summary(spark, plan.run_id, plan.sources, "failed", {}, started, str(broken)[:500]), "run_id"))
@@ -68,20 +74,23 @@ def _summary_schema(spark: SparkSession) -> str:
     return "run_id string, sources array<string>, status string, started_at timestamp, ended_at timestamp, counts map<string,bigint>, error_message string"
 
 
-def _run(spark: SparkSession, plan: RunPlan, store: sinks.Store, make_client: Callable, dim: int, model: str, started: datetime) -> dict:
-    facets = write_table(xml.scan(spark, plan.root, plan.sources), "facets")
+def _run(spark: SparkSession, plan: RunPlan, store: sinks.Store, make_client: Callable, dim: int, model: str, started: datetime, facets: DataFrame) -> dict:
+    facets = write_table(facets, "facets")
     skipped = {(r["source"], r["skip"]): r["count"] for r in xml.skipped(facets).collect()}
     parsed = write_table(parsing.parse_all(xml.raw_documents(facets), plan.sources), "parsed")
     docs = parsing.accepted(parsed, plan.skip_unconfigured)
     linked = write_table(links.extract(docs, plan.sources), "linked")
     embedded = embedding.embed(chunking.chunk(linked, plan.chunks), make_client if plan.embed else embedding.null_client(dim), dim, model)
     embedded = write_table(embedded, "embedded")
-    # A document of which a passage cannot be embedded fails as a whole and is counted; the run goes on without it.
-    broken = embedded.where("embedding IS NULL").select(F.col("parent_identifier").alias("identifier")).distinct()
-    failed = linked.join(broken, "identifier", "left_semi").count()
+    # A document of which a file cannot be taken apart or a passage cannot be embedded fails as a whole and is counted with the kind of error; the run goes on without it.
+    failures = write_table(xml.failures(facets).unionByName(embedding_failures(embedded)), "failures")
+    tally = {(r.phase, r.type): (r.n, *r.example) for r in stats.failure_tally(failures).collect()}
+    broken = failures.where("phase = 'embed'").select("identifier").distinct()
+    failed = failures.select("identifier").distinct().count()
     if failed:
         linked = write_table(linked.join(broken, "identifier", "left_anti"), "linked")
         embedded = embedded.join(broken.withColumnRenamed("identifier", "parent_identifier"), "parent_identifier", "left_anti").select(*embedded.columns)
+    embedded = embedded.drop("error")
     written = linked.select("identifier").distinct()
 
     documents = linked.select("identifier", "source", "document_type", "nature", "title", "content", "metadata", *(["source_files"] if plan.hydrate_nodes else []))
@@ -133,12 +142,14 @@ def _run(spark: SparkSession, plan: RunPlan, store: sinks.Store, make_client: Ca
     status = spark.range(1).select(stats.status(F.lit("ok"), *seen)).first()[0]
     summary = sinks.run_summary(spark, plan.run_id, plan.sources, status, counts, started)
     store.stage("run_summaries", sinks.replaced(store.read("run_summaries", _summary_schema(spark)), summary, "run_id"))
+    store.check_unique()
     store.publish()
     unknown = signals(parsed, linked)
     return {
         "written": n_docs,
         "skipped": skipped,
         "failed": failed,
+        "failures": tally,
         "status": status,
         "refused": refused,
         "extracted": n_edges,
@@ -152,6 +163,11 @@ def _run(spark: SparkSession, plan: RunPlan, store: sinks.Store, make_client: Ca
     }
 
 
+def embedding_failures(embedded: DataFrame) -> DataFrame:
+    """identifier, phase, type, message of the passages that have no vector."""
+    return embedded.where("embedding IS NULL").select(F.col("parent_identifier").alias("identifier"), F.lit("embed").alias("phase"), "error.type", "error.message")
+
+
 def signals(parsed: DataFrame, linked: DataFrame) -> DataFrame:
     """All unknown values of a run: tags, links (guessed ones and words without a verb) and roots."""
     words = linked.select(F.lit("links").alias("category"), "identifier", F.explode("links.unknown_words").alias("value"), F.element_at("source_files", 1).alias("source_file"))

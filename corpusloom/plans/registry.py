@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import chunking, embedding, graph, links, parsing, retrieval, sinks, stats
+from corpusloom.operators import chunking, embedding, graph, lexical, links, parsing, retrieval, sinks, stats
+from corpusloom.plans import ingest
+from corpusloom.session import scratch_dir, write_table
 from corpusloom.sources import xml
 from corpusloom.streaming import incremental
 
@@ -189,6 +191,73 @@ def s2_unreadable_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return xml.skipped(xml.decode_facets(files, "legi")).select("skip", F.col("count").alias("n"))
 
 
+# ---- runs: parts as articles, some of which fail
+
+_FAULTY = """
+p AS (SELECT *, 'LEGIARTI' || lpad(p_partkey::VARCHAR, 12, '0') AS me, p_size % 11 = 0 AS undecodable, p_size % 13 = 0 AND p_size % 11 <> 0 AS malformed,
+  CASE WHEN p_brand LIKE '%3' THEN 'KeyError' WHEN p_brand LIKE '%4' THEN 'OSError' END AS refused FROM part),
+w AS (SELECT * FROM p WHERE NOT undecodable AND NOT malformed AND refused IS NULL)"""
+
+
+def faulty_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """articles(), some in an encoding that the reader does not know and some not well-formed, as facets."""
+    files = articles(spark, sf_dir).withColumn("part", F.regexp_extract("path", "([0-9]+)", 1).cast("long")).join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), "p_size"), "part")
+    head = F.lit(b'<?xml version="1.0" encoding="shift_jis"?>')
+    content = F.when(F.expr("p_size % 11 = 0"), F.concat(head, F.col("content"))).when(F.expr("p_size % 13 = 0"), F.lit(b"<ARTICLE><ID>")).otherwise(F.col("content"))
+    return xml.decode_facets(files.select("path", content.alias("content")), "legi")
+
+
+def _moody_client():
+    """A client that raises for texts with certain brands."""
+    embed = embedding.hashing_client(8)()
+
+    def moody(texts: list[str]) -> list[tuple[int, list[float]]]:
+        for text in texts:
+            if text.endswith("3"):
+                raise KeyError("three")
+            if text.endswith("4"):
+                raise OSError("four")
+        return embed(texts)
+
+    return moody
+
+
+@query(f"""
+WITH {_FAULTY}
+SELECT 'decode' AS phase, 'ValueError' AS type, count(*) AS n, min('legi/' || lpad(p_partkey::VARCHAR, 12, '0') || '.xml') AS example FROM p WHERE undecodable HAVING count(*) > 0
+UNION ALL SELECT 'embed', refused, count(*), min(me) FROM p WHERE NOT undecodable AND NOT malformed AND refused IS NOT NULL GROUP BY refused
+""")
+def o6_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that fail, by phase and kind of error: each fails alone."""
+    facets = write_table(faulty_articles(spark, sf_dir), "facets")
+    parsed = parsing.parse_all(xml.raw_documents(facets), ["legi"])
+    chunks = chunking.chunk(links.extract(parsing.accepted(parsed), ["legi"]), CHUNKS)
+    embedded = embedding.embed(chunks, _moody_client, 8, "moody")
+    return stats.failure_tally(xml.failures(facets).unionByName(ingest.embedding_failures(embedded))).select("phase", "type", "n", F.col("example.identifier").alias("example"))
+
+
+@query(f"""
+WITH {_FAULTY}, linked AS (SELECT count(*) AS n FROM w JOIN w AS next ON next.p_partkey = w.p_partkey + 1), n AS (
+  SELECT 'document.fetched' AS event, count(*) AS n FROM p WHERE NOT malformed
+  UNION ALL SELECT 'document.persisted', count(*) FROM w
+  UNION ALL SELECT 'document.invalidated', 0
+  UNION ALL SELECT 'document.failed', count(*) FROM p WHERE undecodable OR refused IS NOT NULL AND NOT malformed
+  UNION ALL SELECT 'document.version_skipped', 0
+  UNION ALL SELECT 'document.unreadable', count(*) FROM p WHERE malformed
+  UNION ALL SELECT 'relation.upserted', n FROM linked
+  UNION ALL SELECT 'relation.pending', (SELECT 2 * count(*) FROM w) - n FROM linked
+  UNION ALL SELECT 'relation.promoted', 0
+  UNION ALL SELECT 'relation.unknown', count(*) FILTER (WHERE NOT regexp_full_match(lower(trim(p_type)), '[a-z][a-z0-9_]*')) FROM w
+  UNION ALL SELECT 'chunk.truncated', 0)
+SELECT event, n, CASE WHEN (SELECT n FROM n WHERE event = 'document.failed') > 0 THEN 'degraded' ELSE 'ok' END AS status FROM n
+""")
+def a8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of a whole run into a store of its own: what is fetched is persisted, refused or failed."""
+    plan = ingest.RunPlan(root="", sources=["legi"], chunks=CHUNKS)
+    report = ingest.run(spark, plan, sinks.Store(spark, f"{scratch_dir(spark)}/corpusloom/store-{plan.run_id}"), _moody_client, 8, "moody", faulty_articles(spark, sf_dir))
+    return spark.createDataFrame([(event, n, report["status"]) for event, n in report["counts"].items()], "event string, n long, status string")
+
+
 # ---- graph
 
 
@@ -213,6 +282,38 @@ def g1_transitive_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.reduce_transitively(_shop(spark, sf_dir), "doc", "seq").select("src", "dst")
 
 
+_DEEP = """
+WITH RECURSIVE o AS (SELECT 'O' || o_orderkey AS id, 'C' || o_custkey AS cust, o_orderkey, lag('O' || o_orderkey) OVER w AS prv, lag('O' || o_orderkey, 3) OVER w AS third FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+e AS (SELECT coalesce(prv, cust) AS src, id AS dst FROM o UNION SELECT third, id FROM o WHERE third IS NOT NULL AND o_orderkey % 2 = 0 UNION SELECT cust, id FROM o WHERE o_orderkey % 3 = 0 {more}),
+reach AS (SELECT src, dst FROM e UNION SELECT reach.src, e.dst FROM reach JOIN e ON reach.dst = e.src)
+"""
+
+
+def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's orders in a chain that begins with the customer, and edges over three orders or from the customer to any order besides."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    o = table(spark, sf_dir, "orders").selectExpr("concat('O', o_orderkey) AS id", "concat('C', o_custkey) AS cust", "o_orderkey", "o_custkey")
+    o = o.select("id", "cust", "o_orderkey", F.lag("id").over(w).alias("prv"), F.lag("id", 3).over(w).alias("third"))
+    pairs = o.select(F.coalesce("prv", "cust").alias("src"), F.col("id").alias("dst"))
+    pairs = pairs.unionByName(o.where("third IS NOT NULL AND o_orderkey % 2 = 0").select(F.col("third").alias("src"), F.col("id").alias("dst")))
+    pairs = pairs.unionByName(o.where("o_orderkey % 3 = 0").select(F.col("cust").alias("src"), F.col("id").alias("dst")))
+    return pairs.select("src", "dst", F.lit("contient").alias("type"), F.lit("").alias("doc"), F.lit(0).alias("seq"))
+
+
+@query(_DEEP.format(more="") + "SELECT src, dst FROM e WHERE NOT EXISTS (SELECT 1 FROM e AS f JOIN reach ON reach.src = f.dst WHERE f.src = e.src AND f.dst <> e.dst AND reach.dst = e.dst)")
+def g1_deep_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.reduce_transitively(_versions(spark, sf_dir), "doc", "seq").select("src", "dst")
+
+
+@query(_DEEP.format(more="UNION SELECT max(id), min(cust) FROM o WHERE cust = (SELECT max(cust) FROM o)") + "SELECT src, dst FROM e WHERE EXISTS (SELECT 1 FROM reach WHERE src = dst)")
+def g2_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With an edge from one order back to its customer, a cycle stands somewhere: nothing is reduced, repeats alone go."""
+    edges = _versions(spark, sf_dir)
+    one = table(spark, sf_dir, "orders").selectExpr("concat('C', o_custkey) AS cust", "concat('O', o_orderkey) AS id").groupBy("cust").agg(F.max("id").alias("src")).orderBy(F.desc("cust")).limit(1)
+    back = one.select("src", F.col("cust").alias("dst"), F.lit("contient").alias("type"), F.lit("").alias("doc"), F.lit(0).alias("seq"))
+    return graph.reduce_transitively(edges.unionByName(back), "doc", "seq").select("src", "dst")
+
+
 @query("SELECT o_orderkey, CASE WHEN c_custkey IS NOT NULL AND o_orderkey % 3 <> 0 THEN 'written' ELSE 'pending' END AS fate FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) c ON o_custkey = c_custkey")
 def g3_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as edges from a customer; a node is a customer with money or an order whose key is no multiple of three."""
@@ -358,6 +459,52 @@ def d2_passages_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.passages_per_document(ranked).select("identifier", "chunk_id", "score", "place")
 
 
+_FOLDED = f"translate(replace(regexp_replace(w, '{lexical.ELISION.replace(chr(39), chr(39) * 2)}', ''), 'œ', 'oe'), '{lexical.ACCENTED}', '{lexical.PLAIN}')"
+_WORD = lexical.WORD.replace("\\\\", "\\").replace("'", "''")
+_TERMS = """
+{name}w AS (SELECT {key}, unnest(regexp_extract_all(lower(text), '{word}')) AS w FROM {table}),
+{name}f AS (SELECT {key}, {folded} AS f FROM {name}w),
+{name}s AS (SELECT {key}, f, regexp_replace(f, 'e?e?r?s?$', '') AS b FROM {name}f WHERE f NOT IN ({stop}) AND f <> ''),
+{name} AS (SELECT {key}, CASE WHEN length(f) < 6 THEN f WHEN ends_with(f, 'aux') THEN substr(f, 1, length(f) - 2) || 'l' WHEN ends_with(f, 'x') THEN substr(f, 1, length(f) - 1)
+  WHEN right(b, 1) = left(right(b, 2), 1) AND length(b) > 1 THEN substr(b, 1, length(b) - 1) ELSE b END AS term, count(*) AS tf FROM {name}s GROUP BY ALL)"""
+
+
+def _terms_sql(name: str, key: str, of: str) -> str:
+    return _TERMS.format(name=name, key=key, table=of, word=_WORD, folded=_FOLDED, stop=", ".join(f"'{w}'" for w in lexical.STOP_WORDS))
+
+
+_BM25 = f"""
+{_terms_sql("t", "doc_id", "documents")}, {_terms_sql("q", "item_id", "benchmark")},
+n AS (SELECT count(*) AS n FROM documents), l AS (SELECT doc_id, sum(tf) AS len FROM t GROUP BY doc_id), mean AS (SELECT (SELECT sum(tf) FROM t) / (SELECT n FROM n) AS avg_len),
+df AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+wt AS (SELECT doc_id, term, round(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + {lexical.K1} * ({1 - lexical.B} + {lexical.B} * len / avg_len)) * 1000000)::BIGINT AS weight FROM t JOIN df USING (term) JOIN l USING (doc_id), n, mean),
+lex AS (SELECT item_id AS query_id, doc_id, sum(weight)::BIGINT AS score FROM (SELECT DISTINCT item_id, term FROM q) JOIN wt USING (term) GROUP BY ALL)"""
+
+
+@query(f"WITH {_BM25} SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM lex) WHERE rank <= 10")
+def d3_lexical_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items of the benchmark as questions to all documents."""
+    index = lexical.build_index(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id")
+    questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return lexical.top_k(index, questions, 10, "doc_id").select("query_id", "doc_id", "score", "rank")
+
+
+@query(f"""
+WITH {_BM25}, v AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings e, embeddings q WHERE q.vec_id IN (SELECT item_id FROM benchmark)),
+r AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM lex UNION ALL SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) FROM v)
+SELECT query_id, doc_id::VARCHAR AS chunk_id, round(sum(1 / (60 + rank)), 9) AS score FROM r WHERE rank <= 100 GROUP BY ALL
+""")
+def d5_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 and cosine rankings of each question, fused; a document's vector is that of its number."""
+    index = lexical.build_index(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    words = lexical.top_k(index, items, 100, "doc_id").withColumn("chunk_id", F.col("doc_id").cast("string"))
+    vectors = table(spark, sf_dir, "embeddings")
+    asked = vectors.join(items.select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    near = retrieval.top_k(vectors, asked, 100, -1.0, key="vec_id").withColumn("chunk_id", F.col("vec_id").cast("string"))
+    return retrieval.fuse_ranks(words, near, by=("query_id",)).select("query_id", "chunk_id", F.round("score", 9).alias("score"))
+
+
 # ---- sinks and windows
 
 

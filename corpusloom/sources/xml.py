@@ -19,11 +19,11 @@ from pyspark.sql import functions as F
 from corpusloom.sources.tables import FACETED, RoleTable, table_of
 
 NODE = "struct<pre:int,post:int,depth:int,leaf:boolean,tag:string,path:array<string>,attrs:map<string,string>,text:string,flat:string>"
-FACET = f"path string, root string, raw_id string, nodes array<{NODE}>, error string"
+FACET = f"path string, root string, raw_id string, nodes array<{NODE}>, error string, failure struct<type:string,message:string>"
 _ARROW_NODE = pa.struct(
     [("pre", pa.int32()), ("post", pa.int32()), ("depth", pa.int32()), ("leaf", pa.bool_()), ("tag", pa.string()), ("path", pa.list_(pa.string())), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("flat", pa.string())]
 )
-_ARROW_FACET = pa.schema([("path", pa.string()), ("root", pa.string()), ("raw_id", pa.string()), ("nodes", pa.list_(_ARROW_NODE)), ("error", pa.string())])
+_ARROW_FACET = pa.schema([("path", pa.string()), ("root", pa.string()), ("raw_id", pa.string()), ("nodes", pa.list_(_ARROW_NODE)), ("error", pa.string()), ("failure", pa.struct([("type", pa.string()), ("message", pa.string())]))])
 
 
 def flat_text(element: ElementTree.Element, transparent: dict[str, str]) -> str:
@@ -76,12 +76,13 @@ def _decode(table: RoleTable):
             for path, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist(), strict=True):
                 try:
                     root = ElementTree.fromstring(content or b"")
+                    nodes = nodes_of(root, read, transparent)
+                    first = next((n["text"].strip() for n in nodes if n["tag"] == table.identifier_tag), "")
+                    rows.append({"path": path, "root": root.tag, "raw_id": first or None, "nodes": nodes})
                 except ElementTree.ParseError as broken:
                     rows.append({"path": path, "error": str(broken)})
-                    continue
-                nodes = nodes_of(root, read, transparent)
-                first = next((n["text"].strip() for n in nodes if n["tag"] == table.identifier_tag), "")
-                rows.append({"path": path, "root": root.tag, "raw_id": first or None, "nodes": nodes})
+                except Exception as broken:  # noqa: BLE001  as of an encoding that the reader does not know: this file fails, the others do not
+                    rows.append({"path": path, "failure": {"type": type(broken).__name__, "message": str(broken)[:200]}})
             yield pa.RecordBatch.from_pylist(rows, _ARROW_FACET)
 
     return decode
@@ -93,11 +94,11 @@ def scan_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def decode_facets(files: DataFrame, source: str) -> DataFrame:
-    """source, path, root, raw_id, nodes, error, skip (null, 'unreadable' or 'export_artifact'). files: path, content."""
+    """source, path, root, raw_id, nodes, error, failure, skip (null, 'unreadable', 'failed' or 'export_artifact'). files: path, content."""
     out = files.select("path", "content").mapInArrow(_decode(table_of(source)), FACET)
     name = F.element_at(F.split("path", "/"), -1)
     artefact = (name == "versions.xml") & F.col("root").isin("VERSIONS", "ID") if source in FACETED else F.lit(False)
-    skip = F.when(F.col("error").isNotNull(), "unreadable").when(artefact, "export_artifact")
+    skip = F.when(F.col("error").isNotNull(), "unreadable").when(F.col("failure").isNotNull(), "failed").when(artefact, "export_artifact")
     return out.select(F.lit(source).alias("source"), "*", skip.alias("skip"))
 
 
@@ -113,13 +114,18 @@ def skipped(facets: DataFrame) -> DataFrame:
     return facets.where("skip is not null").groupBy("source", "skip").count()
 
 
+def failures(facets: DataFrame) -> DataFrame:
+    """identifier (the file's path), phase, type, message of files that could not be taken apart, though they may be well-formed."""
+    return facets.where("skip = 'failed'").select(F.col("path").alias("identifier"), F.lit("decode").alias("phase"), "failure.type", "failure.message")
+
+
 def _doc_key() -> Column:
     return F.when(F.col("source").isin(*FACETED), F.coalesce("raw_id", "path")).otherwise(F.col("path"))
 
 
 def fetched(facets: DataFrame) -> DataFrame:
     """source, doc_key of each document that the files hold, counted at the scan and not from what came of it."""
-    return facets.where("skip is null").select("source", _doc_key().alias("doc_key")).distinct()
+    return facets.where("skip is null OR skip = 'failed'").select("source", _doc_key().alias("doc_key")).distinct()
 
 
 def raw_documents(facets: DataFrame) -> DataFrame:

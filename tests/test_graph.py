@@ -40,6 +40,47 @@ def test_reduction_against_brute_force(spark, seed):
     assert got == brute(pairs)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_reduction_of_forks_and_joins(spark, seed):
+    """Acyclic graphs without thin nodes to contract, and such with long chains between them."""
+    r = random.Random(seed)
+    names = [f"{r.random():.6f}" for _ in range(14)]
+    pairs = [tuple(names[k] for k in sorted(r.sample(range(14), 2))) for _ in range(30)]
+    for k in range(3):
+        a, b = sorted(r.sample(range(14), 2))
+        chain = [names[a], *(f"c{k}.{j}" for j in range(r.randint(1, 30))), names[b]]
+        pairs += list(zip(chain, chain[1:], strict=False)) + [(names[a], names[b])]
+    got = {(x.src, x.dst) for x in graph.reduce_transitively(edges(spark, pairs), "doc", "seq").collect()}
+    assert got == brute(pairs)
+
+
+def test_cycles(spark):
+    def cyclic(pairs):
+        return graph.has_cycle(spark.createDataFrame(pairs, "src string, dst string"))
+
+    chain = [(str(k), str(k + 1)) for k in range(40)]
+    assert not cyclic(chain) and not cyclic([]) and not cyclic(chain + [("0", "40"), ("3", "30"), ("x", "5"), ("5", "y")])
+    assert cyclic([("a", "a")]) and cyclic([("a", "b"), ("b", "a")])
+    assert cyclic(chain + [("40", "0")]) and cyclic(chain + [("30", "7"), ("x", "5"), ("x", "y")])
+    ladder = [(f"{k}{a}", f"{k + 1}{b}") for k in range(6) for a in "ab" for b in "ab"]
+    assert not cyclic(ladder) and cyclic(ladder + [("6a", "0b")])
+    pairs = [*chain, ("0", "40"), ("40", "12")]
+    assert {(x.src, x.dst) for x in graph.reduce_transitively(edges(spark, pairs), "doc", "seq").collect()} == set(pairs)
+
+
+def test_a_deep_chain_takes_few_jobs(spark):
+    """A chain of 1,000 edges, each node with a leaf besides, and an edge from its begin to its end."""
+    chain = [(str(k), str(k + 1)) for k in range(1000)]
+    pairs = [*chain, ("0", "1000"), *((str(k), f"leaf {k}") for k in range(1, 1000))]
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("deep", "deep")
+    got = {(x.src, x.dst) for x in graph.reduce_transitively(edges(spark, pairs), "doc", "seq").collect()}
+    jobs = len(tracker.getJobIdsForGroup("deep"))
+    spark.sparkContext.setJobGroup("", "")
+    assert got == set(pairs) - {("0", "1000")}
+    assert jobs < 120
+
+
 def test_other_verbs_pass_with_repeats(spark):
     both = edges(spark, [("A", "B"), ("B", "C"), ("A", "C"), ("A", "B")]).unionByName(edges(spark, [("A", "C"), ("A", "C")], "cite"))
     got = sorted((x.src, x.dst, x.type) for x in graph.reduce_transitively(both, "doc", "seq").collect())

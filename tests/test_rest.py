@@ -207,6 +207,70 @@ def test_a_failing_document_is_counted_and_the_run_goes_on(spark, tmp_path):
     assert store.read("run_summaries", "status string").first().status == "degraded"
 
 
+def test_each_failure_is_isolated_and_typed(spark, tmp_path):
+    """Any error of a client for one text, and a file that the reader cannot take apart: both are counted by kind, all others are written."""
+    (tmp_path / "legi").mkdir()
+    c = "LEGIARTI000000000777"
+    for name, me, text in (("a", A, "fine words"), ("b", B, "poison words"), ("c", c, "more words")):
+        (tmp_path / f"legi/{name}.xml").write_text(f"<ARTICLE><META><ID>{me}</ID></META><BLOC_TEXTUEL><CONTENU>{text}</CONTENU></BLOC_TEXTUEL></ARTICLE>", encoding="utf-8")
+    (tmp_path / "legi/d.xml").write_bytes(b'<?xml version="1.0" encoding="shift_jis"?><ARTICLE/>')
+
+    def moody():
+        inner = embedding.hashing_client(8)()
+
+        def embed(texts):
+            if any("poison" in t for t in texts):
+                raise ZeroDivisionError("no vector today")
+            return inner(texts)
+
+        return embed
+
+    store = sinks.Store(spark, f"file://{tmp_path}/store")
+    report = ingest.run(spark, plan(f"file://{tmp_path}"), store, moody, 8, "m")
+    assert (report["written"], report["failed"], report["status"]) == (2, 2, "degraded")
+    assert report["failures"][("embed", "ZeroDivisionError")] == (1, B, "no vector today")
+    assert report["failures"][("decode", "ValueError")][0] == 1
+    counts = report["counts"]
+    assert counts["document.fetched"] == counts["document.persisted"] + counts["document.invalidated"] + counts["document.failed"] == 4
+    assert {r.identifier for r in store.read("documents", "identifier string").collect()} == {A, c}
+
+
+def test_nothing_is_written_for_another_model(spark, tmp_path):
+    (tmp_path / "legi").mkdir()
+    (tmp_path / "legi/a.xml").write_text(ARTICLE, encoding="utf-8")
+    store = sinks.Store(spark, f"file://{tmp_path}/store")
+    here = f"file://{tmp_path}"
+
+    def named(model, dim):
+        def make():
+            client = embedding.hashing_client(dim)()
+            client.served = model, dim
+            return client
+
+        return make
+
+    for make, dim in ((embedding.hashing_client(9), 8), (named("other", 8), 8), (named("m", 9), 8)):
+        with pytest.raises(ValueError, match="served"):
+            ingest.run(spark, plan(here), store, make, dim, "m")
+    assert store.manifest() == {} and not (tmp_path / "store").exists()
+    ingest.run(spark, plan(here), store, named("m", 8), 8, "m")
+    held = store.manifest()
+    for make, dim, model in ((named("m", 9), 9, "m"), (named("n", 8), 8, "n")):
+        with pytest.raises(ValueError, match="was made with"):
+            ingest.run(spark, plan(here), store, make, dim, model)
+    assert store.manifest() == held
+    ingest.run(spark, plan(here, development=True, wipe=True), store, named("n", 9), 9, "n")
+
+
+def test_a_repeated_key_stops_the_run(spark, tmp_path):
+    store = sinks.Store(spark, f"file://{tmp_path}/store")
+    store.stage("nodes", spark.createDataFrame([("a",), ("b",)], "identifier string"))
+    store.check_unique()
+    store.stage("documents", spark.createDataFrame([("a",), ("a",)], "identifier string"))
+    with pytest.raises(ValueError, match="more than once: documents a"):
+        store.check_unique()
+
+
 def test_rows_of_an_unknown_source_are_an_error(spark):
     from corpusloom.operators import parsing
     from corpusloom.sources import xml
