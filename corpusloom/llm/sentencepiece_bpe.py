@@ -208,6 +208,7 @@ class PieceBpe:
     def decode(self, ids: list[int]) -> bytes:
         """As the library's decode(), in UTF-8: the space that was put in front goes, bytes that are no UTF-8 give U+FFFD each."""
         found = list(map(self.surface.__getitem__, ids))
+        within = found.count(b"") > sum(not x for x in (found[:1] + found[1:][-1:]))  # control ids there part runs of bytes
         first = next((k for k, x in enumerate(found) if x), None)
         if first is not None and ids[first] in self.opens:
             found[first] = found[first][1:]
@@ -215,8 +216,8 @@ class PieceBpe:
         try:
             whole.decode()
         except UnicodeDecodeError:
-            return self._patched(ids, found)
-        return whole
+            within = True
+        return self._patched(ids, found) if within else whole
 
     def _patched(self, ids: list[int], found: list[bytes]) -> bytes:
         out: list[str] = []
