@@ -74,9 +74,10 @@ def test_status_and_counts(spark):
 
 def test_embedding_policy(spark):
     chunks = spark.createDataFrame([("a", "x" * 50), ("b", "short"), ("c", "y" * 9)], "chunk_id string, text string")
-    got = {r.chunk_id: r for r in embedding.embed(chunks, embedding.hashing_client(8, limit=20), 8, "m").collect()}
+    embedded = embedding.embed(chunks, embedding.hashing_client(8, limit=20), 8, "m")
+    got = {r.chunk_id: r for r in embedded.collect()}
     assert got["a"].truncated and not got["b"].truncated and len(got["c"].embedding) == 8
-    assert stats.truncated_chunks(spark.createDataFrame(list(got.values()))).first().n == 1
+    assert stats.truncated_chunks(embedded).first().n == 1 and all(r.error is None for r in got.values())
 
 
 def plan(root, **more):
