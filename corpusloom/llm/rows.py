@@ -10,10 +10,18 @@ from corpusloom.session import write_table
 FILE, AT = "_row_file", "_row_at"
 
 
+def _one_to_one(plan) -> bool:
+    """Whether each row of an analysed plan is one row of a file scan: projections and filters over it, and nothing that repeats or joins rows."""
+    while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.child()
+    return plan.getClass().getSimpleName() == "LogicalRelation"
+
+
 def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(docs, the same with FILE and AT): hash of the file's path and place in it, equal in every scan.
 
-    Rows that don't come straight from Parquet files are written first, and the written table is what is returned.
+    Rows that don't come one by one from files are written first, and the written table is what is returned: of rows made from one
+    row of a file, as by explode, join or union, each has a place of its own there.
     """
 
     def of(df: DataFrame) -> DataFrame:
@@ -21,7 +29,8 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     if {FILE, AT} & set(docs.columns):
         raise ValueError(f"columns {FILE} and {AT} are this module's own")
-    if "_metadata" not in docs._jdf.queryExecution().analyzed().metadataOutput().mkString(","):
+    plan = docs._jdf.queryExecution().analyzed()
+    if not _one_to_one(plan) or "_metadata" not in plan.metadataOutput().mkString(","):
         docs = write_table(docs, "rows")
     return docs, of(docs)
 

@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from corpusloom.llm import components, exact_dedup, near_dedup
 from corpusloom.llm.exact_dedup import CuckooIndex
 
@@ -266,3 +268,26 @@ def test_upper_halves_never_contradict_full_sets():
     assert near_dedup._verdict(*[(s >> np.uint64(32)).astype(np.uint32) for s in (x, y)], 80) == 1 and not near_dedup._linked(x, y, 80)
     assert near_dedup._shared(np.array([1, 1, 2, 3], np.uint32), np.array([1, 2, 2, 2], np.uint32)) == 2
     assert 64 < near_dedup._chance(10**7, 10**7) < 10**5
+
+
+@pytest.mark.parametrize("how", ["explode", "join", "union", "select"])
+def test_rows_made_from_one_row_are_several(spark, tmp_path, how):
+    """Frames derived from a scan: rows share the place of the row that they were made from, and still one of each group stays."""
+    from pyspark.sql import functions as F
+
+    words = [" ".join(f"w{k}{j}" for j in range(30)) for k in range(3)]
+    spark.createDataFrame(list(enumerate(words)), "doc_id long, text string").write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    if how == "explode":
+        docs = docs.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    elif how == "join":
+        docs = docs.join(spark.createDataFrame([(k, c) for k in range(3) for c in range(2)], "doc_id long, copy int"), "doc_id")
+    elif how == "union":
+        docs = docs.unionByName(docs)
+    else:
+        docs = docs.where("doc_id >= 0").select("text", F.lower("text").alias("low"), "doc_id")
+    copies = 1 if how == "select" else 2
+    assert exact_dedup.exact_dedup(docs).where("kept").count() == 3
+    assert exact_dedup.exact_dedup(docs).count() == 3 * copies
+    for module in (exact_dedup, near_dedup):
+        assert sorted(r.doc_id for r in module.keep_documents(docs).collect()) == [0, 1, 2]
