@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import threading
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -65,19 +68,67 @@ def _embed(client: Client, texts: list[str], dim: int) -> list[Embedded]:
     return [(v, False, None) for v in got]
 
 
+class Unavailable(Exception):
+    """A client raises it where the same request may succeed later."""
+
+
+def _patient(client: Client, retries: int, wait: float) -> Client:
+    """The client, asked again after growing waits while it is unavailable."""
+
+    def embed(texts: list[str]) -> list[tuple[int, list[float]]]:
+        for n in range(retries):
+            try:
+                return client(texts)
+            except Unavailable:
+                time.sleep(wait * 2**n)
+        return client(texts)
+
+    return embed
+
+
+def _requests(texts: list[str], count: int, chars: int) -> Iterator[list[str]]:
+    """Texts in order, so many a request and no more characters than `chars`, but for a single text."""
+    held, size = [], 0
+    for text in texts:
+        if held and (len(held) == count or size + len(text) > chars):
+            yield held
+            held, size = [], 0
+        held.append(text)
+        size += len(text)
+    if held:
+        yield held
+
+
+def overlapped(make_client: Callable[[], Client], texts: list[str], dim: int, batch: int, chars: int, in_flight: int, retries: int, wait: float) -> list[Embedded]:
+    """Results in the order of texts, with at most `in_flight` requests at a time; each of its threads has a client of its own."""
+    own = threading.local()
+
+    def ask(part: list[str]) -> list[Embedded]:
+        if not hasattr(own, "client"):
+            own.client = _patient(make_client(), retries, wait)
+        return _embed(own.client, part, dim)
+
+    with ThreadPoolExecutor(in_flight) as pool:
+        return [x for part in pool.map(ask, _requests(texts, batch, chars)) for x in part]
+
+
 _ERROR = pa.struct([("type", pa.string()), ("message", pa.string())])
 
 
-def embed(chunks: DataFrame, make_client: Callable[[], Client], dim: int, model: str, batch: int = 32) -> DataFrame:
-    """chunks with embedding array<float> (null if it failed), truncated, error struct<type, message> (null if it did not) and model. One client for each task."""
+def embed(chunks: DataFrame, make_client: Callable[[], Client], dim: int, model: str, batch: int = 32, chars: int = 100_000, in_flight: int = 1, retries: int = 4, wait: float = 0.5) -> DataFrame:
+    """chunks with embedding array<float> (null if it failed), truncated, error struct<type, message> (null if it did not) and model.
+
+    A request has at most `batch` texts and about `chars` characters. A task keeps `in_flight` requests going, which pays for clients that wait for a service, and
+    takes the results in order; a client that is Unavailable is asked again `retries` times.
+    """
     schema = f"chunk_id string, embedding array<float>, truncated boolean, error struct<type:string,message:string>, {', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in chunks.schema if f.name != 'chunk_id')}"
     rest = [c for c in chunks.columns if c != "chunk_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        client = make_client()
+        client = _patient(make_client(), retries, wait) if in_flight == 1 else None
         for b in batches:
             texts = [t or "" for t in b["text"].to_pylist()]
-            got = [x for at in range(0, len(texts), batch) for x in _embed(client, texts[at : at + batch], dim)]
+            got = [x for part in _requests(texts, batch, chars) for x in _embed(client, part, dim)] if client else overlapped(make_client, texts, dim, batch, chars, in_flight, retries, wait)
             errors = pa.array([e and {"type": e[0], "message": e[1]} for *_, e in got], _ERROR)
             yield pa.RecordBatch.from_arrays([b["chunk_id"], pa.array([v for v, *_ in got], pa.list_(pa.float32())), pa.array([t for _, t, _ in got], pa.bool_()), errors, *(b[c] for c in rest)], ["chunk_id", "embedding", "truncated", "error", *rest])
 

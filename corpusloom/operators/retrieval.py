@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from corpusloom.functions import text as T
 
@@ -26,30 +32,119 @@ def joined_parts(parts: Column) -> Column:
     return F.array_join(F.transform(F.filter(parts, lambda p: p.type == "text"), lambda p: p.text), "")
 
 
-#: Queries that go to every task at once.
-BLOCK = 4096
+#: Bytes of questions' vectors that a task holds at once.
+QUESTION_BYTES = 256 << 20
+#: By how much the cosine of a matrix product may differ from the one that is summed place by place.
+SLACK = 1e-9
+
+
+def _summed(a: np.ndarray) -> np.ndarray:
+    """Sums of rows from left to right, so that equal vectors get equal scores wherever they stand."""
+    return np.cumsum(a, axis=1)[:, -1] if a.shape[1] else np.zeros(len(a))
+
+
+def _matrix(vectors: pa.ListArray, width: int) -> np.ndarray:
+    """Rows of a column of vectors; null ones are zero, others must have the width."""
+    filled = np.zeros((len(vectors), width))
+    held = np.flatnonzero(vectors.is_valid().to_numpy(zero_copy_only=False))
+    sizes = vectors.value_lengths().to_numpy(zero_copy_only=False)[held]
+    if (sizes != width).any():
+        raise ContractViolation(f"vectors of {width} places were expected")
+    filled[held] = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(held), width)
+    return filled
+
+
+class _Best:
+    """The best k scores of each question in one task, and what of a batch may be among them."""
+
+    def __init__(self, questions: np.ndarray, k: int, min_score: float) -> None:
+        self.q, self.k, self.least = questions, k, min_score
+        self.norm = np.sqrt(_summed(questions * questions))
+        self.top = np.full((len(questions), k), -np.inf)
+
+    def cosines(self, x: np.ndarray, size: np.ndarray, rows: np.ndarray, asked: np.ndarray) -> np.ndarray:
+        """Exact scores of pairs of rows and questions."""
+        out = np.zeros(len(rows))
+        for at in range(0, len(rows), 1 << 14):
+            i, j = rows[at : at + (1 << 14)], asked[at : at + (1 << 14)]
+            scale = size[i] * self.norm[j]
+            out[at : at + len(i)] = np.divide(_summed(x[i] * self.q[j]), scale, out=np.zeros(len(i)), where=scale > 0)
+        return out
+
+    def of(self, vectors: np.ndarray, keys: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rows, questions, scores) of a batch that no k others of this task beat.
+
+        One matrix product scores the distinct vectors; only pairs whose product comes within SLACK of the k-th best so far, or of the k-th of the batch, are
+        scored exactly. The product errs by less than SLACK, so no pair that belongs to the best is left out.
+        """
+        x, first = np.unique(vectors, axis=0, return_inverse=True)
+        # Of rows with one vector, those of the smallest keys win.
+        order = sorted(range(len(keys)), key=lambda i: (first[i], keys[i] is not None, keys[i]))
+        group = first[order]
+        place = np.arange(len(order)) - np.searchsorted(group, group)
+        order, group = np.asarray(order)[place < self.k], group[place < self.k]
+        begin = np.searchsorted(group, np.arange(len(x) + 1))
+
+        size = np.sqrt(_summed(x * x))
+        scale = size[:, None] * self.norm[None, :]
+        near = np.divide(x @ self.q.T, scale, out=np.zeros_like(scale), where=scale > 0)
+        held = np.sort(self.top, axis=1)[:, 0]
+        kth = np.partition(near, len(near) - self.k, axis=0)[len(near) - self.k] if len(near) > self.k else np.full(len(self.q), -np.inf)
+        row, asked = np.nonzero(near >= np.maximum(np.maximum(held, kth), self.least) - SLACK)
+        score = self.cosines(x, size, row, asked)
+        fine = (score >= self.least) & (score >= held[asked])
+        row, asked, score = row[fine], asked[fine], score[fine]
+
+        copies = begin[row + 1] - begin[row]
+        pick = np.repeat(begin[row] - np.cumsum(copies) + copies, copies) + np.arange(copies.sum())
+        rows, asked, score = order[pick], np.repeat(asked, copies), np.repeat(score, copies)
+        ranked = np.lexsort((np.arange(len(rows)), -score, asked))
+        rows, asked, score = rows[ranked], asked[ranked], score[ranked]
+        at = np.arange(len(rows)) - np.searchsorted(asked, asked)
+        keep = at < self.k
+        # Ties at the end of the k: their keys decide, which only the last step compares over tasks, so all of them go on, k of each vector at most.
+        if len(rows):
+            last = np.full(len(self.q), -np.inf)
+            np.minimum.at(lowest := np.full(len(self.q), np.inf), asked[keep], score[keep])
+            last[np.unique(asked)] = lowest[np.unique(asked)]
+            new = np.full((len(self.q), self.k), -np.inf)
+            new[asked[keep], at[keep]] = score[keep]
+            self.top = np.sort(np.concatenate([self.top, new], axis=1), axis=1)[:, -self.k :]
+            keep = score >= last[asked]
+        return rows[keep], asked[keep], score[keep]
 
 
 def top_k(chunks: DataFrame, queries: DataFrame, k: int = 5, min_score: float = 0.5, vector: str = "embedding", key: str = "chunk_id") -> DataFrame:
-    """query_id, rank, score and the columns of chunks: exact cosine, ties by key.
+    """query_id, rank, score and the columns of chunks: exact cosine, ties by key; null vectors count as zero.
 
-    queries (query_id, vector) are a stated set of questions. They meet the rows in blocks of about
-    BLOCK, so what a task is sent is bounded; a task keeps k rows of each query before the shuffle.
+    queries (query_id, vector) are a stated set of questions; they go to the tasks as one matrix, QUESTION_BYTES at a time, so the chunks are read once for
+    all of them, or once for each so many. A task keeps k rows of each question before the shuffle.
     """
-    rows = chunks.withColumn("_norm", T.norm(F.col(vector)))
-    asked = queries.select("query_id", F.col("vector").alias("_q"), T.norm(F.col("vector")).alias("_qnorm"))
-    blocks = max(1, -(-queries.count() // BLOCK))
-    size = F.col("_norm") * F.col("_qnorm")
+    spark = chunks.sparkSession
+    asked = queries.select("query_id", F.col("vector").alias("_q")).where("_q IS NOT NULL").toArrow()
+    matrix = np.asarray(asked["_q"].to_pylist(), np.float64).reshape(len(asked), -1)
+    schema = StructType([*chunks.schema.fields, *queries.select("query_id").schema.fields, StructField("score", DoubleType())])
+    step = max(1, QUESTION_BYTES // max(8, matrix.shape[1] * 8))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    out = None
-    for block in range(blocks):
-        few = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        scored = rows.join(F.broadcast(few)).withColumn("score", F.when(size > 0, T.dot(F.col(vector), F.col("_q")) / size).otherwise(F.lit(0.0)))
-        scored = scored.where(F.col("score") >= min_score).drop("_norm", "_q", "_qnorm")
-        # A filter rank <= k lets Spark keep k rows a group before the exchange.
-        best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        out = best if out is None else out.unionByName(best)
-    return out
+    found = []
+    for at in range(0, max(1, len(asked)), step):
+        part = spark.sparkContext.broadcast((matrix[at : at + step], asked["query_id"].slice(at, step).combine_chunks()))
+
+        def search(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
+            questions, ids = part.value
+            best = _Best(questions, k, min_score)
+            for batch in batches:
+                if not batch.num_rows or not len(questions):
+                    continue
+                rows, which, score = best.of(_matrix(batch[vector], questions.shape[1]), batch[key].to_pylist())
+                if len(rows):
+                    taken = batch.take(pa.array(rows))
+                    yield pa.RecordBatch.from_arrays([*taken.columns, ids.take(pa.array(which)), pa.array(score)], [*batch.schema.names, "query_id", "score"])
+
+        found.append(chunks.mapInArrow(search, schema))
+    ranked = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(w))
+    # A filter rank <= k lets Spark keep k rows a group before the exchange.
+    return ranked.where(F.col("rank") <= k)
 
 
 def valid_point() -> Column:

@@ -1,4 +1,10 @@
-"""Stores as Parquet snapshots: a run writes new snapshots beside the old ones and publishes them at once."""
+"""Stores as Parquet tables: a run writes beside what is there and publishes all at once.
+
+Snapshots are written whole. Keyed tables (`KEYED`) take changes: a change is a part of its own, so writing costs what it brings. Parts
+are merged on read, the last change of a key holding. Once there are RAW parts they are merged into one that is dealt over buckets by
+the key's hash, and merged parts of like size into a larger one, so there are few, and a row is rewritten as often as the logarithm of the table.
+Looking up keys reads the raw parts and, of merged ones, the buckets of these keys alone.
+"""
 
 from __future__ import annotations
 
@@ -7,8 +13,9 @@ import uuid
 from datetime import UTC, datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
 
 from corpusloom.functions import text as T
 
@@ -19,12 +26,19 @@ META_TABLES = ("run_summaries",)
 UNIQUE = {"documents": ("identifier",), "chunks": ("chunk_id",), "nodes": ("identifier",), "edges": ("src", "dst", "type"), "pending": ("src", "dst", "type"), "unformatted": ("source_identifier", "target_text", "relation_type", "sens")}
 
 
+#: Tables that take changes: the key, and the columns by whose hash they are dealt and looked up.
+KEYED = {"nodes": (("identifier",), ("identifier",)), "edges": (("src", "dst", "type"), ("src", "dst", "type")), "pending": (("src", "dst", "type"), ("dst",))}
+#: Parts of a keyed table that lie as they were written, at most.
+RAW = 8
+
+
 class Store:
     """Named tables below one root. `publish` writes one small manifest under the next number, by a rename, and readers take the highest, so a run is seen whole or not at all, wherever it stops. Older manifests stay."""
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
-        self.staged: dict[str, str] = {}
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64, keyed: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = KEYED) -> None:
+        """buckets: for merged parts that are written from now on; those that are there keep theirs. keyed: tables that take changes."""
+        self.spark, self.root, self.buckets, self.keyed = spark, root.rstrip("/"), buckets, keyed
+        self.staged: dict[str, str | list[dict]] = {}
         self.promised: dict[str, dict] = {}
 
     def _fs(self):
@@ -44,8 +58,8 @@ class Store:
             return {"tables": {}, "contracts": {}}
         return json.loads("".join(r.value for r in self.spark.read.text(f"{self.root}/manifest-{newest}.json").collect()))
 
-    def manifest(self) -> dict[str, str]:
-        """Name -> folder of the published tables."""
+    def manifest(self) -> dict[str, str | list[dict]]:
+        """Name -> folder of the published tables, or the parts of keyed ones."""
         return self._newest()["tables"]
 
     def ensure(self, name: str, **contract) -> None:
@@ -71,6 +85,8 @@ class Store:
     def read(self, name: str, schema: str) -> DataFrame:
         """The published table, or an empty one of the schema."""
         at = self.manifest().get(name)
+        if name in self.keyed:
+            return self._last(name, [self._part(p, schema) for p in at or []], schema)
         return self.spark.read.schema(schema).parquet(at) if at else self.spark.createDataFrame([], schema)
 
     def stage(self, name: str, df: DataFrame, *partition: str) -> DataFrame:
@@ -79,7 +95,78 @@ class Store:
         self.staged[name] = at
         return self.spark.read.schema(df.schema).parquet(at)
 
+    # ---- keyed tables
+
+    def _parts(self, name: str) -> list[dict]:
+        """With those that are staged."""
+        return self.staged.get(name, self.manifest().get(name, []))
+
+    def _part(self, part: dict, schema, keys: DataFrame | None = None, name: str | None = None) -> DataFrame:
+        fields = schema if isinstance(schema, StructType) else self.spark.createDataFrame([], schema).schema
+        rows = self.spark.read.schema(StructType([*fields.fields, StructField("_seq", LongType()), StructField("_gone", BooleanType()), *([StructField("_bucket", IntegerType())] if part["buckets"] else [])])).parquet(part["at"])
+        if part["buckets"] and keys is not None:
+            touched = keys.select(_bucket(self.keyed[name][1], part["buckets"]).alias("b")).distinct().collect()
+            rows = rows.where(F.col("_bucket").isin([r.b for r in touched]))
+        return rows.drop("_bucket")
+
+    def _last(self, name: str, parts: list[DataFrame], schema, gone: bool = False) -> DataFrame:
+        """The last change of each key; without deleted ones unless `gone`, which has _seq and _gone, too."""
+        if not parts:
+            empty = self.spark.createDataFrame([], schema)
+            return empty.withColumns({"_seq": F.lit(0).cast("long"), "_gone": F.lit(False)}) if gone else empty
+        rows = reduce(DataFrame.unionByName, parts)
+        last = rows.groupBy(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(self.keyed[name][0]))).agg(F.max_by(F.struct(*rows.columns), "_seq").alias("_row")).select("_row.*")
+        return last if gone else last.where("NOT _gone").drop("_seq", "_gone")
+
+    def fetch(self, name: str, schema, keys: DataFrame) -> DataFrame:
+        """Rows of a keyed table, staged changes included, whose lookup columns are in keys."""
+        by = list(self.keyed[name][1])
+        keys = keys.select(*by).distinct()
+        found = [self._part(p, schema, keys, name).join(keys, by, "left_semi") for p in self._parts(name)]
+        return self._last(name, found, schema)
+
+    def existing(self, name: str, keys: DataFrame, kind: str = "string") -> DataFrame:
+        """Those of keys (the lookup columns, of one type) that a keyed table has."""
+        key, by = self.keyed[name]
+        return self.fetch(name, ", ".join(f"{c} {kind}" for c in dict.fromkeys((*key, *by))), keys).select(*by).distinct()
+
+    def upsert(self, name: str, rows: DataFrame) -> None:
+        """Stage rows in place of those of the same key. Each key must be there once."""
+        self._add(name, rows.withColumn("_gone", F.lit(False)))
+
+    def remove(self, name: str, rows: DataFrame) -> None:
+        """Stage the removal of the rows' keys."""
+        self._add(name, rows.withColumn("_gone", F.lit(True)))
+
+    def _add(self, name: str, rows: DataFrame) -> None:
+        parts = self._parts(name)
+        seq = 1 + max((p["seq"] for p in parts), default=0)
+        at = f"{self.root}/{name}/{uuid.uuid4().hex}"
+        rows.withColumn("_seq", F.lit(seq).cast("long")).select(*(c for c in rows.columns if c != "_gone"), "_seq", "_gone").write.parquet(at)
+        self.staged[name] = [*parts, {"at": at, "seq": seq, "buckets": 0, "rows": 0}]
+
+    def merge(self, name: str, least: int = 1) -> None:
+        """Merge raw parts if there are `least`, and merged ones while the last is no smaller than a quarter of the one before it."""
+        parts = self._parts(name)
+        raw = [p for p in parts if not p["buckets"]]
+        if len(raw) < least:
+            return
+        schema = StructType([f for f in self.spark.read.parquet(raw[-1]["at"]).schema.fields if f.name not in ("_seq", "_gone")])
+        kept = [p for p in parts if p["buckets"]]
+        group, n = raw, sum(self.spark.read.parquet(p["at"]).count() for p in raw)
+        while kept and 4 * n >= kept[-1]["rows"]:
+            group, n = [kept[-1], *group], n + kept[-1]["rows"]
+            kept = kept[:-1]
+        rows = self._last(name, [self._part(p, schema) for p in group], schema, gone=True)
+        rows = rows if kept else rows.where("NOT _gone")  # nothing older is left that a removal could hide
+        at = f"{self.root}/{name}/{uuid.uuid4().hex}"
+        by = _bucket(self.keyed[name][1], self.buckets)
+        rows.withColumn("_bucket", by).repartition("_bucket").sortWithinPartitions("_bucket", *self.keyed[name][0]).write.partitionBy("_bucket").parquet(at)
+        self.staged[name] = [*kept, {"at": at, "seq": group[-1]["seq"], "buckets": self.buckets, "rows": n}]
+
     def publish(self) -> None:
+        for name in self.staged.keys() & self.keyed.keys():
+            self.merge(name, RAW)
         newest = self._newest()
         self._replace(newest["tables"] | self.staged, newest["contracts"] | self.promised)
         self.staged, self.promised = {}, {}
@@ -87,13 +174,16 @@ class Store:
     def discard(self) -> None:
         """Undo what a failed run has staged."""
         jvm, fs = self._fs()
-        for at in self.staged.values():
-            fs.delete(jvm.org.apache.hadoop.fs.Path(at), True)
+        held = self.manifest()
+        for name, at in self.staged.items():
+            for path in [at] if isinstance(at, str) else [p["at"] for p in at if p not in held.get(name, [])]:
+                fs.delete(jvm.org.apache.hadoop.fs.Path(path), True)
         self.staged, self.promised = {}, {}
 
     def check_unique(self) -> None:
         """An error if a staged table has a key more than once: then nothing is published."""
-        wrong = [duplicates(self.spark.read.parquet(at), *UNIQUE[name]).select(F.lit(name).alias("name"), F.concat_ws(" ", *UNIQUE[name]).alias("key")) for name, at in self.staged.items() if name in UNIQUE]
+        paths = [(name, at if isinstance(at, str) else at[-1]["at"]) for name, at in self.staged.items() if name in UNIQUE]  # of keyed tables what was added last
+        wrong = [duplicates(self.spark.read.parquet(at), *UNIQUE[name]).select(F.lit(name).alias("name"), F.concat_ws(" ", *UNIQUE[name]).alias("key")) for name, at in paths]
         found = reduce(DataFrame.unionByName, wrong).take(3) if wrong else []
         if found:
             raise ValueError("more than once: " + ", ".join(f"{r.name} {r.key}" for r in found))
@@ -106,6 +196,10 @@ class Store:
             fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}"), True)
 
 
+def _bucket(by: tuple[str, ...], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*by), F.lit(buckets)).cast("int")
+
+
 def last_by(rows: DataFrame, key: str, *order: str) -> DataFrame:
     """Of each key the row that comes last by `order`, a total order of its rows; picked before rows are moved."""
     best = F.max_by(F.struct(*rows.columns), F.struct(*order))

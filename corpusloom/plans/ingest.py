@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from corpusloom.operators import chunking, embedding, graph, links, parsing, sinks, stats
 from corpusloom.session import write_table
 from corpusloom.sources import tables, xml
-from corpusloom.streaming.incremental import PENDING
+from corpusloom.streaming.incremental import KEPT as EDGES
+from corpusloom.streaming.incremental import write_edges
 
 UNFORMATTED = "source_identifier string, target_text string, relation_type string, sens string, source string, first_seen_run string, last_seen_run string"
-EDGES = "src string, dst string, type string, props map<string,string>, run_id string"
 
 
 @dataclass(frozen=True)
@@ -98,30 +98,12 @@ def _run(spark: SparkSession, plan: RunPlan, store: sinks.Store, make_client: Ca
     store.stage("documents", sinks.replaced(store.read("documents", documents.schema), documents, "identifier", "source", "title", "content"))
     store.stage("chunks", sinks.replaced_chunks(store.read("chunks", embedded.schema), embedded, written))
     node_rows = graph.node_table(linked, plan.hydrate_nodes)
-    nodes = store.stage("nodes", graph.merge_nodes(store.read("nodes", node_rows.schema), node_rows))
+    store.upsert("nodes", graph.merge_nodes(store.fetch("nodes", node_rows.schema, node_rows), node_rows))
     store.stage("unformatted", graph.upsert_unformatted(store.read("unformatted", UNFORMATTED), links.unformatted(linked), plan.run_id))
 
     edges = write_table(links.edges(linked, plan.skip_unconfigured), "edges")
     reduced = write_table(graph.reduce_transitively(edges, "doc", "seq"), "edges-reduced")
-    good, waiting = graph.split_by_endpoints(reduced, nodes)
-    waiting = write_table(waiting, "edges-pending")
-    pending = graph.upsert_pending(store.read("pending", PENDING), waiting, plan.run_id)
-    promoted, still = graph.promote(pending, written, nodes)
-    promoted = write_table(promoted, "edges-promoted")
-    old = store.read("edges", EDGES)
-    fresh = graph.merged_props(
-        old.select("src", "dst", "type", "props", F.lit(0).alias("_at"), F.lit("").alias("doc"), F.lit(0).alias("seq"))
-        .unionByName(promoted.select("src", "dst", "type", "props", F.lit(1).alias("_at"), F.lit("").alias("doc"), F.lit(0).alias("seq")))
-        .unionByName(good.select("src", "dst", "type", "props", F.lit(2).alias("_at"), "doc", "seq")),
-        "_at",
-        "doc",
-        "seq",
-    )
-    touched = good.select(*graph.KEY).unionByName(promoted.select(*graph.KEY)).distinct().withColumn("_now", F.lit(plan.run_id))
-    was = old.select(*graph.KEY, F.col("run_id").alias("_was"))
-    fresh = fresh.join(touched, graph.KEY, "left").join(was, graph.KEY, "left").withColumn("run_id", F.coalesce("_now", "_was")).drop("_now", "_was")
-    store.stage("edges", fresh.select("src", "dst", "type", "props", "run_id"))
-    store.stage("pending", still)
+    waiting, promoted = write_edges(store, reduced, written, plan.run_id)
 
     refused = {r["reject"]: r["count"] for r in parsed.where("reject is not null").groupBy("reject").count().collect()}
     n_docs, n_edges, n_reduced, n_waiting = linked.count(), edges.count(), reduced.count(), waiting.count()

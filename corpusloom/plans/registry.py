@@ -7,10 +7,12 @@ u embedding, d the hybrid search.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corpusloom.functions import text as T
 from corpusloom.operators import chunking, embedding, graph, lexical, links, parsing, retrieval, sinks, stats
@@ -435,8 +437,27 @@ def r10_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT DISTINCT o.* FROM orders o JOIN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity >= 49) l ON o_orderkey = l_orderkey")
 def s12_fetch_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = table(spark, sf_dir, "lineitem").where("l_quantity >= 49").select(F.col("l_orderkey").alias("o_orderkey"))
-    return table(spark, sf_dir, "orders").join(ids, "o_orderkey", "left_semi").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+    """From a stored table of orders, dealt over buckets by key."""
+    store, schema = _order_store(spark, sf_dir)
+    return store.fetch("orders", schema, table(spark, sf_dir, "lineitem").where("l_quantity >= 49").select(F.col("l_orderkey").alias("o_orderkey")))
+
+
+def _order_store(spark: SparkSession, sf_dir: str) -> tuple[sinks.Store, StructType]:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+    store = sinks.Store(spark, f"{scratch_dir(spark)}/corpusloom/store-{uuid.uuid4().hex}", keyed={"orders": (("o_orderkey",), ("o_orderkey",))})
+    store.upsert("orders", orders)
+    store.merge("orders")
+    store.publish()
+    return store, orders.schema
+
+
+@query("SELECT event_id, o_orderkey IS NOT NULL AS known FROM events LEFT JOIN orders ON user_id * 3 = o_orderkey")
+def s13_key_existence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether three times an event's user is the key of a stored order; a user's key is looked up once."""
+    store, _ = _order_store(spark, sf_dir)
+    events = table(spark, sf_dir, "events").select("event_id", (F.col("user_id").cast("long") * 3).alias("o_orderkey"))
+    known = store.existing("orders", events.select("o_orderkey"), "long").withColumn("known", F.lit(True))
+    return events.join(known, "o_orderkey", "left").select("event_id", F.coalesce("known", F.lit(False)).alias("known"))
 
 
 @query("""

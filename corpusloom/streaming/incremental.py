@@ -8,26 +8,51 @@ from pyspark.sql.streaming import StreamingQuery
 
 from corpusloom.operators import graph
 from corpusloom.operators.sinks import Store
+from corpusloom.session import write_table
 
-NODES = "identifier string"
+NODES = "identifier string, label string, props map<string,string>"
 EDGES = "src string, dst string, type string, props map<string,string>, source string, doc string, seq int"
 PENDING = "src string, dst string, type string, source string, props map<string,string>, first_seen_run string, last_seen_run string"
-KEPT = "src string, dst string, type string, props map<string,string>"
+KEPT = "src string, dst string, type string, props map<string,string>, run_id string"
+
+
+def _known(store: Store, edges: DataFrame) -> DataFrame:
+    """Those ends of edges that are nodes."""
+    return store.existing("nodes", edges.select(F.col("src").alias("identifier")).unionByName(edges.select(F.col("dst").alias("identifier"))))
+
+
+def write_edges(store: Store, seen: DataFrame, written: DataFrame, run_id: str) -> tuple[DataFrame, DataFrame]:
+    """Stage the edges (EDGES) of a run whose nodes (written: identifier) are staged: those between nodes, deferred ones, and deferred ones of earlier runs whose target is written now.
+
+    Returns what is deferred and what is promoted, written tables. Of the store only those rows are read that have keys of the run.
+    """
+    seen = write_table(seen, "edges-seen")
+    good, waiting = graph.split_by_endpoints(seen, _known(store, seen))
+    waiting = write_table(waiting, "edges-pending")
+    candidates = write_table(store.fetch("pending", PENDING, written.select(F.col("identifier").alias("dst"))), "edges-candidates")
+    promoted = write_table(graph.split_by_endpoints(candidates, _known(store, candidates))[0], "edges-promoted")
+    keys = waiting.select(*graph.KEY).distinct()
+    before = store.fetch("pending", PENDING, waiting).join(keys, graph.KEY, "left_semi")
+    store.upsert("pending", graph.upsert_pending(before, waiting, run_id))
+    store.remove("pending", promoted)
+
+    def part(rows: DataFrame, at: int, *order) -> DataFrame:
+        return rows.select(*graph.KEY, "props", F.lit(at).alias("_at"), *(order or (F.lit("").alias("doc"), F.lit(0).alias("seq"))))
+
+    given = part(promoted, 1).unionByName(part(good, 2, "doc", "seq"))
+    old = store.fetch("edges", KEPT, given)
+    merged = graph.merged_props(part(old, 0).unionByName(given), "_at", "doc", "seq")
+    store.upsert("edges", merged.select(*graph.KEY, "props", F.lit(run_id).alias("run_id")))
+    return waiting, promoted
 
 
 def apply_batch(store: Store, batch: DataFrame, run_id: str) -> None:
-    """One run: batch has node ids (identifier) and edges in one table, as column `e` of EDGES or null."""
-    new_nodes = batch.where("identifier is not null").select("identifier").distinct()
-    nodes = store.stage("nodes", store.read("nodes", NODES).unionByName(new_nodes).distinct())
-    seen = batch.where("e is not null").select("e.*")
-    written, waiting = graph.split_by_endpoints(seen, nodes)
-    pending = graph.upsert_pending(store.read("pending", PENDING), waiting, run_id)
-    promoted, still = graph.promote(pending, new_nodes, nodes)
-    old = store.read("edges", KEPT)
-    merged = old.withColumn("_at", F.lit(0)).unionByName(promoted.select("src", "dst", "type", "props", F.lit(1).alias("_at"))).unionByName(written.select("src", "dst", "type", "props", F.lit(2).alias("_at")))
-    merged = merged.withColumn("_props", F.to_json("props"))
-    store.stage("edges", graph.merged_props(merged, "_at", "_props"))
-    store.stage("pending", still)
+    """One run: batch has node ids (identifier) and edges in one table, as column `e` of EDGES or null. Its cost follows the batch and not the store."""
+    nodes = write_table(batch.where("identifier is not null").select("identifier").distinct(), "batch-nodes")
+    empty = F.create_map().cast("map<string,string>")
+    new = nodes.join(store.existing("nodes", nodes), "identifier", "left_anti")
+    store.upsert("nodes", new.select("identifier", F.lit(None).cast("string").alias("label"), empty.alias("props")))
+    write_edges(store, batch.where("e is not null").select("e.*"), nodes, run_id)
     store.publish()
 
 

@@ -43,6 +43,73 @@ def test_top_k_ties_and_zero_vectors(spark):
     assert retrieval.top_k(rows.where("false"), q).count() == 0
 
 
+@pytest.mark.parametrize("batch", ["3", "2000"])
+def test_top_k_against_brute_force(spark, batch):
+    """Many equal vectors, ties over keys, zero and null vectors, any least score, in small batches and one; the scan is one."""
+    import random
+
+    r = random.Random(7)
+    pool = [[float(r.randint(-2, 2)) for _ in range(4)] for _ in range(25)] + [[0.0] * 4]
+    rows = [(f"c{k}", r.choice(pool[:3] if k % 3 else pool), k) for k in range(300)] + [("null", None, 0)]
+    asked = [(q, r.choice(pool)) for q in range(40)]
+
+    def cosine(a, b):
+        size = sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5
+        return sum(x * y for x, y in zip(a, b, strict=True)) / size if size else 0.0
+
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    chunks = spark.createDataFrame(rows, "chunk_id string, embedding array<float>, extra int").repartition(3)
+    queries = spark.createDataFrame(asked, "query_id long, vector array<float>")
+    for k, least in ((1, 0.5), (7, -1.0), (400, 0.3)):
+        found = retrieval.top_k(chunks, queries, k, least)
+        got = sorted((x.query_id, x["rank"], x.chunk_id) for x in found.collect())
+        expected = []
+        for q, v in asked:
+            best = sorted(((-cosine(e or [0.0] * 4, v), c) for c, e, _ in rows if cosine(e or [0.0] * 4, v) >= least))[:k]
+            expected += [(q, n + 1, c) for n, (_, c) in enumerate(best)]
+        assert got == sorted(expected)
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+
+
+def test_lexical_terms(spark):
+    from corpusloom.operators import lexical
+
+    text = "L'article L. 1234-5 du code du travail, les chevaux; Lois et travaux: pourvoi 12-34.567, ECLI:FR:CCASS:2020:SO00123 l1234-5"
+    got = {(x.term, x.tf) for x in lexical.terms(spark.createDataFrame([(1, text)], "chunk_id int, text string"), "chunk_id").collect()}
+    assert {("ref:l1234-5", 2), ("ref:12-34.567", 1), ("ref:ecli:fr:ccass:2020:so00123", 1), ("cheval", 1), ("travail", 1), ("traval", 1), ("articl", 1), ("code", 1)} <= got
+    assert not {"du", "les", "et"} & {t for t, _ in got}
+
+
+@pytest.mark.parametrize("size", [5, 4096])
+def test_lexical_top_k_in_blocks(spark, size):
+    """Blocks of five passages, of which most need not be scored, give what one block gives, and what a plain sum gives."""
+    import math
+    import random
+    from collections import Counter
+
+    from corpusloom.operators import lexical
+
+    r = random.Random(3)
+    words = ["alpha", "beta", "gamma", "delta", "kappa", "omega", "theta"]
+    texts = {k: " ".join(r.choices(words, weights=[40, 20, 10, 5, 3, 2, 1], k=r.randint(0, 25))) for k in range(120)} | {200 + k: "omega theta alpha" for k in range(6)}
+    asked = {1: "theta omega", 2: "alpha alpha", 3: "unknown", 4: "kappa beta theta", 5: ""}
+    index = lexical.build_index(spark.createDataFrame(list(texts.items()), "chunk_id int, text string"), block_size=size)
+    got = sorted((x.query_id, x["rank"], x.chunk_id, x.score) for x in lexical.top_k(index, spark.createDataFrame(list(asked.items()), "query_id int, text string"), 4).collect())
+    counts = {k: Counter(t.split()) for k, t in texts.items()}
+    mean, df = sum(sum(c.values()) for c in counts.values()) / len(texts), Counter(w for c in counts.values() for w in c)
+    expected = []
+    for q, text in asked.items():
+        scores = []
+        for k, c in counts.items():
+            found = [math.log(1 + (len(texts) - df[w] + 0.5) / (df[w] + 0.5)) * c[w] / (c[w] + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)) for w in set(text.split()) if c[w]]
+            if found:
+                scores.append((-sum(math.floor(x * 1e6 + 0.5) for x in found), k))
+        expected += [(q, n + 1, k, -s) for n, (s, k) in enumerate(sorted(scores)[:4])]
+    assert got == sorted(expected)
+
+
 def test_contract(spark):
     fine = spark.createDataFrame([("c", "i", 0, 2, "article")], "chunk_id string, identifier string, char_start int, char_end int, document_type string")
     assert retrieval.checked(fine).count() == 1
@@ -80,6 +147,61 @@ def test_embedding_policy(spark):
     assert stats.truncated_chunks(embedded).first().n == 1 and all(r.error is None for r in got.values())
 
 
+def test_requests_overlap_in_order(spark):
+    """A client of 50 ms a call: eight in flight are four times as fast at least, with equal vectors in the same order."""
+    import threading
+    import time
+
+    busy, most, lock = [0], [0], threading.Lock()
+
+    def slow():
+        inner = embedding.hashing_client(8)()
+
+        def embed(texts):
+            with lock:
+                busy[0] += 1
+                most[0] = max(most[0], busy[0])
+            time.sleep(0.05)
+            with lock:
+                busy[0] -= 1
+            return list(reversed(inner(texts)))
+
+        return embed
+
+    texts = [f"text {k} " + "x" * (k % 7) for k in range(320)]
+    taken, results = {}, {}
+    for n in (1, 8):
+        began = time.time()
+        results[n] = embedding.overlapped(slow, texts, 8, 4, 10_000, n, 0, 0)
+        taken[n] = time.time() - began
+    assert results[1] == results[8] and taken[1] > 4 * taken[8] and most[0] == 8
+    assert [len(x) for x in embedding._requests(["a" * 60, "b" * 60, "c", "d" * 500, "e"], 3, 100)] == [1, 2, 1, 1]
+    chunks = spark.createDataFrame([(f"{k}", t) for k, t in enumerate(texts)], "chunk_id string, text string")
+    one, eight = ({r.chunk_id: r.embedding for r in embedding.embed(chunks, embedding.hashing_client(8), 8, "m", in_flight=n).collect()} for n in (1, 8))
+    assert one == eight
+
+
+def test_an_unavailable_client_is_asked_again():
+    calls = []
+
+    def make():
+        inner = embedding.hashing_client(8)()
+
+        def embed(texts):
+            calls.append(len(texts))
+            if len(calls) < 3:
+                raise embedding.Unavailable
+            return inner(texts)
+
+        return embed
+
+    (vector, _, error), = embedding.overlapped(make, ["a"], 8, 4, 100, 1, 4, 0.001)
+    assert len(vector) == 8 and error is None and calls == [1, 1, 1]
+    calls.clear()
+    (vector, _, error), = embedding.overlapped(make, ["a"], 8, 4, 100, 1, 1, 0.001)
+    assert vector is None and error[0] == "Unavailable"
+
+
 def plan(root, **more):
     return ingest.RunPlan.of({"root": root, "max_chars": 20, "overlap_chars": 5, "sources": "legi", **more})
 
@@ -127,6 +249,69 @@ def test_stream_of_runs(spark, tmp_path):
     assert store.read("edges", incremental.KEPT).first().props == {"k": "v"}
 
 
+def test_changes_are_merged_on_read(spark, tmp_path, monkeypatch):
+    """Upserts and removals of many publishes against a dict; parts are merged meanwhile."""
+    import random
+
+    monkeypatch.setattr(sinks, "RAW", 3)
+    r, held, store = random.Random(1), {}, sinks.Store(spark, f"file://{tmp_path}/s", buckets=4)
+    schema = "identifier string, label string, props map<string,string>"
+    for n in range(8):
+        some = {f"k{r.randint(0, 30)}" for _ in range(9)}
+        gone = {f"k{r.randint(0, 30)}" for _ in range(4)} - some
+        store.upsert("nodes", spark.createDataFrame([(k, f"{n}", {"n": str(n)}) for k in some], schema))
+        held |= {k: f"{n}" for k in some}
+        if n % 2:
+            store.remove("nodes", spark.createDataFrame([(k, None, None) for k in gone] or [("none", None, None)], schema))
+            held = {k: v for k, v in held.items() if k not in gone}
+        store.publish()
+        again = sinks.Store(spark, f"file://{tmp_path}/s", buckets=4)
+        assert {x.identifier: x.label for x in again.read("nodes", schema).collect()} == held
+        keys = spark.createDataFrame([(f"k{k}",) for k in range(0, 40, 3)], "identifier string")
+        assert {x.identifier: x.label for x in again.fetch("nodes", schema, keys).collect()} == {k: v for k, v in held.items() if int(k[1:]) % 3 == 0}
+        assert {x.identifier for x in again.existing("nodes", keys).collect()} == {k for k in held if int(k[1:]) % 3 == 0}
+    parts = store.manifest()["nodes"]
+    assert any(p["buckets"] for p in parts) and len(parts) < 8
+
+
+def test_a_lookup_reads_the_buckets_of_its_keys(spark, tmp_path, monkeypatch):
+    """The files that are read follow the keys and not the store."""
+    monkeypatch.setattr(sinks, "RAW", 1)
+    schema = "identifier string, label string, props map<string,string>"
+    read = {}
+    for n in (1_000, 100_000):
+        store = sinks.Store(spark, f"file://{tmp_path}/{n}", buckets=max(8, n // 500))
+        store.upsert("nodes", spark.range(n).selectExpr("concat('k', id) AS identifier", "'x' AS label", "map('a', 'b') AS props"))
+        store.publish()
+        found = store.fetch("nodes", schema, spark.createDataFrame([("k7",), ("k8",), ("none",)], "identifier string"))
+        assert {x.identifier for x in found.collect()} == {"k7", "k8"}
+        part = store.manifest()["nodes"][0]
+        files = store._part(part, schema, spark.createDataFrame([("k7",), ("k8",), ("none",)], "identifier string"), "nodes")
+        read[n] = len(files.select(F.input_file_name()).distinct().collect())
+    assert all(few <= 3 for few in read.values())
+
+
+def test_the_cost_of_a_batch_follows_the_batch(spark, tmp_path, monkeypatch):
+    """A batch of ten nodes and edges into a store of 400 and of 8,000 nodes and edges reads about as much."""
+    monkeypatch.setattr(sinks, "RAW", 1)
+    kind = "identifier string, e struct<src:string,dst:string,type:string,props:map<string,string>,source:string,doc:string,seq:int>"
+    spent = {}
+    for n in (400, 8_000):
+        store = sinks.Store(spark, f"file://{tmp_path}/{n}", buckets=n // 50)
+        whole = spark.range(n).selectExpr("concat('n', id) AS identifier", "named_struct('src', concat('n', id), 'dst', concat('n', id + 1), 'type', 'cite', 'props', map('k', 'v'), 'source', 's', 'doc', 'd', 'seq', 0) AS e")
+        incremental.apply_batch(store, whole, "run-0")
+        assert store.read("edges", incremental.KEPT).count() == n - 1 and store.read("pending", incremental.PENDING).count() == 1
+        monkeypatch.setattr(sinks, "RAW", 8)
+        rows = []
+        monkeypatch.setattr(store, "_part", lambda part, *a, _part=store._part: rows.append(out := _part(part, *a)) or out)
+        few = spark.createDataFrame([(f"n{k}", (f"n{k}", f"n{k + 1}", "cite", {"k": "w"}, "s", "d", 0)) for k in range(n, n + 10)], kind)
+        incremental.apply_batch(store, few, "run-1")
+        spent[n] = sum(r.count() for r in rows)
+        monkeypatch.setattr(sinks, "RAW", 1)
+        assert store.read("edges", incremental.KEPT).count() == n + 9
+    assert spent[8_000] < 3 * spent[400]
+
+
 def test_rate_limit_stream(spark, tmp_path):
     spark.sql("SELECT id % 2 AS user_id, timestamp'2024-01-01' + make_dt_interval(0, 0, 0, id) AS ts FROM range(40)").write.parquet(f"{tmp_path}/e")
     late = spark.sql("SELECT 9L AS user_id, timestamp'2024-01-02' AS ts")
