@@ -92,7 +92,7 @@ class WordBpe:
     Keeps the ids of the first `words` words that it meets; the others are encoded anew.
     """
 
-    def __init__(self, path: str, words: int = 400_000) -> None:
+    def __init__(self, path: str, words: int = 250_000) -> None:
         from tokenizers import Tokenizer
 
         self.path, self.limit = path, words

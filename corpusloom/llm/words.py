@@ -13,7 +13,7 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 class WordHashes(dict):
     """Word -> xxhash64. Keeps the first `limit` words that a Python worker meets; the others are hashed anew."""
 
-    def __init__(self, limit: int = 500_000) -> None:
+    def __init__(self, limit: int = 200_000) -> None:
         super().__init__()
         self.limit = limit
 

@@ -291,3 +291,18 @@ def test_rows_made_from_one_row_are_several(spark, tmp_path, how):
     assert exact_dedup.exact_dedup(docs).count() == 3 * copies
     for module in (exact_dedup, near_dedup):
         assert sorted(r.doc_id for r in module.keep_documents(docs).collect()) == [0, 1, 2]
+
+
+def test_only_in_groups_of_files(spark, tmp_path, monkeypatch):
+    """With bits for 100 rows in a broadcast and 8 rows in a block, rows of many files are still told apart."""
+    from corpusloom.llm import rows
+
+    monkeypatch.setattr(rows, "BROADCAST_BITS", 100)
+    monkeypatch.setattr(rows, "BLOCK", 8)
+    spark.range(0, 450, 1, 5).selectExpr("id", "repeat('x', 5) AS text").write.parquet(f"{tmp_path}/d")
+    docs, every = rows.numbered(spark.read.parquet(f"{tmp_path}/d"))
+    kept = every.where("id % 3 = 0 OR id > 400").select(rows.FILE, rows.AT)
+    got = rows.only(every, kept)
+    assert got.columns == ["id", "text"]
+    assert sorted(r.id for r in got.collect()) == [k for k in range(450) if k % 3 == 0 or k > 400]
+    assert rows.only(every, kept.where("false")).count() == 0
