@@ -61,8 +61,38 @@ def test_urls(spark):
     assert got == {i: judge(u, URL_RULES) for i, u in enumerate(urls)}
     assert url_filter.filter_urls(rows, []).where("verdict = 'block'").count() == 0
     assert url_filter.filter_urls(rows.where("false"), URL_RULES).count() == 0
-    with pytest.raises(ValueError):
-        url_filter.publish(spark, URL_RULES, max_rules=2)
+    # A list in several ranges of digests judges alike.
+    split = {x.page_id: (x.host, x.path, x.rule, x.verdict) for x in url_filter.filter_urls(rows, URL_RULES, per_file=2).collect()}
+    assert split == got and len(url_filter.publish(spark, URL_RULES, per_file=2)) == 3
+
+
+def test_long_urls_and_long_lists(spark):
+    """A host of a megabyte of dots has few probes; a list of a million rules, in ranges, judges as brute force does."""
+    import time
+
+    rules = URL_RULES + [(f"{k % 7}.host{k}.example", f"/p{k % 1000}/", bool(k % 2)) for k in range(1_000_000)]
+    urls = ["http://" + "." * 1_000_000 + "x.com/de/a", "http://" + "a." * 500_000 + "example.org/es/" + "y" * 100_000, "http://3.host10.example/p10/x", "http://www.3.host10.example/p10/x", "http://3.host11.example/p11/x", "http://4.host11.example/p11/x", "http://4.host11.example/p1/x", "http://host11.example/p11/"]
+    shapes = [(n, size) for n in (1, 2, 3) for size in range(1, 9)]
+    began = time.time()
+    assert len(list(url_filter.probes("." * 1_000_000 + "x.com", "/de/a", shapes))) <= len(shapes) and time.time() - began < 1
+    got = {x.page_id: (x.host, x.path, x.rule, x.verdict) for x in url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules, per_file=300_000).collect()}
+    near = URL_RULES + [r for r in rules[len(URL_RULES) :] if r[0].endswith((".host10.example", ".host11.example"))]
+    assert got == {k: judge(u, near) for k, u in enumerate(urls)}
+    assert [got[k][3] for k in range(8)] == ["block", "block", "block", "block", "allow", "allow", "allow", "allow"]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_urls_by_chance(spark, seed):
+    r = random.Random(seed)
+    names = ["a", "b", "co", ""]
+    rules = [(".".join(r.choice(names[:3]) for _ in range(r.randint(1, 3))), "/" + "".join(r.choice("xy/") for _ in range(r.randint(0, 3))), r.random() < 0.5) for _ in range(25)]
+    rules = list({(h, p): (h, p, ok) for h, p, ok in rules}.values())
+    urls = ["http://" + ".".join(r.choice(names) for _ in range(r.randint(1, 5))) + r.choice(["", "/", "?"]) + "".join(r.choice("xy/") for _ in range(r.randint(0, 4))) for _ in range(300)]
+    got = {x.page_id: (x.host, x.path, x.rule, x.verdict) for x in url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules, per_file=7).collect()}
+    for k, u in enumerate(urls):
+        host, path, rule, verdict = judge(u, rules)
+        assert got[k][:2] == (host, path) and len(got[k][2] or "") == len(rule or "")
+        assert rule != got[k][2] or verdict == got[k][3]
 
 
 def test_collisions_are_confirmed(tmp_path, monkeypatch):
