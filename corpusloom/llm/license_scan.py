@@ -1,19 +1,20 @@
 """License scans: winnowed fingerprints pick candidates, banded alignment confirms them.
 
 Templates and texts are words, lower-cased, of ASCII letters, digits and what is beyond ASCII. Hashes
-of K words in a row are winnowed: of each WINDOW of them the smallest stays (the right one of equals),
-so any match of K + WINDOW - 1 words shares a fingerprint. The templates' fingerprints form an
-inverted index (hash, template, place), which is small and goes to every task. A text's fingerprints
-that the index has fall on diagonals (place in the text less place in the template); near ones of a
-template are one candidate. A candidate's stretch of text is aligned with the template by edit
-distance in a band around the diagonal, and the template words that find an equal partner are its
-matched coverage. The places of the template that have an equal word anywhere in the band bound the coverage
-from above, so most stretches need no alignment. Phrases that tell a template from others (`KEYS`) must be
-there word for word. Templates of at most `SHORT` words count only if the text has all their words in a row,
-and only where no longer one of them has the same stretch.
-
-All other matches of at least `min_coverage` are reported, as many as a text has. Null and empty texts have
-none. Rows are scanned one by one; repeated rows report their matches each.
+of K words in a row of a template (of all its words, if it has fewer) are winnowed: of each WINDOW of them the smallest stays (the right one of equals).
+They form an inverted index (hash, template, place), which is small and goes to every task, and all grams of a text are looked up in it, so a
+stretch that shares K + WINDOW - 1 words in a row with a template is found.
+
+One rule serves templates of every length. What a text shares with a template falls into runs on diagonals (place in the text less
+place in the template); runs are chained in the order of both, over gaps of up to the template's length in words, and a chain is one
+candidate. The stretch of a chain, with twice the words of the template's unmatched ends on both sides, is aligned with the whole template:
+`matched_words` is the length of a longest common subsequence. At least `min_coverage` of the template must be matched, so that no alignment that
+counts leaves a band whose width follows from what may be missing and what the stretch has more; within it the result is that of a
+full alignment. Phrases that tell a template from others (`KEYS`, and the name in a notice) must stand in the matched stretch word for word.
+
+A copy word for word gives way only to templates of which more words must match than it has. Of other matches that overlap, the one with more
+matched words stays, then the one of higher coverage, then the first by name. All others are reported, as many as a text has. Null and empty texts have none. Rows are scanned one by one; repeated rows report their matches each; columns other
+than doc_id and text are left out.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm import license_texts
 from corpusloom.llm.words import HASHES, mixed
 
-K, WINDOW, BAND, SHORT = 3, 2, 8, 20
+K, WINDOW = 3, 2
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 _UPPER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -53,15 +54,14 @@ def tokens(raw: bytes) -> list[bytes]:
     return _WORD.findall(raw.translate(_UPPER))
 
 
-def grams(words: list[bytes]) -> np.ndarray:
-    """Hash of each K words in a row; of fewer, one of them all."""
-    if not words:
+def grams(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hash of each k words in a row, from the words' hashes."""
+    n = len(hashes) - k + 1
+    if n < 1:
         return np.empty(0, np.uint64)
-    h = HASHES.of(words)
-    n = max(1, len(h) - K + 1)
-    out = mixed(h[:n])
-    for k in range(1, min(K, len(h))):
-        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n])
+    out = mixed(hashes[:n] + np.uint64(k))
+    for j in range(1, k):
+        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + hashes[j : j + n])
     return out
 
 
@@ -73,114 +73,174 @@ def winnow(hashes: np.ndarray) -> np.ndarray:
     return np.unique(np.arange(len(rows)) + WINDOW - 1 - np.argmin(rows[:, ::-1], axis=1))
 
 
-def align(template: list[bytes], text: list[bytes], shift: int, band: int = BAND) -> tuple[int, int, int]:
-    """Equal words in a best banded alignment of the template with a stretch of text; first and end place of them there.
+def align(template: np.ndarray, text: np.ndarray, least: int) -> tuple[int, int] | None:
+    """(length of a longest common subsequence, the first place in the text by which it is complete); None if it is shorter than `least`.
 
-    Place i of the template meets places i + shift - band to i + shift + band of the text. Costs: 1 for each
-    unequal, missing or extra word; words of the text before and after the match are free.
+    An alignment of so many words skips at most len(template) - least words of the template before any place and leaves at least so many of the text behind it as it still has to match.
+    So it stays on the diagonals from least - len(template) to len(text) - least, and only these are filled, a template's word at a time.
     """
-    low, width, huge = shift - band, 2 * band + 1, 1 << 30
-    cost = [0 if 0 <= low + d <= len(text) else huge for d in range(width)]
-    same = [0] * width
-    begin, stop = [-1] * width, [-1] * width
+    n, m = len(template), len(text)
+    low, high = least - n, m - least
+    if high < low or least > min(n, m):
+        return None
+    width = high - low + 1
+    edge = np.zeros(width + n, np.uint64)
+    held, real = np.concatenate([edge, text, edge]), np.zeros(m + 2 * len(edge), bool)
+    real[len(edge) : len(edge) + m] = True
+    row = np.zeros(width + 1, np.int32)  # the last place is beyond the band: nothing comes from there
     for i, word in enumerate(template):
-        new, s, b, e = [huge] * width, [0] * width, [-1] * width, [-1] * width
-        for d in range(width):
-            j = i + low + d  # the text place that the diagonal meets; the state stands after it
-            choices = []
-            if 0 <= j < len(text):
-                hit = text[j] == word
-                choices.append((cost[d] + (not hit), -(same[d] + hit), begin[d] if begin[d] >= 0 or not hit else j, j + 1 if hit else stop[d]))
-            if d + 1 < width and cost[d + 1] < huge:
-                choices.append((cost[d + 1] + 1, -same[d + 1], begin[d + 1], stop[d + 1]))
-            if d and new[d - 1] < huge and 0 <= j < len(text):
-                choices.append((new[d - 1] + 1, -s[d - 1], b[d - 1], e[d - 1]))
-            if choices:
-                new[d], s[d], b[d], e[d] = min(choices, key=lambda x: x[:2])
-                s[d] = -s[d]
-        cost, same, begin, stop = new, s, b, e
-    best = min(range(width), key=lambda d: (-same[d], cost[d]))
-    return same[best], begin[best], stop[best]
-
-
-def _place(words: list[bytes], phrase: list[bytes], low: int = 0, high: int | None = None) -> int:
-    """First place from low on, before high, where words have the phrase; -1 if there is none."""
-    for at in range(max(low, 0), min(len(words) - len(phrase) + 1, len(words) if high is None else high)):
-        if words[at : at + len(phrase)] == phrase:
-            return at
-    return -1
+        at = len(edge) + i + low
+        same = (held[at : at + width] == word) & real[at : at + width]
+        row[:-1] = np.maximum.accumulate(np.maximum(row[:-1] + same, row[1:]))
+        row[-1] = 0
+    best = int(row.max())
+    return (best, n + low + int(np.argmax(row == best))) if best >= least else None
+
+
+def stretch(template: np.ndarray, text: np.ndarray, least: int) -> tuple[int, int, int] | None:
+    """(matched words, begin, end) of the alignment that is complete first, and begins as late as it then can; None if it has fewer than `least` words."""
+    forth = align(template, text, least)
+    if forth is None:
+        return None
+    n, end = forth
+    back = align(template[::-1], text[:end][::-1], n)
+    return n, end - back[1], end
+
+
+def chains(j: np.ndarray, i: np.ndarray, n: int) -> Iterator[tuple[int, int, int, int]]:
+    """(first place in the text, in the template, last place in the text, in the template) of candidates. j, i: places of shared grams."""
+    d = j - i
+    order = np.lexsort((j, d))
+    j, i, d = j[order], i[order], d[order]
+    cut = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (j[1:] - j[:-1] > n)])
+    js, ix, je, ie, w = j[cut], i[cut], np.r_[j[cut[1:] - 1], j[-1:]], np.r_[i[cut[1:] - 1], i[-1:]], np.diff(np.r_[cut, len(j)])
+    order = np.lexsort((ix, js))
+    js, ix, je, ie, w = js[order], ix[order], je[order], ie[order], w[order]
+    best, before = w.astype(np.float64), np.full(len(w), -1)
+    low = np.searchsorted(js, js - 2 * n - 1)
+    for r in np.flatnonzero(low < np.arange(len(w))).tolist():
+        q = slice(low[r], r)
+        gain = np.where((ix[q] < ix[r]) & (ie[q] <= ie[r]) & (js[q] < js[r]) & (js[r] - je[q] <= n), best[q] - 1e-6 * np.maximum(0, js[r] - je[q]), 0)
+        if len(gain) and gain.max() > 0:
+            k = int(np.argmax(gain))
+            best[r] += gain[k]
+            before[r] = low[r] + k
+    used = np.zeros(len(w), bool)
+    for r in np.argsort(-best, kind="stable").tolist():
+        if used[r]:
+            continue
+        first = r
+        used[r] = True
+        while before[first] >= 0 and not used[before[first]]:
+            first = int(before[first])
+            used[first] = True
+        yield int(js[first]), int(ix[first]), int(je[r]), int(ie[r])
 
 
 class Scanner:
-    def __init__(self, templates: list[tuple[str, str]]) -> None:
-        unique = {tuple(tokens(text.encode())): name for name, text in reversed(templates)}
-        self.names = list(unique.values())
-        self.words = [list(w) for w in unique]
-        self.hashes = [HASHES.of(w) if w else np.empty(0, np.uint64) for w in self.words]
-        self.keys_of = [[(_place(w, k.encode().split()), k.encode().split()) for k in license_texts.KEYS.get(n, ()) if _place(w, k.encode().split()) >= 0] for n, w in zip(self.names, self.words, strict=True)]
-        index: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for t, words in enumerate(self.words):
-            h = grams(words)
-            # All of a short notice's hashes are kept: it may be too short to have one in a window of the text.
-            for at in range(len(h)) if len(words) <= SHORT else winnow(h).tolist():
-                index[int(h[at])].append((t, at))
-        self.index = dict(index)
-        self.keys = np.sort(np.fromiter(self.index, np.uint64, len(self.index)))
+    """templates: (name, text, phrases that must be there)."""
+
+    def __init__(self, templates: list[tuple[str, str, tuple[str, ...]]]) -> None:
+        unique = {tuple(tokens(text.encode())): (name, keys) for name, text, keys in reversed(templates)}
+        unique.pop((), None)
+        self.names = [name for name, _ in unique.values()]
+        self.hashes = [HASHES.of(list(w)) for w in unique]
+        self.n = np.asarray([len(w) for w in unique], np.int64)
+        self.keys_of = [[HASHES.of(k) for k in (tokens(key.encode()) for key in keys) if k and _has(w, k)] for w, (_, keys) in zip(unique, unique.values(), strict=True)]
+        index: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        for t, h in enumerate(self.hashes):
+            k = min(K, len(h))
+            g = grams(h, k)
+            for at in winnow(g).tolist():
+                index[k][int(g[at])].append((t, at))
+        #: Length of grams -> sorted hashes, where each one's places begin, template and place of each.
+        self.index = {}
+        for k, places in index.items():
+            known = np.sort(np.fromiter(places, np.uint64, len(places)))
+            flat = [x for g in known.tolist() for x in places[g]]
+            self.index[k] = known, np.cumsum([0, *(len(places[g]) for g in known.tolist())]), np.asarray([t for t, _ in flat]), np.asarray([i for _, i in flat])
+
+    def _seeds(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(template, place in the text, place in the template) of shared grams."""
+        found = []
+        for k, (known, begin, template, place) in self.index.items():
+            g = grams(text, k)
+            at = np.minimum(np.searchsorted(known, g), len(known) - 1)
+            j = np.flatnonzero(known[at] == g)
+            size = begin[at[j] + 1] - begin[at[j]]
+            pick = np.repeat(begin[at[j]] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            found.append((template[pick], np.repeat(j, size), place[pick]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
 
     def scan(self, raw: bytes, min_coverage: float) -> list[tuple[str, float, int, int, int, int]]:
         """(template, coverage, matched words, distance of its words, start byte, end byte) of each match."""
-        words = tokens(raw)
-        h = grams(words)
-        if not len(h) or not len(self.keys):
-            return []
-        at = np.searchsorted(self.keys, h)
-        known = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] == h)
-        if not len(known):
+        low = raw.translate(_UPPER)
+        text = HASHES.of(_WORD.findall(low))
+        t_of, j_of, i_of = self._seeds(text)
+        if not len(t_of):
             return []
-        short = {t for t, w in enumerate(self.words) if len(w) <= SHORT}
-        picked = set(winnow(h).tolist())
-        seeds: dict[int, list[int]] = defaultdict(list)
-        for j in known.tolist():
-            for t, i in self.index[int(h[j])]:
-                if j in picked or t in short:
-                    seeds[t].append(j - i)
-        spans = [m.span() for m in _WORD.finditer(raw.translate(_UPPER))]
-        hashes = HASHES.of(words)
-        out, exact = [], {}
-        for t, shifts in seeds.items():
-            template, last, seen = self.words[t], None, set()
-            if t in short:
-                exact |= {(shift, shift + len(template)): t for shift in set(shifts) if shift >= 0 and words[shift : shift + len(template)] == template}
+        places: dict[bytes, np.ndarray] = {}
+
+        def where(phrase: np.ndarray) -> np.ndarray:
+            key = phrase.tobytes()
+            if key not in places:
+                places[key] = np.flatnonzero(grams(text, len(phrase)) == grams(phrase, len(phrase))[0])
+            return places[key]
+
+        there = np.asarray([t for t in np.unique(t_of).tolist() if all(len(where(key)) for key in self.keys_of[t])], np.int64)
+        order = np.lexsort((j_of, t_of))
+        t_of, j_of, i_of = t_of[order], j_of[order], i_of[order]
+        words, matches = np.unique(text), []
+        covered = np.zeros(len(text) + 1, np.int64)  # words of an equal copy of a template that a place lies in
+        seeds = {}
+        for t in there[np.argsort(-self.n[there], kind="stable")].tolist():
+            n, mine, end = int(self.n[t]), slice(*np.searchsorted(t_of, (t, t + 1)).tolist()), -1
+            seeds[t] = j_of[mine], i_of[mine]
+            for start in self._copies(self.hashes[t], text, np.unique(j_of[mine] - i_of[mine])):
+                if start >= end and covered[start] < n:
+                    end = start + n
+                    covered[start:end] = np.maximum(covered[start:end], n)
+                    matches.append((n, t, start, end))
+        for t, (j, i) in seeds.items():
+            template, n = self.hashes[t], int(self.n[t])
+            least = max(1, int(np.ceil(min_coverage * n - 1e-9)))
+            open_ = covered[j] < least
+            j, i = j[open_], i[open_]
+            if not len(j) or np.isin(template, words).sum() < least:
                 continue
-            for shift in sorted(set(shifts)):
-                if last is not None and shift - last <= BAND:
+            here, bare = np.zeros(len(text) + K, bool), np.zeros(len(text) + 1, np.int64)  # places of stretches of this template; up to where no region from a place on holds one
+            shared = np.cumsum(np.r_[0, np.isin(text, template)])
+            for j1, i1, j2, i2 in chains(j, i, n):
+                a, b = max(0, j1 - 2 * i1), min(len(text), j2 + K + 2 * (n - i2))
+                # A chain with an end in a stretch belongs to it; a part of a region has no more than the whole.
+                if here[j1] or here[j2] or bare[a] >= b or shared[b] - shared[a] < least or np.isin(template, text[a:b]).sum() < least:
                     continue
-                last = shift
-                a, b = max(0, shift - BAND), min(len(words), shift + len(template) + BAND)
-                if b - a < min_coverage * len(template) or self._most(t, hashes, shift) < min_coverage * len(template):
+                got = stretch(template, text[a:b], least)
+                if got is None:
+                    bare[a:b] = np.maximum(bare[a:b], b)
                     continue
-                if any(_place(words, key, shift + i - BAND, shift + i + BAND + 1) < 0 for i, key in self.keys_of[t]):
-                    continue
-                n, begin, stop = align(template, words[a:b], shift - a)
-                if begin >= 0 and n >= min_coverage * len(template) and (begin + a, stop + a) not in seen:
-                    seen.add((begin + a, stop + a))
-                    out.append((self.names[t], n / len(template), n, stop - begin, spans[begin + a][0], spans[stop + a - 1][1]))
-        end = -1
-        for begin, stop in sorted(exact, key=lambda x: (x[0], -x[1])):
-            if stop > end:  # else an earlier or longer one has the stretch
-                end, n = stop, stop - begin
-                out.append((self.names[exact[begin, stop]], 1.0, n, n, spans[begin][0], spans[stop - 1][1]))
+                here[a + got[1] : a + got[2]] = True
+                if all(((where(key) >= a + got[1]) & (where(key) + len(key) <= a + got[2])).any() for key in self.keys_of[t]):
+                    matches.append((got[0], t, a + got[1], a + got[2]))
+        taken, out = np.zeros(len(text), bool), []
+        spans = np.asarray([m.span() for m in _WORD.finditer(low)]) if matches else None
+        for matched, t, a, b in sorted(matches, key=lambda x: (-x[0], -x[0] / self.n[x[1]], self.names[x[1]], x[2])):
+            if not taken[a:b].any():
+                taken[a:b] = True
+                out.append((self.names[t], matched / int(self.n[t]), matched, b - a, int(spans[a, 0]), int(spans[b - 1, 1])))
         return sorted(out, key=lambda x: (x[4], x[0]))
 
-    def _most(self, t: int, hashes: np.ndarray, shift: int) -> int:
-        """Places of a template that have an equal word within BAND of the diagonal: no alignment there matches more."""
-        template = self.hashes[t]
-        near = np.zeros(len(template), bool)
-        for d in range(shift - BAND, shift + BAND + 1):
-            a, b = max(0, -d), min(len(template), len(hashes) - d)
-            if a < b:
-                near[a:b] |= template[a:b] == hashes[a + d : b + d]
-        return int(near.sum())
+    @staticmethod
+    def _copies(template: np.ndarray, text: np.ndarray, starts: np.ndarray) -> list[int]:
+        """Those of starts where the text has the template word for word."""
+        starts = starts[(starts >= 0) & (starts + len(template) <= len(text))]
+        for at in np.unique(np.linspace(0, len(template) - 1, min(8, len(template))).astype(np.int64)):
+            starts = starts[text[starts + at] == template[at]]
+        return [s for s in starts.tolist() if np.array_equal(text[s : s + len(template)], template)]
+
+
+def _has(words: tuple[bytes, ...], phrase: list[bytes]) -> bool:
+    return any(list(words[k : k + len(phrase)]) == phrase for k in range(len(words) - len(phrase) + 1))
 
 
 MATCHES = "doc_id long, license string, coverage double, matched_words int, span_words int, span_start long, span_end long"
@@ -188,18 +248,19 @@ MATCHES = "doc_id long, license string, coverage double, matched_words int, span
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, min_coverage: float = 0.8) -> DataFrame:
     """One row for each match of a row of docs: of the given templates, or of all that license_texts has. span_start and span_end count code points of the text, the end not included."""
-    pairs = license_texts.every(TEMPLATES) if templates is None else list(templates.items())
+    given = license_texts.every(TEMPLATES) if templates is None else [(name, text, license_texts.KEYS.get(name, ())) for name, text in templates.items()]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(pairs)
+        scanner = Scanner(given)
         names = [x.split()[0] for x in MATCHES.split(", ")]
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 raw = (text or "").encode()
-                for name, coverage, n, width, start, end in scanner.scan(raw, min_coverage):
-                    begin = len(raw[:start].decode())
-                    rows.append((doc_id, name, coverage, n, width, begin, begin + len(raw[start:end].decode())))
+                found = scanner.scan(raw, min_coverage)
+                if found:
+                    points = np.cumsum(np.r_[0, (np.frombuffer(raw, np.uint8) & 0xC0) != 0x80])  # code points before each byte
+                    rows += [(doc_id, name, coverage, n, width, int(points[start]), int(points[end])) for name, coverage, n, width, start, end in found]
             kinds = (pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 

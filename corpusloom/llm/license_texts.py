@@ -31,8 +31,12 @@ SHORT_TEXTS = {
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
 }
 
-#: Phrases that must be matched word for word where the template first has them.
+#: Phrases that must stand in a match word for word.
 KEYS = {
+    "mit-notice": ("mit license",),
+    "apache-2.0-notice": ("apache license version 2 0",),
+    "gpl-3.0-notice": ("gnu general public license version 3",),
+    "cc-by-nc-4.0-notice": ("cc by nc 4 0",),
     "gpl": ("gnu general public license", "version 3 of the license"),
     "gpl-2.0": ("gnu general public license", "version 2 of the license"),
     "lgpl-2.1": ("gnu lesser general public license", "version 2 1 of the license"),
@@ -71,8 +75,8 @@ _NAMES = [
 ]
 
 
-def every(notices: dict[str, str]) -> list[tuple[str, str]]:
-    """The given templates, then full texts and notices; a notice has its name with '-notice'."""
+def every(notices: dict[str, str]) -> list[tuple[str, str, tuple[str, ...]]]:
+    """(name, text, phrases that must be there): the given templates, then full texts and notices; a notice has its name with '-notice'."""
     files = [(f"{p.stem}-text", p.read_text()) for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))]
-    short = [(f"{name}-notice", f"{lead} {the}{form}") for name, forms in _NAMES for form in forms for lead in _LEADS for the in ("", "the ", "a ")]
-    return [*notices.items(), *SHORT_TEXTS.items(), *files, *short]
+    long = [(name, text, KEYS.get(name, ())) for name, text in (*notices.items(), *SHORT_TEXTS.items(), *files)]
+    return long + [(f"{name}-notice", f"{lead} {the}{form}", (form,)) for name, forms in _NAMES for form in forms for lead in _LEADS for the in ("", "the ", "a ")]

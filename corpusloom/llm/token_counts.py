@@ -131,10 +131,10 @@ def load(path: str) -> tuple[UnigramCounter, Callable[[str], str]]:
     return _LOADED[path]
 
 
-def token_counts(docs: DataFrame, path: str, white_space: bool = False) -> DataFrame:
+def token_counts(docs: DataFrame, path: str, white_space: bool = True) -> DataFrame:
     """One row for each row of docs: doc_id, n_tokens, score. path: a sentencepiece model that every executor can open.
 
-    white_space: count the whole text; else only its words, split at ASCII white space, each with a mark in front.
+    white_space: count the whole text, as said above; if not, only its words, split at ASCII white space, each with a mark in front.
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -94,7 +94,7 @@ def test_unigram_counts(spark):
     words = ["".join(r.choices("aeiouthnrs-é☃日", k=r.randint(1, 25))) for _ in range(500)] + ["a" * 300]
     for w in words:
         assert counter.count("▁" + w)[0] == len(library.encode("▁" + w, add_special_tokens=False).ids)
-    got = {x.doc_id: x.n_tokens for x in token_counts.token_counts(frame(spark), path).collect()}
+    got = {x.doc_id: x.n_tokens for x in token_counts.token_counts(frame(spark), path, white_space=False).collect()}
     with_bytes = token_counts.UnigramCounter(vocab)
     assert with_bytes.count("▁𝔘")[0] == 1 + 4 and counter.count("▁𝔘𝔘")[0] == 2
     assert got == {i: sum(with_bytes.count("▁" + w.decode())[0] for w in (t or "").encode().split()) for i, t in enumerate(TEXTS)}

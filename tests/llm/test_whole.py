@@ -46,7 +46,7 @@ def test_float_scores_against_the_library():
 
 
 def test_licences_by_name_and_in_full(spark):
-    full = {n: t for n, t in license_texts.every({}) if n.endswith("-text") or n in license_texts.SHORT_TEXTS}
+    full = {n: t for n, t, _ in license_texts.every({}) if n.endswith("-text") or n in license_texts.SHORT_TEXTS}
     lines = {
         "Released under the BSD License.": "bsd-notice", "Licensed under CC BY 4.0": "cc-by-4.0-notice", "Licensed under CC BY-SA 4.0.": "cc-by-sa-4.0-notice", "Licensed under CC BY-NC-SA 4.0.": "cc-by-nc-sa-4.0-notice",
         "This work is licensed under the GNU General Public License, version 2.": "gpl-2.0-notice", "licensed under the GNU Lesser General Public License, version 3": "lgpl-3.0-notice", "Distributed under the Mozilla Public License, v. 2.0": "mpl-2.0-notice",
