@@ -1,11 +1,12 @@
 """BPE encoding and decoding of whole texts, by tree concatenation.
 
-Words between ASCII white space are independent of each other for a tokenizer whose pre-tokenizer
-never crosses white space, so their ids are cached. A word that no rule splits and that is long is
-encoded as a tree: halves are encoded alone, then windows around each join are encoded again, twice
-as wide each time, until both ends of the window agree with the tokens that they had. Two neighbours
-of a BPE sequence that are neighbours in some encoding stay so in any, hence agreement makes the
-joined sequence the encoding of the whole.
+A text is halved, wherever the middle falls, down to leaves of TEXT_LEAF bytes, and its leaves are encoded alone. Then two
+neighbours become one, up to the whole: a window around their border is encoded again, twice as wide each time,
+until both of its ends have the ids that they had. Words between ASCII white space are independent of each other for a
+tokenizer whose pre-tokenizer never crosses white space, so windows are counted in words, their ids are kept in the worker, and agreement of
+the words at both ends makes the joined sequence the encoding of the whole. A leaf has few words, but one of them may be
+as long as it likes: a word that no rule splits is a tree of its own (over LEAF characters), whose windows are counted in tokens. Two neighbours
+of a BPE sequence that are neighbours in some encoding stay so in any, hence agreement is enough there, too.
 
 Texts over `split_chars` code points are cut into rows, so that their parts are encoded by several
 tasks, and joined per document.
@@ -26,9 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.words import SPACE
+
 #: A text between white space of more code points than this goes pre-token by pre-token, each a tree if it is over LEAF.
 LONG = 512
 LEAF = 4096
+#: Bytes of a leaf of a text's tree.
+TEXT_LEAF = 1024
 _LOADED: dict[str, WordBpe] = {}
 
 
@@ -86,6 +91,27 @@ SHORT = 24
 _STOPS = b".,;:!?$%&*#|"
 
 
+#: Words of a part of a text, and the ids of each.
+Node = tuple[list[bytes], list[bytes]]
+
+
+def _cuts(raw: bytes) -> list[int]:
+    """Where a text is cut into its leaves: halved until they have at most TEXT_LEAF bytes, but for the rest of a character."""
+    n = 1
+    while len(raw) > n * TEXT_LEAF:
+        n *= 2
+    cuts = [len(raw) * k // n for k in range(n + 1)]
+    for k in range(1, n):
+        while raw[cuts[k]] & 0xC0 == 0x80:
+            cuts[k] -= 1
+    return cuts
+
+
+def _inside(raw: bytes, at: int) -> bool:
+    """Whether a word runs over a place."""
+    return raw[at - 1] not in SPACE and raw[at] not in SPACE
+
+
 class WordBpe:
     """The tokenizer of a tokenizers file (BPE, white space dropped by the pre-tokenizer), one per Python worker.
 
@@ -115,6 +141,8 @@ class WordBpe:
         self.symbols = self._fast_symbols(vocab)
         self.merges = Merges(vocab, self._pairs(model), self.suffix) if self.symbols is not None else None
         self.words: dict[bytes, bytes] = {}
+        #: Joins made, and windows encoded for them.
+        self.joins = self.windows = 0
 
     @staticmethod
     def _pairs(model: dict) -> list[tuple[str, str]]:
@@ -227,20 +255,58 @@ class WordBpe:
                 return left[:i] + again + right[j:]
             width *= 2
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [t.encode().split() if t else [] for t in texts]
-        found = [list(map(self.words.get, words)) for words in split]
+    def _ids(self, parts: list[list[bytes]]) -> list[list[bytes]]:
+        """Ids of each word of each part; words that are not known are encoded together."""
+        found = [list(map(self.words.get, words)) for words in parts]
         gaps = [[i for i, x in enumerate(ids) if x is None] for ids in found]
-        missing = {words[i] for words, gap in zip(split, gaps, strict=True) for i in gap}
+        missing = {words[i] for words, gap in zip(parts, gaps, strict=True) for i in gap}
         self.learn(missing)
-        for words, ids, gap in zip(split, found, gaps, strict=True):
+        for words, ids, gap in zip(parts, found, gaps, strict=True):
             for i in gap:
                 ids[i] = self.words[words[i]]
         if len(self.words) > self.limit:
             for word in missing:
                 del self.words[word]
-        return [b"".join(ids) for ids in found]
+        return found
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers: leaves of all texts together, then their joins, a level of all trees at a time."""
+        raws = [t.encode() if t else b"" for t in texts]
+        cuts = [_cuts(raw) for raw in raws]
+        leaves = [raw[a:b].split() for raw, at in zip(raws, cuts, strict=True) for a, b in zip(at, at[1:], strict=False)]
+        ids, begin, trees = self._ids(leaves), 0, []
+        for at in cuts:
+            trees.append(list(zip(leaves[begin : begin + len(at) - 1], ids[begin : begin + len(at) - 1], strict=True)))
+            begin += len(at) - 1
+        step = 1
+        while any(len(nodes) > 1 for nodes in trees):
+            pairs = [(nodes[k], nodes[k + 1], _inside(raw, at[(k + 1) * step])) for raw, at, nodes in zip(raws, cuts, trees, strict=True) for k in range(0, len(nodes) - 1, 2)]
+            joined = iter(self.joined(pairs))
+            trees = [[next(joined) for _ in range(0, len(nodes) - 1, 2)] if len(nodes) > 1 else nodes for nodes in trees]
+            step *= 2
+        return [b"".join(nodes[0][1]) for nodes in trees]
+
+    def joined(self, pairs: list[tuple[Node, Node, bool]]) -> list[Node]:
+        """One node from each two neighbours (and whether a word runs over their border): windows around the borders are encoded again, twice as wide each time, until both ends have the ids that they had."""
+        out: list[Node | None] = [None] * len(pairs)
+        width, left = 1, list(range(len(pairs)))
+        while left:
+            windows = []
+            for p in left:
+                (one, _), (two, _), inside = pairs[p]
+                windows.append((b" ".join(one[-width:]) + (b"" if inside else b" ") + b" ".join(two[:width])).split())
+            again = []
+            for p, words, ids in zip(left, windows, self._ids(windows), strict=True):
+                (one, before), (two, after), _ = pairs[p]
+                i, j = max(0, len(one) - width), min(width, len(two))
+                if (i == 0 or ids[0] == before[i]) and (j == len(two) or ids[-1] == after[j - 1]):
+                    out[p] = one[:i] + words + two[j:], before[:i] + ids + after[j:]
+                else:
+                    again.append(p)
+            self.joins += len(left) - len(again)
+            self.windows += len(left)
+            width, left = 2 * width, again
+        return out
 
     def decode(self, ids: np.ndarray) -> bytes:
         """As the library's decode() without a decoder: the tokens, joined by one space."""

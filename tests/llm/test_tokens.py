@@ -85,6 +85,29 @@ def test_packing(spark):
     assert packing.pack_documents(rows.where("false"), PATH).count() == 0
 
 
+def test_trees_of_texts_are_reached():
+    """Over the documents of the tables, leaves are joined, many of them within a word, and the ids are the library's."""
+    import duckdb
+
+    texts = [r[0] for r in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' ORDER BY doc_id").fetchall()]
+    own = bpe.WordBpe(PATH)
+    got = [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)]
+    assert got == [want(t) for t in texts]
+    assert own.joins == sum(len(bpe._cuts((t or "").encode())) - 2 for t in texts) > 1000
+    assert own.windows > own.joins
+
+
+@given(st.lists(st.text(alphabet="ab é日.\n\t'<|endoftext|>0", max_size=60), max_size=6))
+@settings(max_examples=150, deadline=None)
+def test_small_leaves(texts):
+    """Every cut is made: leaves of three bytes."""
+    leaf, bpe.TEXT_LEAF = bpe.TEXT_LEAF, 3
+    try:
+        assert [np.frombuffer(x, "<u4").tolist() for x in BPE.encode(texts)] == [want(t) for t in texts]
+    finally:
+        bpe.TEXT_LEAF = leaf
+
+
 def test_unigram_counts(spark):
     path = public_tokenizers.path("piece_bpe_32k.model")
     vocab = token_counts.sentencepiece_vocabulary(path)
