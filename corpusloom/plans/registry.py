@@ -112,7 +112,7 @@ _CDATA = "concat('<![CDATA[', {}, ']]>')"
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each part as an XML file: path, content."""
     xml_text = """concat('<ARTICLE><META><META_COMMUN><ID>LEGIARTI', lpad(p_partkey, 12, '0'), '</ID><URL>x</URL><NATURE>Loi</NATURE></META_COMMUN>',
-      '<META_SPEC><META_ARTICLE><NUM> ', p_name, ' </NUM><ETAT>', p_brand, '</ETAT><DATE_DEBUT>', p_size, '</DATE_DEBUT><ZORG ref="LEGITEXT000000000007" note="n', p_size, '">', p_type, '</ZORG></META_ARTICLE></META_SPEC></META>',
+      '<META_SPEC><META_ARTICLE><NUM> ', p_name, ' </NUM><ETAT>', p_brand, '</ETAT><DATE_DEBUT>', p_size, '</DATE_DEBUT><XPTO ref="LEGITEXT000000000007" note="n', p_size, '">', p_type, '</XPTO></META_ARTICLE></META_SPEC></META>',
       '<CONTEXTE><TEXTE><TITRE_TXT id_txt="LEGITEXT', lpad(p_size, 12, '0'), '">t</TITRE_TXT></TEXTE></CONTEXTE>',
       '<BLOC_TEXTUEL><CONTENU><p>', p_name, '  <b>hidden</b> tail</p>end<br/>', p_brand, '</CONTENU></BLOC_TEXTUEL>',
       '<LIENS><LIEN id="LEGIARTI', lpad(p_partkey + 1, 12, '0'), '" typelien="CITATION" sens="source">next</LIEN><LIEN id="" typelien="CREE" sens="cible">', p_type, '</LIEN>',
@@ -126,16 +126,16 @@ def parsed_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT 'LEGIARTI' || lpad(p_partkey::VARCHAR, 12, '0') AS identifier, 'article' AS document_type, 'LOI' AS nature, trim(p_name) AS title,
-  p_name || chr(10) || chr(10) || 'end' || chr(10) || p_brand AS content, trim(p_name) AS num, p_brand AS statut, p_type AS stray, 'n' || p_size AS stray_note, 'article_meta_meta_spec_meta_article_zorg,article_meta_meta_spec_meta_article_zorg_note' AS unconfigured FROM part
+  p_name || chr(10) || chr(10) || 'end' || chr(10) || p_brand AS content, trim(p_name) AS num, p_brand AS statut, p_type AS stray, 'n' || p_size AS stray_note, 'article_meta_meta_spec_meta_article_xpto,article_meta_meta_spec_meta_article_xpto_note' AS unconfigured FROM part
 """.replace("p_name || chr(10) || chr(10) || 'end'", "p_name || ' tail' || chr(10) || chr(10) || 'end'"))
 def p1_parse_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     def value(key: str):
         return F.col("metadata")[key].vals[0]
 
-    stray = "article_meta_meta_spec_meta_article_zorg"
+    stray = "article_meta_meta_spec_meta_article_xpto"
     return parsed_articles(spark, sf_dir).select(
         "identifier", "document_type", "nature", "title", "content", value("num").alias("num"), value("statut").alias("statut"), value(stray).alias("stray"), value(stray + "_note").alias("stray_note"),
-        F.array_join(F.array_sort(F.filter(F.map_keys("unconfigured_tags"), lambda k: k.contains("zorg"))), ",").alias("unconfigured"),
+        F.array_join(F.array_sort(F.filter(F.map_keys("unconfigured_tags"), lambda k: k.contains("xpto"))), ",").alias("unconfigured"),
     )
 
 
@@ -144,7 +144,7 @@ WITH p AS (SELECT 'LEGIARTI' || lpad(p_partkey::VARCHAR, 12, '0') AS me, 'LEGIAR
 SELECT me AS src, n1 AS dst, 'cite' AS type, 'CITATION' AS origin FROM p
 UNION ALL SELECT n2, me, verb, upper(verb) FROM p WHERE regexp_full_match(verb, '[a-z][a-z0-9_]*')
 UNION ALL SELECT t, me, 'contient', 'TITRE_TXT' FROM p
-UNION ALL SELECT me, 'LEGITEXT000000000007', 'zorg', 'ZORG' FROM p
+UNION ALL SELECT me, 'LEGITEXT000000000007', 'xpto', 'XPTO' FROM p
 """)
 def l1_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = links.with_links(parsed_articles(spark, sf_dir), "legi")

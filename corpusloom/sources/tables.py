@@ -45,8 +45,9 @@ class RoleTable:
         return {t for t, role in self.roles.items() if role in (META, VERSION)} - {self.identifier_tag, self.nature_tag}
 
 
-def _roles(**by_role: str) -> dict[str, str]:
-    return {tag: role for role, tags in by_role.items() for tag in tags.split()}
+def _roles(**by_role: tuple[str, ...]) -> dict[str, str]:
+    """Tag -> role."""
+    return {tag: role for role, tags in by_role.items() for tag in tags}
 
 
 # Fixed values, which must equal those of the data: tags and their roles, names, separators, verbs.
@@ -54,12 +55,12 @@ def _roles(**by_role: str) -> dict[str, str]:
 LEGI = RoleTable(
     roots=("TEXTE_VERSION", "TEXTELR", "ARTICLE", "SECTION_TA"),
     roles=_roles(
-        BODY="BLOC_TEXTUEL CONTENU VISAS SIGNATAIRES TP TEXTE NOTA",
-        LINK="LIENS LIEN LIEN_ART LIEN_SECTION_TA LIEN_TXT CONTEXTE TITRE_TXT TITRE_TM TM STRUCT STRUCTURE_TA",
-        VERSION="DATE_DEBUT DATE_FIN ETAT VERSION VERSIONS VERSION_A_VENIR VERSIONS_A_VENIR ABRO RECT",
-        META="TEXTE_VERSION TEXTELR ARTICLE SECTION_TA META META_ARTICLE META_COMMUN META_SPEC META_TEXTE_CHRONICLE META_TEXTE_VERSION ID NUM ANCIEN_ID AUTORITE CID DATE_PUBLI DATE_TEXTE DERNIERE_MODIFICATION MINISTERE NATURE NOR NUM_PARUTION NUM_SEQUENCE ORIGINE ORIGINE_PUBLI PAGE_DEB_PUBLI PAGE_FIN_PUBLI TITREFULL TYPE",
-        TITLE="TITRE TITRE_TA",
-        IGNORED="URL",
+        BODY=("BLOC_TEXTUEL", "CONTENU", "VISAS", "SIGNATAIRES", "TP", "TEXTE", "NOTA"),
+        LINK=("LIENS", "LIEN", "LIEN_ART", "LIEN_SECTION_TA", "LIEN_TXT", "CONTEXTE", "TITRE_TXT", "TITRE_TM", "TM", "STRUCT", "STRUCTURE_TA"),
+        VERSION=("DATE_DEBUT", "DATE_FIN", "ETAT", "VERSION", "VERSIONS", "VERSION_A_VENIR", "VERSIONS_A_VENIR", "ABRO", "RECT"),
+        META=("TEXTE_VERSION", "TEXTELR", "ARTICLE", "SECTION_TA", "META", "META_ARTICLE", "META_COMMUN", "META_SPEC", "META_TEXTE_CHRONICLE", "META_TEXTE_VERSION", "ID", "NUM", "ANCIEN_ID", "AUTORITE", "CID", "DATE_PUBLI", "DATE_TEXTE", "DERNIERE_MODIFICATION", "MINISTERE", "NATURE", "NOR", "NUM_PARUTION", "NUM_SEQUENCE", "ORIGINE", "ORIGINE_PUBLI", "PAGE_DEB_PUBLI", "PAGE_FIN_PUBLI", "TITREFULL", "TYPE"),
+        TITLE=("TITRE", "TITRE_TA"),
+        IGNORED=("URL",),
     ),
     prefixes={"LEGIARTI": "article", "LEGITEXT": "texte", "LEGISCTA": "section"},
     renames={
@@ -115,11 +116,11 @@ LEGI = RoleTable(
 )
 
 _JURI_ROLES = _roles(
-    META="META META_COMMUN META_SPEC META_JURI ID ANCIEN_ID ORIGINE NATURE ECLI DATE_DEC JURIDICTION NUMERO SOLUTION",
-    BODY="TEXTE BLOC_TEXTUEL CONTENU",
-    TITLE="TITRE",
-    LINK="LIENS LIEN",
-    IGNORED="URL",
+    META=("META", "META_COMMUN", "META_SPEC", "META_JURI", "ID", "ANCIEN_ID", "ORIGINE", "NATURE", "ECLI", "DATE_DEC", "JURIDICTION", "NUMERO", "SOLUTION"),
+    BODY=("TEXTE", "BLOC_TEXTUEL", "CONTENU"),
+    TITLE=("TITRE",),
+    LINK=("LIENS", "LIEN"),
+    IGNORED=("URL",),
 )
 _JURI_RENAMES = {
     "ANCIEN_ID": "ancien_id",
@@ -140,8 +141,8 @@ JUDICIAL = _juri(
     "TEXTE_JURI_JUDI",
     "JURITEXT",
     _roles(
-        META="META_JURI_JUDI FORMATION FORM_DEC_ATT DATE_DEC_ATT SIEGE_APPEL JURI_PREM LIEU_PREM DEMANDEUR DEFENDEUR PRESIDENT AVOCAT_GL AVOCATS RAPPORTEUR NUMEROS_AFFAIRES NUMERO_AFFAIRE PUBLI_BULL",
-        BODY="SOMMAIRE SCT ANA CITATION_JP",
+        META=("META_JURI_JUDI", "FORMATION", "FORM_DEC_ATT", "DATE_DEC_ATT", "SIEGE_APPEL", "JURI_PREM", "LIEU_PREM", "DEMANDEUR", "DEFENDEUR", "PRESIDENT", "AVOCAT_GL", "AVOCATS", "RAPPORTEUR", "NUMEROS_AFFAIRES", "NUMERO_AFFAIRE", "PUBLI_BULL"),
+        BODY=("SOMMAIRE", "SCT", "ANA", "CITATION_JP"),
     ),
     {
         "FORMATION": "formation",
@@ -160,8 +161,8 @@ ADMINISTRATIVE = _juri(
     "TEXTE_JURI_ADMIN",
     "CETATEXT",
     _roles(
-        META="META_JURI_ADMIN FORMATION TYPE_REC PUBLI_RECUEIL DEMANDEUR DEFENDEUR PRESIDENT AVOCATS RAPPORTEUR COMMISSAIRE_GVT",
-        BODY="SOMMAIRE SCT ANA CITATION_JP",
+        META=("META_JURI_ADMIN", "FORMATION", "TYPE_REC", "PUBLI_RECUEIL", "DEMANDEUR", "DEFENDEUR", "PRESIDENT", "AVOCATS", "RAPPORTEUR", "COMMISSAIRE_GVT"),
+        BODY=("SOMMAIRE", "SCT", "ANA", "CITATION_JP"),
     ),
     {
         "FORMATION": "formation",
@@ -178,7 +179,7 @@ ADMINISTRATIVE = _juri(
 CONSTITUTIONAL = _juri(
     "TEXTE_JURI_CONSTIT",
     "CONSTEXT",
-    _roles(META="META_JURI_CONSTIT NOR NATURE_QUALIFIEE TITRE_JO URL_CC LOI_DEF", BODY="SAISINES OBSERVATIONS"),
+    _roles(META=("META_JURI_CONSTIT", "NOR", "NATURE_QUALIFIEE", "TITRE_JO", "URL_CC", "LOI_DEF"), BODY=("SAISINES", "OBSERVATIONS")),
     {"NOR": "nor", "NATURE_QUALIFIEE": "nature_qualifiee", "TITRE_JO": "titre_jo", "URL_CC": "url_conseil_constitutionnel"},
 )
 

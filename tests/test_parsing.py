@@ -16,7 +16,7 @@ ARTICLE = f"""<ARTICLE><META><META_COMMUN><ID>{A}</ID><URL>u</URL><NATURE>Articl
 <VERSION><LIEN_ART id="{A}" debut="2001-01-01" fin="2999-01-01" etat="VIGUEUR"/></VERSION>
 <VERSION><LIEN_ART id="{C}" debut="2002-01-01" fin="2002-01-01" etat="MODIFIE_MORT_NE"/></VERSION></VERSIONS>
 <BLOC_TEXTUEL><CONTENU><p>Premier&#160; alin&#233;a</p><p>Second <b>omis</b>suite</p></CONTENU></BLOC_TEXTUEL>
-<ZORG ref="{C}" mode="m">valeur</ZORG>
+<XPTO ref="{C}" mode="m">valeur</XPTO>
 <LIENS><LIEN id="{B}" typelien="CITATION" sens="source">cit&#233;</LIEN><LIEN id="{B}" typelien="MODIFICATION" sens="cible">mod</LIEN>
 <LIEN id="{B}" typelien="NOUVEAU" sens="source">n</LIEN><LIEN id="{B}" typelien="CITATION" sens="ailleurs">perdu</LIEN>
 <LIEN id="" typelien="CREE" sens="source">La loi de demain</LIEN><LIEN id="malforme" typelien="CREE" sens="source">Autre loi</LIEN></LIENS></ARTICLE>"""
@@ -35,9 +35,9 @@ def test_article(spark):
     assert row.content == "Premier alinéa\n\nSecond suite"
     assert [s.path for s in row.sections] == [["ARTICLE", "BLOC_TEXTUEL"]]
     assert row.metadata["num"].vals == ["7"] and row.metadata["statut"].vals == ["VIGUEUR"] and not row.metadata["num"].is_list
-    assert row.metadata["article_zorg"].vals == ["valeur"] and row.metadata["article_zorg_mode"].vals == ["m"]
-    assert {"article_zorg", "article_zorg_mode"} <= set(row.unconfigured_tags)
-    assert set(row.unconfigured_links) == {"article_zorg_ref"}
+    assert row.metadata["article_xpto"].vals == ["valeur"] and row.metadata["article_xpto_mode"].vals == ["m"]
+    assert {"article_xpto", "article_xpto_mode"} <= set(row.unconfigured_tags)
+    assert set(row.unconfigured_links) == {"article_xpto_ref"}
     assert [(c.kind, c.id) for c in row.context] == [("TITRE_TXT", TEXT)]
 
 
@@ -47,7 +47,7 @@ def test_links(spark):
     found = {(e.src, e.dst, e.type) for e in links.edges(linked, skip_unconfigured=True).collect()}
     assert found == {(B, A, "suivi_par"), (A, C, "suivi_par"), (A, B, "cite"), (B, A, "modifie"), (TEXT, A, "contient")}
     more = {(e.src, e.dst, e.type) for e in links.edges(linked).collect()} - found
-    assert more == {(A, B, "nouveau"), (A, C, "zorg")}
+    assert more == {(A, B, "nouveau"), (A, C, "xpto")}
     row = linked.first().links
     assert row.lost == 2 and row.unknown_words == ["NOUVEAU"]
     assert [(u.target_text, u.relation_type) for u in row.unformatted] == [("La loi de demain", "cree"), ("Autre loi", "cree")]
