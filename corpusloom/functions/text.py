@@ -38,7 +38,8 @@ def normalize_composed(text: Column) -> Column:
 
 def normalize_text(text: Column) -> Column:
     """NFC, tags to spaces, no zero-width characters, single spaces, at most one blank line, lines and whole stripped. Null gives ''."""
-    return normalize_composed(nfc(text))
+    composed = nfc(F.when(text.rlike("[^\\x00-\\x7F]"), text))  # ASCII is composed: it does not go through Python
+    return normalize_composed(F.coalesce(composed, text))
 
 
 def is_identifier(text: Column) -> Column:

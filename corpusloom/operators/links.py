@@ -122,6 +122,9 @@ def with_links(docs: DataFrame, source: str) -> DataFrame:
 
 
 def extract(docs: DataFrame, sources: list[str]) -> DataFrame:
+    """with_links() of each source. A row of another source is an error when the query runs."""
+    wrong = F.raise_error(F.concat(F.lit("no links for the source "), F.coalesce("source", F.lit("null")))).cast("string")
+    docs = docs.withColumn("source", F.when(F.col("source").isin(*sources), F.col("source")).otherwise(wrong))
     return reduce(DataFrame.unionByName, (with_links(docs, s) for s in sources))
 
 

@@ -33,12 +33,13 @@ RAW = 8
 
 
 class Store:
-    """Named tables below one root. `publish` writes one small manifest under the next number, by a rename, and readers take the highest, so a run is seen whole or not at all, wherever it stops. Older manifests stay."""
+    """Named tables below one root. `publish` writes one small manifest under the next number, by a rename, and readers take the highest, so a run is seen whole or not at all, wherever it stops."""
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 64, keyed: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = KEYED) -> None:
-        """buckets: for merged parts that are written from now on; those that are there keep theirs. keyed: tables that take changes."""
-        self.spark, self.root, self.buckets, self.keyed = spark, root.rstrip("/"), buckets, keyed
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64, keyed: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = KEYED, keep: int = 5) -> None:
+        """buckets: for merged parts that are written from now on; those that are there keep theirs. keyed: tables that take changes. keep: manifests that stay, with what they name, for those who read them still."""
+        self.spark, self.root, self.buckets, self.keyed, self.keep = spark, root.rstrip("/"), buckets, keyed, keep
         self.staged: dict[str, str | list[dict]] = {}
+        self.run, self.intents = uuid.uuid4().hex, 0
         self.promised: dict[str, dict] = {}
 
     def _fs(self):
@@ -46,17 +47,26 @@ class Store:
         path = jvm.org.apache.hadoop.fs.Path(self.root)
         return jvm, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _number(self) -> int:
-        """Of the newest manifest; 0 if there is none."""
+    def _numbers(self) -> list[int]:
+        """Of the manifests that are there."""
         jvm, fs = self._fs()
-        found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest-*.json"))
-        return max((int(f.getPath().getName()[9:-5]) for f in found or []), default=0)
+        return sorted(int(f.getPath().getName()[9:-5]) for f in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest-*.json")) or [])
+
+    def _read(self, number: int) -> dict[str, dict]:
+        return json.loads(self._read_text(f"{self.root}/manifest-{number}.json"))
 
     def _newest(self) -> dict[str, dict]:
-        newest = self._number()
-        if not newest:
-            return {"tables": {}, "contracts": {}}
-        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.root}/manifest-{newest}.json").collect()))
+        numbers = self._numbers()
+        return self._read(numbers[-1]) if numbers else {"tables": {}, "contracts": {}}
+
+    def _forget(self) -> None:
+        """Delete manifests but the newest `keep`, and the folders that only these name."""
+        numbers = self._numbers()
+        old, kept = numbers[: -self.keep], {at for n in numbers[-self.keep :] for at in _folders(self._read(n)["tables"])}
+        for n in old:
+            for at in _folders(self._read(n)["tables"]) - kept:
+                self._delete(at)
+            self._delete(f"{self.root}/manifest-{n}.json")
 
     def manifest(self) -> dict[str, str | list[dict]]:
         """Name -> folder of the published tables, or the parts of keyed ones."""
@@ -71,11 +81,9 @@ class Store:
 
     def _replace(self, tables: dict[str, str], contracts: dict[str, dict]) -> None:
         jvm, fs = self._fs()
-        number = self._number() + 1
+        number = max(self._numbers(), default=0) + 1
         temporary = jvm.org.apache.hadoop.fs.Path(f"{self.root}/.manifest-{uuid.uuid4().hex}")
-        out = fs.create(temporary, True)
-        out.write(bytearray(json.dumps({"tables": tables, "contracts": contracts}).encode()))
-        out.close()
+        self._write_text(temporary.toString(), json.dumps({"tables": tables, "contracts": contracts}))
         if not fs.rename(temporary, jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest-{number}.json")):
             raise RuntimeError(f"another run has published manifest {number}")
 
@@ -89,8 +97,65 @@ class Store:
             return self._last(name, [self._part(p, schema) for p in at or []], schema)
         return self.spark.read.schema(schema).parquet(at) if at else self.spark.createDataFrame([], schema)
 
-    def stage(self, name: str, df: DataFrame, *partition: str) -> DataFrame:
+    # ---- compensation: what a run is about to write is noted before, and undone if the run is not published
+
+    def _write_text(self, path: str, text: str) -> None:
+        jvm, fs = self._fs()
+        out = fs.create(jvm.org.apache.hadoop.fs.Path(path), True)
+        out.write(bytearray(text.encode()))
+        out.close()
+
+    def _read_text(self, path: str) -> str:
+        jvm, fs = self._fs()
+        stream = fs.open(jvm.org.apache.hadoop.fs.Path(path))
+        text = bytes(stream.readAllBytes()).decode()
+        stream.close()
+        return text
+
+    def _intend(self, name: str) -> str:
+        """A new folder for a table, noted as this run's."""
         at = f"{self.root}/{name}/{uuid.uuid4().hex}"
+        self._write_text(f"{self.root}/intents/{self.run}/{self.intents:06d}", at)
+        self.intents += 1
+        return at
+
+    def _undo(self, run: str) -> dict[str, int]:
+        """Delete what a run has written and not published, the last first; what cannot be deleted is counted and keeps its note, so that the next start tries again."""
+        jvm, fs = self._fs()
+        counts = {"saga.compensation.triggered": 0, "saga.compensation.completed": 0, "saga.compensation.failed": 0}
+        held = _folders(self.manifest())
+        notes = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.root}/intents/{run}/*")) or []
+        for note in sorted((f.getPath() for f in notes), key=lambda p: p.getName(), reverse=True):
+            at = self._read_text(note.toString())
+            if at not in held and fs.exists(jvm.org.apache.hadoop.fs.Path(at)):
+                counts["saga.compensation.triggered"] += 1
+                try:
+                    self._delete(at)
+                except Exception:  # noqa: BLE001  an undo that fails stops no other
+                    counts["saga.compensation.failed"] += 1
+                    continue
+                counts["saga.compensation.completed"] += 1
+            fs.delete(note, False)
+        if not counts["saga.compensation.failed"]:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.root}/intents/{run}"), True)
+        return counts
+
+    def _delete(self, at: str) -> None:
+        jvm, fs = self._fs()
+        fs.delete(jvm.org.apache.hadoop.fs.Path(at), True)
+
+    def recover(self) -> dict[str, int]:
+        """Undo what runs left that were stopped before they published. For the start of a run: a store takes one run at a time."""
+        jvm, fs = self._fs()
+        total = {"saga.compensation.triggered": 0, "saga.compensation.completed": 0, "saga.compensation.failed": 0}
+        for f in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.root}/intents/*")) or []:
+            if f.getPath().getName() != self.run:
+                for event, n in self._undo(f.getPath().getName()).items():
+                    total[event] += n
+        return total
+
+    def stage(self, name: str, df: DataFrame, *partition: str) -> DataFrame:
+        at = self._intend(name)
         df.write.partitionBy(*partition).parquet(at) if partition else df.write.parquet(at)
         self.staged[name] = at
         return self.spark.read.schema(df.schema).parquet(at)
@@ -141,7 +206,7 @@ class Store:
     def _add(self, name: str, rows: DataFrame) -> None:
         parts = self._parts(name)
         seq = 1 + max((p["seq"] for p in parts), default=0)
-        at = f"{self.root}/{name}/{uuid.uuid4().hex}"
+        at = self._intend(name)
         rows.withColumn("_seq", F.lit(seq).cast("long")).select(*(c for c in rows.columns if c != "_gone"), "_seq", "_gone").write.parquet(at)
         self.staged[name] = [*parts, {"at": at, "seq": seq, "buckets": 0, "rows": 0}]
 
@@ -159,7 +224,7 @@ class Store:
             kept = kept[:-1]
         rows = self._last(name, [self._part(p, schema) for p in group], schema, gone=True)
         rows = rows if kept else rows.where("NOT _gone")  # nothing older is left that a removal could hide
-        at = f"{self.root}/{name}/{uuid.uuid4().hex}"
+        at = self._intend(name)
         by = _bucket(self.keyed[name][1], self.buckets)
         rows.withColumn("_bucket", by).repartition("_bucket").sortWithinPartitions("_bucket", *self.keyed[name][0]).write.partitionBy("_bucket").parquet(at)
         self.staged[name] = [*kept, {"at": at, "seq": group[-1]["seq"], "buckets": self.buckets, "rows": n}]
@@ -170,15 +235,13 @@ class Store:
         newest = self._newest()
         self._replace(newest["tables"] | self.staged, newest["contracts"] | self.promised)
         self.staged, self.promised = {}, {}
+        self._undo(self.run)  # parts that were merged before they were published, and the notes
+        self._forget()
 
-    def discard(self) -> None:
-        """Undo what a failed run has staged."""
-        jvm, fs = self._fs()
-        held = self.manifest()
-        for name, at in self.staged.items():
-            for path in [at] if isinstance(at, str) else [p["at"] for p in at if p not in held.get(name, [])]:
-                fs.delete(jvm.org.apache.hadoop.fs.Path(path), True)
+    def discard(self) -> dict[str, int]:
+        """Undo what a failed run has staged, the last first; how many undos there were, and how many failed."""
         self.staged, self.promised = {}, {}
+        return self._undo(self.run)
 
     def check_unique(self) -> None:
         """An error if a staged table has a key more than once: then nothing is published."""
@@ -196,6 +259,11 @@ class Store:
             fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}"), True)
 
 
+def _folders(tables: dict[str, str | list[dict]]) -> set[str]:
+    """All that a manifest's tables lie in."""
+    return {p if isinstance(p, str) else p["at"] for parts in tables.values() for p in ([parts] if isinstance(parts, str) else parts)}
+
+
 def _bucket(by: tuple[str, ...], buckets: int) -> Column:
     return F.pmod(F.xxhash64(*by), F.lit(buckets)).cast("int")
 

@@ -56,16 +56,17 @@ def run(spark: SparkSession, plan: RunPlan, store: sinks.Store, make_client: Cal
     The model that is served, and that of the collection, are checked before anything is wiped, read or written.
     """
     started = datetime.now(UTC)
+    undone = store.recover()
     if plan.embed:
         embedding.check_served(make_client, model, dim)
     if plan.wipe:
         store.wipe()
     store.ensure("chunks", model=model, dim=dim)
     try:
-        return _run(spark, plan, store, make_client, dim, model, started, xml.scan(spark, plan.root, plan.sources) if facets is None else facets)
+        return _run(spark, plan, store, make_client, dim, model, started, xml.scan(spark, plan.root, plan.sources) if facets is None else facets, undone)
     except Exception as broken:
-        store.discard()
-        store.stage("run_summaries", sinks.replaced(store.read("run_summaries", _summary_schema(spark)), sinks.run_summary(spark, plan.run_id, plan.sources, "failed", {}, started, str(broken)[:500]), "run_id"))
+        undone = {event: n + undone[event] for event, n in store.discard().items()}
+        store.stage("run_summaries", sinks.replaced(store.read("run_summaries", _summary_schema(spark)), sinks.run_summary(spark, plan.run_id, plan.sources, "failed", undone, started, str(broken)[:500]), "run_id"))
         store.publish()
         raise
 
@@ -74,7 +75,7 @@ def _summary_schema(spark: SparkSession) -> str:
     return "run_id string, sources array<string>, status string, started_at timestamp, ended_at timestamp, counts map<string,bigint>, error_message string"
 
 
-def _run(spark: SparkSession, plan: RunPlan, store: sinks.Store, make_client: Callable, dim: int, model: str, started: datetime, facets: DataFrame) -> dict:
+def _run(spark: SparkSession, plan: RunPlan, store: sinks.Store, make_client: Callable, dim: int, model: str, started: datetime, facets: DataFrame, undone: dict[str, int]) -> dict:
     facets = write_table(facets, "facets")
     skipped = {(r["source"], r["skip"]): r["count"] for r in xml.skipped(facets).collect()}
     parsed = write_table(parsing.parse_all(xml.raw_documents(facets), plan.sources), "parsed")
@@ -119,6 +120,7 @@ def _run(spark: SparkSession, plan: RunPlan, store: sinks.Store, make_client: Ca
         "relation.promoted": promoted.count(),
         "relation.unknown": linked.agg(F.coalesce(F.sum("links.lost"), F.lit(0))).first()[0],
         "chunk.truncated": stats.truncated_chunks(embedded).first()[0],
+        **undone,
     }
     seen = (F.lit(counts[f"document.{x}"]) for x in ("fetched", "persisted", "invalidated", "failed"))
     status = spark.range(1).select(stats.status(F.lit("ok"), *seen)).first()[0]

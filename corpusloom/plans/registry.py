@@ -250,7 +250,7 @@ WITH {_FAULTY}, linked AS (SELECT count(*) AS n FROM w JOIN w AS next ON next.p_
   UNION ALL SELECT 'relation.pending', (SELECT 2 * count(*) FROM w) - n FROM linked
   UNION ALL SELECT 'relation.promoted', 0
   UNION ALL SELECT 'relation.unknown', count(*) FILTER (WHERE NOT regexp_full_match(lower(trim(p_type)), '[a-z][a-z0-9_]*')) FROM w
-  UNION ALL SELECT 'chunk.truncated', 0)
+  UNION ALL SELECT unnest(['chunk.truncated', 'saga.compensation.triggered', 'saga.compensation.completed', 'saga.compensation.failed']), 0)
 SELECT event, n, CASE WHEN (SELECT n FROM n WHERE event = 'document.failed') > 0 THEN 'degraded' ELSE 'ok' END AS status FROM n
 """)
 def a8_report(spark: SparkSession, sf_dir: str) -> DataFrame:

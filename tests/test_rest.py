@@ -320,6 +320,61 @@ def test_the_cost_of_a_batch_follows_the_batch(spark, tmp_path, monkeypatch):
     assert spent[8_000] < 3 * spent[400]
 
 
+def test_a_run_that_stops_anywhere_leaves_nothing_half_written(spark, tmp_path, monkeypatch):
+    """Stopped before any of its writes, before it publishes or at the rename: the store is as before, and the next start deletes what is left."""
+    monkeypatch.setattr(sinks, "RAW", 2)
+    kind = "identifier string, e struct<src:string,dst:string,type:string,props:map<string,string>,source:string,doc:string,seq:int>"
+    root = f"file://{tmp_path}/s"
+
+    def batch(k):
+        return spark.createDataFrame([(f"n{k}", (f"n{k}", f"n{k + 1}", "cite", {}, "s", "d", 0))], kind)
+
+    def state():
+        store = sinks.Store(spark, root)
+        return sorted(r.identifier for r in store.read("nodes", incremental.NODES).collect()), store.read("edges", incremental.KEPT).count(), store.read("pending", incremental.PENDING).count()
+
+    def folders():
+        store = sinks.Store(spark, root)
+        held = {at for n in store._numbers() for at in sinks._folders(store._read(n)["tables"])}
+        return {f"file://{f}" for t in ("nodes", "edges", "pending") for f in (tmp_path / "s" / t).iterdir()} - held
+
+    incremental.apply_batch(sinks.Store(spark, root), batch(0), "r0")
+    incremental.apply_batch(sinks.Store(spark, root), batch(1), "r1")
+    before = state()
+    assert before == (["n0", "n1"], 1, 1) and not folders()
+
+    class Stopped(Exception):
+        pass
+
+    for step in range(6):
+        store = sinks.Store(spark, root)
+        intend, seen = store._intend, []
+
+        def stop(name, intend=intend, seen=seen, step=step):
+            if len(seen) == step:
+                raise Stopped
+            seen.append(name)
+            return intend(name)
+
+        if step < 5:
+            monkeypatch.setattr(store, "_intend", stop)
+        else:
+            monkeypatch.setattr(store, "_replace", lambda *a: (_ for _ in ()).throw(Stopped))
+        with pytest.raises(Stopped):
+            incremental.apply_batch(store, batch(2), "r2")
+        assert state() == before
+        done = sinks.Store(spark, root).recover()
+        assert not folders() and done["saga.compensation.triggered"] == done["saga.compensation.completed"] and done["saga.compensation.failed"] == 0
+        assert (done["saga.compensation.triggered"] > 0) == (step > 0)
+    stuck = sinks.Store(spark, root)
+    stuck.upsert("nodes", spark.createDataFrame([("x", None, None)], incremental.NODES))
+    monkeypatch.setattr(stuck, "_delete", lambda at: (_ for _ in ()).throw(OSError))
+    assert stuck.discard()["saga.compensation.failed"] == 1 and len(folders()) == 1
+    assert sinks.Store(spark, root).recover()["saga.compensation.completed"] == 1 and not folders()
+    incremental.apply_batch(sinks.Store(spark, root, keep=1), batch(2), "r2")
+    assert state() == (["n0", "n1", "n2"], 2, 1) and not folders() and len(sinks.Store(spark, root)._numbers()) == 1
+
+
 def test_rate_limit_stream(spark, tmp_path):
     spark.sql("SELECT id % 2 AS user_id, timestamp'2024-01-01' + make_dt_interval(0, 0, 0, id) AS ts FROM range(40)").write.parquet(f"{tmp_path}/e")
     late = spark.sql("SELECT 9L AS user_id, timestamp'2024-01-02' AS ts")
@@ -466,7 +521,7 @@ def test_a_repeated_key_stops_the_run(spark, tmp_path):
 
 
 def test_rows_of_an_unknown_source_are_an_error(spark):
-    from corpusloom.operators import parsing
+    from corpusloom.operators import links, parsing
     from corpusloom.sources import xml
 
     files = spark.createDataFrame([("x/a.xml", ARTICLE.encode())], "path string, content binary")
@@ -474,3 +529,5 @@ def test_rows_of_an_unknown_source_are_an_error(spark):
     assert parsing.parse_all(raw, ["legi"]).count() == 1
     with pytest.raises(Exception, match="no parser for the source"):
         parsing.parse_all(raw, ["jade"]).collect()
+    with pytest.raises(Exception, match="no links for the source"):
+        links.extract(parsing.parse_all(raw, ["legi"]), ["jade"]).collect()
