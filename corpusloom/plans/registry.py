@@ -193,6 +193,64 @@ def s2_unreadable_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return xml.skipped(xml.decode_facets(files, "legi")).select("skip", F.col("count").alias("n"))
 
 
+def _parsed(files: DataFrame) -> DataFrame:
+    return parsing.parse(xml.raw_documents(xml.decode_facets(files.select("path", F.col("content").cast("binary").alias("content")), "legi")), "legi")
+
+
+_VERSIONS_SQL = """
+WITH p AS (SELECT p_size, 'LEGIARTI' || lpad(p_partkey::VARCHAR, 12, '0') AS me, 'LEGIARTI1' || lpad(p_partkey::VARCHAR, 11, '0') AS before, 'LEGIARTI2' || lpad(p_partkey::VARCHAR, 11, '0') AS after, 'LEGIARTI3' || lpad(p_partkey::VARCHAR, 11, '0') AS dead FROM part)
+SELECT before AS src, me AS dst, '2000-01-01' AS debut, 'VIGUEUR' AS etat FROM p UNION ALL SELECT me, after, '2010-01-01', 'MODIFIE' FROM p WHERE p_size % 2 = 0
+UNION ALL SELECT me, dead, '2005-01-01', 'MODIFIE_MORT_NE' FROM p WHERE p_size % 3 = 0
+"""
+
+
+@query(_VERSIONS_SQL)
+def l9_version_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as articles with an earlier version, for some a later one, and for some one that never was in force and hangs on the version of its day."""
+    version = "'<VERSION><LIEN_ART id=\"LEGIARTI{}', lpad(p_partkey, {}, '0'), '\" debut=\"{}\" etat=\"{}\"/></VERSION>'"
+    pieces = ", ".join(
+        [
+            "'<ARTICLE><META><META_COMMUN><ID>LEGIARTI', lpad(p_partkey, 12, '0'), '</ID></META_COMMUN></META><VERSIONS>'",
+            f"if(p_size % 2 = 0, concat({version.format('2', 11, '2010-01-01', 'MODIFIE')}), '')",
+            f"if(p_size % 3 = 0, concat({version.format('3', 11, '2005-01-01', 'MODIFIE_MORT_NE')}), '')",
+            version.format("", 12, "2000-01-01", "VIGUEUR"),
+            version.format("1", 11, "1990-01-01", "MODIFIE"),
+            "'</VERSIONS></ARTICLE>'",
+        ]
+    )
+    files = table(spark, sf_dir, "part").select(F.format_string("legi/%d.xml", "p_partkey").alias("path"), F.expr(f"concat({pieces})").alias("content"))
+    found = links.edges(links.with_links(_parsed(files), "legi")).where(F.col("type") == links.SUIVI_PAR)
+    return found.select("src", "dst", F.col("props")["debut"].alias("debut"), F.col("props")["etat"].alias("etat"))
+
+
+@query("""
+WITH p AS (SELECT p_name, p_size, 'LEGISCTA' || lpad(p_partkey::VARCHAR, 12, '0') AS me, 'LEGIARTI' || lpad(p_partkey::VARCHAR, 12, '0') AS article, 'LEGISCTA9' || lpad(p_partkey::VARCHAR, 11, '0') AS section FROM part)
+SELECT me AS src, article AS dst, 'LIEN_ART' AS kind, trim(p_name) AS title FROM p UNION ALL SELECT me, section, 'LIEN_SECTION_TA', trim(p_name) FROM p WHERE p_size % 2 = 1
+""")
+def l6_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as sections that hold an article, and some of them another section."""
+    content = """concat('<SECTION_TA><ID>LEGISCTA', lpad(p_partkey, 12, '0'), '</ID><TITRE_TA> ', p_name, ' </TITRE_TA><STRUCTURE_TA><LIEN_ART id="LEGIARTI', lpad(p_partkey, 12, '0'), '"/>',
+      if(p_size % 2 = 1, concat('<LIEN_SECTION_TA id="LEGISCTA9', lpad(p_partkey, 11, '0'), '"/>'), ''), '<LIEN_ART id="malformed"/></STRUCTURE_TA></SECTION_TA>')"""
+    files = table(spark, sf_dir, "part").select(F.format_string("legi/%d.xml", "p_partkey").alias("path"), F.expr(content).alias("content"))
+    parsed = _parsed(files)
+    found = links.edges(links.with_links(parsed, "legi"))
+    return found.join(parsed.select(F.col("identifier").alias("src"), "title"), "src").select("src", "dst", F.col("props")["kind"].alias("kind"), "title")
+
+
+@query("""
+SELECT 'LEGITEXT' || lpad(p_partkey::VARCHAR, 12, '0') AS identifier, CASE WHEN p_size % 4 = 0 THEN 2 ELSE 1 END AS n_files, 'legi/' || p_partkey || '/texte/version/a.xml' AS first_file, trim(p_name) AS title,
+  CASE WHEN p_size % 4 = 0 THEN p_type END AS nor FROM part
+""")
+def s5_facets_of_one_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as texts of which some have two files: these are one document, in the order of their roots and not of their paths."""
+    parts = table(spark, sf_dir, "part")
+    version = "concat('<TEXTE_VERSION><META><META_COMMUN><ID>LEGITEXT', lpad(p_partkey, 12, '0'), '</ID></META_COMMUN><META_SPEC><META_TEXTE_VERSION><TITRE> ', p_name, ' </TITRE></META_TEXTE_VERSION></META_SPEC></META></TEXTE_VERSION>')"
+    struct = "concat('<TEXTELR><META><META_COMMUN><ID>LEGITEXT', lpad(p_partkey, 12, '0'), '</ID></META_COMMUN><META_SPEC><META_TEXTE_CHRONICLE><NOR>', p_type, '</NOR></META_TEXTE_CHRONICLE></META_SPEC></META></TEXTELR>')"
+    files = parts.select(F.format_string("legi/%d/texte/version/a.xml", "p_partkey").alias("path"), F.expr(version).alias("content"))
+    files = files.unionByName(parts.where("p_size % 4 = 0").select(F.format_string("legi/%d/texte/struct/a.xml", "p_partkey").alias("path"), F.expr(struct).alias("content")))
+    return _parsed(files).select("identifier", F.size("source_files").alias("n_files"), F.element_at("source_files", 1).alias("first_file"), "title", F.try_element_at("metadata", F.lit("nor")).vals[0].alias("nor"))
+
+
 # ---- runs: parts as articles, some of which fail
 
 _FAULTY = """
