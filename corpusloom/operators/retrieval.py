@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from corpusloom.functions import text as T
 
@@ -147,6 +147,75 @@ def top_k(chunks: DataFrame, queries: DataFrame, k: int = 5, min_score: float =
     return ranked.where(F.col("rank") <= k)
 
 
+def nested_index(documents: DataFrame, chunks: DataFrame, *more: str) -> DataFrame:
+    """One row for each document (identifier, ...) with passages array<struct<ordinal, chunk_id, embedding, more>> in their order; documents without a passage have an empty one.
+
+    chunks: parent_identifier, ordinal, chunk_id, embedding, more. A document's passages are as many as its length allows.
+    """
+    fields = F.struct("ordinal", "chunk_id", "embedding", *more)
+    nested = chunks.groupBy(F.col("parent_identifier").alias("identifier")).agg(F.sort_array(F.collect_list(fields)).alias("passages"))
+    kind = nested.schema["passages"].dataType
+    return documents.join(nested, "identifier", "left").withColumn("passages", F.coalesce("passages", F.array().cast(kind)))
+
+
+def nested_hits(index: DataFrame, queries: DataFrame, documents: int = 100, passages: int = 3, min_score: float = -1.0) -> DataFrame:
+    """query_id, rank, score (of its best passage), the index's columns but the passages, and hits array<struct<chunk_id, score>>: the best documents of each question with their best passages.
+
+    A document carries its passages, so these are scored where they lie and come back without a join. queries: query_id, vector, a stated set, as in top_k(). Ties go
+    by identifier and by chunk_id; null vectors count as zero; documents without a passage are not found.
+    """
+    spark = index.sparkSession
+    asked = queries.select("query_id", "vector").where("vector IS NOT NULL").toArrow()
+    matrix = np.asarray(asked["vector"].to_pylist(), np.float64).reshape(len(asked), -1)
+    hit = ArrayType(StructType([StructField("chunk_id", index.schema["passages"].dataType.elementType["chunk_id"].dataType), StructField("score", DoubleType())]))
+    rest = [f for f in index.schema.fields if f.name != "passages"]
+    schema = StructType([*rest, *queries.select("query_id").schema.fields, StructField("score", DoubleType()), StructField("hits", hit)])
+    step = max(1, QUESTION_BYTES // max(8, matrix.shape[1] * 8))
+    found = []
+    for at in range(0, max(1, len(asked)), step):
+        part = spark.sparkContext.broadcast((matrix[at : at + step], asked["query_id"].slice(at, step).combine_chunks()))
+
+        def search(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
+            questions, ids = part.value
+            best = _Best(questions, documents, min_score)
+            for batch in batches:
+                column = batch["passages"]
+                sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                if not sizes.sum() or not len(questions):
+                    continue
+                flat = column.flatten()
+                x, keys = _matrix(flat.field("embedding"), questions.shape[1]), flat.field("chunk_id").to_pylist()
+                full = np.flatnonzero(sizes)
+                begin = np.r_[0, np.cumsum(sizes[full])]
+                norm = np.sqrt(_summed(x * x))
+                scale = norm[:, None] * best.norm[None, :]
+                near = np.maximum.reduceat(np.divide(x @ questions.T, scale, out=np.zeros_like(scale), where=scale > 0), begin[:-1], axis=0)
+                doc, which = np.nonzero(near >= np.maximum(best.top.min(axis=1), min_score) - SLACK)
+                count = begin[doc + 1] - begin[doc]
+                rows = np.repeat(begin[doc] - np.cumsum(count) + count, count) + np.arange(count.sum())
+                score = best.cosines(x, norm, rows, np.repeat(which, count))
+                starts = np.cumsum(count) - count
+                top = np.maximum.reduceat(score, starts) if len(starts) else score
+                keep = np.flatnonzero((top >= min_score) & (top >= best.top.min(axis=1)[which])) if len(starts) else np.empty(0, np.int64)
+                for q in np.unique(which[keep]).tolist():
+                    mine = keep[which[keep] == q]
+                    best.top[q] = np.sort(np.r_[best.top[q], top[mine]])[-documents:]
+                keep = keep[top[keep] >= best.top.min(axis=1)[which[keep]]]
+                if not len(keep):
+                    continue
+                hits = []
+                for k in keep.tolist():
+                    those = range(starts[k], starts[k] + count[k])
+                    hits.append([{"chunk_id": keys[rows[r]], "score": float(score[r])} for r in sorted(those, key=lambda r: (-score[r], keys[rows[r]]))[:passages]])
+                taken = batch.select([f.name for f in rest]).take(pa.array(full[doc[keep]]))
+                kind = pa.list_(pa.struct([("chunk_id", flat.field("chunk_id").type), ("score", pa.float64())]))
+                yield pa.RecordBatch.from_arrays([*taken.columns, ids.take(pa.array(which[keep])), pa.array(top[keep]), pa.array(hits, kind)], [*taken.schema.names, "query_id", "score", "hits"])
+
+        found.append(index.mapInArrow(search, schema))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "identifier")
+    return reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= documents)
+
+
 def valid_point() -> Column:
     """Whether a found passage has all that the contract asks for."""
     filled = (F.coalesce("chunk_id", F.lit("")) != "") & (F.coalesce("identifier", F.lit("")) != "")

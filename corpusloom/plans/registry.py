@@ -584,6 +584,26 @@ def d5_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.fuse_ranks(words, near, by=("query_id",)).select("query_id", "chunk_id", F.round("score", 9).alias("score"))
 
 
+@query("""
+WITH s AS (SELECT q.vec_id AS query_id, 'D' || (e.vec_id // 7) AS identifier, e.vec_id::VARCHAR AS chunk_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY query_id, identifier ORDER BY score DESC, chunk_id)::INT AS place, max(score) OVER (PARTITION BY query_id, identifier) AS best FROM s),
+d AS (SELECT *, dense_rank() OVER (PARTITION BY query_id ORDER BY best DESC, identifier)::INT AS rank FROM p)
+SELECT query_id, identifier, rank, place, chunk_id, round(score, 6) AS score FROM d WHERE rank <= 10 AND place <= 3
+""")
+def d4_nested_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven vectors each as the passages of a document, in a stored table that is dealt over buckets; the best documents with their best passages."""
+    vectors = table(spark, sf_dir, "embeddings")
+    chunks = vectors.select(F.expr("concat('D', vec_id div 7)").alias("parent_identifier"), (F.col("vec_id") % 7).alias("ordinal"), F.col("vec_id").cast("string").alias("chunk_id"), "embedding")
+    index = retrieval.nested_index(chunks.select(F.col("parent_identifier").alias("identifier")).distinct(), chunks)
+    store = sinks.Store(spark, f"{scratch_dir(spark)}/corpusloom/store-{uuid.uuid4().hex}", keyed={"index": (("identifier",), ("identifier",))})
+    store.upsert("index", index)
+    store.merge("index")
+    store.publish()
+    asked = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    found = retrieval.nested_hits(store.read("index", index.schema), asked, 10)
+    return found.select("query_id", "identifier", "rank", F.posexplode("hits").alias("p", "h")).select("query_id", "identifier", "rank", (F.col("p") + 1).alias("place"), "h.chunk_id", F.round("h.score", 6).alias("score"))
+
+
 # ---- sinks and windows
 
 

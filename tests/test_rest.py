@@ -81,6 +81,39 @@ def test_top_k_against_brute_force(spark, batch):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
 
 
+@pytest.mark.parametrize("batch", ["2", "2000"])
+def test_nested_hits_against_brute_force(spark, batch):
+    """Equal vectors, ties, documents without passages, null vectors."""
+    import random
+
+    r = random.Random(9)
+    pool = [[float(r.randint(-2, 2)) for _ in range(3)] for _ in range(9)] + [[0.0] * 3]
+    held = {f"d{k}": [r.choice([*pool, None]) for _ in range(r.randint(0, 5))] for k in range(40)}
+    asked = [(q, r.choice(pool)) for q in range(12)]
+
+    def cosine(a, b):
+        size = sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5
+        return sum(x * y for x, y in zip(a, b, strict=True)) / size if size else 0.0
+
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    documents = spark.createDataFrame([(d, d.upper()) for d in held], "identifier string, title string")
+    chunks = spark.createDataFrame([(d, n, f"{d}_{n}", v) for d, vs in held.items() for n, v in enumerate(vs)], "parent_identifier string, ordinal int, chunk_id string, embedding array<float>")
+    index = retrieval.nested_index(documents, chunks)
+    assert index.count() == 40
+    for k, least in ((4, -1.0), (50, 0.1)):
+        found = retrieval.nested_hits(index, spark.createDataFrame(asked, "query_id int, vector array<float>"), k, 2, least)
+        assert found.columns == ["identifier", "title", "query_id", "score", "hits", "rank"]
+        got = sorted((x.query_id, x["rank"], x.identifier, [h.chunk_id for h in x.hits]) for x in found.collect())
+        expected = []
+        for q, v in asked:
+            scored = {d: sorted((-cosine(p or [0.0] * 3, v), f"{d}_{n}") for n, p in enumerate(vs)) for d, vs in held.items() if vs}
+            best = sorted((s[0][0], d) for d, s in scored.items() if -s[0][0] >= least)[:k]
+            expected += [(q, n + 1, d, [c for _, c in scored[d][:2]]) for n, (_, d) in enumerate(best)]
+        assert got == sorted(expected)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+
+
 def test_lexical_terms(spark):
     from corpusloom.operators import lexical
 
