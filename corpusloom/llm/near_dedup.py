@@ -197,18 +197,20 @@ def _plant(trees: int, share: float):
 
 
 def _branch(level: int, share: float):
+    """Of each class with its nodes the children in all of them: its tokens come once, in however many nodes it is."""
     pool = POOLS[level]
 
     def branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            node = batch["node"].to_numpy().view(np.uint64)
+            row = np.repeat(np.arange(batch.num_rows), batch["nodes"].value_lengths().to_numpy(zero_copy_only=False))
+            node = batch["nodes"].flatten().to_numpy().view(np.uint64)
             u = mixed(node + np.uint64(0x9E3779B97F4A7C15))
             first = u % np.uint64(pool)
             second = (first + np.uint64(1) + (u >> np.uint64(8)) % np.uint64(pool - 1)) % np.uint64(pool)
-            got = _children(node, _matrix(batch[_level(level)], np.uint16, pool), first, second, share)
-            yield from _rows(got, batch["rep"].to_numpy(), _matrix(batch["sketch"], np.uint64, WORDS))
+            got = _children(node, _matrix(batch[_level(level)], np.uint16, pool)[row], first, second, share)
+            yield from _rows(got, batch["rep"].to_numpy()[row], _matrix(batch["sketch"], np.uint64, WORDS)[row])
 
     return branch
 
@@ -596,7 +598,9 @@ def _joined(docs: DataFrame, shingle: int, percent: int, trees: int) -> DataFram
             found.add(write_table(_in_blocks(found, dense.select("node", "rep", "sketch"), percent, agree), "near-links"))
         if "large" not in kinds or last:
             break
-        active = write_table(large.select("node", "rep").join(reps.select("rep", "sketch", _level(level)), "rep").mapInArrow(_branch(level, share), _NODES), "near-nodes")
+        # A class is in few nodes: trees times GROWTH for each level.
+        within = large.groupBy("rep").agg(F.collect_list("node").alias("nodes"))
+        active = write_table(within.join(reps.select("rep", "sketch", _level(level)), "rep").mapInArrow(_branch(level, share), _NODES), "near-nodes")
         drop_table(live)
 
     every = members.select("doc_id", FILE, AT, "rep", "n_shingles", "first_id")
