@@ -60,11 +60,11 @@ def scratch_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def write_table(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Cut lineage: write to the shared folder and read back. Survives the loss of executors."""
+def write_table(df: DataFrame, name: str, codec: str = "zstd", tasks: int | None = None) -> DataFrame:
+    """Cut lineage: write to the shared folder and read back. Survives the loss of executors. With `tasks`, no more tasks than these write a file each."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    (df.coalesce(tasks) if tasks else df).write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._corpusloom_path = path
     atexit.register(_drop_quietly, spark, path)

@@ -194,6 +194,61 @@ def test_near_branches_deep_and_compares_leaves_by_blocks(spark, monkeypatch):
     assert len(seen) >= 2 and all(n > 16 for n in seen)
 
 
+def test_near_a_class_is_looked_up_once_and_small_tables_are_few_files(spark, monkeypatch):
+    """A class in many nodes meets its component and its set once; 48 shuffle partitions don't make 48 files of a few hundred rows."""
+    texts = dense(random.Random(11))
+    for name, value in (("POOLS", (24, 8, 8, 8)), ("_LEVELS", [near_dedup._level(k) for k in range(4)]), ("FEW", 4), ("MANY", 16), ("BLOCK", 7)):
+        monkeypatch.setattr(near_dedup, name, value)
+    looked, files, deep = [], [], []
+    component, write, whole = near_dedup._Links.with_component, near_dedup.write_table, near_dedup._in_blocks
+
+    def with_component(found, rows):
+        looked.append((rows.count(), rows.select("rep").distinct().count()))
+        return component(found, rows)
+
+    def write_table(*a, **kw):
+        out = write(*a, **kw)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(near_dedup._Links, "with_component", with_component)
+    monkeypatch.setattr(near_dedup, "write_table", write_table)
+    monkeypatch.setattr(near_dedup, "_in_blocks", lambda found, rows, *a: deep.append(rows.count() > rows.select("rep").distinct().count()) or whole(found, rows, *a))
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "48")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(frame(spark, texts), shingle=2).collect()}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    want = brute(texts, 2)
+    assert sum(got[i] != root for i, (_, root) in enumerate(want)) <= 1 and all(want[i][1] == want[root][1] for i, root in got.items())
+    assert any(deep) and looked and all(rows == classes for rows, classes in looked)
+    assert max(files) <= near_dedup.TASKS
+
+
+def test_near_branches_of_listed_nodes():
+    """A class with the list of its nodes has the children that it has in each of them, and its component goes along."""
+    import numpy as np
+    import pyarrow as pa
+
+    r, pool = np.random.RandomState(3), near_dedup.POOLS[1]
+    tokens = [r.randint(0, 1 << 16, pool).astype(np.uint16).tobytes() for _ in range(3)]
+    nodes = [[5, 6, 7], [], [6]]
+
+    def children(rows, node):
+        who = [k for k, _ in rows]
+        batch = {"rep": pa.array(who, pa.int64()), "component": pa.array([10 * k for k in who], pa.int64()), "node": node, "sketch": pa.array([bytes(24)] * len(who), pa.binary()), near_dedup._level(1): pa.array([tokens[k] for k in who], pa.binary())}
+        got = list(near_dedup._branch(1, 0.4)(iter([pa.RecordBatch.from_pydict(batch)])))
+        return sorted((x["node"], x["rep"], x["component"]) for b in got for x in b.to_pylist())
+
+    every = [(k, n) for k, ns in enumerate(nodes) for n in ns]
+    one = children(every, pa.array([n for _, n in every], pa.int64()))
+    assert one == children(list(enumerate(nodes)), pa.array(nodes, pa.list_(pa.int64()))) and len(one) >= 4
+    assert all(c == 10 * k for _, k, c in one)
+
+
 def test_near_one_level_loses_no_more_than_it_says():
     """Trees alone, without a star or connections: the share of pairs that meet in a last node."""
     import numpy as np
