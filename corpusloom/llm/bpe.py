@@ -8,6 +8,8 @@ the words at both ends makes the joined sequence the encoding of the whole. A le
 as long as it likes: a word that no rule splits is a tree of its own (over LEAF characters), whose windows are counted in tokens. Two neighbours
 of a BPE sequence that are neighbours in some encoding stay so in any, hence agreement is enough there, too.
 
+Where no tree is asked for (`whole`), a text is one leaf: the same ids, without joins.
+
 Texts over `split_chars` code points are cut into rows, so that their parts are encoded by several
 tasks, and joined per document.
 
@@ -258,7 +260,7 @@ class WordBpe:
     def _ids(self, parts: list[list[bytes]]) -> list[list[bytes]]:
         """Ids of each word of each part; words that are not known are encoded together."""
         found = [list(map(self.words.get, words)) for words in parts]
-        gaps = [[i for i, x in enumerate(ids) if x is None] for ids in found]
+        gaps = [[] if all(ids) else [i for i, x in enumerate(ids) if x is None] for ids in found]
         missing = {words[i] for words, gap in zip(parts, gaps, strict=True) for i in gap}
         self.learn(missing)
         for words, ids, gap in zip(parts, found, gaps, strict=True):
@@ -269,10 +271,10 @@ class WordBpe:
                 del self.words[word]
         return found
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers: leaves of all texts together, then their joins, a level of all trees at a time."""
+    def encode(self, texts: list[str | None], whole: bool = False) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers: leaves of all texts together, then their joins, a level of all trees at a time. whole: each text is one leaf."""
         raws = [t.encode() if t else b"" for t in texts]
-        cuts = [_cuts(raw) for raw in raws]
+        cuts = [[0, len(raw)] if whole else _cuts(raw) for raw in raws]
         leaves = [raw[a:b].split() for raw, at in zip(raws, cuts, strict=True) for a, b in zip(at, at[1:], strict=False)]
         ids, begin, trees = self._ids(leaves), 0, []
         for at in cuts:
@@ -353,11 +355,12 @@ SLICE = 400
 IDS = "doc_id long, ids binary"
 
 
-def encode_documents(docs: DataFrame, path: str, split_chars: int = 1 << 20, then: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, schema: str = IDS) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, split_chars: int = 1 << 20, then: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, schema: str = IDS, whole: bool = False) -> DataFrame:
     """One row for each row of docs: doc_id, ids binary (little-endian unsigned 32-bit).
 
     path: a tokenizers file that every executor can open. Columns other than doc_id and text are left out.
     then: applied to each batch of such rows, in the worker that made it; `schema` is that of its result.
+    whole: texts are encoded without trees of leaves; the ids don't depend on it.
     """
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,7 +368,7 @@ def encode_documents(docs: DataFrame, path: str, split_chars: int = 1 << 20, the
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                ids = pa.RecordBatch.from_arrays([part["doc_id"], pa.array(bpe.encode(part["text"].to_pylist()), pa.binary())], ["doc_id", "ids"])
+                ids = pa.RecordBatch.from_arrays([part["doc_id"], pa.array(bpe.encode(part["text"].to_pylist(), whole), pa.binary())], ["doc_id", "ids"])
                 yield then(ids) if then else ids
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,7 +385,7 @@ def encode_documents(docs: DataFrame, path: str, split_chars: int = 1 << 20, the
         bpe = load(path)
         for batch in batches:
             ids = [
-                bpe.encode([part])[0] if pre == 0 else bpe._pack([bpe.added[part]]) if pre < 0 else bpe._pack(bpe.tree(part, last))
+                bpe.encode([part], whole)[0] if pre == 0 else bpe._pack([bpe.added[part]]) if pre < 0 else bpe._pack(bpe.tree(part, last))
                 for pre, last, part in zip(*(batch[c].to_pylist() for c in ("pre", "last", "part")), strict=True)
             ]
             yield pa.RecordBatch.from_arrays([batch[c] for c in ("_row", "doc_id", "seq", "pre", "last")] + [pa.array(ids, pa.binary())], ["_row", "doc_id", "seq", "pre", "last", "ids"])

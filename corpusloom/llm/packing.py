@@ -80,6 +80,6 @@ def pack(held: DataFrame, length: int) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, path: str, length: int = 2048, end_id: int = 1) -> DataFrame:
-    """Tokenize docs (doc_id, text) with the tokenizers file at `path` and pack them."""
-    held = write_table(encode_documents(docs, path, then=_number(end_id), schema=PLACED), "packing-ids")
+    """Tokenize docs (doc_id, text) with the tokenizers file at `path`, without trees, and pack them."""
+    held = write_table(encode_documents(docs, path, then=_number(end_id), schema=PLACED, whole=True), "packing-ids")
     return pack(held, length)

@@ -97,6 +97,23 @@ def test_trees_of_texts_are_reached():
     assert own.windows > own.joins
 
 
+def test_packing_encodes_whole_texts_without_joins(spark, monkeypatch):
+    """Without trees the ids are the library's, too, and packing asks for that, long texts included."""
+    texts = [*TEXTS, "été " * 3000, "x" * 5000 + " y" * 3000, "a\x1cb " * 500]
+    own = bpe.WordBpe(PATH)
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts, whole=True)] == [want(t) for t in texts]
+    assert own.joins == own.windows == 0
+    asked, encode = [], packing.encode_documents
+    monkeypatch.setattr(packing, "encode_documents", lambda *a, **kw: asked.append(kw["whole"]) or encode(*a, **kw, split_chars=4000))
+    pieces = packing.pack_documents(frame(spark, texts).where("doc_id > 0"), PATH).toPandas().sort_values(["doc_id", "start"])
+    assert asked == [True]
+    got = pieces.groupby("doc_id")["length"].sum()
+    assert got.tolist() == [len(want(t)) + 1 for t in texts[1:]]
+    for i, s, n, crc in pieces[["doc_id", "start", "length", "ids_crc32"]].itertuples(index=False):
+        assert crc == zlib.crc32(np.asarray([*want(texts[i]), 1][s : s + n], "<u4").tobytes())
+
+
 @given(st.lists(st.text(alphabet="ab é日.\n\t'<|endoftext|>0", max_size=60), max_size=6))
 @settings(max_examples=150, deadline=None)
 def test_small_leaves(texts):
