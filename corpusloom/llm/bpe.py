@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.words import SPACE
+from corpusloom.llm.workers import take_turn, trimmed
 
 #: A text between white space of more code points than this goes pre-token by pre-token, each a tree if it is over LEAF.
 LONG = 512
@@ -117,7 +118,7 @@ def _inside(raw: bytes, at: int) -> bool:
 class WordBpe:
     """The tokenizer of a tokenizers file (BPE, white space dropped by the pre-tokenizer), one per Python worker.
 
-    Keeps the ids of the first `words` words that it meets; the others are encoded anew.
+    Keeps the ids of the first `words` words that it meets in its turn; the others are encoded anew.
     """
 
     def __init__(self, path: str, words: int = 250_000) -> None:
@@ -273,6 +274,7 @@ class WordBpe:
 
     def encode(self, texts: list[str | None], whole: bool = False) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers: leaves of all texts together, then their joins, a level of all trees at a time. whole: each text is one leaf."""
+        take_turn(self.words)
         raws = [t.encode() if t else b"" for t in texts]
         cuts = [[0, len(raw)] if whole else _cuts(raw) for raw in raws]
         leaves = [raw[a:b].split() for raw, at in zip(raws, cuts, strict=True) for a, b in zip(at, at[1:], strict=False)]
@@ -365,7 +367,7 @@ def encode_documents(docs: DataFrame, path: str, split_chars: int = 1 << 20, the
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for batch in batches:
+        for batch in trimmed(batches):
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 ids = pa.RecordBatch.from_arrays([part["doc_id"], pa.array(bpe.encode(part["text"].to_pylist(), whole), pa.binary())], ["doc_id", "ids"])

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.rows import AT, FILE, numbered, only
 from corpusloom.llm.words import SPACE
+from corpusloom.llm.workers import trimmed
 from corpusloom.session import write_table
 
 SLOTS, KICKS = 4, 200
@@ -131,7 +132,7 @@ class CuckooIndex:
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in trimmed(batches):
         texts = [t or "" for t in batch["text"].to_pylist()]
         sums = [hashlib.sha256(t.encode().translate(None, SPACE)).digest() for t in texts]
         yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sums, pa.binary()), pa.array([len(t) for t in texts], pa.int64()), batch[FILE], batch[AT]], ["doc_id", "digest", "chars", FILE, AT])

@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,15 +42,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.components import connected_components
-from corpusloom.llm.rows import AT, FILE, numbered, only
+from corpusloom.llm.rows import AT, FILE, TASKS, numbered, only, writers  # noqa: F401
 from corpusloom.llm.words import LOWER, mixed, shingle_hashes
+from corpusloom.llm.workers import trimmed
 from corpusloom.session import drop_table, write_table
 
 TREES, GROWTH, FEW, MANY = 12, 1.1, 64, 1024
 #: Classes of a block, and shingles of all of them.
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
-#: Tasks that write a table of the join at most: so many, and one more for so many documents. Each shuffle partition would make a file otherwise, however few rows it has.
-TASKS, TASK_ROWS = 16, 10_000
 BINS = 192
 #: 64-bit words of a sketch.
 WORDS = BINS // 64
@@ -138,7 +138,7 @@ def _profile(size: int):
         return out
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             sets = [_shingles(t, size) for t in batch["text"].to_pylist()]
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             made = [pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), *(pa.array(c, pa.binary()) for c in coordinates(sets))]
@@ -234,7 +234,7 @@ def _exhaustive(agree: int):
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-        for batch in [*batches_of(batches), None]:
+        for batch in chain(batches_of(batches), [None]):
             if batch is None:
                 if held is not None:
                     yield _within(*held, agree)
@@ -354,7 +354,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int, tasks: int) -> Da
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
-        for batch in batches:
+        for batch in trimmed(batches):
             at = _bits(batch[FILE].to_numpy(), batch[AT].to_numpy(), size)
             batch = batch.filter(pa.array((held[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
             for start in range(0, batch.num_rows, 500):
@@ -572,7 +572,7 @@ def _joined(docs: DataFrame, shingle: int, percent: int, trees: int) -> DataFram
     share, alike = GROWTH * 100 / percent - 1, (1 + percent / 100) / 2  # equal tokens agree in their bit, others in half of the cases
     agree = max(1, int(BINS * alike - SLACK * (BINS * alike * (1 - alike)) ** 0.5))
     profiles = write_table(_profiles(docs, shingle).withColumn("row", F.monotonically_increasing_id()), "near-profiles")
-    tasks = TASKS + profiles.count() // TASK_ROWS
+    tasks = writers(profiles.count())
     # A class is named after one of its rows.
     classes = write_table(profiles.where("n_shingles > 0").groupBy("set_key").agg(F.min("row").alias("rep"), F.min("doc_id").alias("first_id")), "near-classes", tasks=tasks)
     tokens = [F.when(F.col("row") == F.col("rep"), F.col(c)).alias(c) for c in ("sketch", *_LEVELS)]

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.words import HASHES, SPACE
+from corpusloom.llm.workers import trimmed
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -151,7 +152,7 @@ def quality_rules(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             got = judge(batch["text"].to_pylist(), limits)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(got[x]) for x in names[1:])], names)
 
@@ -163,7 +164,7 @@ def keep_documents(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
     limits = limits or Limits()
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             yield batch.filter(pa.array(judge(batch["text"].to_pylist(), limits)["kept"]))
 
     return docs.mapInArrow(kept, docs.schema)

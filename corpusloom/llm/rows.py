@@ -14,6 +14,12 @@ from pyspark.sql import functions as F
 from corpusloom.session import drop_table, write_table
 
 FILE, AT = "_row_file", "_row_at"
+#: Tasks that write a small table at most: so many, and one more for so many documents. Each shuffle partition would make a file otherwise, however few rows it has.
+TASKS, TASK_ROWS = 16, 10_000
+
+
+def writers(documents: int) -> int:
+    return TASKS + documents // TASK_ROWS
 
 
 def _one_to_one(plan) -> bool:
@@ -86,8 +92,9 @@ def only(docs: DataFrame, kept: DataFrame) -> DataFrame:
     a group's files are read with that group's bits alone, so a broadcast has its bound at every size.
     """
     spark = docs.sparkSession
-    kept = write_table(kept.select(FILE, AT), "rows-kept")
-    groups = 1 + docs.count() // BROADCAST_BITS
+    n = docs.count()
+    kept = write_table(kept.select(FILE, AT), "rows-kept", tasks=writers(n))
+    groups = 1 + n // BROADCAST_BITS
     parts = []
     for group in range(groups):
         mine = F.pmod(FILE, F.lit(groups)) == group

@@ -5,13 +5,15 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from corpusloom.llm.workers import take_turn
+
 #: Deletes [\x20\x09-\x0D] with bytes.translate.
 SPACE = b" \t\n\x0b\x0c\r"
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
 class WordHashes(dict):
-    """Word -> xxhash64. Keeps the first `limit` words that a Python worker meets; the others are hashed anew."""
+    """Word -> xxhash64. Keeps the first `limit` words that a Python worker meets in its turn; the others are hashed anew."""
 
     def __init__(self, limit: int = 200_000) -> None:
         super().__init__()
@@ -24,6 +26,7 @@ class WordHashes(dict):
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:
+        take_turn(self)
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
