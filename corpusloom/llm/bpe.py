@@ -8,7 +8,8 @@ the words at both ends makes the joined sequence the encoding of the whole. A le
 as long as it likes: a word that no rule splits is a tree of its own (over LEAF characters), whose windows are counted in tokens. Two neighbours
 of a BPE sequence that are neighbours in some encoding stay so in any, hence agreement is enough there, too.
 
-Where no tree is asked for (`whole`), a text is one leaf: the same ids, without joins.
+Where no tree is asked for (`whole`), a text is one leaf: the same ids, without joins. Arrow tells the words of many texts apart
+there, so that each distinct one is looked up once for all of them, and strings their ids together.
 
 Texts over `split_chars` code points are cut into rows, so that their parts are encoded by several
 tasks, and joined per document.
@@ -26,6 +27,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,7 +93,9 @@ class Merges:
 #: Bytes of a word that Merges takes; longer ones go to the library.
 SHORT = 24
 #: What may follow a word of letters for the fast way.
-_STOPS = b".,;:!?$%&*#|"
+_STOPS = ".,;:!?$%&*#|"
+#: Words that Merges takes at a time: what it works on stays in the processor's cache.
+TOGETHER = 4096
 
 
 #: Words of a part of a text, and the ids of each.
@@ -115,10 +119,23 @@ def _inside(raw: bytes, at: int) -> bool:
     return raw[at - 1] not in SPACE and raw[at] not in SPACE
 
 
+def _listed(words: pa.Array) -> list[bytes]:
+    """Words without line ends, as to_pylist() gives them, many times faster."""
+    every = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+    return pc.binary_join(every, "\n")[0].as_buffer().to_pybytes().split(b"\n") if len(words) else []
+
+
+def _parts(codes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Strings that stand in `codes`, by their places and sizes."""
+    ends = np.append(0, np.cumsum(size)).astype(np.int32)
+    at = np.arange(ends[-1]) + np.repeat(begin - ends[:-1], size)
+    return pa.StringArray.from_buffers(len(size), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(codes[at])))
+
+
 class WordBpe:
     """The tokenizer of a tokenizers file (BPE, white space dropped by the pre-tokenizer), one per Python worker.
 
-    Keeps the ids of the first `words` words that it meets in its turn; the others are encoded anew.
+    Keeps the ids of the first `words` words, or words without capitals and stops, that it meets in its turn; the others are encoded anew.
     """
 
     def __init__(self, path: str, words: int = 250_000) -> None:
@@ -172,10 +189,12 @@ class WordBpe:
             out[:, byte] = vocab.get(char, -1), vocab.get(char + self.suffix, -1)
         return out if (out[0][list(set(probe.encode()))] >= 0).all() and (out[1][list(set(probe.encode()))] >= 0).all() else None
 
-    def _cores(self, cores: list[bytes]) -> list[bytes]:
-        """Ids of lower-case words of letters below U+0250, of at most SHORT bytes."""
-        if not cores:
-            return []
+    def _cores(self, cores: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of lower-case words of letters below U+0250, of at most SHORT bytes; words of like lengths go together."""
+        cores = sorted(cores, key=len)
+        return {core: ids for at in range(0, len(cores), TOGETHER) for core, ids in self._merged(cores[at : at + TOGETHER])}
+
+    def _merged(self, cores: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         size = np.fromiter(map(len, cores), np.int64, len(cores))
         raw = np.frombuffer(b"".join(cores), np.uint8)
         row = np.repeat(np.arange(len(cores)), size)
@@ -186,31 +205,56 @@ class WordBpe:
         held = ids >= 0
         data = ids[held].astype("<u4").tobytes()
         ends = 4 * np.cumsum(held.sum(axis=1))
-        return [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-
-    def learn(self, words: set[bytes]) -> None:
-        """Put the ids of words into self.words."""
-        cores, known, fast = [], self.words, self.symbols is not None
-        forms: list[bytes] = []
-        tails: list[bytes] = []
-        for word in words:
-            core = word.rstrip(_STOPS).lower()
-            if not core.isalpha():  # of bytes: not ASCII letters alone
-                low = core.decode().lower() if fast and not core.isascii() else ""
-                core = low.encode() if low.isalpha() and max(low) < "ɐ" else b""
-            if not (fast and core and len(core) <= SHORT):
-                known[word] = self._pack(self._any(word.decode()))
-                continue
-            tail = word[len(word.rstrip(_STOPS)) :]
-            if tail and tail not in known:
-                known[tail] = self._pack(self._any(tail.decode()))
-            cores.append(core)
-            forms.append(word)
-            tails.append(tail)
-        distinct = list(set(cores))
-        ids = dict(zip(distinct, self._cores(distinct), strict=True))
-        for word, core, tail in zip(forms, cores, tails, strict=True):
-            known[word] = ids[core] + known[tail] if tail else ids[core]
+        return zip(cores, [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)], strict=True)
+
+    def _fit(self, stems: pa.Array) -> np.ndarray:
+        """Which lower-case words _cores() takes."""
+        if self.symbols is None:
+            return np.zeros(len(stems), bool)
+        ends = np.frombuffer(stems.buffers()[1], np.int32)[: len(stems) + 1]
+        codes = np.frombuffer(stems.buffers()[2] or b"", np.uint8)[: ends[-1]]
+        fit = pc.utf8_is_alpha(stems).to_numpy(zero_copy_only=False) & (np.diff(ends) <= SHORT)
+        after = np.append(codes[1:], 0)
+        high = np.flatnonzero((codes > 0xC9) | (codes == 0xC9) & (after >= 0x90))  # where characters from U+0250 on begin
+        fit[np.searchsorted(ends, high, side="right") - 1] = False
+        return fit
+
+    def learn(self, words: list[bytes]) -> pa.Array:
+        """Ids of distinct words. Those of letters and stops after them come from their letters, which are merged; others from the library. What is new of these two is kept in self.words, up to its limit."""
+        if not words:
+            return pa.array([], pa.binary())
+        known, before = self.words, len(self.words)
+        # Lower-case words with a line end each; from here on all of them go together.
+        low = ((b"\n".join(words)).decode().lower() + "\n").encode()
+        codes = np.frombuffer(low, np.uint8)
+        ends = np.append(0, np.flatnonzero(codes == 10) + 1).astype(np.int32)
+        bare = pc.utf8_rtrim(pa.StringArray.from_buffers(len(words), pa.py_buffer(ends), pa.py_buffer(low)), _STOPS + "\n")
+        size = pc.binary_length(bare).to_numpy()
+        tails = _parts(codes, ends[:-1] + size, np.diff(ends) - size - 1).dictionary_encode()
+        stems = bare.dictionary_encode()
+        fit = self._fit(stems.dictionary)
+        cores = _listed(stems.dictionary)
+        found = list(map(known.get, cores))
+        made = self._cores([core for core, ids, ok in zip(cores, found, fit.tolist(), strict=True) if ok and ids is None])
+        known |= made
+        found = [made.get(core, b"") if ids is None else ids for core, ids in zip(cores, found, strict=True)]
+        ends_of = [self._kept(tail) for tail in _listed(tails.dictionary)]
+        ids = pc.binary_join_element_wise(pa.array(found, pa.binary()).take(stems.indices), pa.array(ends_of, pa.binary()).take(tails.indices), b"")
+        other = ~fit[stems.indices.to_numpy()]
+        if other.any():
+            ids = pc.replace_with_mask(ids, pa.array(other), pa.array([self._kept(words[i]) for i in np.flatnonzero(other).tolist()], pa.binary()))
+        self._shorten(before)
+        return ids
+
+    def _kept(self, word: bytes) -> bytes:
+        if word not in self.words:
+            self.words[word] = self._pack(self._any(word.decode()))
+        return self.words[word]
+
+    def _shorten(self, before: int) -> None:
+        """Forget what came last, over the limit; there were `before` words that were kept."""
+        while len(self.words) > max(before, self.limit):
+            self.words.popitem()
 
     @staticmethod
     def _pack(ids: list[int]) -> bytes:
@@ -262,21 +306,32 @@ class WordBpe:
         """Ids of each word of each part; words that are not known are encoded together."""
         found = [list(map(self.words.get, words)) for words in parts]
         gaps = [[] if all(ids) else [i for i, x in enumerate(ids) if x is None] for ids in found]
-        missing = {words[i] for words, gap in zip(parts, gaps, strict=True) for i in gap}
-        self.learn(missing)
+        missing = list({words[i] for words, gap in zip(parts, gaps, strict=True) for i in gap})
+        made = dict(zip(missing, self.learn(missing).to_pylist(), strict=True))
         for words, ids, gap in zip(parts, found, gaps, strict=True):
             for i in gap:
-                ids[i] = self.words[words[i]]
-        if len(self.words) > self.limit:
-            for word in missing:
-                del self.words[word]
+                ids[i] = made[words[i]]
+        before = len(self.words)
+        self.words |= made
+        self._shorten(before)
         return found
 
+    def encode_whole(self, texts: pa.Array) -> pa.Array:
+        """As encode(), each text as one leaf, from Arrow to Arrow: the distinct words of all texts are learnt at once."""
+        take_turn(self.words)
+        parts = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
+        words = parts.flatten().dictionary_encode()
+        # Where a text has white space at its ends, the empty word is among them; it has no ids.
+        found = self.learn(_listed(words.dictionary)).take(words.indices)
+        return pc.binary_join(pa.ListArray.from_arrays(parts.offsets, found), b"")
+
     def encode(self, texts: list[str | None], whole: bool = False) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers: leaves of all texts together, then their joins, a level of all trees at a time. whole: each text is one leaf."""
+        if whole:
+            return self.encode_whole(pa.array(texts, pa.string())).to_pylist()
         take_turn(self.words)
         raws = [t.encode() if t else b"" for t in texts]
-        cuts = [[0, len(raw)] if whole else _cuts(raw) for raw in raws]
+        cuts = [_cuts(raw) for raw in raws]
         leaves = [raw[a:b].split() for raw, at in zip(raws, cuts, strict=True) for a, b in zip(at, at[1:], strict=False)]
         ids, begin, trees = self._ids(leaves), 0, []
         for at in cuts:
@@ -352,11 +407,22 @@ def _pieces(text: str, bpe: WordBpe, size: int) -> Iterator[tuple[int, bool, str
 _LONG_SCHEMA = "_row long, doc_id long, seq int, pre int, last boolean, part string"
 
 
-#: Rows encoded together.
-SLICE = 400
+#: Rows encoded together; without trees rows of so many bytes, or one of more.
+SLICE, SLICE_BYTES = 400, 4 << 20
 IDS = "doc_id long, ids binary"
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of SLICE_BYTES of text at most, or one of more."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy().astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        begin = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, begin + SLICE_BYTES, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def encode_documents(docs: DataFrame, path: str, split_chars: int = 1 << 20, then: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, schema: str = IDS, whole: bool = False) -> DataFrame:
     """One row for each row of docs: doc_id, ids binary (little-endian unsigned 32-bit).
 
@@ -368,9 +434,9 @@ def encode_documents(docs: DataFrame, path: str, split_chars: int = 1 << 20, the
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in trimmed(batches):
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                ids = pa.RecordBatch.from_arrays([part["doc_id"], pa.array(bpe.encode(part["text"].to_pylist(), whole), pa.binary())], ["doc_id", "ids"])
+            for part in _slices(batch) if whole else (batch.slice(at, SLICE) for at in range(0, batch.num_rows, SLICE)):
+                encoded = bpe.encode_whole(part["text"]) if whole else pa.array(bpe.encode(part["text"].to_pylist()), pa.binary())
+                ids = pa.RecordBatch.from_arrays([part["doc_id"], encoded], ["doc_id", "ids"])
                 yield then(ids) if then else ids
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,12 +36,12 @@ def _number(end_id: int):
         task = TaskContext.get()
         if held["task"] != task.taskAttemptId():
             held.update(task=task.taskAttemptId(), at=0)
-        ids = [x + end for x in batch["ids"].to_pylist()]
-        n = np.asarray([len(x) // 4 for x in ids], np.int64)
+        ids = pc.binary_join_element_wise(batch["ids"], end, b"")
+        n = pc.binary_length(ids).to_numpy().astype(np.int64) // 4
         starts = held["at"] + np.cumsum(n) - n
         held["at"] += int(n.sum())
         part = np.full(len(n), task.partitionId(), np.int32)
-        return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(part), pa.array(starts), pa.array(n), pa.array(ids, pa.binary())], ["doc_id", "part", "at", "n", "ids"])
+        return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(part), pa.array(starts), pa.array(n), ids], ["doc_id", "part", "at", "n", "ids"])
 
     return number
 

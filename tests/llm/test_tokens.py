@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer, models
@@ -114,6 +115,37 @@ def test_packing_encodes_whole_texts_without_joins(spark, monkeypatch):
         assert crc == zlib.crc32(np.asarray([*want(texts[i]), 1][s : s + n], "<u4").tobytes())
 
 
+@given(st.lists(st.none() | st.text(alphabet="abAÉé日ɏɐİKẞΣ.,&'\n \x1c\u0301<|endoftext|>0", max_size=60), max_size=6))
+@settings(max_examples=150, deadline=None)
+def test_any_whole_text(texts):
+    for own in (BPE, bpe.WordBpe.__new__(bpe.WordBpe)):
+        if own is not BPE:
+            own.__dict__ |= BPE.__dict__ | {"words": {}, "limit": 2}  # the same tokenizer, that keeps hardly any words
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts, whole=True)] == [want(t) for t in texts]
+
+
+def test_whole_texts_merge_a_word_once(monkeypatch):
+    """Capitals and stops don't make another word of one that is kept, and a full cache keeps its words."""
+    own, merged = bpe.WordBpe(PATH, words=6), []
+    merge = own.merges.merge
+    monkeypatch.setattr(own.merges, "merge", lambda symbols: merged.append(len(symbols)) or merge(symbols))
+    for texts, new in ((["invented prose"], 2), (["Invented, PROSE&&& inVented."], 0), (["ab ba bab bba baab"], 5), (["Invented prose!"], 0)):
+        merged.clear()
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts, whole=True)] == [want(t) for t in texts]
+        assert sum(merged) == new
+    assert len(own.words) == 6
+
+
+def test_slices_of_a_batch(monkeypatch):
+    """Every row once, in order; a slice has its bytes or one row."""
+    monkeypatch.setattr(bpe, "SLICE_BYTES", 10)
+    texts = ["x" * n if n else None for n in (3, 7, 1, 0, 25, 0, 0, 10, 11)]
+    for some in (texts, texts[4:5], [None], []):
+        got = [b["text"].to_pylist() for b in bpe._slices(pa.RecordBatch.from_pydict({"text": pa.array(some, pa.string())}))]
+        assert [t for part in got for t in part] == some
+        assert all(len(part) == 1 or sum(len(t or "") for t in part) <= 10 for part in got) and all(got)
+
+
 @given(st.lists(st.text(alphabet="ab é日.\n\t'<|endoftext|>0", max_size=60), max_size=6))
 @settings(max_examples=150, deadline=None)
 def test_small_leaves(texts):
