@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
@@ -34,6 +35,8 @@ def joined_parts(parts: Column) -> Column:
 
 #: Bytes of questions' vectors that a task holds at once.
 QUESTION_BYTES = 256 << 20
+#: Places of a product of vectors that a task holds at once.
+PRODUCT_CELLS = 1 << 20
 #: By how much the cosine of a matrix product may differ from the one that is summed place by place.
 SLACK = 1e-9
 
@@ -113,6 +116,62 @@ class _Best:
             keep = score >= last[asked]
         return rows[keep], asked[keep], score[keep]
 
+    def documents(self, held: _Passages, asked: slice, passages: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(documents, questions, scores; ends, rows and scores of their best passages) of a batch, for a slice of the questions; no k others of this task beat these documents.
+
+        As in of(), a product of the distinct vectors tells which documents may be among the best; only their passages are scored exactly, equal ones once.
+        """
+        unit = np.divide(self.q[asked], self.norm[asked, None], out=np.zeros_like(self.q[asked]), where=self.norm[asked, None] > 0)
+        near = np.maximum.reduceat((held.unit @ unit.T)[held.first], held.begin[:-1], axis=0)
+        least = np.maximum(self.top[asked, 0], self.least)
+        if len(near) > self.k:
+            least = np.maximum(least, np.partition(near, len(near) - self.k, axis=0)[len(near) - self.k])
+        which, doc = np.nonzero((near >= least - SLACK).T)
+        count = held.begin[doc + 1] - held.begin[doc]
+        starts = np.cumsum(count) - count
+        rows = np.repeat(held.begin[doc] - starts, count) + np.arange(count.sum())
+        pairs, at = np.unique(held.first[rows] * len(unit) + np.repeat(which, count), return_inverse=True)
+        which += asked.start
+        scores = self.cosines(held.x, held.norm, pairs // len(unit), pairs % len(unit) + asked.start)[at]
+        score = np.maximum.reduceat(scores, starts) if len(starts) else scores
+
+        ranked = np.lexsort((held.documents[doc], -score, which))
+        ranked = ranked[(score[ranked] >= self.least) & (score[ranked] >= self.top[which[ranked], 0])]
+        place = np.arange(len(ranked)) - np.searchsorted(which[ranked], which[ranked])
+        ranked, place = ranked[place < self.k], place[place < self.k]
+        new = np.full((len(unit), self.k), -np.inf)
+        new[which[ranked] - asked.start, place] = score[ranked]
+        self.top[asked] = np.sort(np.concatenate([self.top[asked], new], axis=1), axis=1)[:, -self.k :]
+
+        # The passages of each document that goes on, the best first.
+        of = np.full(len(doc), -1)
+        of[ranked] = np.arange(len(ranked))
+        of = np.repeat(of, count)
+        some = np.flatnonzero(of >= 0)
+        some = some[np.lexsort((held.passages[rows[some]], -scores[some], of[some]))]
+        some = some[np.arange(len(some)) - np.searchsorted(of[some], of[some]) < passages]
+        ends = np.searchsorted(of[some], np.arange(len(ranked) + 1))
+        return doc[ranked], which[ranked], score[ranked], ends, rows[some], scores[some]
+
+
+def _places(keys: pa.Array) -> np.ndarray:
+    """The place of each key in their order, nulls first."""
+    order = pc.sort_indices(keys, null_placement="at_start").to_numpy()
+    places = np.empty(len(order), np.int64)
+    places[order] = np.arange(len(order))
+    return places
+
+
+class _Passages:
+    """The passages of a batch of documents: distinct vectors x, and for each passage which of them it has; places of passages and documents in the order of their keys."""
+
+    def __init__(self, vectors: np.ndarray, sizes: np.ndarray, passages: np.ndarray, documents: np.ndarray) -> None:
+        self.x, self.first = np.unique(vectors, axis=0, return_inverse=True)
+        self.norm = np.sqrt(_summed(self.x * self.x))
+        self.unit = np.divide(self.x, self.norm[:, None], out=np.zeros_like(self.x), where=self.norm[:, None] > 0)
+        self.begin = np.r_[0, np.cumsum(sizes)].astype(np.int64)
+        self.passages, self.documents = passages, documents
+
 
 def top_k(chunks: DataFrame, queries: DataFrame, k: int = 5, min_score: float = 0.5, vector: str = "embedding", key: str = "chunk_id") -> DataFrame:
     """query_id, rank, score and the columns of chunks: exact cosine, ties by key; null vectors count as zero.
@@ -162,7 +221,8 @@ def nested_hits(index: DataFrame, queries: DataFrame, documents: int = 100, pass
     """query_id, rank, score (of its best passage), the index's columns but the passages, and hits array<struct<chunk_id, score>>: the best documents of each question with their best passages.
 
     A document carries its passages, so these are scored where they lie and come back without a join. queries: query_id, vector, a stated set, as in top_k(). Ties go
-    by identifier and by chunk_id; null vectors count as zero; documents without a passage are not found.
+    by identifier and by chunk_id; null vectors count as zero; documents without a passage are not found. A batch meets so many questions at once that their products have
+    PRODUCT_CELLS places, and of a batch no more than `documents` rows go on for a question.
     """
     spark = index.sparkSession
     asked = queries.select("query_id", "vector").where("vector IS NOT NULL").toArrow()
@@ -170,7 +230,7 @@ def nested_hits(index: DataFrame, queries: DataFrame, documents: int = 100, pass
     hit = ArrayType(StructType([StructField("chunk_id", index.schema["passages"].dataType.elementType["chunk_id"].dataType), StructField("score", DoubleType())]))
     rest = [f for f in index.schema.fields if f.name != "passages"]
     schema = StructType([*rest, *queries.select("query_id").schema.fields, StructField("score", DoubleType()), StructField("hits", hit)])
-    step = max(1, QUESTION_BYTES // max(8, matrix.shape[1] * 8))
+    step = max(1, QUESTION_BYTES // (8 * (2 * matrix.shape[1] + documents)))
     found = []
     for at in range(0, max(1, len(asked)), step):
         part = spark.sparkContext.broadcast((matrix[at : at + step], asked["query_id"].slice(at, step).combine_chunks()))
@@ -183,33 +243,18 @@ def nested_hits(index: DataFrame, queries: DataFrame, documents: int = 100, pass
                 sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
                 if not sizes.sum() or not len(questions):
                     continue
-                flat = column.flatten()
-                x, keys = _matrix(flat.field("embedding"), questions.shape[1]), flat.field("chunk_id").to_pylist()
-                full = np.flatnonzero(sizes)
-                begin = np.r_[0, np.cumsum(sizes[full])]
-                norm = np.sqrt(_summed(x * x))
-                scale = norm[:, None] * best.norm[None, :]
-                near = np.maximum.reduceat(np.divide(x @ questions.T, scale, out=np.zeros_like(scale), where=scale > 0), begin[:-1], axis=0)
-                doc, which = np.nonzero(near >= np.maximum(best.top.min(axis=1), min_score) - SLACK)
-                count = begin[doc + 1] - begin[doc]
-                rows = np.repeat(begin[doc] - np.cumsum(count) + count, count) + np.arange(count.sum())
-                score = best.cosines(x, norm, rows, np.repeat(which, count))
-                starts = np.cumsum(count) - count
-                top = np.maximum.reduceat(score, starts) if len(starts) else score
-                keep = np.flatnonzero((top >= min_score) & (top >= best.top.min(axis=1)[which])) if len(starts) else np.empty(0, np.int64)
-                for q in np.unique(which[keep]).tolist():
-                    mine = keep[which[keep] == q]
-                    best.top[q] = np.sort(np.r_[best.top[q], top[mine]])[-documents:]
-                keep = keep[top[keep] >= best.top.min(axis=1)[which[keep]]]
-                if not len(keep):
-                    continue
-                hits = []
-                for k in keep.tolist():
-                    those = range(starts[k], starts[k] + count[k])
-                    hits.append([{"chunk_id": keys[rows[r]], "score": float(score[r])} for r in sorted(those, key=lambda r: (-score[r], keys[rows[r]]))[:passages]])
-                taken = batch.select([f.name for f in rest]).take(pa.array(full[doc[keep]]))
-                kind = pa.list_(pa.struct([("chunk_id", flat.field("chunk_id").type), ("score", pa.float64())]))
-                yield pa.RecordBatch.from_arrays([*taken.columns, ids.take(pa.array(which[keep])), pa.array(top[keep]), pa.array(hits, kind)], [*taken.schema.names, "query_id", "score", "hits"])
+                flat, full = column.flatten(), np.flatnonzero(sizes)
+                held = _Passages(_matrix(flat.field("embedding"), questions.shape[1]), sizes[full], _places(flat.field("chunk_id")), _places(batch["identifier"])[full])
+                rest_of, chunk_ids = batch.select([f.name for f in rest]), flat.field("chunk_id")
+                kind = pa.struct([("chunk_id", chunk_ids.type), ("score", pa.float64())])
+                step = max(1, PRODUCT_CELLS // len(held.first))
+                for begin in range(0, len(questions), step):
+                    doc, which, score, ends, rows, scores = best.documents(held, slice(begin, begin + step), passages)
+                    if len(doc):
+                        taken = rest_of.take(pa.array(full[doc]))
+                        hits = pa.StructArray.from_arrays([chunk_ids.take(pa.array(rows)), pa.array(scores)], fields=list(kind))
+                        hits = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), hits)
+                        yield pa.RecordBatch.from_arrays([*taken.columns, ids.take(pa.array(which)), pa.array(score), hits], [*taken.schema.names, "query_id", "score", "hits"])
 
         found.append(index.mapInArrow(search, schema))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "identifier")

@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corpusloom.operators import embedding, retrieval
@@ -59,3 +60,27 @@ def test_passages_of_short_texts(spark, tmp_path):
             retrieval.passages(strict, docs).collect()
     with pytest.raises(Exception, match="contract violation"):
         retrieval.passages(spans.where("rank = 3").selectExpr("rank", "identifier", "3 AS char_start", "3 AS char_end"), docs, strict=False).collect()
+
+
+def test_nested_hits_of_many_questions_are_bounded(spark, monkeypatch):
+    """A batch of 400 documents meets 2,000 questions: a question gets its best documents alone, and products are held in parts."""
+    import tracemalloc
+
+    r = np.random.default_rng(5)
+    vectors = r.integers(-2, 3, (2000, 4)).astype(float)
+    kind = pa.list_(pa.struct([("ordinal", pa.int32()), ("chunk_id", pa.string()), ("embedding", pa.list_(pa.float32()))]))
+    passages = [[{"ordinal": n, "chunk_id": f"{d}_{n}", "embedding": vectors[5 * d + n].tolist()} for n in range(5)] for d in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array([f"d{d}" for d in range(400)]), pa.array(passages, kind)], ["identifier", "passages"])
+    index = spark.createDataFrame([], "identifier string, passages array<struct<ordinal int, chunk_id string, embedding array<float>>>")
+    queries = spark.createDataFrame([(q, v.tolist()) for q, v in enumerate(vectors)], "query_id int, vector array<double>")
+    caught = []
+    monkeypatch.setattr(type(index), "mapInArrow", lambda frame, search, schema: caught.append(search) or spark.createDataFrame([], schema))
+    retrieval.nested_hits(index, queries, 10)
+    tracemalloc.start()
+    found, most = 0, 0
+    for out in caught[0](iter([batch, batch])):
+        found += out.num_rows
+        most = max(most, out.num_rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 20_000 <= found <= 40_000 and most <= 10_000 and peak < 200 << 20
