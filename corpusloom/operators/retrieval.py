@@ -57,13 +57,36 @@ def _matrix(vectors: pa.ListArray, width: int) -> np.ndarray:
     return filled
 
 
-class _Best:
-    """The best k scores of each question in one task, and what of a batch may be among them."""
+class Held:
+    """The best k scores of each of n questions in one task, rising."""
+
+    def __init__(self, n: int, k: int) -> None:
+        self.k, self.top = k, np.full((n, k), -np.inf)
+
+    def keep(self, asked: slice, which: np.ndarray, order: np.ndarray, score: np.ndarray) -> np.ndarray:
+        """Of scored rows of a batch those that may be among the best k, by question, score and the order of their keys; no more than k for a question. which: places in the slice."""
+        ranked = np.lexsort((order, -score, which))
+        ranked = ranked[score[ranked] >= self.top[asked, 0][which[ranked]]]
+        place = np.arange(len(ranked)) - np.searchsorted(which[ranked], which[ranked])
+        ranked, place = ranked[place < self.k], place[place < self.k]
+        new = np.full(self.top[asked].shape, -np.inf)
+        new[which[ranked], place] = score[ranked]
+        self.top[asked] = np.sort(np.concatenate([self.top[asked], new], axis=1), axis=1)[:, -self.k :]
+        return ranked
+
+
+def kth(scores: np.ndarray, k: int) -> np.ndarray | float:
+    """The k-th best score of each column."""
+    return np.partition(scores, len(scores) - k, axis=0)[len(scores) - k] if len(scores) > k else -np.inf
+
+
+class _Best(Held):
+    """What of a batch of vectors may be among the best k of a question."""
 
     def __init__(self, questions: np.ndarray, k: int, min_score: float) -> None:
-        self.q, self.k, self.least = questions, k, min_score
+        super().__init__(len(questions), k)
+        self.q, self.least = questions, min_score
         self.norm = np.sqrt(_summed(questions * questions))
-        self.top = np.full((len(questions), k), -np.inf)
 
     def cosines(self, x: np.ndarray, size: np.ndarray, rows: np.ndarray, asked: np.ndarray) -> np.ndarray:
         """Exact scores of pairs of rows and questions."""
@@ -123,25 +146,16 @@ class _Best:
         """
         unit = np.divide(self.q[asked], self.norm[asked, None], out=np.zeros_like(self.q[asked]), where=self.norm[asked, None] > 0)
         near = np.maximum.reduceat((held.unit @ unit.T)[held.first], held.begin[:-1], axis=0)
-        least = np.maximum(self.top[asked, 0], self.least)
-        if len(near) > self.k:
-            least = np.maximum(least, np.partition(near, len(near) - self.k, axis=0)[len(near) - self.k])
+        least = np.maximum(np.maximum(self.top[asked, 0], self.least), kth(near, self.k))
         which, doc = np.nonzero((near >= least - SLACK).T)
         count = held.begin[doc + 1] - held.begin[doc]
         starts = np.cumsum(count) - count
         rows = np.repeat(held.begin[doc] - starts, count) + np.arange(count.sum())
         pairs, at = np.unique(held.first[rows] * len(unit) + np.repeat(which, count), return_inverse=True)
-        which += asked.start
         scores = self.cosines(held.x, held.norm, pairs // len(unit), pairs % len(unit) + asked.start)[at]
         score = np.maximum.reduceat(scores, starts) if len(starts) else scores
-
-        ranked = np.lexsort((held.documents[doc], -score, which))
-        ranked = ranked[(score[ranked] >= self.least) & (score[ranked] >= self.top[which[ranked], 0])]
-        place = np.arange(len(ranked)) - np.searchsorted(which[ranked], which[ranked])
-        ranked, place = ranked[place < self.k], place[place < self.k]
-        new = np.full((len(unit), self.k), -np.inf)
-        new[which[ranked] - asked.start, place] = score[ranked]
-        self.top[asked] = np.sort(np.concatenate([self.top[asked], new], axis=1), axis=1)[:, -self.k :]
+        fine = np.flatnonzero(score >= self.least)
+        ranked = fine[self.keep(asked, which[fine], held.documents[doc[fine]], score[fine])]
 
         # The passages of each document that goes on, the best first.
         of = np.full(len(doc), -1)
@@ -151,10 +165,10 @@ class _Best:
         some = some[np.lexsort((held.passages[rows[some]], -scores[some], of[some]))]
         some = some[np.arange(len(some)) - np.searchsorted(of[some], of[some]) < passages]
         ends = np.searchsorted(of[some], np.arange(len(ranked) + 1))
-        return doc[ranked], which[ranked], score[ranked], ends, rows[some], scores[some]
+        return doc[ranked], which[ranked] + asked.start, score[ranked], ends, rows[some], scores[some]
 
 
-def _places(keys: pa.Array) -> np.ndarray:
+def places(keys: pa.Array) -> np.ndarray:
     """The place of each key in their order, nulls first."""
     order = pc.sort_indices(keys, null_placement="at_start").to_numpy()
     places = np.empty(len(order), np.int64)
@@ -244,7 +258,7 @@ def nested_hits(index: DataFrame, queries: DataFrame, documents: int = 100, pass
                 if not sizes.sum() or not len(questions):
                     continue
                 flat, full = column.flatten(), np.flatnonzero(sizes)
-                held = _Passages(_matrix(flat.field("embedding"), questions.shape[1]), sizes[full], _places(flat.field("chunk_id")), _places(batch["identifier"])[full])
+                held = _Passages(_matrix(flat.field("embedding"), questions.shape[1]), sizes[full], places(flat.field("chunk_id")), places(batch["identifier"])[full])
                 rest_of, chunk_ids = batch.select([f.name for f in rest]), flat.field("chunk_id")
                 kind = pa.struct([("chunk_id", chunk_ids.type), ("score", pa.float64())])
                 step = max(1, PRODUCT_CELLS // len(held.first))

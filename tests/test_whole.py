@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from corpusloom.operators import embedding, retrieval
+from corpusloom.operators import embedding, lexical, retrieval
 from corpusloom.plans import registry
 
 
@@ -84,3 +84,32 @@ def test_nested_hits_of_many_questions_are_bounded(spark, monkeypatch):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert 20_000 <= found <= 40_000 and most <= 10_000 and peak < 200 << 20
+
+
+@pytest.mark.parametrize("cells", [16, 1 << 20])
+def test_questions_to_a_table_and_to_an_index(spark, monkeypatch, cells):
+    """search() gives what top_k() gives over an index: ties, repeated words, references, texts without a term, questions without one."""
+    import random
+
+    r = random.Random(8)
+    words = ["alpha", "beta", "gammas", "Delta", "l'omega", "œuvre", "les", "L. 12-3", "12-34.567", "chevaux"]
+    texts = [(k, " ".join(r.choices(words, weights=[40, 20, 10, 5, 3, 2, 9, 1, 1, 1], k=r.randint(0, 20)))) for k in range(150)] + [(200 + k, "omega delta alpha") for k in range(6)] + [(300, None), (301, "")]
+    asked = [(1, "delta omega"), (2, "alpha alpha l12-3"), (3, "unknown"), (4, "cheval beta 12-34.567"), (5, ""), (6, "les oeuvres"), (7, None)]
+    passages, questions = spark.createDataFrame(texts, "chunk_id int, text string").repartition(3), spark.createDataFrame(asked, "query_id int, text string")
+    want = sorted(tuple(x) for x in lexical.top_k(lexical.build_index(passages), questions, 4).select("query_id", "rank", "chunk_id", "score").collect())
+    monkeypatch.setattr(lexical, "SCORE_CELLS", cells)
+    got = sorted(tuple(x) for x in lexical.search(passages, questions, 4).select("query_id", "rank", "chunk_id", "score").collect())
+    assert got == want and {x[0] for x in got} == {1, 2, 4, 6}
+    assert lexical.search(passages, questions.where("query_id = 5"), 4).collect() == []
+
+
+def test_lexical_queries_join_no_postings(spark, tmp_path):
+    """As in the SQL with repeated and missing numbers and null texts; questions and passages don't meet in a join, whose rows grow with both."""
+    texts = [(k, f"word{k % 3} word{k % 7} common Common tale{k % 11}s") for k in range(60)] + [(5, "word1 again"), (5, "word1 common"), (None, "word1 word2"), (70, None), (71, "")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "word1 tales common"), (1, "word2 word2 again"), (2, "nothing"), (200, "tale3")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    vectors = np.random.default_rng(4).normal(size=(130, 8)).tolist()
+    spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert len(_as_sql(spark, "d3_lexical_top_k", tmp_path, "documents", "benchmark")) == 26
+    _as_sql(spark, "d5_hybrid", tmp_path, "documents", "benchmark", "embeddings")
+    assert "Join" not in registry.d3_lexical_top_k(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
