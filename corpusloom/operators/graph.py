@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from corpusloom.operators.links import CONTIENT
 from corpusloom.session import drop_table, write_table
 
 KEY = ["src", "dst", "type"]
+#: Edges of a component that one task reduces at once; larger ones are searched by joins.
+SMALL = 2048
+#: Pairs of nodes that a task holds at once, about.
+REACH_CELLS = 1 << 22
+#: Rounds in which trees of one component are put together; what is not whole then is searched by joins.
+MERGE_ROUNDS = 6
 
 
 def first_edges(edges: DataFrame, *order: str) -> DataFrame:
@@ -70,7 +80,7 @@ def _contracted(edges: DataFrame, all_ends: bool) -> tuple[DataFrame, list[DataF
 
 
 def _pairs(pairs: DataFrame) -> DataFrame:
-    return write_table(pairs.select("src", "dst").distinct().withColumns({"long": F.lit(False), "beaten": F.lit(False)}), "graph-edges")
+    return write_table(pairs.select("src", "dst").dropna().distinct().withColumns({"long": F.lit(False), "beaten": F.lit(False)}), "graph-edges")
 
 
 def _cyclic(edges: DataFrame) -> bool:
@@ -122,26 +132,175 @@ def _replaced_in_core(core: DataFrame) -> list[DataFrame]:
     return found
 
 
-def redundant(pairs: DataFrame) -> DataFrame | None:
-    """Edges (src, dst) that a longer path replaces, a written table; None if there is a cycle anywhere."""
-    edges = _pairs(pairs)
-    core, rounds, loop = _contracted(edges, False)
-    found = None
-    if not loop and not _cyclic(core):
-        deep = _replaced_in_core(core)
-        beaten = [t.where("beaten").select("dst", "src") for t in rounds]
-        found = write_table(reduce(DataFrame.unionByName, beaten + deep).select("src", "dst"), "graph-redundant")
-        rounds += deep
-    for t in rounds:
+def _longer_paths(u: np.ndarray, v: np.ndarray, part: np.ndarray, n: int) -> np.ndarray | None:
+    """Which edges a longer path replaces; None if there is a cycle. u, v: ends, as numbers below n; part: an edge's component, numbered from 0.
+
+    Nodes are taken by the length of the longest path to them, so that all above a node is known when its turn comes. A component has a table of its own nodes.
+    """
+    of = np.empty(n, np.int64)
+    of[u], of[v] = part, part
+    order = np.argsort(of, kind="stable")
+    size = np.bincount(of)
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n) - np.repeat(np.cumsum(size) - size, size)
+    row = (np.cumsum(size * size) - size * size)[of] + place * size[of]
+
+    out = np.argsort(u, kind="stable")
+    begin = np.searchsorted(u[out], np.arange(n + 1))
+    waits, level, met = np.bincount(v, minlength=n), np.zeros(n, np.int64), 0
+    now = np.flatnonzero(waits == 0)
+    while len(now):
+        met += len(now)
+        count = begin[now + 1] - begin[now]
+        below = v[out[np.repeat(begin[now] - np.cumsum(count) + count, count) + np.arange(count.sum())]]
+        step = level[now[0]] + 1
+        np.subtract.at(waits, below, 1)
+        now = np.unique(below[waits[below] == 0])
+        level[now] = step
+    if met < n:
+        return None
+
+    above, longer = np.zeros((size * size).sum(), bool), np.zeros(len(u), bool)
+    turn = np.argsort(level[v], kind="stable")
+    ends = np.searchsorted(level[v][turn], np.arange(1, level.max() + 2))
+    for first, last in zip(ends, ends[1:]):
+        edges = turn[first:last]
+        width = size[part[edges]]
+        for some in np.split(np.arange(len(edges)), np.flatnonzero(np.diff(np.cumsum(width) // REACH_CELLS)) + 1):
+            w, e = width[some], edges[some]
+            at = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+            has = above[np.repeat(row[u[e]], w) + at]
+            above[(np.repeat(row[v[e]], w) + at)[has]] = True
+        cell = row[v[edges]] + place[u[edges]]
+        longer[edges] = above[cell]
+        above[cell] = True
+    return longer
+
+
+def _reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """src, dst of the edges that a longer path replaces; a row of nulls for a cycle. batches: src, dst, part, sorted by part, whose components are whole and small."""
+
+    def found(edges: pa.Table) -> Iterator[pa.RecordBatch]:
+        part = edges["part"].combine_chunks().dictionary_encode().indices.to_numpy()
+        held = np.bincount(part)
+        group = (np.cumsum((held + 1) ** 2) // REACH_CELLS)[part]
+        for rows in np.split(np.arange(len(part)), np.flatnonzero(np.diff(group)) + 1):
+            src, dst = (edges[c].slice(rows[0], len(rows)).combine_chunks() for c in ("src", "dst"))
+            names = pa.concat_arrays([src, dst]).dictionary_encode()
+            u, v = np.split(names.indices.to_numpy().astype(np.int64), 2)
+            longer = _longer_paths(u, v, (part[rows] - part[rows[0]]).astype(np.int64), len(names.dictionary))
+            if longer is None:
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, src.type), pa.nulls(1, dst.type)], ["src", "dst"])
+            elif longer.any():
+                yield pa.RecordBatch.from_arrays([src.filter(pa.array(longer)), dst.filter(pa.array(longer))], ["src", "dst"])
+
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n += batch.num_rows
+        if n > 64 * SMALL:
+            edges = pa.Table.from_batches(held)
+            # The last component may go on in the next batch.
+            part = edges["part"].combine_chunks().dictionary_encode().indices.to_numpy()
+            whole = int(np.searchsorted(part, part[-1]))
+            yield from found(edges.slice(0, whole)) if whole else ()
+            held = edges.slice(whole).to_batches()
+            n -= whole
+    if held:
+        yield from found(pa.Table.from_batches(held))
+
+
+def _by_component(edges: DataFrame) -> tuple[DataFrame, DataFrame | None] | None:
+    """(edges that a longer path replaces, a written table; a written table of the edges that are still to be searched) of a written table; None if a cycle was met.
+
+    A node's first edge up leads to a top; nodes of one top are a tree, and trees that other edges link are put together. Components of at most SMALL edges are reduced in a
+    task each, many at once. Nothing is labelled where components must be larger on the average, as there are so few nodes without an edge up.
+    """
+    tops = edges.select("src").distinct().join(edges.select(F.col("dst").alias("src")), "src", "left_anti").count()
+    n = edges.count()
+    if n > SMALL * tops:
+        return (None, edges) if tops else None
+    if not n:
+        return None, None
+    tree = _jumped(write_table(edges.groupBy(F.col("dst").alias("x")).agg(F.min("src").alias("nxt")), "graph-tree"))
+    if tree is None:
+        return None
+
+    def renamed(rows: DataFrame, c: str, by: DataFrame) -> DataFrame:
+        return rows.join(by.select(F.col("x").alias(c), F.col("nxt").alias("_nxt")), c, "left").withColumn(c, F.coalesce("_nxt", c)).drop("_nxt")
+
+    marked = edges.select("src", "dst", F.col("src").alias("part"), F.col("dst").alias("other"))
+    marked = write_table(renamed(renamed(marked, "part", tree), "other", tree), "graph-marked")
+    drop_table(tree)
+
+    def linked(rows: DataFrame) -> DataFrame:
+        ends = rows.where("part <> other").select(F.least("part", "other").alias("part"), F.greatest("part", "other").alias("other"))
+        return write_table(ends.distinct(), "graph-links")
+
+    links, names, spent = linked(marked), None, []
+    for _ in range(MERGE_ROUNDS):
+        if links.isEmpty():
+            break
+        lower = _jumped(write_table(links.groupBy(F.col("other").alias("x")).agg(F.min("part").alias("nxt")), "graph-tree"))
+        both = lower.select("x", "nxt") if names is None else renamed(names, "nxt", lower).unionByName(lower.select("x", "nxt"))
+        spent += [t for t in (links, names, lower) if t is not None]
+        names = write_table(both.select("x", "nxt"), "graph-names")
+        links = linked(renamed(renamed(links, "part", lower), "other", lower))
+    if names is not None:
+        spent.append(marked)
+        marked = write_table(renamed(marked, "part", names).select("src", "dst", "part"), "graph-marked")
+        spent.append(names)
+    open_ = links.select("part").unionByName(links.select(F.col("other").alias("part")))
+    large = write_table(marked.groupBy("part").count().where(F.col("count") > SMALL).select("part").unionByName(open_).distinct(), "graph-large")
+    rest, small = None, marked.select("src", "dst", "part")
+    if not large.isEmpty():
+        rest = write_table(marked.join(large, "part", "left_semi").select("src", "dst", F.lit(False).alias("long"), F.lit(False).alias("beaten")), "graph-edges")
+        small = small.join(large, "part", "left_anti").select("src", "dst", "part")
+    found = write_table(small.repartition("part").sortWithinPartitions("part").mapInArrow(_reduced, StructType([StructField(f.name, f.dataType) for f in edges.select("src", "dst").schema])), "graph-found")
+    for t in (*spent, links, marked, large):
+        drop_table(t)
+    if found.where("src IS NULL").isEmpty():
+        return found, rest
+    for t in (found, rest):
+        if t is not None:
+            drop_table(t)
+    return None
+
+
+def redundant(pairs: DataFrame, once: bool = False) -> DataFrame | None:
+    """Edges (src, dst) that a longer path replaces, a written table; None if there is a cycle anywhere. once: pairs is a written table without repeats."""
+    edges = pairs.select("src", "dst").dropna()
+    mine = [] if once else [write_table(edges.distinct(), "graph-edges")]
+    edges = mine[0] if mine else edges
+    found, parts = None, _by_component(edges)
+    if parts is not None:
+        local, rest = parts
+        mine += [] if local is None else [local]
+        tables = [] if local is None else [local.select("src", "dst")]
+        whole = True
+        if rest is not None:
+            core, rounds, loop = _contracted(_pairs(edges) if rest is edges else rest, False)
+            whole = not loop and not _cyclic(core)
+            if whole:
+                deep = _replaced_in_core(core)
+                tables += [t.select("src", "dst") for t in (*(t.where("beaten") for t in rounds), *deep)]
+                mine += deep
+            mine += rounds
+        if whole:
+            found = write_table(reduce(DataFrame.unionByName, tables) if tables else edges.limit(0), "graph-redundant")
+    for t in mine:
         drop_table(t)
     return found
 
 
 def reduce_transitively(edges: DataFrame, *order: str) -> DataFrame:
     """Containment edges without those that a longer path replaces, and without repeats; with a cycle anywhere only without repeats. Other verbs pass as they are."""
-    contained = first_edges(edges.where(F.col("type") == CONTIENT), *order)
+    contained = write_table(first_edges(edges.where(F.col("type") == CONTIENT), *order), "graph-contained")
     others = edges.where(F.col("type") != CONTIENT)
-    replaced = redundant(contained)
+    replaced = redundant(contained, once=True)
     if replaced is not None:
         contained = contained.join(replaced, ["src", "dst"], "left_anti")
     return others.unionByName(contained.select(*others.columns))

@@ -54,6 +54,54 @@ def test_reduction_of_forks_and_joins(spark, seed):
     assert got == brute(pairs)
 
 
+@pytest.mark.parametrize("small", [0, 12, 2048])
+def test_reduction_by_component(spark, monkeypatch, small):
+    """Many components of any size, with one top and with several: all in tasks, some, or none; and a cycle in one of them."""
+    r = random.Random(small)
+    pairs = []
+    for c in range(60):
+        n = r.choice((2, 3, 5, 9))
+        tops = r.choice((0, 0, 3))
+        names = [f"{r.random():.6f}" for _ in range(n + tops)]
+        pairs += [(names[k], names[k + 1]) for k in range(n - 1)]
+        pairs += [tuple(names[k] for k in sorted(r.sample(range(n), 2))) for _ in range(n)]
+        pairs += [(names[n + k], names[r.randrange(n)]) for k in range(tops) for _ in range(2)]
+    monkeypatch.setattr(graph, "SMALL", small)
+    reduced = {(x.src, x.dst) for x in graph.reduce_transitively(edges(spark, pairs), "doc", "seq").collect()}
+    assert reduced == brute(pairs) and len(set(pairs)) - len(reduced) > 40
+    if small:
+        cyclic = [*pairs, ("x", "y"), ("y", "z"), ("x", "z"), ("z", "y")]
+        assert {(x.src, x.dst) for x in graph.reduce_transitively(edges(spark, cyclic), "doc", "seq").collect()} == set(cyclic)
+
+
+def test_components_in_batches(monkeypatch):
+    """Components that batches cut, and tables of nodes that go over the limit, against one component at a time."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(5)
+    pairs = sorted({(c, *sorted(r.sample(range(8), 2))) for c in range(300) for _ in range(12)})
+    rows = pa.RecordBatch.from_arrays([pa.array([f"{c}.{a}" for c, a, _ in pairs]), pa.array([f"{c}.{b}" for c, _, b in pairs]), pa.array([str(c) for c, _, _ in pairs])], ["src", "dst", "part"])
+    monkeypatch.setattr(graph, "SMALL", 1)
+    monkeypatch.setattr(graph, "REACH_CELLS", 500)
+    found = [(x["src"], x["dst"]) for b in graph._reduced(rows.slice(k, 50) for k in range(0, len(pairs), 50)) for x in b.to_pylist()]
+    want = {(f"{c}.{a}", f"{c}.{b}") for c, a, b in pairs} - brute([(f"{c}.{a}", f"{c}.{b}") for c, a, b in pairs])
+    assert len(found) == len(want) > 300 and set(found) == want
+    assert graph._longer_paths(np.array([0, 1]), np.array([1, 0]), np.zeros(2, np.int64), 2) is None
+
+
+def test_many_small_graphs_take_few_jobs(spark):
+    """Chains with shortcuts, of which each needs several rounds of contraction and of search."""
+    pairs = [(f"{c}.{k}", f"{c}.{k + j}") for c in range(40) for k in range(2 + c % 18) for j in (1, 3) if j == 1 or (k + c) % 2 and k + 3 <= 2 + c % 18]
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("small", "small")
+    got = {(x.src, x.dst) for x in graph.reduce_transitively(edges(spark, pairs), "doc", "seq").collect()}
+    jobs = len(tracker.getJobIdsForGroup("small"))
+    spark.sparkContext.setJobGroup("", "")
+    assert got == {p for p in pairs if int(p[1].split(".")[1]) - int(p[0].split(".")[1]) == 1}
+    assert jobs < 80, jobs
+
+
 def test_cycles(spark):
     def cyclic(pairs):
         return graph.has_cycle(spark.createDataFrame(pairs, "src string, dst string"))
